@@ -5,15 +5,18 @@ from __future__ import annotations
 from windowforge.llm.chat import ORACLE_OP1, op1_chat_format
 from windowforge.llm.packing import op10_best_fit_packing
 from windowforge.llm.sharding import ORACLE_OP2, op2_sharding
+from windowforge.llm.substring_dedup import ORACLE_OP9, op9_substring_dedup
 from windowforge.llm.token_files import op6_token_files
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_sharding": op2_sharding,
     "op6_token_files": op6_token_files,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE: dict[str, str] = {
     "op1_chat_format": ORACLE_OP1,
     "op2_sharding": ORACLE_OP2,
+    "op9_substring_dedup": ORACLE_OP9,
 }
