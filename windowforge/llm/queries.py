@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from windowforge.llm.chat import ORACLE_OP1, op1_chat_format
+from windowforge.llm.neighbours import op8_nearest_neighbours
 from windowforge.llm.packing import op10_best_fit_packing
 from windowforge.llm.sharding import ORACLE_OP2, op2_sharding
 from windowforge.llm.substring_dedup import ORACLE_OP9, op9_substring_dedup
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_sharding": op2_sharding,
     "op6_token_files": op6_token_files,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
