@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from windowforge.llm.chat import ORACLE_OP1, op1_chat_format
 from windowforge.llm.neighbours import op8_nearest_neighbours
+from windowforge.llm.ngram_join import ORACLE_OP5, op5_ngram_jaccard
 from windowforge.llm.packing import op10_best_fit_packing
 from windowforge.llm.sharding import ORACLE_OP2, op2_sharding
 from windowforge.llm.substring_dedup import ORACLE_OP9, op9_substring_dedup
@@ -12,6 +13,7 @@ from windowforge.llm.token_files import op6_token_files
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_sharding": op2_sharding,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_token_files": op6_token_files,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_substring_dedup": op9_substring_dedup,
@@ -20,5 +22,6 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op1_chat_format": ORACLE_OP1,
     "op2_sharding": ORACLE_OP2,
+    "op5_ngram_jaccard": ORACLE_OP5,
     "op9_substring_dedup": ORACLE_OP9,
 }
