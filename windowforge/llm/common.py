@@ -168,11 +168,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (byte positions) of the words [^\\x20\\x09-\\x0D]+ of all rows, and each row's first word number (one more than rows)."""
+def words_of(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (byte positions) of the words of all rows, and each row's first word number (one more than rows).
+
+    Words are the runs [^\\x20\\x09-\\x0D]+, or of whatever bytes ``space`` doesn't mark.
+    """
     n = len(data)
     solid = np.zeros(n + 2, bool)
-    solid[1:-1] = ~_SPACE[data]
+    solid[1:-1] = ~space[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets[(offsets > 0) & (offsets < n)]] = True  # a word ends with its row
     begin = solid[1:-1] & (~solid[:-2] | cut[:-1])

@@ -9,10 +9,12 @@ from windowforge.llm.packing import op10_best_fit_packing
 from windowforge.llm.sharding import ORACLE_OP2, op2_sharding
 from windowforge.llm.substring_dedup import ORACLE_OP9, op9_substring_dedup
 from windowforge.llm.token_files import op6_token_files
+from windowforge.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_sharding": op2_sharding,
+    "op4_toxicity": op4_toxicity,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_token_files": op6_token_files,
     "op8_nearest_neighbours": op8_nearest_neighbours,
