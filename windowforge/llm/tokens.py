@@ -13,7 +13,9 @@ import numpy as np
 from windowforge.llm.common import ranges
 
 #: Entries kept by one Python worker; beyond it the table starts anew, which costs time but changes nothing.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_500_000
+#: Marks that are a token of their own behind letters.
+CLOSING = ".,;:!?|"
 
 
 def default_path(name: str) -> str:
@@ -32,6 +34,7 @@ class PieceEncoder:
         self.tokenizer, self.glued, self.entries = Tokenizer.from_file(path), glued, entries
         self.mark = "<|endoftext|>"
         self.mark_id = self.tokenizer.token_to_id(self.mark)
+        self.closing = {c: self._ids([c])[0][0] for c in CLOSING}
         self.reset()
 
     def reset(self) -> None:
@@ -42,12 +45,50 @@ class PieceEncoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _append(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        first, n = len(self.number), len(ids)
+        while self.used + n > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while first + len(pieces) + 1 > len(self.off):
+            self.off = np.concatenate([self.off, np.zeros_like(self.off)])
+        self.ids[self.used : self.used + n] = ids
+        self.off[first] = self.used
+        self.off[first + 1 : first + len(pieces) + 1] = self.used + np.cumsum(lengths)
+        self.used += n
+        self.number.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+
+    def _base(self, piece: str) -> tuple[str, str]:
+        """What a piece's ids follow from: letters before a closing mark are tokens apart from it, and case may not count."""
+        tail = piece[-1] if piece[-1] in CLOSING and piece[:-1].isalpha() else ""
+        base = piece[:-1] if tail else piece
+        if not self.glued and base.isalpha():
+            if base.isascii():
+                return base.lower(), tail
+            if not base.lower().isalpha():  # a mark split off by the change of case may join the closing one
+                return piece, ""
+        return base, tail
+
     def _learn(self, pieces: list[str]) -> None:
+        forms = {p: self._base(p) for p in pieces}
+        self._encode_new([b for b in dict.fromkeys(b for b, _ in forms.values()) if b not in self.number])
+        self.number.update({p: self.number[b] for p, (b, tail) in forms.items() if not tail and p != b})
+        closed = [p for p, (_, tail) in forms.items() if tail]
+        if closed:
+            base = np.fromiter((self.number[forms[p][0]] for p in closed), np.int64, len(closed))
+            n = self.off[base + 1] - self.off[base]
+            lengths = n + 1
+            at = np.cumsum(lengths) - lengths
+            ids = np.empty(int(lengths.sum()), np.uint16)
+            ids[ranges(at, n)] = self.ids[ranges(self.off[base], n)]
+            ids[at + n] = [self.closing[forms[p][1]] for p in closed]
+            self._append(closed, ids, lengths)
+
+    def _encode_new(self, pieces: list[str]) -> None:
         """Encode pieces in few calls: joined by a special token, which parts them before anything else is applied."""
+        lead = " " if self.glued else ""
         for at in range(0, len(pieces), 20_000):
             part = pieces[at : at + 20_000]
             odd = {i: p for i, p in enumerate(part) if self.mark in p}
-            lead = " " if self.glued else ""
             joined = self.mark.join(lead + ("" if i in odd else p) for i, p in enumerate(part)) if odd else self.mark.join(lead + p for p in part)
             ids = np.array(self._ids([joined])[0], np.int64)
             at_mark = np.flatnonzero(ids == self.mark_id)
@@ -58,16 +99,7 @@ class PieceEncoder:
                 for i, p in odd.items():
                     found[i] = np.array(self._ids([lead + p])[0], np.int64)
                 ids, lengths = np.concatenate(found), np.array([len(x) for x in found])
-            first, n = len(self.number), len(ids)
-            while self.used + n > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while first + len(part) + 1 > len(self.off):
-                self.off = np.concatenate([self.off, np.zeros_like(self.off)])
-            self.ids[self.used : self.used + n] = ids
-            self.off[first + 1 : first + len(part) + 1] = self.used + np.cumsum(lengths)
-            self.off[first] = self.used
-            self.used += n
-            self.number.update(zip(part, range(first, first + len(part)), strict=True))
+            self._append(part, ids, lengths)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint16) and each text's first (int64, one more than texts)."""
