@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowforge.llm.common import BASE_A, NULL_ID, batch_of, column, id_text, mix, null_id, rolling_hash, small_batches, span_hash, stage, table, text_buffer, word_hashes, words_of
+from windowforge.llm.common import BASE_A, NULL_ID, batch_of, column, id_text, mix, n_partitions, null_id, ranges, rolling_hash, small_batches, span_hash, stage, table, text_buffer, word_hashes, words_of
 from windowforge.llm.components import components
 from windowforge.llm.exchange import PACKED, bucket_bits, by_bucket, packed_rows
 
-#: Groups of a signature up to this size are listed as pairs; larger ones as a star around their least node.
-PAIRS_UP_TO = 4
+#: Members of a slice of a group: larger groups are compared slice by slice, in tasks of their own.
+SLICE = 2048
 _SET = np.uint64(0xA0761D6478BD642F)
 
 
@@ -45,6 +45,25 @@ def node_of(shingles: np.ndarray) -> int:
     return int(mix(np.array([total + np.uint64(len(shingles))], np.uint64))[0] >> np.uint64(1))
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parities: bit i is how often, modulo 2, a shingle's lowest bits are i. Sets differ in at least as many shingles as sketches in bits."""
+    bits = min(4096, max(64, 1 << max(0, (len(shingles) - 1) // 2).bit_length()))
+    n = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((n & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one length (that of the shortest), as rows of 64-bit words: halves of a longer one are added modulo 2."""
+    width = min(map(len, sketches))
+    out = []
+    for k in sketches:
+        x = np.frombuffer(k, np.uint64)
+        while 8 * len(x) > width:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out.append(x)
+    return np.stack(out)
+
+
 class Bands:
     """Size bands and the numbers of parts for a similarity of ``percent`` or more."""
 
@@ -116,7 +135,8 @@ def signature_rows(docs: DataFrame, words: int, percent: int, bits: int) -> Data
     return docs.mapInArrow(run, PACKED)
 
 
-def _candidates(bucket: int, _, payloads: list[bytes], __) -> Iterator[pa.RecordBatch]:
+def _groups(bucket: int, _, payloads: list[bytes], __) -> Iterator[pa.RecordBatch]:
+    """(name, node): the nodes of each signature that more than one has. Groups of the same nodes have one name."""
     every = np.concatenate([np.frombuffer(p, _ENTRY) for p in payloads])
     every = every[np.lexsort((every["node"], every["sig"]))]
     sig, node = every["sig"], every["node"]
@@ -124,22 +144,83 @@ def _candidates(bucket: int, _, payloads: list[bytes], __) -> Iterator[pa.Record
     sig, node = sig[new], node[new]
     head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     size = np.diff(np.concatenate([head, [len(sig)]]))
-    rows = []
-    for n in range(2, PAIRS_UP_TO + 1):
-        at = head[size == n]
-        rows += [np.stack([np.zeros(len(at), np.int64), node[at + i], node[at + j]]) for i in range(n) for j in range(i + 1, n)]
-    big = head[size > PAIRS_UP_TO]
-    if len(big):
-        n = size[size > PAIRS_UP_TO]
-        member = np.repeat(big, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        # groups of the same members have one name, whatever their signature
-        name = np.add.reduceat(mix(node[member].view(np.uint64)), np.cumsum(n) - n)
-        name = (mix(name + n.astype(np.uint64)) >> np.uint64(1)).astype(np.int64) | 1
-        star = np.stack([np.repeat(name, n), np.repeat(node[big], n), node[member]])
-        rows.append(star[:, star[1] != star[2]])
-    found = np.unique(np.concatenate(rows, axis=1), axis=1) if rows else np.zeros((3, 0), np.int64)
-    if found.shape[1]:
-        yield batch_of(**{"group": found[0], "a": found[1], "b": found[2]})
+    head, size = head[size > 1], size[size > 1]
+    if len(head):
+        at = np.cumsum(size) - size
+        node = node[ranges(head, size)]
+        name = mix(np.add.reduceat(mix(node.view(np.uint64)), at) + size.astype(np.uint64)).view(np.int64)
+        _, first = np.unique(name, return_index=True)
+        yield batch_of(name=np.repeat(name[first], size[first]), node=node[ranges(at[first], size[first])])
+
+
+
+def _sliced(groups: DataFrame) -> DataFrame:
+    """Members of groups dealt to cells: a small group is one cell; of a large one, each two slices are."""
+    sizes = groups.groupBy("name").count().where(F.col("count") > SLICE).select("name", F.ceil(F.col("count") / SLICE).cast("int").alias("slices"))
+    own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
+    large = groups.join(sizes, "name").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    large = large.withColumn("cell", F.least("side", "other") * F.col("slices") + F.greatest("side", "other"))
+    small = groups.join(sizes, "name", "left_anti").withColumn("cell", F.lit(0)).withColumn("side", F.lit(0))
+    cols = ["name", "cell", "side", "node", "n", "sketch", "label"]
+    return small.select(cols).unionByName(large.select(cols))
+
+
+def close_pairs(groups: DataFrame, percent: int, every: bool) -> DataFrame:
+    """(a, b), a < b: members of a group with different labels whose sizes and sketches allow them to be similar.
+
+    All such pairs, or of each member's only that with its least partner in each cell.
+    """
+
+    def compare(node: np.ndarray, n: np.ndarray, bits: np.ndarray, label: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high = [], []
+        crossed = side.min() != side.max()  # a cell of two slices: pairs within one slice belong to another cell
+        for i in range(len(node) - 1):
+            j = slice(i + 1, None)
+            both = n[i] + n[j]
+            ok = (label[j] != label[i]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            ok &= np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) * (100 + percent) <= (100 - percent) * both
+            if crossed:
+                ok &= side[j] != side[i]
+            found = np.flatnonzero(ok) + i + 1
+            low.append(np.full(len(found), i))
+            high.append(found)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (low, high))
+        if not every and len(a):  # ascending: the first of a member is its least
+            _, first = np.unique(b, return_index=True)
+            a, b = a[first], b[first]
+        return node[a], node[b]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def answer(rows: pa.Table):
+            name, cell, side, node, n, label = (rows.column(k).to_numpy() for k in ("name", "cell", "side", "node", "n", "label"))
+            sketches = rows.column("sketch").to_pylist()
+            edges = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (cell[1:] != cell[:-1]), [True]]))
+            found = []
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if hi - lo > 1:
+                    found.append(compare(node[lo:hi], n[lo:hi], _folded(sketches[lo:hi]), label[lo:hi], side[lo:hi]))
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+            pairs = np.unique(np.stack([a, b]), axis=1)
+            return batch_of(a=pairs[0], b=pairs[1])
+
+        for b in batches:  # ordered: the last cell of a batch may go on in the next
+            if not b.num_rows:
+                continue
+            held.append(b)
+            rows = pa.Table.from_batches(held)
+            name, cell = rows.column("name").to_numpy(), rows.column("cell").to_numpy()
+            done = np.flatnonzero((name != name[-1]) | (cell != cell[-1]))
+            cut = int(done[-1]) + 1 if len(done) else 0
+            if cut:
+                yield answer(rows.slice(0, cut))
+                held = rows.slice(cut).to_batches()
+        if held:
+            yield answer(pa.Table.from_batches(held))
+
+    cells = _sliced(groups).repartition(n_partitions(groups.sparkSession), "name", "cell").sortWithinPartitions("name", "cell", "node")
+    return cells.mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -174,55 +255,44 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text", 8 << 20):
-            sets = [(len(s), node_of(s)) for s in shingle_sets(b.column(1), words)]
-            yield batch_of(id=b.column(0), n=pa.array([n for n, _ in sets], pa.int64()), node=pa.array([k for _, k in sets], pa.int64()))
-
-    named = stage(rows.mapInArrow(name, "id long, n long, node long"))
-    bits = bucket_bits(docs.sparkSession)
-    found = by_bucket(signature_rows(rows, words, percent, bits), _candidates, "group long, a long, b long")
-    found = stage(found.distinct())
-
-    wanted = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
-    classes = stage(named.where("n > 0").groupBy("node").agg(F.min("id").alias("id")))
-    reps = stage(classes.join(wanted, "node", "left_semi"))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "text", 4 << 20):
-            sets = list(shingle_sets(b.column(1), words))
-            yield batch_of(node=pa.array([node_of(s) for s in sets], pa.int64()), shingles=pa.array([s.tobytes() for s in sets], pa.binary()))
-
-    sets = rows.join(reps.select("id"), "id", "left_semi").mapInArrow(whole, "node long, shingles binary")
-    sets = stage(sets.join(reps.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-
-    # first each node with its least partner; then whatever pairs the links found so far do not connect
-    first = found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stage(verified(first, sets, percent))
-    labels = components(links)
-    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
-    label = lambda df, x: df.join(of(x), x, "left").withColumn(f"{x}_label", F.coalesce(f"{x}_label", x))
-    apart = label(label(found.join(first, ["a", "b"], "left_anti"), "a"), "b").where("a_label <> b_label").select("a", "b").distinct()
-    links = stage(links.unionByName(verified(apart, sets, percent)))
+            sets = [(len(s), node_of(s), sketch(s)) for s in shingle_sets(b.column(1), words)]
+            n, node, bits = zip(*sets, strict=True)
+            yield batch_of(id=b.column(0), n=pa.array(n, pa.int64()), node=pa.array(node, pa.int64()), sketch=pa.array(bits, pa.binary()))
+
+    named = stage(rows.mapInArrow(name, "id long, n long, node long, sketch binary"))
+    classes = stage(named.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
+    groups = by_bucket(signature_rows(rows, words, percent, bucket_bits(docs.sparkSession)), _groups, "name long, node long").distinct()
+    groups = stage(groups.join(classes.select("node", "n", "sketch"), "node"))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        reps = stage(classes.select("node", "id").join(wanted, "node", "left_semi"))
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in small_batches(batches, "text", 4 << 20):
+                sets = list(shingle_sets(b.column(1), words))
+                yield batch_of(node=pa.array([node_of(s) for s in sets], pa.int64()), shingles=pa.array([s.tobytes() for s in sets], pa.binary()))
+
+        sets = rows.join(reps.select("id").distinct(), "id", "left_semi").mapInArrow(whole, "node long, shingles binary")
+        return stage(sets.join(reps.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+
+    # first each member with its least partner; then whatever pairs those links don't connect
+    first = stage(close_pairs(groups.withColumn("label", F.col("node")), percent, every=False).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = stage(verified(first, sets_of(first), percent))
     labels = components(links)
-    # in a large group, members that are not with the group's least node may still be with each other
-    starred = label(found.where("group <> 0"), "b")
-    leaders = label(starred.select("group", "a").distinct(), "a").select("group", F.col("a").alias("b"), F.col("a_label").alias("b_label"))
-    members = starred.select("group", "b", "b_label").unionByName(leaders)
-    split = members.groupBy("group").agg(F.min("b_label").alias("x"), F.max("b_label").alias("y")).where("x <> y").select("group")
-    if not split.isEmpty():
-        open_ = stage(members.join(split, "group", "left_semi"))
-        other = open_.select("group", F.col("b").alias("a"), F.col("b_label").alias("a_label"))
-        cross = other.join(open_, "group").where("a_label < b_label").select("a", "b").distinct()
-        cross = stage(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(found.select("a", "b"), ["a", "b"], "left_anti"))
-        links = stage(links.unionByName(verified(cross, sets, percent)))
+    labelled = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = stage(close_pairs(labelled, percent, every=True).join(first, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links = stage(links.unionByName(verified(rest, sets_of(rest), percent)))
         labels = components(links)
 
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    joined = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    joined = classes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = joined.groupBy("label").agg(F.min("id").alias("component"))
     by_node = stage(joined.join(least, "label").join(degree, "node", "left").select("node", "component", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    sets_of = named.where("n > 0").join(by_node, "node").select("id", "n", "component", "n_links")
+    linked = named.where("n > 0").join(by_node, "node").select("id", "n", "component", "n_links")
     none = named.where("n = 0").select("id", "n", F.col("id").alias("component"), F.lit(0).cast("long").alias("n_links"))
-    return sets_of.unionByName(none).select(null_id().alias("doc_id"), F.col("n").alias("n_shingles"), null_id("component").alias("component_id"), "n_links")
+    return linked.unionByName(none).select(null_id().alias("doc_id"), F.col("n").alias("n_shingles"), null_id("component").alias("component_id"), "n_links")
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
