@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from windowforge.llm.chat import ORACLE_OP1, op1_chat_format
+from windowforge.llm.decontamination import op7_decontamination
 from windowforge.llm.neighbours import op8_nearest_neighbours
 from windowforge.llm.ngram_join import ORACLE_OP5, op5_ngram_jaccard
 from windowforge.llm.packing import op10_best_fit_packing
 from windowforge.llm.sharding import ORACLE_OP2, op2_sharding
 from windowforge.llm.substring_dedup import ORACLE_OP9, op9_substring_dedup
+from windowforge.llm.suffix_dedup import op3_suffix_dedup
 from windowforge.llm.token_files import op6_token_files
 from windowforge.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_sharding": op2_sharding,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_token_files": op6_token_files,
+    "op7_decontamination": op7_decontamination,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
