@@ -165,26 +165,34 @@ class Network:
         return g
 
 
-def _odds(doc: np.ndarray, keys: np.ndarray, label: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that stand in three documents or more (at most ``limit``, the furthest from even odds), and their clipped log odds."""
-    pair = np.unique(np.stack([keys, doc.astype(np.uint64)]), axis=1)
-    values, n = np.unique(pair[0], return_counts=True)
-    toxic = np.bincount(np.searchsorted(values, pair[0]), weights=label[pair[1].astype(np.int64)], minlength=len(values))
-    share = (label == 1).sum() / len(label)
-    odds = np.log((toxic + 0.5) / (n - toxic + 0.5)) - np.log((share + 1e-9) / (1 - share + 1e-9))
-    some = np.flatnonzero(n >= 3)
-    some = np.sort(some[np.argsort(-np.abs(odds[some]), kind="stable")[:limit]])
-    return values[some], np.clip(odds[some], -3, 3).astype(np.float32)
+def _odds(doc: np.ndarray, columns: Iterator[np.ndarray], label: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that stand in three documents or more (at most ``limit``, the furthest from even odds), and their clipped log odds.
+
+    ``columns``: the key of each row of ``doc``, column by column; columns share no keys.
+    """
+    share = label.mean()
+    keys, odds = [], []
+    for column_ in columns:
+        values, number = np.unique(column_, return_inverse=True)
+        key, own = np.divmod(np.unique(number * len(label) + doc), len(label))
+        n = np.bincount(key, minlength=len(values))
+        toxic = np.bincount(key, weights=label[own], minlength=len(values))
+        some = np.flatnonzero(n >= 3)
+        keys.append(values[some])
+        odds.append(np.log((toxic[some] + 0.5) / (n[some] - toxic[some] + 0.5)) - np.log((share + 1e-9) / (1 - share + 1e-9)))
+    keys, odds = np.concatenate(keys), np.concatenate(odds)
+    best = np.argsort(-np.abs(odds), kind="stable")[:limit]
+    best = best[np.argsort(keys[best])]
+    return keys[best], np.clip(odds[best], -3, 3).astype(np.float32)
 
 
 def fit(texts: list[str], label: np.ndarray, prevalence: float, seed: int = 7) -> Network:
     """Train on whole texts: a toxic text by its highest window, a clean one by its highest and one more."""
     w = Words(pa.array(texts, pa.string()))
     n_words = np.diff(w.first)
-    own = np.repeat(np.arange(len(texts)), n_words)
-    words, word_odds = _odds(own, w.words[w.number], label, VOCABULARY)
-    width = w.parts.shape[1]
-    parts, part_odds = _odds(np.repeat(own, width), w.parts[w.number].ravel(), label, 2 * VOCABULARY)
+    own, number = np.divmod(np.unique(np.repeat(np.arange(len(texts)), n_words) * max(1, len(w.words)) + w.number), max(1, len(w.words)))
+    words, word_odds = _odds(own, [w.words[number]], label, VOCABULARY)
+    parts, part_odds = _odds(own, (w.parts[number, k] for k in range(w.parts.shape[1])), label, 2 * VOCABULARY)
     net = Network(words, parts, word_odds, part_odds, seed)
     net.base = prevalence
     doc, start, length = w.windows()
