@@ -7,6 +7,7 @@ then looked up. Texts with places where the cut could matter are encoded whole.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
@@ -24,6 +25,11 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Numbers(dict):
+    def __missing__(self, key: str) -> int:
+        return -1
+
+
 class PieceEncoder:
     """``glued``: a blank belongs to the word after it (byte-level files); else white space is dropped."""
 
@@ -38,7 +44,7 @@ class PieceEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[str, int] = {"": 0}
+        self.number = _Numbers({"": 0})
         self.unsafe: set[str] = set()  # pieces that end with white space
         self.ids, self.off, self.used = np.zeros(1 << 16, np.uint16), np.zeros(1 << 14, np.int64), 0
 
@@ -105,50 +111,52 @@ class PieceEncoder:
         """All ids (uint16) and each text's first (int64, one more than texts)."""
         if len(self.number) > self.entries:
             self.reset()
-        split = [(t if self.glued else t.replace("\n", " ")).split(" ") for t in texts]
         whole: dict[int, list[int]] = {}
         heads: list[str] = []
         if self.glued:
+            split = [t.split(" ") for t in texts]
             for i, parts in enumerate(split):
                 heads.append(parts[0])
                 del parts[0]
                 if parts and (not heads[i] or heads[i][-1].isspace() or "" in parts):
                     whole[i] = []
-        get = self.number.get
-        found = [list(map(get, p)) for p in split]
-        new = dict.fromkeys(w for p, f in zip(split, found, strict=True) if None in f for w, k in zip(p, f, strict=True) if k is None)
-        if new:
+            count = np.fromiter(map(len, split), np.int64, len(split))
+            flat = list(chain.from_iterable(split))
+        else:
+            count = np.fromiter((t.count(" ") + t.count("\n") + 1 for t in texts), np.int64, len(texts))
+            flat = " ".join(texts).replace("\n", " ").split(" ") if texts else []
+        numbers = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        missed = np.flatnonzero(numbers < 0).tolist()
+        if missed:
+            new = dict.fromkeys(flat[i] for i in missed)
             self._learn(list(new))
-            unsafe = {w for w in new if w[-1].isspace()} if self.glued else ()
-            for i, f in enumerate(found):
-                if None in f:
-                    found[i] = list(map(get, split[i]))
-            if unsafe:
-                self.unsafe |= unsafe
-        if self.unsafe:
+            if self.glued:
+                self.unsafe |= {w for w in new if w[-1].isspace()}
+            numbers[missed] = [self.number[flat[i]] for i in missed]
+        if self.glued and self.unsafe:
             for i, p in enumerate(split):
                 if i not in whole and not self.unsafe.isdisjoint(p):
                     whole[i] = []
+        if whole:  # encoded whole: their pieces count for nothing
+            numbers[np.repeat(np.isin(np.arange(len(texts)), list(whole)), count)] = 0
         if self.glued:
             plain = [i for i in range(len(texts)) if i not in whole]
             for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True) if whole else ():
-                whole[i], found[i] = ids, []
+                whole[i] = ids
             for i, ids in zip(plain, self._ids([heads[i] for i in plain]), strict=True):
                 whole[i] = ids
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        numbers = np.fromiter((k for f in found for k in f), np.int64, int(count.sum()))
         lengths = self.off[numbers + 1] - self.off[numbers]
         bounds = np.concatenate([[0], np.cumsum(count)])
         sums = np.concatenate([[0], np.cumsum(lengths)])
         tail = sums[bounds[1:]] - sums[bounds[:-1]]
-        flat = self.ids[ranges(self.off[numbers], lengths)]
+        ids = self.ids[ranges(self.off[numbers], lengths)]
         if not self.glued:
-            return flat, np.concatenate([[0], np.cumsum(tail)])
+            return ids, np.concatenate([[0], np.cumsum(tail)])
         lead = np.fromiter((len(whole[i]) for i in range(len(texts))), np.int64, len(texts))
         off = np.concatenate([[0], np.cumsum(lead + tail)])
         out = np.zeros(int(off[-1]), np.uint16)
         out[ranges(off[:-1], lead)] = np.fromiter((x for i in range(len(texts)) for x in whole[i]), np.uint16, int(lead.sum()))
-        out[ranges(off[:-1] + lead, tail)] = flat
+        out[ranges(off[:-1] + lead, tail)] = ids
         return out, off
 
 
