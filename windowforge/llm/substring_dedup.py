@@ -114,7 +114,7 @@ def repeated_windows(chunks: DataFrame, width: int) -> DataFrame:
             yield packed_rows(chunk, a[new], bits, payload, start[new])
             own = np.sort(start[~new])  # repeats within the chunk are known already
             if len(own):
-                yield batch_of(bucket=pa.array([chunk % (1 << bits)], pa.int32()), chunk=[chunk], payload=pa.array([None], pa.binary()), extra=pa.array([own.tobytes()], pa.binary()))
+                yield batch_of(bucket=pa.array([((chunk >> 24) * 7 + chunk) % (1 << bits)], pa.int32()), chunk=[chunk], payload=pa.array([None], pa.binary()), extra=pa.array([own.tobytes()], pa.binary()))
 
     kind = np.dtype([("a", "<u8"), ("b", "<u4")])
 
