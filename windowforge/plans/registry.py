@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from windowforge.plans import events
+
+QUERIES: dict = {**events.QUERIES}
+ORACLE: dict[str, str] = {**events.ORACLE}
