@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowforge.llm.common import BASE_A, BYTE_VALUES, batch_of, null_id, ranges, rolling_hash, stage, table, text_buffer
+from windowforge.llm.common import BASE_A, BYTE_VALUES, batch_of, mix, null_id, ranges, rolling_hash, stage, table, text_buffer
 from windowforge.llm.exchange import PACKED, bucket_bits, bucket_bounds, by_bucket, gathered, ordered_chunks, packed_rows, rows_of
 
-#: Bytes of an anchor; bytes of a chunk; least bytes of a shard of a bucket.
-ANCHOR, CHUNK, SHARD = 50, 2 << 20, 64 << 10
+#: Bytes of an anchor; bytes of a chunk; least bytes of a shard; bytes of the segments whose transforms are merged at a time.
+ANCHOR, CHUNK, SHARD, LOT = 50, 2 << 20, 64 << 10, 512 << 10
 
 
 # ---------------------------------------------------------------- transforms
@@ -157,7 +157,21 @@ class _Segments:
         head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)])) if len(anchor) else empty
         self.start = window[head]
         self.count = np.diff(np.concatenate([head, [len(anchor)]]))
-        self.hash = hashes[anchor[head]]
+        self.hash = mix(hashes[anchor[head]])  # least hashes alone would crowd the first buckets
+
+
+def _lots(by_hash: dict[int, dict[bytes, tuple[int, int]]]) -> Iterator[list[tuple[bytes, int, int]]]:
+    """The segments of the anchors that have several, some anchors at a time."""
+    held, size = [], 0
+    for known in by_hash.values():
+        if len(known) > 1:
+            held += [(t, *at) for t, at in known.items()]
+            size += sum(map(len, known))
+            if size > LOT:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 _MANY = np.uint32(1)
@@ -241,8 +255,7 @@ def repeated_runs(chunks: DataFrame, width: int) -> DataFrame:
                     known[text] = (c, a)
             if later:
                 runs.setdefault(c, []).append(np.array(later, np.uint32))
-        segments = [(t, *at) for known in by_hash.values() if len(known) > 1 for t, at in known.items()]
-        if segments:
+        for segments in _lots(by_hash):
             interval, owner, offset = repeated([t for t, _, _ in segments], width)
             chunk = np.array([c for _, c, _ in segments])[owner]
             place = np.array([a for _, _, a in segments])[owner] + offset
