@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from windowforge.plans import events
+from windowforge.plans import datasets, events
 
-QUERIES: dict = {**events.QUERIES}
-ORACLE: dict[str, str] = {**events.ORACLE}
+QUERIES: dict = {**events.QUERIES, **datasets.QUERIES}
+ORACLE: dict[str, str] = {**events.ORACLE, **datasets.ORACLE}
