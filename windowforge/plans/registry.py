@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from windowforge.plans import collections, datasets, events
+from windowforge.plans import arrays, collections, datasets, events
 
-QUERIES: dict = {**events.QUERIES, **datasets.QUERIES, **collections.QUERIES}
-ORACLE: dict[str, str] = {**events.ORACLE, **datasets.ORACLE, **collections.ORACLE}
+QUERIES: dict = {**events.QUERIES, **datasets.QUERIES, **collections.QUERIES, **arrays.QUERIES}
+ORACLE: dict[str, str] = {**events.ORACLE, **datasets.ORACLE, **collections.ORACLE, **arrays.ORACLE}
