@@ -30,7 +30,7 @@ _NAMES = [x.split()[0] for x in PACKETS.replace("decimal(20,0)", "decimal").spli
 
 
 def packet_files(spark: SparkSession, path: str, glob: str = "*.dat") -> DataFrame:
-    """(sample_id, path, length, content) of all packet files below a path."""
+    """(sample_id, path, length, content) of all packet files below a path. Spark's file sources pass over files of 0 bytes: their samples have no row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return files.select(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("sample_id"), "path", "length", "content")
 

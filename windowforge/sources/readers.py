@@ -78,7 +78,7 @@ def scan_log_packet_times(spark: SparkSession, root: str, dates: DataFrame, zone
 
     from windowforge.operators.timealign import day_offsets
 
-    logs = spark.read.option("wholetext", True).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log").text(root)
+    logs = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log").text(root, wholetext=True)
     sample = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)\.log$", 1)
     times = logs.select(sample.alias("sample_id"), F.posexplode(F.regexp_extract_all("value", F.lit(r"\[(\d{2}:\d{2}:\d{2}\.\d+)\]\s*Subcarrier count:"), F.lit(1))).alias("line", "clock"))
     timed = times.join(dates, "sample_id").withColumn("ns", log_time_ns(F.col("date"), F.col("clock"), zone_hours)).where("ns IS NOT NULL")
@@ -92,7 +92,7 @@ def read_review_rules(spark: SparkSession, path: str, heading: str) -> DataFrame
 
     Without that heading, any table line with a back-ticked expression counts.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     lines = text.select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
     mark = F.when(F.col("line").startswith("## "), F.struct(F.col("n"), F.trim(F.substring("line", 4, 1000)).alias("title")))
     from pyspark.sql import Window
