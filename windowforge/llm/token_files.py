@@ -34,9 +34,12 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, doc_ids: np.ndarray, doc_off: np.ndarray, bits: int = 16) -> WaveletMatrix:
         planes, seq = [], ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for shift in range(bits - 1, -1, -1):
-            bit = (seq >> shift & 1).astype(bool)
+            bit = (seq & seq.dtype.type(1 << shift)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
-            seq = np.concatenate([seq[~bit], seq[bit]])
+            zeros, parted = len(seq) - int(np.count_nonzero(bit)), np.empty_like(seq)
+            np.compress(~bit, seq, out=parted[:zeros])
+            np.compress(bit, seq, out=parted[zeros:])
+            seq = parted
         return cls(len(ids), planes, doc_ids.astype(np.int64), doc_off.astype(np.int64))
 
     # ---- the file
