@@ -121,7 +121,7 @@ def signature_rows(docs: DataFrame, words: int, percent: int, bits: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, number = Bands(percent), 0
-        for b in small_batches(batches, "text", 8 << 20):
+        for b in small_batches(batches, "text", 3 << 20):
             nodes: dict[int, np.ndarray] = {}
             for s in shingle_sets(b.column(1), words):
                 if len(s) and (k := node_of(s)) not in nodes:
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     rows = id_text(docs, id_col, text_col)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "text", 8 << 20):
+        for b in small_batches(batches, "text", 3 << 20):
             sets = [(len(s), node_of(s), sketch(s)) for s in shingle_sets(b.column(1), words)]
             n, node, bits = zip(*sets, strict=True)
             yield batch_of(id=b.column(0), n=pa.array(n, pa.int64()), node=pa.array(node, pa.int64()), sketch=pa.array(bits, pa.binary()))
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         reps = stage(classes.select("node", "id").join(wanted, "node", "left_semi"))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in small_batches(batches, "text", 4 << 20):
+            for b in small_batches(batches, "text", 3 << 20):
                 sets = list(shingle_sets(b.column(1), words))
                 yield batch_of(node=pa.array([node_of(s) for s in sets], pa.int64()), shingles=pa.array([s.tobytes() for s in sets], pa.binary()))
 
