@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windowforge.functions import scalars as S
+from windowforge.operators import indexes as I
 from windowforge.operators import timealign as T
 
 HOUR = 3_600_000_000
@@ -177,3 +178,54 @@ SELECT s.recording, slot, frame_idx FROM s JOIN f ON f.recording = s.recording A
     "packet_rate": f"""WITH {_E}, r AS (SELECT recording, count(*) AS n, (max(t) - min(t)) / {DAY} AS days FROM e GROUP BY recording)
 SELECT recording, round(n / days, 6) AS rate, CASE WHEN NOT days > 0 THEN 'missing_packet_rate' WHEN n / days < 2.0 THEN 'low_packet_rate' WHEN n / days > 2.4 THEN 'high_packet_rate' ELSE 'ok' END AS flag FROM r""",
 }
+
+
+def csi_index(spark, d):
+    """A user's events are a packet file; some users have no log, some a short one, some a wrong declared count."""
+    e = _events(spark, d)
+    n = e.groupBy(F.col("recording").alias("sample_id")).agg(F.count("*").alias("n_packets"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+    u = F.col("sample_id")
+    files = n.select("sample_id", "n_packets", (F.col("n_packets") + F.when(u % 4 == 0, 3).otherwise(1)).alias("declared"), F.when(u % 7 == 0, F.array(F.lit("csi_trailing_bytes"))).otherwise(F.array().cast("array<string>")).alias("census_flags"), F.when(u % 6 != 1, F.col("lo")).alias("sample_start"), F.when(u % 6 != 2, F.col("hi")).alias("sample_end"))
+    times = e.where("recording % 3 <> 0 AND NOT (recording % 5 = 0 AND event_id % 50 = 0)").select(F.col("recording").alias("sample_id"), "t")
+    windows = _windows(e, 24).select("window_id", F.col("recording").alias("sample_id"), "a", "b")
+    out = I.csi_index(windows, files, times, 1.0)
+    return out.withColumn("flags", F.concat_ws(";", "flags")).withColumn("raw_rate", F.round(F.col("raw_rate") * 1e6, 4))
+
+
+def slice_windows(spark, d):
+    e = _events(spark, d)
+    ranges, frames = _day_ranges(e)
+    w = _windows(e, 24)
+    index = T.packet_range(w, e).drop("flags").join(ranges, "window_id")
+    written = w.join(e.select("recording", F.col("t").alias("at")), "recording").where("at BETWEEN a AND b").groupBy("window_id").agg(F.count("*").alias("written"))
+    totals = T.recording_stats(frames).select("recording", "n_frames", (F.col("fps") * 3600).alias("fps"))
+    return I.slice_windows(index, written, totals, 1.5, 2.5)
+
+
+def session_selection(spark, d):
+    e = _events(spark, d).withColumn("status", F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "view", "warn").otherwise("bad"))
+    return I.session_selection(e, "recording", "status", True)
+
+
+QUERIES |= {"csi_index": csi_index, "slice_windows": slice_windows, "session_selection": session_selection}
+ORACLE |= {
+    "csi_index": f"""WITH {_E}, tm AS (SELECT recording, t FROM e WHERE recording % 3 <> 0 AND NOT (recording % 5 = 0 AND event_id % 50 = 0)),
+fl AS (SELECT recording AS sample_id, count(*) AS n, CASE WHEN recording % 6 <> 1 THEN min(t) END AS s, CASE WHEN recording % 6 <> 2 THEN max(t) END AS z, count(*) + CASE WHEN recording % 4 = 0 THEN 3 ELSE 1 END AS declared FROM e GROUP BY recording),
+lg AS (SELECT recording AS sample_id, count(*) AS k FROM tm GROUP BY recording),
+m AS (SELECT fl.*, coalesce(k, 0) AS k, coalesce(k, 0) = n AS by_log FROM fl LEFT JOIN lg USING (sample_id)),
+c AS (SELECT w.window_id, count(*) FILTER (WHERE tm.t < w.a) AS lo, count(*) FILTER (WHERE tm.t <= w.b) AS hi FROM w24 w JOIN tm ON tm.recording = w.recording GROUP BY 1),
+j AS (SELECT w.window_id, w.recording AS sample_id, w.a, w.b, m.* EXCLUDE (sample_id), coalesce(s, w.a) AS st, CASE WHEN z > coalesce(s, w.a) THEN (z - coalesce(s, w.a)) / 1e6 END AS span, lo, hi
+  FROM w24 w JOIN m ON m.sample_id = w.recording LEFT JOIN c ON c.window_id = w.window_id),
+x AS (SELECT *, CASE WHEN by_log THEN greatest(0, least(n - 1, lo)) WHEN n = 1 THEN 0 ELSE greatest(0, least(n - 1, ceil(((a - st) / 1e6) / coalesce(span, n) * (n - 1))::BIGINT)) END AS start_idx,
+  CASE WHEN by_log THEN greatest(0, least(n - 1, hi - 1)) WHEN n = 1 THEN 0 ELSE greatest(0, least(n - 1, floor(((b - st) / 1e6) / coalesce(span, n) * (n - 1))::BIGINT)) END AS end_idx FROM j)
+SELECT window_id, sample_id, CASE WHEN by_log THEN 'log_subcarrier_timestamp' WHEN span IS NOT NULL THEN 'manifest_sample_window_linear' ELSE 'default_1hz' END AS method, start_idx, end_idx,
+  CASE WHEN n > 1 AND span > 0 THEN round((n - 1) / span * 1e6, 4) END AS raw_rate,
+  concat_ws(';', CASE WHEN by_log AND (lo >= n OR hi = 0) THEN 'action_outside_csi_range' END, CASE WHEN k > 0 AND k <> n THEN 'csi_log_packet_count_mismatch_dat' END, CASE WHEN declared - n > 1 THEN 'csi_packet_count_mismatch_manifest' END,
+    CASE WHEN sample_id % 7 = 0 THEN 'csi_trailing_bytes' END, CASE WHEN end_idx < start_idx THEN 'invalid_csi_action_count' END, CASE WHEN end_idx < start_idx THEN 'invalid_csi_action_range' END,
+    CASE WHEN k = 0 THEN 'missing_csi_packet_log_times' END, CASE WHEN NOT by_log AND span IS NULL THEN 'missing_sample_end_unix_ns' END, CASE WHEN NOT by_log AND s IS NULL THEN 'missing_sample_start_unix_ns' END) AS flags FROM x""",
+    "slice_windows": f"""WITH {_E}, {_DAYS}, c AS ({_CLAMPED}),
+x AS (SELECT c.window_id, greatest(0, end_idx - start_idx + 1) AS expected, hi - lo AS written, greatest(0, start_pos - greatest(0, round_even(CASE WHEN fps > 0 THEN fps * 3600 ELSE 30 END * 1.5, 0)::BIGINT)) AS frame_start,
+  least(n_frames - 1, end_pos + greatest(0, round_even(CASE WHEN fps > 0 THEN fps * 3600 ELSE 30 END * 2.5, 0)::BIGINT)) AS frame_end FROM c JOIN rg ON rg.window_id = c.window_id JOIN rec ON rec.recording = rg.recording)
+SELECT *, CASE WHEN written = expected AND frame_end >= frame_start THEN 'ok' ELSE 'partial' END AS status FROM x""",
+    "session_selection": "SELECT user_id AS recording, count(*) FILTER (WHERE event_type IN ('purchase', 'view')) AS selected, count(*) FILTER (WHERE event_type = 'view') AS warned FROM events GROUP BY user_id",
+}

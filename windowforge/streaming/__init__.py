@@ -1 +1 @@
-
+"""The library has no streaming operators: its sources are complete files. Incremental work is done by the feature cache and the index upsert."""
