@@ -215,10 +215,15 @@ def nonzero_count(values: Column) -> Column:
     return F.size(F.filter(values, lambda x: x != 0))
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once: inside lambdas, Spark would work it out for every element."""
+    return F.transform(F.array(value), then)[0]
+
+
 def z_scores(values: Column, least: float = 1e-6) -> Column:
     """Population z-scores, the deviation not below ``least``."""
-    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    mean = add(values) / F.size(values)
-    centred = F.transform(values, lambda x: x - mean)
-    dev = F.sqrt(add(F.transform(centred, lambda x: x * x)) / F.size(values))
-    return F.transform(centred, lambda x: x / F.greatest(dev, F.lit(least)))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    squares = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)
+    scaled = lambda v, c: _let(F.greatest(F.sqrt(squares(c) / F.size(v)), F.lit(least)), lambda d: F.transform(c, lambda x: x / d))
+    centred = lambda v, m: _let(F.transform(v, lambda x: x - m), lambda c: scaled(v, c))
+    return _let(values, lambda v: _let(total(v) / F.size(v), lambda m: centred(v, m)))
