@@ -21,7 +21,7 @@ from windowforge.llm.common import BASE_A, BYTE_VALUES, batch_of, mix, null_id,
 from windowforge.llm.exchange import PACKED, bucket_bits, bucket_bounds, by_bucket, gathered, ordered_chunks, packed_rows, rows_of
 
 #: Bytes of an anchor; bytes of a chunk; least bytes of a shard; bytes of the segments whose transforms are merged at a time.
-ANCHOR, CHUNK, SHARD, LOT = 50, 2 << 20, 64 << 10, 512 << 10
+ANCHOR, CHUNK, SHARD, LOT = 50, 2 << 20, 16 << 10, 64 << 10
 
 
 # ---------------------------------------------------------------- transforms
@@ -41,7 +41,7 @@ def shard_transform(text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np
         ahead[: n - depth] = rank[depth:]
         ahead[end] = -1
         key = rank * (int(rank.max()) + 2) + ahead + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
         rank = np.empty(n, np.int64)
         rank[order] = new
@@ -55,49 +55,50 @@ def shard_transform(text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np
 
 
 def merge_transforms(transforms: list[np.ndarray], strings: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The interleaving (which transform each suffix of the merged order comes from), right for ``width`` characters, and the common
-    prefix of each suffix with the one before it, ``width`` where it is that long or longer.
+    """The merged order, as places in the transforms laid one after another, right for ``width`` characters; and the common prefix of
+    each suffix with the one before it, ``width`` where it is that long or longer.
 
-    Round by round, the sources are dealt by the character before them; within a character they keep their order. The ends
-    keep the order of the strings. A place is a boundary from the round on that parts it from its predecessor.
+    Round by round, what is interleaved is dealt by the character before it; within a character the order stays. The place of the longer
+    suffix in its own transform is known from counts, so nothing is sorted but characters. The ends keep the order of the strings.
+    A place is a boundary from the round on that parts it from its predecessor.
     """
     chars = np.concatenate(transforms)
     n, ends = len(chars), int(sum(strings))
-    # before the first round nothing is known: sources in order, all suffixes together
-    source = np.repeat(np.arange(len(transforms)), list(map(len, transforms))).astype(np.uint8)
-    end_source = np.repeat(np.arange(len(transforms)), strings).astype(np.uint8)
+    back, first = np.empty(n, np.int32), np.empty(ends, np.int32)  # where the longer suffix stands, and the ends
+    at = done = 0
+    for t, k in zip(transforms, strings, strict=True):
+        back[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t), dtype=np.int32)
+        first[done : done + k] = np.arange(at, at + k)
+        at, done = at + len(t), done + k
+    place = np.arange(n, dtype=np.int32)  # before the first round nothing is known: all suffixes are together
     boundary = np.zeros(n, bool)
     boundary[0] = True
     prefix = np.full(n, width, np.int32)
     prefix[0] = 0
     for depth in range(1, width + 1):
-        at = np.empty(n, np.int64)
-        at[np.argsort(source, kind="stable")] = np.arange(n)
-        here = chars[at]  # the merged transform as it is known so far
+        here = chars[place]  # the merged transform as it is known so far
         order = np.argsort(here, kind="stable")
-        block = np.cumsum(boundary)
-        dealt, group = here[order], block[order]
+        group = np.cumsum(boundary, dtype=np.int32)[order]
         new = np.empty(n, bool)
         new[0] = True
-        new[1:] = (dealt[1:] != dealt[:-1]) | (group[1:] != group[:-1])
+        np.not_equal(group[1:], group[:-1], out=new[1:])
+        starts = np.cumsum(np.bincount(here, minlength=256))
+        new[starts[starts < n]] = True
         new[:ends] = True  # the end of a string is like no other
-        if ends < n:
-            new[ends] = True
-        moved = source[order]
-        moved[:ends] = end_source
-        parted = new & ~boundary
+        moved = back[place[order]]
+        moved[:ends] = first
+        parted = np.flatnonzero(new & ~boundary)
         prefix[parted] = depth - 1
-        same = np.array_equal(moved, source)
-        source, boundary = moved, new | boundary
-        if boundary.all() or (same and not parted.any()):
+        same = not len(parted) and np.array_equal(moved, place)
+        place = moved
+        boundary |= new
+        if same or boundary.all():
             break
-    return source, prefix
+    return place, prefix
 
 
 def repeated(segments: list[bytes], width: int, shard_bytes: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(interval, segment, offset) of every string of ``width`` bytes that stands more than once in ``segments``."""
-    total = sum(map(len, segments)) + len(segments)
-    shard_bytes = max(shard_bytes, -(-total // 200))  # sources are numbered in a byte
     shards, held, size = [], [], 0
     for i, s in enumerate(segments):
         if held and size + len(s) + 1 > shard_bytes:
@@ -117,9 +118,7 @@ def repeated(segments: list[bytes], width: int, shard_bytes: int = SHARD) -> tup
         own = np.repeat(np.array(part), lengths)
         owner.append(own[order])
         offset.append(order - np.repeat(first, lengths)[order])
-    source, prefix = merge_transforms(transforms, list(map(len, shards)), width)
-    at = np.empty(len(source), np.int64)
-    at[np.argsort(source, kind="stable")] = np.arange(len(source))
+    at, prefix = merge_transforms(transforms, list(map(len, shards)), width)
     owner, offset = np.concatenate(owner)[at], np.concatenate(offset)[at]
     long = prefix >= width  # as long a prefix in common with the suffix before
     inside = long | np.concatenate([long[1:], [False]])
