@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from fixtures import documents, sha, texts
+from fixtures import documents, sha
 
 from windowforge.llm import ngram_join, substring_dedup, suffix_dedup
 from windowforge.llm.components import components

@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 from fixtures import documents, texts
 from pyspark.sql import functions as F
 

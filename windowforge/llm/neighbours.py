@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from windowforge.llm.common import batch_of, column, stage, table
+from windowforge.llm.common import batch_of, stage, table
 
 #: Bounds of the fit: rows of the sample, coarse lists, codewords of a part, Lloyd rounds.
 FIT_ROWS, MAX_LISTS, CODEWORDS, ROUNDS = 20_000, 4096, 256, 8

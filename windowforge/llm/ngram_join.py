@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowforge.llm.common import BASE_A, NULL_ID, batch_of, column, id_text, mix, n_partitions, null_id, ranges, rolling_hash, small_batches, span_hash, stage, table, text_buffer, word_hashes, words_of
+from windowforge.llm.common import BASE_A, batch_of, column, id_text, mix, n_partitions, null_id, ranges, rolling_hash, small_batches, span_hash, stage, table, text_buffer, word_hashes, words_of
 from windowforge.llm.components import components
 from windowforge.llm.exchange import PACKED, bucket_bits, by_bucket, packed_rows
 
