@@ -48,9 +48,9 @@ def node_of(shingles: np.ndarray) -> int:
 def sketch(shingles: np.ndarray) -> bytes:
     """Parities: bit i is how often, modulo 2, a shingle's lowest bits are i. Sets differ in at least as many shingles as sketches in bits.
 
-    Four bits or more to a shingle, so that few of the pairs that aren't similar pass.
+    A bit or more to a shingle, and 256 at least, so that few of the pairs that aren't similar pass.
     """
-    bits = min(1 << 17, max(64, 1 << max(0, 4 * len(shingles) - 1).bit_length()))
+    bits = min(1 << 15, max(256, 1 << max(0, len(shingles) - 1).bit_length()))
     n = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((n & 1).astype(np.uint8)).tobytes()
 
