@@ -65,7 +65,7 @@ def cleanup_plan(quality: DataFrame, slices: DataFrame, persons: DataFrame, held
     """
     looked = plan_lookup(quality, slices, ["csi_path", "video_path"])
     picked = looked.where((F.col("final_status") != "ok") | held_out).withColumn("operation", F.when(held_out, "holdout").otherwise("quarantine"))
-    known = F.broadcast(persons.withColumn("_known", F.lit(True)))  # one row per session
+    known = persons.withColumn("_known", F.lit(True))  # one row per session
     joined = picked.join(known, "session_id", "left")
     check = person_check(F.coalesce("_known", F.lit(False)), F.col("expected_person"), F.col("person_id"))
     where = F.concat_ws("/", F.when(F.col("operation") == "holdout", F.lit(hold)).otherwise(F.lit(quarantine)), "session_id")
