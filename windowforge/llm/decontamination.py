@@ -25,6 +25,8 @@ K1, B = 1.2, 0.75
 THRESHOLD, QUESTION, ANSWER, GRAM = 0.5, 0.5, 0.5, 5
 #: Items of a block of postings and of a fine block; least words of a passage; bytes of text of an index.
 BLOCK, FINE, PASSAGE, INDEX_BYTES = 8, 2, 64, 128 << 10
+#: Bytes of text of all indexes of a search: they go to every task. A larger benchmark is to be searched part by part.
+MOST_BYTES = 32 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[list(range(0x00, 0x30)) + list(range(0x3A, 0x41)) + list(range(0x5B, 0x61)) + list(range(0x7B, 0x80))] = True
@@ -169,6 +171,9 @@ def build_indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "te
         picked = items.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(question), F.lit("")).alias("q"), F.coalesce(F.col(answer), F.lit("")).alias("a"))
     else:
         picked = items.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("q"), F.lit(None).cast("string").alias("a"))
+    total = picked.agg(F.sum(F.octet_length("q") + F.coalesce(F.octet_length("a"), F.lit(0)))).first()[0] or 0
+    if total > MOST_BYTES:
+        raise ValueError(f"the items hold {total} bytes; search at most {MOST_BYTES} at a time")
     out, held, size = [], [], 0
     for r in picked.orderBy("id", "q").toLocalIterator():
         held.append((r["id"], *((r["q"], r["a"]) if r["a"] is not None else split_item(r["q"]))))
