@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages: toxicity, near duplicates, repeated passages, benchmark leaks, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the columns
-of ``documents``; the last returns packed pieces. From the second stage on, a doc_id stands once.
+of ``documents``; the last returns packed pieces. Every decision is about a row: a doc_id may be null or stand several times.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowforge.llm.common import stage, table
+from windowforge.llm.common import NULL_ID, SPACES, id_text, stage, table
 from windowforge.llm.decontamination import build_indexes, find_leaks
 from windowforge.llm.ngram_join import near_duplicates
 from windowforge.llm.packing import pack_documents
@@ -17,24 +17,19 @@ from windowforge.llm.substring_dedup import dedup_words
 from windowforge.llm.toxicity import score_documents, train
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id, null or not, isn't in ``ids``."""
-    gone = ids.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go."""
     labelled = table(spark, sf_dir, "documents")
-    scored = score_documents(docs, train(labelled, table(spark, sf_dir, "labels")))
-    return _without(docs, stage(scored.select("doc_id", "score")).where("score >= 0.5"))
+    scored = score_documents(docs, train(labelled, table(spark, sf_dir, "labels")), rows=True)
+    return scored.where("score < 0.5").select("row.*")
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the least id stays; rows of one id count once."""
-    found = stage(near_duplicates(docs))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near duplicates, the row with the least id stays (of equal ids by text; of equal rows one). Texts without words stay."""
+    kept = stage(near_duplicates(docs).where("stands_first AND n_shingles > 0")).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("text_md5").alias("md5")).distinct()
+    keyed = id_text(docs, rows=True).select("id", F.unhex(F.md5("text")).alias("md5"), "row", (F.btrim("text", F.lit(SPACES)) == "").alias("blank"))
+    first = keyed.where("NOT blank").join(kept, ["id", "md5"], "left_semi").dropDuplicates(["id", "md5"])
+    return first.select("row.*").unionByName(keyed.where("blank").select("row.*"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +43,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    leaks = find_leaks(docs, build_indexes(table(spark, sf_dir, "benchmark")))
-    return _without(docs, stage(leaks.select("doc_id", "n_items")).where("n_items > 0"))
+    leaks = find_leaks(docs, build_indexes(table(spark, sf_dir, "benchmark")), rows=True)
+    return leaks.where("n_items = 0").select("row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType, _parse_datatype_string
 
 #: Stands for a null id inside the operators; smaller than every other 64-bit integer.
 NULL_ID = -(2**63)
@@ -58,14 +59,26 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id long, text string) with nulls replaced."""
+def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: bool = False) -> DataFrame:
+    """(id long, text string) with nulls replaced; with ``rows`` also ``row``."""
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        *([row_struct(docs)] if rows else []),
     )
 
 
+def row_struct(docs: DataFrame):
+    """All columns of a row as one, ``row``: what a decision about a row is made for goes with it, whatever its id."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+
+
+def with_row(schema: str, row: DataType | None) -> StructType:
+    """``schema`` and, unless there is none, the column ``row`` of this type."""
+    out = _parse_datatype_string(schema)
+    return out if row is None else StructType(out.fields).add("row", row)
+
+
 def null_id(col: str = "id"):
     """The inverse of the replacement of null ids."""
     return F.when(F.col(col) != F.lit(NULL_ID), F.col(col))
@@ -162,8 +175,10 @@ def rolling_hash(values: np.ndarray, width: int, base: int) -> np.ndarray:
     return mix((sums[width:] - sums[:-width]) * powers(inverse(base), n))
 
 
+#: What parts words.
+SPACES = " \t\n\x0b\x0c\r"
 _SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_SPACE[list(SPACES.encode())] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 

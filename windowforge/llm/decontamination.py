@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowforge.llm.common import BASE_A, batch_of, column, id_text, null_id, ranges, rolling_hash, small_batches, table, text_buffer, word_hashes, words_of
+from windowforge.llm.common import BASE_A, batch_of, column, id_text, null_id, ranges, rolling_hash, row_struct, small_batches, table, text_buffer, with_row, word_hashes, words_of
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach; shares of the question's and the answer's n-grams; words of an n-gram.
@@ -186,11 +186,11 @@ def build_indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "te
     return out
 
 
-def find_leaks(docs: DataFrame, indexes: list[Index], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, indexes: list[Index], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", rows: bool = False) -> DataFrame:
     """One row per document: doc_id, n_items, item_ids (ascending) and spans (item, first word, last word + 1, score, question and answer shares).
 
     Null and empty texts match nothing, nor do items without words. Every passage of every text is a query. Null ids stay null; repeated rows
-    are rows of their own. A null item_id is an item that is reported as null.
+    are rows of their own. A null item_id is an item that is reported as null. With ``rows``, the row itself comes along (struct ``row``).
     """
     span = "array<struct<item_id: long, start: long, end: long, score: double, question: double, answer: double>>"
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
@@ -205,10 +205,11 @@ def find_leaks(docs: DataFrame, indexes: list[Index], threshold: float = THRESHO
                     if q >= QUESTION and a >= ANSWER:
                         spans[t].append({"item_id": index.ids[item], "start": lo - int(first[t]), "end": hi - int(first[t]), "score": score, "question": q, "answer": a})
             items = [sorted({s["item_id"] for s in x}, key=lambda v: (v is None, v)) for x in spans]
-            yield batch_of(id=column(b, "id"), n_items=pa.array(list(map(len, items)), pa.int64()), item_ids=pa.array(items, pa.list_(pa.int64())), spans=pa.array(spans, kind))
+            yield batch_of(id=column(b, "id"), n_items=pa.array(list(map(len, items)), pa.int64()), item_ids=pa.array(items, pa.list_(pa.int64())), spans=pa.array(spans, kind), **({"row": b.column(2)} if rows else {}))
 
-    found = id_text(docs, id_col, text_col).mapInArrow(run, f"id long, n_items long, item_ids array<long>, spans {span}")
-    return found.select(null_id().alias("doc_id"), "n_items", "item_ids", "spans")
+    schema = with_row(f"id long, n_items long, item_ids array<long>, spans {span}", docs.schema if rows else None)
+    found = id_text(docs, id_col, text_col, rows).mapInArrow(run, schema)
+    return found.select(null_id().alias("doc_id"), "n_items", "item_ids", "spans", *(["row"] if rows else []))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -248,11 +248,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (distinct texts' sets linked directly, where verified) per document.
+    """doc_id, n_shingles, component_id, n_links (distinct texts' sets linked directly, where verified), text_md5 and stands_first per document.
 
     Words are runs other than blank and 0x09-0x0D, with A-Z lower-cased; a text of fewer words than a shingle has one, the
     whole sequence. Documents are linked when 100 * intersection >= percent * union; component_id is the least doc_id that links
     reach. Null, empty and blank texts have no shingles and no links. Equal sets are linked. Null ids count as smallest.
+    stands_first marks the rows whose id and text (by its MD5) are the least of their component: one row, or equal rows; without shingles every row.
     """
     rows = id_text(docs, id_col, text_col)
 
@@ -260,10 +261,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         for b in small_batches(batches, "text", 3 << 20):
             sets = [(len(s), node_of(s), sketch(s)) for s in shingle_sets(b.column(1), words)]
             n, node, bits = zip(*sets, strict=True)
-            yield batch_of(id=b.column(0), n=pa.array(n, pa.int64()), node=pa.array(node, pa.int64()), sketch=pa.array(bits, pa.binary()))
+            yield batch_of(id=b.column(0), md5=b.column(2), n=pa.array(n, pa.int64()), node=pa.array(node, pa.int64()), sketch=pa.array(bits, pa.binary()))
 
-    named = stage(rows.mapInArrow(name, "id long, n long, node long, sketch binary"))
-    classes = stage(named.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
+    keyed = rows.withColumn("md5", F.unhex(F.md5("text")))
+    named = stage(keyed.mapInArrow(name, "id long, md5 binary, n long, node long, sketch binary"))
+    least_row = F.min(F.struct("id", "md5")).alias("row")
+    classes = stage(named.where("n > 0").groupBy("node").agg(least_row, F.min("n").alias("n"), F.min("sketch").alias("sketch")).select("node", "row.id", "row.md5", "n", "sketch"))
     groups = by_bucket(signature_rows(rows, words, percent, bucket_bits(docs.sparkSession)), _groups, "name long, node long").distinct()
     groups = stage(groups.join(classes.select("node", "n", "sketch"), "node"))
 
@@ -290,12 +293,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         labels = components(links)
 
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    joined = classes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = joined.groupBy("label").agg(F.min("id").alias("component"))
-    by_node = stage(joined.join(least, "label").join(degree, "node", "left").select("node", "component", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    linked = named.where("n > 0").join(by_node, "node").select("id", "n", "component", "n_links")
-    none = named.where("n = 0").select("id", "n", F.col("id").alias("component"), F.lit(0).cast("long").alias("n_links"))
-    return linked.unionByName(none).select(null_id().alias("doc_id"), F.col("n").alias("n_shingles"), null_id("component").alias("component_id"), "n_links")
+    joined = classes.select("node", "id", "md5").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = joined.groupBy("label").agg(least_row).select("label", F.col("row.id").alias("component"), F.col("row.md5").alias("least_md5"))
+    by_node = stage(joined.join(least, "label").join(degree, "node", "left").select("node", "component", "least_md5", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    first = ((F.col("id") == F.col("component")) & (F.col("md5") == F.col("least_md5"))).alias("stands_first")
+    linked = named.where("n > 0").join(by_node, "node").select("id", "n", "component", "n_links", "md5", first)
+    none = named.where("n = 0").select("id", "n", F.col("id").alias("component"), F.lit(0).cast("long").alias("n_links"), "md5", F.lit(True).alias("stands_first"))
+    return linked.unionByName(none).select(null_id().alias("doc_id"), F.col("n").alias("n_shingles"), null_id("component").alias("component_id"), "n_links", F.col("md5").alias("text_md5"), "stands_first")
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

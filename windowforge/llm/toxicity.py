@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowforge.llm.common import BASE_A, BYTE_VALUES, NULL_ID, batch_of, column, inverse, mix, null_id, powers, ranges, small_batches, table, text_buffer, words_of
+from windowforge.llm.common import BASE_A, BYTE_VALUES, NULL_ID, batch_of, column, inverse, mix, null_id, powers, ranges, row_struct, small_batches, table, text_buffer, with_row, words_of
 
 #: Bounds of the fit: documents of each class (smallest hashes of their ids), vocabulary entries, epochs.
 FIT_DOCS, VOCABULARY, EPOCHS = 1_500, 20_000, 5
@@ -272,16 +272,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Network | None:
     return fit(rows["text"].tolist(), label, counts[1] / (counts[0] + counts[1]))
 
 
-def score_documents(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, window_start and window_end (words of the highest window) for every row.
+def score_documents(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", rows: bool = False) -> DataFrame:
+    """doc_id, score, window_start and window_end (words of the highest window) for every row; with ``rows`` also the row itself (struct ``row``).
 
     Null, empty and wordless texts have the labelled rows' share of toxic ones as their score, and no window; without a
     network every score is 0.
     """
-    text = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
+    text = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"), *([row_struct(docs)] if rows else []))
     if net is None:
         none = F.lit(None).cast("long")
-        return text.select(null_id().alias("doc_id"), F.lit(0.0).alias("score"), none.alias("window_start"), none.alias("window_end"))
+        return text.select(null_id().alias("doc_id"), F.lit(0.0).alias("score"), none.alias("window_start"), none.alias("window_end"), *(["row"] if rows else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text", 2 << 20):
@@ -296,9 +296,10 @@ def score_documents(docs: DataFrame, net: Network | None, id_col: str = "doc_id"
             e = a.copy()
             a[doc[top]] = start[top] - w.first[doc[top]]
             e[doc[top]] = a[doc[top]] + length[top]
-            yield batch_of(id=column(b, "id"), score=score, window_start=pa.array(a, mask=a < 0), window_end=pa.array(e, mask=a < 0))
+            yield batch_of(id=column(b, "id"), score=score, window_start=pa.array(a, mask=a < 0), window_end=pa.array(e, mask=a < 0), **({"row": b.column(2)} if rows else {}))
 
-    return text.mapInArrow(run, "id long, score double, window_start long, window_end long").withColumn("id", null_id()).withColumnRenamed("id", "doc_id")
+    schema = with_row("id long, score double, window_start long, window_end long", docs.schema if rows else None)
+    return text.mapInArrow(run, schema).withColumn("id", null_id()).withColumnRenamed("id", "doc_id")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
