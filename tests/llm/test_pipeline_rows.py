@@ -49,3 +49,25 @@ def test_leaking_rows_go_alone(spark):
 def test_one_row_of_each_group_stays(spark):
     rows = texts() + [(None, "a text of its own"), (None, None), (None, ""), (51, None), (51, ""), (7, "x " * 30 + "y"), (7, texts()[6][1]), (25, "quite another text"), (20, texts()[-1][1])]
     assert rows_of(P.ngram_jaccard(spark, documents(spark, rows), SF)) == first_of_groups(rows, 5, 80)
+
+
+def test_cut_rows_keep_the_first_place(spark):
+    line = texts()[6][1]
+    docs = documents(spark, [*texts(), (7, line), (7, "before " + line), (None, line), (80, None), (80, line), (80, line + " end")])
+    want, seen = Counter(), set()
+    null = Counter(r.doc_id for r in docs.where("text IS NULL").collect())
+    for i, t in one_order(spark, docs):
+        w = t.split(" ") if "\n" not in t else t.replace("\n", " ").split(" ")
+        w = [x for x in w if x.strip(P.SPACES)]
+        gone = [False] * len(w)
+        for p in range(len(w) - 19):
+            k = tuple(w[p : p + 20])
+            if k in seen:
+                gone[p : p + 20] = [True] * 20
+            seen.add(k)
+        if t == "" and null[i]:
+            null[i], t = null[i] - 1, None
+        want[i, " ".join(x for x, g in zip(w, gone, strict=True) if not g) if any(gone) else t] += 1
+    out = P.substring_dedup(spark, docs, SF)
+    assert rows_of(out) == want
+    assert out.where("text IS NOT NULL AND n_chars <> 0 AND n_chars <> length(text)").isEmpty() and out.columns == docs.columns

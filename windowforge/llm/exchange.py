@@ -14,16 +14,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from windowforge.llm.common import batch_of, id_text, n_partitions, small_batches, stage, text_buffer
+from windowforge.llm.common import batch_of, id_text, n_partitions, small_batches, stage, text_buffer, with_row
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
 CHUNK_BYTES = 4 << 20
 PACKED = "bucket int, chunk long, payload binary, extra binary"
 
 
-def ordered_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Staged rows (chunk, ids, texts): all documents by (id, text hash); chunk numbers ascend in that order."""
+def ordered_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, rows: bool = False) -> DataFrame:
+    """Staged rows (chunk, ids, texts): all documents by (id, text hash); chunk numbers ascend in that order.
+
+    With ``rows`` also ``rows``: each document's other columns and whether its text is null, as a struct.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -34,11 +38,11 @@ def ordered_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         def flush():
             nonlocal number
-            rows = pa.Table.from_batches(held).combine_chunks()
-            bounds = pa.array([0, rows.num_rows], pa.int32())
-            one = lambda k: rows.column(k).combine_chunks()
+            whole = pa.Table.from_batches(held).combine_chunks()
+            bounds = pa.array([0, whole.num_rows], pa.int32())
             number += 1
-            return batch_of(chunk=[number - 1], ids=pa.ListArray.from_arrays(bounds, one(0)), texts=pa.ListArray.from_arrays(bounds, one(1)))
+            lists = [pa.ListArray.from_arrays(bounds, c.combine_chunks()) for c in whole.columns]
+            return batch_of(chunk=[number - 1], **dict(zip(("ids", "texts", "rows"), lists)))  # rows only where asked for
 
         for b in small_batches(batches, "text", chunk_bytes):
             n = len(text_buffer(b.column(1))[0])
@@ -51,9 +55,13 @@ def ordered_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield flush()
 
     n = n_partitions(docs.sparkSession)
-    rows = id_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(n, "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
-    return stage(rows.mapInArrow(cut, "chunk long, ids array<long>, texts array<string>"))
+    plain = id_text(docs, id_col, text_col, rows).withColumn("tie", F.xxhash64("text"))
+    schema = with_row("chunk long, ids array<long>, texts array<string>", None)
+    if rows:
+        plain = plain.withColumn("row", F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != text_col], F.col(f"row.`{text_col}`").isNull().alias("no_text__")))
+        schema = schema.add("rows", ArrayType(plain.schema["row"].dataType))
+    plain = plain.repartitionByRange(n, "id", "tie").sortWithinPartitions("id", "tie").drop("tie")
+    return stage(plain.mapInArrow(cut, schema))
 
 
 def bucket_bits(spark: SparkSession) -> int:

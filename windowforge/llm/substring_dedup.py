@@ -8,13 +8,14 @@ hits, windows are extended to ``width`` words and compared; repeats that overlap
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat, tee
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowforge.llm.common import BASE_A, BASE_B, batch_of, null_id, ranges, rolling_hash, stage, table, text_buffer, word_hashes, words_of
+from windowforge.llm.common import BASE_A, BASE_B, batch_of, null_id, ranges, rolling_hash, stage, table, text_buffer, with_row, word_hashes, words_of
 from windowforge.llm.exchange import PACKED, bucket_bits, bucket_bounds, by_bucket, gathered, ordered_chunks, packed_rows, rows_of
 
 
@@ -141,18 +142,21 @@ def repeated_windows(chunks: DataFrame, width: int) -> DataFrame:
     return stage(gathered(by_bucket(packed, later, "chunk long, positions binary"), "positions"))
 
 
-def dedup_words(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_words(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", rows: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text, spans (removed runs as word numbers from, to).
 
     Words are runs of characters other than blank and 0x09-0x0D. A word goes if a window of ``width`` words that covers it
     also starts earlier: at a smaller id (null smallest; equal ids by text), or before in the same document. Windows are
     judged on the input. A null or empty text has no words and an empty kept text; an empty table gives no rows.
+    With ``rows`` also text, as it came, and row, a struct that has the other columns.
     """
-    chunks = ordered_chunks(docs, id_col, text_col)
-    repeats = repeated_windows(chunks, width)
+    chunks = ordered_chunks(docs, id_col, text_col, rows=rows)
+    repeats = repeated_windows(chunks.select("chunk", "ids", "texts"), width)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, texts, answers in rows_of(batches):
+        batches, also = tee(batches)
+        others = (x.values for b in also for x in b.column(b.schema.get_field_index("rows"))) if rows else repeat(None)
+        for (_, ids, texts, answers), other in zip(rows_of(batches), others, strict=False):
             w = _Words(texts)
             cover = np.zeros(w.n + 1, np.int32)
             for x in answers:
@@ -180,10 +184,12 @@ def dedup_words(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_c
             a, b = np.flatnonzero(head), np.flatnonzero(tail)
             bounds = np.searchsorted(doc[a], np.arange(len(ids) + 1)).astype(np.int32)
             spans = pa.StructArray.from_arrays([pa.array(w.at[a]), pa.array(w.at[b] + 1)], ["start", "end"])
-            yield batch_of(id=ids, n_words=np.diff(w.first), n_removed=removed, kept_text=texts_out, spans=pa.ListArray.from_arrays(pa.array(bounds), spans))
+            yield batch_of(id=ids, n_words=np.diff(w.first), n_removed=removed, kept_text=texts_out, spans=pa.ListArray.from_arrays(pa.array(bounds), spans), **({"text": texts, "row": other} if rows else {}))
 
-    rows = chunks.join(repeats, "chunk", "left").mapInArrow(cut, "id long, n_words long, n_removed long, kept_text string, spans array<struct<start: long, end: long>>")
-    return rows.select(null_id().alias("doc_id"), "n_words", "n_removed", "kept_text", "spans")
+    schema = with_row("id long, n_words long, n_removed long, kept_text string, spans array<struct<start: long, end: long>>" + ", text string" * rows, chunks.schema["rows"].dataType.elementType if rows else None)
+    out = chunks.join(repeats, "chunk", "left").mapInArrow(cut, schema)
+    also = [F.when(~F.col("row.no_text__"), F.col("text")).alias("text"), "row"] if rows else []
+    return out.select(null_id().alias("doc_id"), "n_words", "n_removed", "kept_text", "spans", *also)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
