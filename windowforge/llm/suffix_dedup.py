@@ -6,6 +6,9 @@ bucket of its hash, equal segments as one. In a bucket, the distinct segments th
 each with its own Burrows-Wheeler transform; the transforms are merged by refining their interleaving, one character deeper a
 round, without sorting suffixes anew. Where neighbours first part gives their common prefixes; suffixes still together
 after ``width`` rounds are the intervals of repeated windows, of which the earliest stays.
+
+An anchor with very many segments (the edge of a passage that many documents share) would be one long task: its windows go to
+the buckets of their own 128-bit hashes instead, each window once a chunk, and equal hashes are equal windows.
 """
 
 from __future__ import annotations
@@ -14,14 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowforge.llm.common import BASE_A, BYTE_VALUES, batch_of, mix, null_id, ranges, rolling_hash, stage, table, text_buffer
+from windowforge.llm.common import BASE_A, BASE_B, BYTE_VALUES, BYTE_VALUES_B, batch_of, mix, null_id, ranges, rolling_hash, span_hash, stage, table, text_buffer
 from windowforge.llm.exchange import PACKED, bucket_bits, bucket_bounds, by_bucket, gathered, ordered_chunks, packed_rows, rows_of
 
 #: Bytes of an anchor; bytes of a chunk; least bytes of a shard; bytes of the segments whose transforms are merged at a time.
 ANCHOR, CHUNK, SHARD, LOT = 50, 2 << 20, 16 << 10, 64 << 10
+#: Segments of an anchor, counted once a chunk, above which its windows are compared one by one.
+HOT = 1024
 
 
 # ---------------------------------------------------------------- transforms
@@ -129,6 +135,12 @@ def repeated(segments: list[bytes], width: int, shard_bytes: int = SHARD) -> tup
 # ---------------------------------------------------------------- the jobs
 
 
+def _runs(place: np.ndarray) -> np.ndarray:
+    """Ascending distinct places as uint32 pairs (first, number) of consecutive ones."""
+    head = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1] + 1])) if len(place) else np.zeros(0, np.int64)
+    return np.stack([place[head], np.diff(np.concatenate([head, [len(place)]]))], axis=1).astype(np.uint32)
+
+
 class _Segments:
     """The anchors of a chunk's windows: hash, first window, number of windows."""
 
@@ -175,43 +187,98 @@ def _lots(by_hash: dict[int, dict[bytes, tuple[int, int]]]) -> Iterator[list[tup
 
 _MANY = np.uint32(1)
 _ITEM = np.dtype([("hash", "<u8"), ("start", "<u4"), ("size", "<u2")])
+_WINDOW = np.dtype([("a", "<u8"), ("b", "<u8")])
+
+
+def _later_windows(every: np.ndarray) -> np.ndarray:
+    """Which of these windows (_WINDOW) equal one before them."""
+    order = np.lexsort((every["b"], every["a"]))  # stable
+    a, b = every["a"][order], every["b"][order]
+    later = np.zeros(len(every), bool)
+    later[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    return later
 
 
-def repeated_runs(chunks: DataFrame, width: int) -> DataFrame:
+def repeated_runs(chunks: DataFrame, width: int, hot: int = HOT) -> DataFrame:
     """(chunk, answers of runs): runs of window starts, as uint32 pairs (first byte in the chunk, number), whose strings also start earlier."""
     bits = bucket_bits(chunks.sparkSession)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, _, texts, _ in rows_of(batches):
-            distinct, n = np.unique(_Segments(texts, width).hash, return_counts=True)
+            s = _Segments(texts, width)
+            distinct, n = np.unique(s.hash, return_counts=True)
             value = ((distinct << np.uint64(bits)) >> np.uint64(33)).astype(np.uint32) << 1
-            yield packed_rows(chunk, distinct, bits, value | (n > 1).astype(np.uint32))
-
-    def common(bucket: int, chunks_: list[int], payloads: list[bytes], _) -> Iterator[pa.RecordBatch]:
+            several = np.flatnonzero((n > 1)[np.searchsorted(distinct, s.hash)])  # equal segments count once
+            text = span_hash(BYTE_VALUES[s.data], s.start[several], s.start[several] + s.count[several] + width - 1, BASE_A)
+            order = np.lexsort((text, s.hash[several]))
+            anchor, text = s.hash[several][order], text[order]
+            new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])[: len(text)]
+            sizes = np.ones(len(distinct), np.uint16)
+            found, times = np.unique(anchor[new], return_counts=True)
+            sizes[np.searchsorted(distinct, found)] = np.minimum(times, 65535)
+            yield packed_rows(chunk, distinct, bits, value | (n > 1).astype(np.uint32), sizes)
+
+    def common(bucket: int, chunks_: list[int], payloads: list[bytes], extras: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = [np.frombuffer(p, np.uint32) for p in payloads]
-        every = np.sort(np.concatenate(parts))
+        every = np.concatenate(parts)
+        order = np.argsort(every)
+        every, sizes = every[order], np.concatenate([np.frombuffer(x, np.uint16) for x in extras])[order]
         value = every >> 1
         head = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        large = value[head][np.add.reduceat(sizes, head, dtype=np.int64) > hot]
         hit = value[head][(np.diff(np.concatenate([head, [len(every)]])) > 1) | (np.maximum.reduceat(every & _MANY, head) > 0)]
         found = []
         for c, p in zip(chunks_, parts, strict=True):
             at = np.minimum(np.searchsorted(hit, p >> 1), max(0, len(hit) - 1))
             if len(hit) and (mask := hit[at] == p >> 1).any():
-                found.append((c, np.packbits(mask).tobytes()))
+                over = np.isin(p >> 1, large)
+                found.append((c, np.packbits(mask).tobytes(), np.packbits(over).tobytes() if over.any() else None))
         if found:
-            yield batch_of(chunk=[c for c, _ in found], bucket=pa.array([bucket] * len(found), pa.int32()), mask=pa.array([m for _, m in found], pa.binary()))
-
-    answers = stage(gathered(by_bucket(chunks.mapInArrow(probe, PACKED), common, "chunk long, bucket int, mask binary"), "bucket", "mask"))
+            c, m, o = zip(*found, strict=True)
+            yield batch_of(chunk=list(c), bucket=pa.array([bucket] * len(found), pa.int32()), mask=pa.array(m, pa.binary()), large=pa.array(o, pa.binary()))
+
+    answers = stage(gathered(by_bucket(chunks.mapInArrow(probe, PACKED), common, "chunk long, bucket int, mask binary, large binary"), "bucket", "mask", "large"))
+
+    def single(chunk: int, s: _Segments, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The windows that start there, in buckets beyond those of the segments; repeats within the chunk are known at once."""
+        every = np.empty(len(start), _WINDOW)
+        every["a"] = span_hash(BYTE_VALUES[s.data], start, start + width, BASE_A)
+        every["b"] = span_hash(BYTE_VALUES_B[s.data], start, start + width, BASE_B)
+        later = _later_windows(every)  # starts ascend
+        own, every, start = start[later], every[~later], start[~later].astype(np.uint32)
+        order = np.argsort(every["a"], kind="stable")
+        rows = packed_rows(chunk, every["a"][order], bits, every[order], start[order])
+        yield rows.set_column(0, "bucket", pc.add(rows.column(0), pa.scalar(1 << bits, pa.int32())))
+        if len(own):
+            yield batch_of(bucket=pa.array([((chunk >> 24) * 7 + chunk) % (1 << bits)], pa.int32()), chunk=[chunk], payload=pa.array([None], pa.binary()), extra=pa.array([_runs(own).tobytes()], pa.binary()))
+
+    def compare(chunks_: list[int], payloads: list[bytes], extras: list[bytes]) -> Iterator[pa.RecordBatch]:
+        later = _later_windows(np.concatenate([np.frombuffer(p, _WINDOW) for p in payloads]))  # chunks ascend
+        found, at = [], 0
+        for c, x in zip(chunks_, extras, strict=True):
+            start = np.frombuffer(x, np.uint32)
+            place = np.sort(start[later[at : at + len(start)]].astype(np.int64))
+            at += len(start)
+            if len(place):
+                found.append((c, _runs(place).tobytes()))
+        if found:
+            yield batch_of(chunk=[c for c, _ in found], runs=pa.array([r for _, r in found], pa.binary()))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, _, texts, masks in rows_of(batches):
             s = _Segments(texts, width)
             distinct = np.unique(s.hash)
-            bounds, on = bucket_bounds(distinct, bits), np.zeros(len(distinct), bool)
+            bounds, on, over = bucket_bounds(distinct, bits), np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
             for m in masks:
                 a, b = bounds[m["bucket"]], bounds[m["bucket"] + 1]
                 on[a:b] = np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=b - a).view(bool)
-            pick = np.flatnonzero(on[np.searchsorted(distinct, s.hash)])
+                if m["large"] is not None:
+                    over[a:b] = np.unpackbits(np.frombuffer(m["large"], np.uint8), count=b - a).view(bool)
+            number = np.searchsorted(distinct, s.hash)
+            windows = np.flatnonzero(over[number])
+            if len(windows):
+                yield from single(chunk, s, ranges(s.start[windows], s.count[windows]))
+            pick = np.flatnonzero((on & ~over)[number])
             raw, seen, first, own = s.data.tobytes(), {}, [], []
             for k, h, a, n in zip(pick.tolist(), s.hash[pick].tolist(), s.start[pick].tolist(), s.count[pick].tolist(), strict=True):
                 text = raw[a : a + n + width - 1]
@@ -236,6 +303,9 @@ def repeated_runs(chunks: DataFrame, width: int) -> DataFrame:
                 yield batch_of(bucket=pa.array(b, pa.int32()), chunk=pa.array([chunk] * len(rows), pa.int64()), payload=pa.array(p, pa.binary()), extra=pa.array(x, pa.binary()))
 
     def resolve(bucket: int, chunks_: list[int], payloads: list[bytes], extras: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if bucket >> bits:
+            yield from compare(chunks_, payloads, extras)
+            return
         runs = {}
         by_hash: dict[int, dict[bytes, tuple[int, int]]] = {}
         for c, p, x in zip(chunks_, payloads, extras, strict=True):  # chunks ascend
@@ -275,7 +345,7 @@ def repeated_runs(chunks: DataFrame, width: int) -> DataFrame:
     return stage(gathered(by_bucket(packed, resolve, "chunk long, runs binary"), "runs"))
 
 
-def dedup_bytes(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_bytes(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, spans (maximal removed runs of bytes, from and to), kept (the other bytes).
 
     A byte goes if a string of ``width`` bytes (over 50) that covers it also starts earlier: at a smaller id (null smallest; equal ids by
@@ -283,7 +353,7 @@ def dedup_bytes(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_
     empty; an empty table gives no rows. What is kept may start or end within a character.
     """
     chunks = ordered_chunks(docs, id_col, text_col, CHUNK)
-    runs = repeated_runs(chunks, width)
+    runs = repeated_runs(chunks, width, hot)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids, texts, answers in rows_of(batches):
