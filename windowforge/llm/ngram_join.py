@@ -3,7 +3,7 @@
 Sets of shingles are put into bands of similar size. Two sets of one band or of neighbouring bands that are similar enough
 differ in at most ``k`` features, so, with the feature domain cut into ``k + 1 + spare`` parts, they agree on at least
 ``1 + spare`` whole parts: each part that has features is a signature. Only a set with more than ``spare`` empty parts also
-has signatures for those. So every similar pair shares a signature, and all that remains is verified on whole sets.
+has signatures for those. Parts are signed singly, the trivial case of PartEnum: no subsets of parts are enumerated. So every similar pair shares a signature, and all that remains is verified on whole sets.
 
 Equal sets are one node from the start: copies never meet in pairs.
 """
