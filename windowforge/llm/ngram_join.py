@@ -247,13 +247,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (distinct texts' sets linked directly, where verified), text_md5 and stands_first per document.
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, text_md5 and stands_first per document; with ``links`` also n_links, the number of other sets similar to its own.
 
     Words are runs other than blank and 0x09-0x0D, with A-Z lower-cased; a text of fewer words than a shingle has one, the
     whole sequence. Documents are linked when 100 * intersection >= percent * union; component_id is the least doc_id that links
     reach. Null, empty and blank texts have no shingles and no links. Equal sets are linked. Null ids count as smallest.
     stands_first marks the rows whose id and text (by its MD5) are the least of their component: one row, or equal rows; without shingles every row.
+    Components need few of the links; to count them, every pair of a group is verified, within components too.
     """
     rows = id_text(docs, id_col, text_col)
 
@@ -284,22 +285,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     # first each member with its least partner; then whatever pairs those links don't connect
     first = stage(close_pairs(groups.withColumn("label", F.col("node")), percent, every=False).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = stage(verified(first, sets_of(first), percent))
-    labels = components(links)
+    found = stage(verified(first, sets_of(first), percent))
+    labels = components(found)
     labelled = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = stage(close_pairs(labelled, percent, every=True).join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = stage(links.unionByName(verified(rest, sets_of(rest), percent)))
-        labels = components(links)
+        labels = components(stage(found.unionByName(verified(rest, sets_of(rest), percent))))
 
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     joined = classes.select("node", "id", "md5").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = joined.groupBy("label").agg(least_row).select("label", F.col("row.id").alias("component"), F.col("row.md5").alias("least_md5"))
-    by_node = stage(joined.join(least, "label").join(degree, "node", "left").select("node", "component", "least_md5", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    by_node = joined.join(least, "label").select("node", "component", "least_md5")
+    if links:
+        pairs = stage(close_pairs(groups.withColumn("label", F.col("node")), percent, every=True))
+        every = verified(pairs, sets_of(pairs), percent)
+        degree = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+        by_node = by_node.join(degree, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    by_node, count = stage(by_node), ["n_links"] if links else []
     first = ((F.col("id") == F.col("component")) & (F.col("md5") == F.col("least_md5"))).alias("stands_first")
-    linked = named.where("n > 0").join(by_node, "node").select("id", "n", "component", "n_links", "md5", first)
-    none = named.where("n = 0").select("id", "n", F.col("id").alias("component"), F.lit(0).cast("long").alias("n_links"), "md5", F.lit(True).alias("stands_first"))
-    return linked.unionByName(none).select(null_id().alias("doc_id"), F.col("n").alias("n_shingles"), null_id("component").alias("component_id"), "n_links", F.col("md5").alias("text_md5"), "stands_first")
+    linked = named.where("n > 0").join(by_node, "node").select("id", "n", "component", *count, "md5", first)
+    none = named.where("n = 0").select("id", "n", F.col("id").alias("component"), *(F.lit(0).cast("long").alias(k) for k in count), "md5", F.lit(True).alias("stands_first"))
+    return linked.unionByName(none).select(null_id().alias("doc_id"), F.col("n").alias("n_shingles"), null_id("component").alias("component_id"), *count, F.col("md5").alias("text_md5"), "stands_first")
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
