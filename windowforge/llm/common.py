@@ -9,8 +9,11 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -29,30 +32,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the shared folder that the session names; set here only where it is unset."""
+    """A new path in the shared folder that the session names in spark.checkpoint.dir.
+
+    Only a session on one machine may leave it unset; it then gets a folder of its own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/windowforge-checkpoints"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="windowforge-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/windowforge-{uuid.uuid4().hex}"
 
 
+#: Where the tables lie that ``stage`` returned, or that others read.
+_STAGED: WeakKeyDictionary = WeakKeyDictionary()
+
+
 def stage(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps restart from the files when an executor is lost.
 
-    Shuffle files of the job are released as soon as it has ended.
+    Shuffle files of the job are released as soon as it has ended; the table itself by ``release``.
     """
-    spark = df.sparkSession
-    path = scratch_dir(spark)
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession)
+    with shuffle_cleanup(spark):
+        df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STAGED[out] = [path]
+    return out
+
+
+@contextmanager
+def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs within are released as soon as they have ended."""
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", codec).parquet(path)
+        yield
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*read: DataFrame) -> None:
+    """Delete staged tables, and those handed over to these, that nothing reads any more: what was made of them is staged itself."""
+    for df in read:
+        for path in _STAGED.pop(df, []):
+            jvm = df.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def hand_over(df: DataFrame, *staged: DataFrame) -> DataFrame:
+    """``df``, which reads ``staged``: they go when it is released."""
+    _STAGED[df] = [path for x in staged for path in _STAGED.pop(x, [])]
+    return df
 
 
 def n_partitions(spark: SparkSession) -> int:

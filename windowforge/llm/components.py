@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windowforge.llm.common import stage
+from windowforge.llm.common import hand_over, release, stage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,7 +16,9 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        moved = stage(lower.join(jump, "next").select("node", F.least("next", "far").alias("new"), "label"))
-        labels = moved.select("node", F.col("new").alias("label"))
-        if moved.where("new <> label").isEmpty():
-            return labels
+        moved = lower.join(jump, "next").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("changed"))
+        before, labels = labels, stage(moved)
+        release(before)
+        if labels.where("changed").isEmpty():
+            release(both)
+            return hand_over(labels.drop("changed"), labels)
