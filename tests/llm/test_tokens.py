@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from windowforge.llm import packing, token_files, tokens
 
-ODD = ["", " ", "a  b", "\n", "a \n b", " a", "a ", "x\n\ny", "a\xa0 \xa0b", "é́ ́x", "<|endoftext|> hi <|endoftext|>", "it's 'S 't", "A  B\x1c C\x1c", "Σας ΟΔΟΣ. 12 34", "THE. THE, x|. É. İ. ß.", "<|ENDOFTEXT|>. x<|endoftext|>|", "a. . , ,a A."]
+ODD = ["", " ", "a  b", "\n", "a \n b", " a", "a ", "x\n\ny", "a\xa0 \xa0b", "é́ ́x", "<|endoftext|> hi <|endoftext|>", "it's 'S 't", "A  B\x1c C\x1c", "Σας ΟΔΟΣ. 12 34", "THE. THE, x|. É. İ. ß.", "<|ENDOFTEXT|>. x<|endoftext|>|", "a. . , ,a A.", "zute,### Éauß*** eux%%%$ É,É É.é ÑÓ'' a-b --a- a_ _a 4,5 4... ǅab. ſt, Ÿ?!", "a\0b . \0 c\0."]
 
 
 @pytest.mark.parametrize(("name", "glued"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
@@ -77,13 +77,33 @@ def test_token_files(spark):
     assert token_files.read_documents(token_files.write_shards(documents(spark, []), path)).count() == 0
 
 
-def test_wavelet_matrix():
+@pytest.mark.parametrize("block", [1, 16, 1 << 13])
+def test_wavelet_matrix(block):
     rng = np.random.default_rng(0)
     for n in (0, 1, 7, 8, 9, 1000):
         ids = rng.choice(np.array([0, 1, 5, 49407, 65535], np.uint16), n)
-        wm = token_files.WaveletMatrix.from_bytes(token_files.WaveletMatrix.build(ids, np.array([3]), np.array([0, n])).to_bytes())
+        wm = token_files.WaveletMatrix(token_files.WaveletMatrix.build(ids, np.array([3]), np.array([0, n]), block=block))
         assert wm.tokens().tolist() == ids.tolist() and [wm.access(i) for i in range(n)] == ids.tolist()
         for v in (0, 1, 5, 6, 65535):
             at = np.flatnonzero(ids == v).tolist()
             assert wm.count(v) == len(at) and [wm.locate(v, k) for k in range(len(at))] == at
             assert wm.count(v, n // 3, n // 2) == sum(n // 3 <= x < n // 2 for x in at)
+
+
+def test_questions_read_few_blocks(spark, monkeypatch):
+    ids = np.random.default_rng(1).integers(0, 49_000, 400_000).astype(np.uint16)
+    file = token_files.WaveletMatrix.build(ids, np.array([1]), np.array([0, len(ids)]))
+    wm, read = token_files.WaveletMatrix(file), []
+    assert wm.directory_bytes() < len(file) / 100
+    one = wm._block
+    monkeypatch.setattr(wm, "_block", lambda level, k: read.append((level, k)) or one(level, k))
+    assert wm.access(123_456) == ids[123_456] and len(read) == 16
+    v = int(ids[77])
+    assert wm.count(v) == (ids == v).sum() and wm.locate(v, 0) == np.flatnonzero(ids == v)[0]
+    assert len(read) <= 16 + 3 * 32
+    shards = token_files.write_shards(documents(spark), tokens.default_path("word_bpe_49k.json"), shard_ids=500)
+    got = token_files.token_counts(shards, [1, 320]).groupBy("value").sum("n").collect()
+    every = [i for r in shards.collect() for i in token_files.WaveletMatrix(r.file).tokens().tolist()]
+    assert {r[0]: r[1] for r in got} == {v: every.count(v) for v in (1, 320)}
+    assert token_files.read_documents(shards).count() == len(texts())
+    assert sorted(r.n_tokens for r in token_files.read_documents(shards).where("id = 51").collect())[0] == 1

@@ -10,13 +10,14 @@ import os
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-from windowforge.llm.common import ranges
+from windowforge.llm.common import ranges, text_buffer
 
-#: Entries kept by one Python worker; beyond it the table starts anew, which costs time but changes nothing.
+#: Entries kept by one Python worker; beyond it those seldom used are forgotten, which costs time but changes nothing.
 CACHE_ENTRIES = 900_000
-#: Marks that are a token of their own behind letters.
-CLOSING = ".,;:!?|"
+#: Marks that both files' patterns part from the letters before them and take together.
+MARKS = ".,;:!?*#$%&()+-/=@[]^_{}~"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -27,6 +28,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = _byte_letters()
+#: For texts that are blanks and marks besides letters: those keep their places.
+_LETTERS = {b: c for b, c in BYTE_LETTERS.items() if b >= 0x80}
 
 
 def default_path(name: str) -> str:
@@ -53,72 +56,93 @@ class PieceEncoder:
         self.merges.pre_tokenizer = WhitespaceSplit()
         self.mark = "<|endoftext|>"
         self.mark_id = self.tokenizer.token_to_id(self.mark)
-        self.closing = {c: self._ids([c])[0][0] for c in CLOSING}
+        self.stop = self._ids(["."])[0][0]
         self.reset()
 
     def reset(self) -> None:
         self.number = _Numbers({"": 0})
-        self.unsafe: set[str] = set()  # pieces that end with white space
+        self.tails: dict[str, list[int]] = {}  # ids of marks behind letters
         self.ids, self.off, self.used = np.zeros(1 << 16, np.uint16), np.zeros(1 << 14, np.int64), 0
+        self.uses, self.entered = np.zeros(1 << 14, np.uint32), 1  # by number: batches that used it; numbers given out
+
+    def forget(self) -> None:
+        """Keep at most half of the entries: those that most batches used, twice at least."""
+        uses = self.uses[: self.entered]
+        least = max(2, int(np.partition(uses, -self.entries // 2)[-self.entries // 2]) + 1) if len(uses) > self.entries // 2 else 2
+        kept = np.flatnonzero(uses >= least)
+        kept = kept[kept > 0]
+        again = np.full(len(uses), -1, np.int64)
+        again[0], again[kept] = 0, np.arange(1, len(kept) + 1)
+        words, numbers = list(self.number), np.fromiter(self.number.values(), np.int64, len(self.number))
+        ids, off, times = self.ids, self.off, uses[kept]
+        self.reset()
+        lengths = off[kept + 1] - off[kept]
+        self._append([], ids[ranges(off[kept], lengths)], lengths)
+        self.uses[1 : len(kept) + 1] = times
+        numbers = again[numbers]
+        self.number.update((words[i], n) for i, n in zip(np.flatnonzero(numbers > 0).tolist(), numbers[numbers > 0].tolist(), strict=True))
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _append(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        first, n = len(self.number), len(ids)
+        first, n = self.entered, len(ids)
         while self.used + n > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while first + len(pieces) + 1 > len(self.off):
-            self.off = np.concatenate([self.off, np.zeros_like(self.off)])
+        while first + len(lengths) + 1 > len(self.off):
+            self.off, self.uses = np.concatenate([self.off, np.zeros_like(self.off)]), np.concatenate([self.uses, np.zeros_like(self.uses)])
         self.ids[self.used : self.used + n] = ids
         self.off[first] = self.used
-        self.off[first + 1 : first + len(pieces) + 1] = self.used + np.cumsum(lengths)
+        self.off[first + 1 : first + len(lengths) + 1] = self.used + np.cumsum(lengths)
         self.used += n
-        self.number.update(zip(pieces, range(first, first + len(pieces)), strict=True))
-
-    def _base(self, piece: str) -> tuple[str, str]:
-        """What a piece's ids follow from: letters before a closing mark are tokens apart from it, and case may not count."""
-        tail = piece[-1] if piece[-1] in CLOSING and piece[:-1].isalpha() else ""
-        base = piece[:-1] if tail else piece
-        if not self.glued and base.isalpha():
-            if base.isascii():
-                return base.lower(), tail
-            if not base.lower().isalpha():  # a mark split off by the change of case may join the closing one
-                return piece, ""
-        return base, tail
+        self.entered += len(lengths)
+        self.number.update(zip(pieces, range(first, first + len(pieces))))
+
+    def _base(self, piece: str) -> tuple[str, str, bool]:
+        """What a piece's ids follow from, letters and the marks behind them; and whether those are Latin letters alone, which neither
+        file's pattern parts and no normaliser changes but for case."""
+        base = piece.rstrip(MARKS)
+        if base.isalpha() and (base.isascii() or max(base) < "\u0250"):
+            low = base if self.glued else base.lower()
+            if low.isascii() or low.isalpha():  # a mark split off by the change of case may join the closing ones
+                return low, piece[len(base) :], True
+        return piece, "", False
 
     def _learn(self, pieces: list[str]) -> None:
-        forms = {p: self._base(p) for p in pieces}
-        self._encode_new([b for b in dict.fromkeys(b for b, _ in forms.values()) if b not in self.number])
-        self.number.update({p: self.number[b] for p, (b, tail) in forms.items() if not tail and p != b})
-        closed = [p for p, (_, tail) in forms.items() if tail]
+        forms = list(map(self._base, pieces))
+        known = self.number
+        new = {b: plain for b, _, plain in forms if b not in known}
+        plain = [b for b, p in new.items() if p]
+        self._encode_plain([b for b in plain if b.isascii()], str)
+        self._encode_plain([b for b in plain if not b.isascii()], lambda t: t.encode().decode("latin-1").translate(_LETTERS))
+        self._encode_other([b for b, p in new.items() if not p])
+        known.update((p, known[b]) for p, (b, tail, _) in zip(pieces, forms, strict=True) if not tail and p != b)
+        closed = [(p, known[b], tail) for p, (b, tail, _) in zip(pieces, forms, strict=True) if tail]
         if closed:
-            base = np.fromiter((self.number[forms[p][0]] for p in closed), np.int64, len(closed))
-            n = self.off[base + 1] - self.off[base]
-            lengths = n + 1
+            words, base, tails = zip(*closed, strict=True)
+            fresh = [t for t in dict.fromkeys(tails) if t not in self.tails]
+            self.tails.update(zip(fresh, self._ids(fresh) if fresh else [], strict=True))
+            base, tails = np.array(base), [self.tails[t] for t in tails]
+            n, more = self.off[base + 1] - self.off[base], np.fromiter(map(len, tails), np.int64, len(tails))
+            lengths = n + more
             at = np.cumsum(lengths) - lengths
             ids = np.empty(int(lengths.sum()), np.uint16)
             ids[ranges(at, n)] = self.ids[ranges(self.off[base], n)]
-            ids[at + n] = [self.closing[forms[p][1]] for p in closed]
-            self._append(closed, ids, lengths)
-
-    def _plain(self, piece: str) -> bool:
-        """Latin letters alone, which neither file's normaliser changes nor its pattern parts."""
-        return piece.isalpha() and (piece.isascii() or max(piece) < "\u0250") and (self.glued or piece == piece.lower())
-
-    def _encode_new(self, pieces: list[str]) -> None:
-        """Encode pieces in few calls: plain ones by the merges alone, with full stops between, which no plain piece has;
-        others by the whole tokenizer, with a special token between, which parts them before anything else is applied."""
-        plain, other = [], []
-        for p in pieces:
-            (plain if self._plain(p) else other).append(p)
+            ids[ranges(at + n, more)] = np.fromiter(chain.from_iterable(tails), np.uint16, int(more.sum()))
+            self._append(words, ids, lengths)
+
+    def _encode_plain(self, pieces: list[str], letters) -> None:
+        """Letters by the merges alone, with full stops between, which no such piece has; ``letters`` puts bytes as the files do."""
         lead = BYTE_LETTERS[0x20] if self.glued else ""
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            joined = f" . {lead}".join(part) if part[0].isascii() and all(map(str.isascii, part)) else f" . {lead}".join([p.encode().decode("latin-1").translate(BYTE_LETTERS) for p in part])
-            ids = np.array(self.merges.encode_batch_fast([lead + joined], add_special_tokens=False)[0].ids, np.int64)
-            stop = ids == self.closing["."]
+        for at in range(0, len(pieces), 20_000):
+            part = pieces[at : at + 20_000]
+            joined = lead + letters(" . \0".join(part)).replace("\0", lead)
+            ids = np.array(self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
+            stop = ids == self.stop
             self._append(part, ids[~stop], np.diff(np.concatenate([[-1], np.flatnonzero(stop), [len(ids)]])) - 1)
+
+    def _encode_other(self, other: list[str]) -> None:
+        """By the whole tokenizer, with a special token between, which parts pieces before anything else is applied."""
         lead = " " if self.glued else ""
         for at in range(0, len(other), 20_000):
             part = other[at : at + 20_000]
@@ -138,41 +162,37 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint16) and each text's first (int64, one more than texts)."""
         if len(self.number) > self.entries:
-            self.reset()
-        whole: dict[int, list[int]] = {}
-        heads: list[str] = []
+            self.forget()
+        data = np.frombuffer((" ".join(texts) + " ").encode() if texts else b"", np.uint8)
+        blank = data == 0x20 if self.glued else (data == 0x20) | (data == 0x0A)
+        edges = np.concatenate([[0], np.flatnonzero(blank) + 1])
+        offsets = edges.astype(np.int64).tobytes()
+        pieces = pa.Array.from_buffers(pa.large_string(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        distinct = text_buffer(pieces.dictionary)[0].tobytes().decode()  # each with its blank
+        at, words = pieces.indices.to_numpy(), (distinct if self.glued else distinct.replace("\n", " ")).split(" ")[:-1]
+        known = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        missed = np.flatnonzero(known < 0).tolist()
+        if missed:
+            self._learn(list(dict.fromkeys(words[i] for i in missed)))
+            known[missed] = [self.number[words[i]] for i in missed]
+        self.uses[known] += 1  # words of one number count once
+        numbers = known[at]
         if self.glued:
-            split = [t.split(" ") for t in texts]
-            for i, parts in enumerate(split):
-                heads.append(parts[0])
-                del parts[0]
-                if parts and (not heads[i] or heads[i][-1].isspace() or "" in parts):
-                    whole[i] = []
-            count = np.fromiter(map(len, split), np.int64, len(split))
-            flat = list(chain.from_iterable(split))
+            count = np.fromiter((t.count(" ") + 1 for t in texts), np.int64, len(texts))
         else:
             count = np.fromiter((t.count(" ") + t.count("\n") + 1 for t in texts), np.int64, len(texts))
-            flat = " ".join(texts).replace("\n", " ").split(" ") if texts else []
-        numbers = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
-        missed = np.flatnonzero(numbers < 0).tolist()
-        if missed:
-            new = dict.fromkeys(flat[i] for i in missed)
-            self._learn(list(new))
-            if self.glued:
-                self.unsafe |= {w for w in new if w[-1].isspace()}
-            numbers[missed] = [self.number[flat[i]] for i in missed]
-        if self.glued and self.unsafe:
-            for i, p in enumerate(split):
-                if i not in whole and not self.unsafe.isdisjoint(p):
-                    whole[i] = []
-        if whole:  # encoded whole: their pieces count for nothing
-            numbers[np.repeat(np.isin(np.arange(len(texts)), list(whole)), count)] = 0
-        if self.glued:
-            plain = [i for i in range(len(texts)) if i not in whole]
-            for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True) if whole else ():
-                whole[i] = ids
-            for i, ids in zip(plain, self._ids([heads[i] for i in plain]), strict=True):
-                whole[i] = ids
+        whole: dict[int, list[int]] = {}
+        if self.glued:  # heads are encoded alone; a text with blanks in a row or behind other white space is encoded whole
+            head = np.cumsum(count) - count
+            odd = np.fromiter((not w or w[-1].isspace() for w in words), bool, len(words))[at]
+            alone = count == 1
+            is_whole = np.add.reduceat(odd, head, dtype=np.int64) > 0 if len(texts) else np.zeros(0, bool)
+            is_whole &= ~alone
+            numbers[head] = 0
+            numbers[np.repeat(is_whole, count)] = 0
+            heads = [words[k] for k in at[head].tolist()]
+            lead = [t if w else h for t, h, w in zip(texts, heads, is_whole.tolist(), strict=True)]
+            whole = dict(enumerate(self._ids(lead))) if lead else {}
         lengths = self.off[numbers + 1] - self.off[numbers]
         bounds = np.concatenate([[0], np.cumsum(count)])
         sums = np.concatenate([[0], np.cumsum(lengths)])
