@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowforge.llm.common import NULL_ID, SPACES, id_text, stage, table
+from windowforge.llm.common import NULL_ID, SPACES, hand_over, id_text, release, stage, table
 from windowforge.llm.decontamination import build_indexes, find_leaks
 from windowforge.llm.ngram_join import near_duplicates
 from windowforge.llm.packing import pack_documents
@@ -26,10 +26,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the row with the least id stays (of equal ids by text; of equal rows one). Texts without words stay."""
-    kept = stage(near_duplicates(docs).where("stands_first AND n_shingles > 0")).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("text_md5").alias("md5")).distinct()
+    groups = near_duplicates(docs)
+    first = stage(groups.where("stands_first AND n_shingles > 0").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("text_md5").alias("md5")).distinct())
+    release(groups)
     keyed = id_text(docs, rows=True).select("id", F.unhex(F.md5("text")).alias("md5"), "row", (F.btrim("text", F.lit(SPACES)) == "").alias("blank"))
-    first = keyed.where("NOT blank").join(kept, ["id", "md5"], "left_semi").dropDuplicates(["id", "md5"])
-    return first.select("row.*").unionByName(keyed.where("blank").select("row.*"))
+    kept = keyed.where("NOT blank").join(first, ["id", "md5"], "left_semi").dropDuplicates(["id", "md5"])
+    return hand_over(kept.select("row.*").unionByName(keyed.where("blank").select("row.*")), first)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +67,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir))
+        before, out = docs, step(spark, docs, sf_dir)
+        docs = stage(out)
+        release(out, before)
     return docs
