@@ -96,16 +96,31 @@ def test_few_vectors(spark):
     assert N.search(few.limit(0), 50).count() == 0
 
 
+def test_rows_of_one_id(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.9, 0.1]), (50, [0.0, 1.0]), (7, [0.0, 0.9]), (7, [0.0, 0.8])]
+    got = N.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 50, k=2).collect()
+    by_row = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by_row.setdefault(r.query_row, []).append(r.vec_id)
+    assert len(by_row) == 3 and sorted(by_row.values()) == [[7, 7], [50, 7], [50, 7]]
+    assert all(r.query_id == 50 for r in got)
+
+
 def test_recall(spark):
-    d = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+    """All queries of sf0.1 against brute force, with few vectors scored exactly."""
+    sf = "/root/testdata/sf0.1"
+    d = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    assert 5 * N.POOL <= 0.03 * len(d)
     x = np.stack(d.embedding).astype(float)
     x /= np.linalg.norm(x, axis=1)[:, None]
-    got = N.op8_nearest_neighbours(spark, SF).toPandas()
+    got = N.op8_nearest_neighbours(spark, sf).toPandas()
     hit = total = 0
     for i in np.flatnonzero(d.vec_id % 50 == 0):
         s = x @ x[i]
         s[i] = -2
-        hit += len(set(d.vec_id[np.argsort(-s)[:5]]) & set(got[got.query_id == d.vec_id[i]].vec_id))
+        own = got[got.query_id == d.vec_id[i]].sort_values("rank")
+        assert np.allclose(own.score, np.sort(s[own.vec_id.map(dict(zip(d.vec_id, range(len(d)), strict=True)))])[::-1], atol=1e-12)
+        hit += len(set(d.vec_id[np.argsort(-s)[:5]]) & set(own.vec_id))
         total += 5
     assert hit / total >= 0.9
 

@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by cosine: inverted lists of coarse centroids, product-quantised residuals, exact reranking.
 
 Centroids and codebooks are fitted on a sample of at most ``FIT_ROWS`` vectors (those with the smallest hash of their id);
-every vector is indexed. A query visits the lists nearest to it, ranks their members by asymmetric distance tables, and
-reranks the best of them on the original vectors. Lists and their queries are cut into cells of bounded size, so a
-list that holds a third of all vectors is shared by many tasks.
+every vector is indexed. A query visits the lists nearest to it; asymmetric distance tables over their members' codes choose one pool of
+``POOL`` candidates from all of them, and only these are scored on the original vectors. The index is cut by a hash of the row, so that
+each task has a share of every list and a list that holds a third of all vectors is spread like any other.
 """
 
 from __future__ import annotations
@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from windowforge.llm.common import batch_of, stage, table
+from windowforge.llm.common import batch_of, hand_over, stage, table
 
-#: Bounds of the fit: rows of the sample, coarse lists, codewords of a part, Lloyd rounds.
-FIT_ROWS, MAX_LISTS, CODEWORDS, ROUNDS = 20_000, 4096, 256, 8
-#: Share of the lists that a query visits, dimensions of a part, candidates reranked in a cell for each neighbour wanted.
-PROBE_SHARE, PART_DIMS, RERANK = 0.7, 4, 60
-#: Vectors and queries of a cell.
-CELL_ROWS, CELL_QUERIES = 20_000, 1_000
+#: Bounds of the fit: rows of the sample, rows for the codebooks, coarse lists, codewords of a part, Lloyd rounds.
+FIT_ROWS, BOOK_ROWS, MAX_LISTS, CODEWORDS, ROUNDS = 20_000, 8192, 4096, 256, 8
+#: Share of the lists that a query visits, dimensions of a part, candidates reranked for each neighbour wanted.
+PROBE_SHARE, PART_DIMS, POOL = 0.4, 2, 10
+#: Least and most vectors of a share of the index, queries of a block.
+SHARE_ROWS, CELL_QUERIES = (1 << 12, 1 << 18), 128
 
 
 def _matrix(col: pa.Array, dims: int) -> np.ndarray:
@@ -31,6 +31,7 @@ def _matrix(col: pa.Array, dims: int) -> np.ndarray:
 
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1)[:, None]  # neither tiny nor huge components leave what squares can hold
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -48,8 +49,7 @@ def k_means(x: np.ndarray, k: int, seed: int, rounds: int = ROUNDS) -> np.ndarra
     for _ in range(rounds):
         own = _nearest(x, c)
         n = np.bincount(own, minlength=len(c))
-        sums = np.zeros_like(c)
-        np.add.at(sums, own, x)
+        sums = np.stack([np.bincount(own, weights=x[:, d], minlength=len(c)) for d in range(x.shape[1])], axis=1)
         c[n > 0] = sums[n > 0] / n[n > 0, None]
         if (n == 0).any():
             c[n == 0] = x[rng.choice(len(x), int((n == 0).sum()))]
@@ -63,23 +63,30 @@ class Quantiser:
         x = _unit(sample)
         self.dims = x.shape[1]
         self.coarse = k_means(x, lists, 1)
-        rest = x - self.coarse[_nearest(x, self.coarse)]
+        rest = (x - self.coarse[_nearest(x, self.coarse)])[:BOOK_ROWS]
         cuts = list(range(0, self.dims, PART_DIMS)) + [self.dims]
         self.parts = list(zip(cuts[:-1], cuts[1:], strict=True))
         self.books = [k_means(rest[:, a:b], CODEWORDS, 2 + a) for a, b in self.parts]
 
-    def encode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List, codes, and what of a member's squared distance doesn't hang on the query: r.r + 2 c.r for its decoded residual r."""
         own = _nearest(unit, self.coarse)
-        rest = unit - self.coarse[own]
-        return own, np.stack([_nearest(rest[:, a:b], book) for (a, b), book in zip(self.parts, self.books, strict=True)], axis=1).astype(np.uint8)
-
-    def tables(self, unit: np.ndarray, of_list: int) -> np.ndarray:
-        """(query, part, codeword) squared distances of the queries' residuals to the codewords."""
-        rest = unit - self.coarse[of_list]
-        out = np.zeros((len(unit), len(self.parts), CODEWORDS))
+        centre = self.coarse[own]
+        rest = unit - centre
+        codes = np.stack([_nearest(rest[:, a:b], book) for (a, b), book in zip(self.parts, self.books, strict=True)], axis=1).astype(np.uint8)
+        decoded = np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], axis=1)
+        return own, codes, (decoded * (decoded + 2 * centre)).sum(axis=1).astype(np.float32)
+
+    def tables(self, unit: np.ndarray) -> np.ndarray:
+        """(query, part * codeword): -2 times the products of the queries with the codewords."""
+        out = np.zeros((len(unit), len(self.parts), CODEWORDS), np.float32)
         for k, ((a, b), book) in enumerate(zip(self.parts, self.books, strict=True)):
-            out[:, k, : len(book)] = ((rest[:, None, a:b] - book[None]) ** 2).sum(axis=2)
-        return out
+            out[:, k, : len(book)] = -2 * (unit[:, a:b] @ book.T)
+        return out.reshape(len(unit), -1)
+
+    def to_lists(self, unit: np.ndarray) -> np.ndarray:
+        """(query, list): squared distances but for the query's own square."""
+        return (self.coarse * self.coarse).sum(axis=1) - 2 * (unit @ self.coarse.T)
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -89,96 +96,98 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull() & good)
 
 
-def search(vectors: DataFrame, every: int, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", probe_share: float = PROBE_SHARE) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, the ``k`` nearest rows found.
+def _pooled(order: tuple[np.ndarray, ...], want: int) -> np.ndarray:
+    """Places of the ``want`` least of rows ordered by (distance, id, row)."""
+    far, ids, rows = order
+    pool = np.arange(len(far))
+    if len(far) > want:
+        pool = np.flatnonzero(far <= np.partition(far, want - 1)[want - 1])
+    return pool[np.lexsort((rows[pool], ids[pool], far[pool]))][:want]
+
 
-    Ties go to the smaller id. Vectors of another length than most of the sample take no part, nor do null ids. If fewer than ``k``
-    candidates exist, all are returned. Repeated ids are rows of their own, except that a query leaves out rows of its own id.
-    An empty table gives no rows.
+def search(vectors: DataFrame, every: int, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", probe_share: float = PROBE_SHARE, pool: int = POOL) -> DataFrame:
+    """query_id, query_row, rank, vec_id, score: for each row whose id is divisible by ``every``, the ``k`` nearest other rows found.
+
+    Ties go to the smaller id, then to the row read first. Every row is a query or candidate of its own: rows that share an id are ranked apart (by
+    query_row, a number of the row) and find each other. Vectors of another length than most of the sample take no part, nor do null ids
+    or vectors that are null, empty, zero or hold null, NaN or infinite components. If fewer than ``k`` candidates exist, all are returned. An
+    empty table gives no rows. At most ``pool * k`` candidates of a query are scored exactly.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col)
-    empty = "query_id long, rank int, vec_id long, score double"
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toPandas()  # a bounded sample
     if not len(sample):
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], "query_id long, query_row long, rank int, vec_id long, score double")
     dims = int(sample["vec"].map(len).mode()[0])
     fit = np.stack([v for v in sample["vec"] if len(v) == dims])
     rows = rows.where(F.size("vec") == dims)
     total = rows.count()
-    q = Quantiser(fit, int(np.clip(np.sqrt(total), 1, min(MAX_LISTS, max(1, len(fit) // 16)))))
+    q = Quantiser(fit, int(np.clip(4 * np.sqrt(total), 1, min(MAX_LISTS, max(1, len(fit) // 8)))))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 40
         for b in batches:
             if b.num_rows:
-                own, codes = q.encode(_unit(_matrix(b.column(1), dims)))
-                yield batch_of(list=pa.array(own.astype(np.int32)), id=b.column(0), code=pa.array([c.tobytes() for c in codes], pa.binary()), vec=b.column(1))
+                own, codes, rest = q.encode(_unit(_matrix(b.column(1), dims)))
+                number = np.arange(at, at + b.num_rows)
+                at += b.num_rows
+                yield batch_of(row=number, list=pa.array(own.astype(np.int32)), id=b.column(0), code=pa.array([c.tobytes() for c in codes], pa.binary()), rest=rest, vec=b.column(1))
 
-    indexed = stage(rows.mapInArrow(index, "list int, id long, code binary, vec array<double>"))
+    indexed = stage(rows.mapInArrow(index, "row long, list int, id long, code binary, rest float, vec array<double>"))
     sizes = np.zeros(len(q.coarse), np.int64)
-    asked = np.zeros(len(q.coarse), np.int64)
     for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect():  # as many rows as lists
         sizes[r["list"]] = r["n"]
-    visits = max(1, int(np.ceil(probe_share * len(q.coarse))))
-
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            unit = _unit(_matrix(b.column(1), dims))
-            order = np.argsort((q.coarse * q.coarse).sum(axis=1) / 2 - unit @ q.coarse.T, axis=1, kind="stable")
-            # further lists only where those visited could hold too few rows
-            need = np.cumsum(sizes[order], axis=1) - sizes[order] < k + 1
-            take = (np.arange(order.shape[1]) < visits) | need
-            row, col = np.nonzero(take & (sizes[order] > 0))
-            picked = pa.array(row)
-            yield batch_of(list=pa.array(order[row, col].astype(np.int32)), id=b.column(0).take(picked), vec=b.column(1).take(picked))
-
-    wanted = indexed.where(F.pmod("id", F.lit(every)) == 0).select("id", "vec")
-    queries = stage(wanted.mapInArrow(probes, "list int, id long, vec array<double>"))
-    for r in queries.groupBy("list").count().collect():
-        asked[r["list"]] = r["count"]
-    # cells: a list's members in slices, its queries in slices
-    member_slices = F.create_map(*[F.lit(int(x)) for i, n in enumerate(sizes) for x in (i, max(1, -(-int(n) // CELL_ROWS)))])
-    query_slices = F.create_map(*[F.lit(int(x)) for i, n in enumerate(asked) for x in (i, max(1, -(-int(n) // CELL_QUERIES)))])
-    spread = lambda df, own, other, a, b: (
-        df.withColumn(a, F.pmod(F.xxhash64("id"), own[F.col("list")]).cast("int")).withColumn(b, F.explode(F.sequence(F.lit(0), other[F.col("list")] - 1)))
-    )
-    members = spread(indexed.join(queries.select("list").distinct(), "list", "left_semi"), member_slices, query_slices, "ms", "qs")
-    asking = spread(queries, query_slices, member_slices, "qs", "ms")
+    visits, want = max(1, int(np.ceil(probe_share * len(q.coarse)))), pool * k
+    asked = indexed.where(F.pmod("id", F.lit(every)) == 0)
+    shares, blocks = -(-total // int(np.clip(total // 4, *SHARE_ROWS))), -(-asked.count() // CELL_QUERIES)
+    spread = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(max(1, m) - 1))))
+    members = spread(indexed.select("row", "list", "id", "code", "rest"), "share", shares, "block", blocks)
+    asking = spread(asked.select("row", "vec"), "block", max(1, blocks), "share", shares)
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        found: list[tuple[np.ndarray, ...]] = []
         if left.num_rows and right.num_rows:
             left, right = left.combine_chunks(), right.combine_chunks()
-            ids = left.column("id").to_numpy()
-            codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-            vecs = _matrix(left.column("vec").combine_chunks(), dims)
-            norms = np.sqrt((vecs * vecs).sum(axis=1))
-            qid, qvec = right.column("id").to_numpy(), _matrix(right.column("vec").combine_chunks(), dims)
-            tables = q.tables(_unit(qvec), right.column("list")[0].as_py())
-            want = k * RERANK
-            for i in range(len(qid)):
-                far = np.zeros(len(ids))
-                for p in range(codes.shape[1]):
-                    far += tables[i, p][codes[:, p]]
-                pool = np.flatnonzero(ids != qid[i])
-                if len(pool) > want:
-                    cut = np.partition(far[pool], want - 1)[want - 1]
-                    near, tied = pool[far[pool] < cut], pool[far[pool] == cut]
-                    pool = np.concatenate([near, tied[np.argsort(ids[tied], kind="stable")][: want - len(near)]])
-                v = vecs[pool]
-                score = (v * qvec[i]).sum(axis=1) / (norms[pool] * np.sqrt((qvec[i] * qvec[i]).sum()))
-                best = np.lexsort((ids[pool], -score))[:k]
-                out += zip([qid[i]] * len(best), ids[pool][best], score[best], strict=True)
-        a, b, c = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
-
-    keys = ["list", "ms", "qs"]
-    found = members.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(cell, "query_id long, vec_id long, score double")
-    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            row, own, ids, rest = (left.column(c).to_numpy() for c in ("row", "list", "id", "rest"))
+            codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int32)
+            codes += CODEWORDS * np.arange(codes.shape[1], dtype=np.int32)
+            asker, unit = right.column("row").to_numpy(), _unit(_matrix(right.column("vec").combine_chunks(), dims))
+            tables, to_lists = q.tables(unit), q.to_lists(unit)
+            near = np.argsort(to_lists, axis=1, kind="stable")
+            # further lists only where those visited could hold too few rows
+            need = np.cumsum(sizes[near], axis=1) - sizes[near] < k + 1
+            visited = np.zeros(to_lists.shape, bool)
+            np.put_along_axis(visited, near, (np.arange(len(sizes)) < visits) | need, axis=1)
+            for i in range(len(asker)):
+                some = np.flatnonzero(visited[i][own] & (row != asker[i]))
+                far = to_lists[i][own[some]].astype(np.float32) + rest[some] + tables[i][codes[some]].sum(axis=1)
+                best = _pooled((far, ids[some], row[some]), want)
+                found.append((np.full(len(best), asker[i]), row[some][best], ids[some][best], far[best]))
+        columns = map(np.concatenate, zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.float32)]
+        return pa.table(dict(zip(("query_row", "row", "vec_id", "far"), columns, strict=True)))
+
+    keys = ["share", "block"]
+    near = members.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(cell, "query_row long, row long, vec_id long, far float")
+    by = lambda *order: Window.partitionBy("query_row").orderBy(*order)
+    pooled = near.withColumn("n", F.row_number().over(by("far", "vec_id", "row"))).where(F.col("n") <= want).drop("n", "far")
+    vecs = indexed.select("row", "vec")
+    both = pooled.join(vecs, "row").join(asked.select(F.col("row").alias("query_row"), F.col("id").alias("query_id"), F.col("vec").alias("query_vec")), "query_row")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = _matrix(b.column(4), dims), _matrix(b.column(5), dims)
+                big = np.abs(x).max(axis=1)[:, None], np.abs(y).max(axis=1)[:, None]  # a scale that cancels out
+                x, y = x / big[0], y / big[1]
+                cosine = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(cosine)], ["query_row", "query_id", "row", "vec_id", "score"])
+
+    scored = both.select("query_row", "query_id", "row", "vec_id", "vec", "query_vec").mapInArrow(score, "query_row long, query_id long, row long, vec_id long, score double")
+    ranked = scored.withColumn("rank", F.row_number().over(by(F.desc("score"), "vec_id", "row"))).where(F.col("rank") <= k)
+    return hand_over(ranked.select("query_id", "query_row", "rank", "vec_id", "score"), indexed)
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(table(spark, sf_dir, "embeddings"), every=50)
+    return search(table(spark, sf_dir, "embeddings"), every=50).drop("query_row")
