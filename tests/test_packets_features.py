@@ -8,6 +8,7 @@ from windowforge.operators import features as X
 from windowforge.operators import packets as P
 from windowforge.operators import quality as Q
 from windowforge.operators.checks import ViolationError
+from windowforge.operators.profile import quantiles
 from windowforge.sources import readers as R
 from windowforge.sources import sinks as S
 
@@ -65,22 +66,35 @@ def test_slices(spark, files):
     assert {r.window_id: r.status for r in report.collect()} == {1: "csi_ok", 2: "csi_count_mismatch", 3: "invalid_range"}
 
 
-def test_repair_by_hand():
-    a = np.array([0, 10, 20, 0, 60, 0, 0], float)
-    fixed, valid = X.repair_carriers(a, a, 0.05)
-    assert fixed.tolist() == [10, 10, 20, 40, 60, 80, 100] and valid.tolist() == [False, True, True, False, True, False, False]
-    one = np.array([0.0, 5.0, 0.0])
-    assert X.repair_carriers(one, one)[0].tolist() == [5.0, 5.0, 5.0]
-    none = np.zeros(3)
-    assert X.repair_carriers(none, none)[0].tolist() == [0, 0, 0]
-    two = np.array([[[1, 2, 0, 4, 5]], [[2, 3, 0, 5, 6]]], float)
-    assert X.repair_carriers(two, np.median(two, axis=(0, 1)), 0.1)[0][:, 0, 2].tolist() == [3, 4]
+def plan_of(spark, energies, ratio=0.05):
+    rows = [(1, i, float(e)) for i, e in enumerate(energies)]
+    return X.repaired_energy(spark.createDataFrame(rows, "g long, carrier int, energy double"), "g", ratio).orderBy("carrier").collect()
 
 
-def test_repaired_energy_matches_rule(spark):
-    rows = [(1, i, float(e)) for i, e in enumerate([0, 10, 20, 0, 60, 0, 0])]
-    got = X.repaired_energy(spark.createDataFrame(rows, "g long, carrier int, energy double"), "g").orderBy("carrier").collect()
-    assert [r.repaired for r in got] == [10, 10, 20, 40, 60, 80, 100]
+def test_repair_by_hand(spark):
+    got = plan_of(spark, [0, 10, 20, 0, 60, 0, 0])
+    assert [r.repaired for r in got] == [10, 10, 20, 40, 60, 80, 100] and [r.valid for r in got] == [False, True, True, False, True, False, False]
+    assert {(r.problem, r.repaired) for r in plan_of(spark, [0, 5, 0])} == {("one_usable_carrier", None)}
+    assert {(r.problem, r.repaired) for r in plan_of(spark, [0, 0, 1e-7])} == {("no_energy", None)}
+    weak = plan_of(spark, [100, 1, 0], 0.9)  # one strong carrier only: all that sound count
+    assert [r.valid for r in weak] == [True, True, False] and [r.repaired for r in weak] == [100, 1, -98]
+
+
+def test_repair_of_arrays(spark):
+    rows = spark.createDataFrame([("a", [1.0, 2.0, 0.0, 4.0, 5.0]), ("a", [2.0, 3.0, 0.0, 5.0, 6.0]), ("b", [0.0] * 5)], "g string, v array<double>")
+    got = {tuple(r.v): r.problem for r in X.repair_carriers(rows, "g", "v", 0.1).collect()}
+    assert got == {(1, 2, 3, 4, 5): None, (2, 3, 4, 5, 6): None, (0,) * 5: "no_energy"}
+
+
+def test_quantiles(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, float(v)) for g, n in ((1, 1), (2, 2), (3, 501), (None, 7)) for v in rng.integers(0, 40, n) / 4] + [(9, None)]
+    df = spark.createDataFrame(rows, "g long, v double")
+    for r in quantiles(df, "v", [0.0, 0.25, 0.5, 0.95], "g").collect():
+        own = [v for g, v in rows if g == r.g]
+        assert r.n == len(own) and np.allclose(r.q, np.quantile(own, [0.0, 0.25, 0.5, 0.95]))
+    assert np.isclose(quantiles(df, "v", [0.5]).first().q[0], np.median([v for _, v in rows if v is not None]))
+    assert quantiles(df.limit(0), "v", [0.5]).first().n == 0 and quantiles(df.limit(0), "v", [0.5], "g").count() == 0
 
 
 def test_preprocess_is_standard(spark, files):
@@ -91,6 +105,26 @@ def test_preprocess_is_standard(spark, files):
         assert v.shape == (6, 4) and np.isfinite(v).all() and abs(v.mean()) < 1e-6
     odd = P.scan_packets(files.where("sample_id = 'good'")).withColumn("num_tx", F.lit(2).cast("smallint"))
     assert X.preprocess(odd, 6, 4).first().problem == "several_transmitters"
+    rows = [("silent", 0, [0] * 8), ("silent", 1, [0] * 8), ("one", 0, [0, 0, 3, 4, 0, 0, 0, 0]), ("none", 0, [])]
+    few = spark.createDataFrame([(n, k, 1, 1, len(iq) // 2, iq) for n, k, iq in rows], "sample_id string, packet_idx int, num_rx int, num_tx int, num_subcarriers int, iq array<smallint>")
+    assert {(r.sample_id, r.problem) for r in X.preprocess(few, 2, 2).collect()} == {("silent", "no_energy"), ("one", "one_usable_carrier"), ("none", "empty_dimension")}
+
+
+def test_preprocess_against_numpy(spark):
+    rng = np.random.default_rng(8)
+    iq = rng.integers(-900, 900, (20, 2, 24, 2))
+    iq[:, :, [0, 7, 22, 23]] = 0
+    packets = spark.createDataFrame([("s", k, 2, 1, 24, iq[k].ravel().tolist()) for k in range(20)], "sample_id string, packet_idx int, num_rx int, num_tx int, num_subcarriers int, iq array<smallint>")
+    level = np.log1p(np.sqrt((iq.astype(float) ** 2).sum(axis=-1)))
+    for rx in (0, 1):
+        for place, (lo, hi) in {0: (1, 1), 7: (6, 8), 22: (20, 21), 23: (20, 21)}.items():
+            level[:, rx, place] = np.interp(place, [lo, hi], level[0, rx, [lo, hi]]) if lo == hi else level[:, rx, lo] + (level[:, rx, hi] - level[:, rx, lo]) * (place - lo) / (hi - lo)
+    level[:, :, 0] = level[:, :, 1]
+    even = lambda n, k: [round(j * (n - 1) / (k - 1)) for j in range(k)]
+    want = level[even(20, 12)][:, :, even(24, 8)]
+    want = (want - want.mean(axis=(0, 2), keepdims=True)) / want.std(axis=(0, 2), keepdims=True)
+    got = {(r.rx, r.t): r["values"] for r in X.preprocess(packets, 12, 8).collect()}
+    assert len(got) == 24 and all(np.allclose(got[rx, t], want[t, rx], atol=1e-5) for rx, t in got)
 
 
 def test_cache(spark, files, tmp_path):

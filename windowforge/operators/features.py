@@ -4,88 +4,107 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from windowforge.functions.scalars import amplitudes, even_indices
+from windowforge.operators.profile import quantiles
 
-def even_places(n: int, target: int) -> np.ndarray:
-    return np.rint(np.linspace(0, n - 1, target)).astype(np.int64)
+#: Energy up to which a carrier counts as silent, and the least deviation that z-scores are divided by.
+SILENT, LEAST_DEVIATION = 1e-6, 1e-6
 
 
-def repair_carriers(amplitude: np.ndarray, energy: np.ndarray, ratio: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Carriers (the last axis) of too little energy, replaced by a line through their valid neighbours; and which are valid.
+def carrier_energy(rows: DataFrame, group: str, values: str) -> DataFrame:
+    """(group, carrier, energy): the median over rows of each place of an array. Values are counted, then ranked; no task holds a group."""
+    places = rows.select(group, F.posexplode(values).alias("carrier", "v"))
+    return quantiles(places, "v", [0.5], group, "carrier").select(group, "carrier", F.col("q")[0].alias("energy"))
+
 
-    Left of the first valid carrier its value is kept; right of the last one, the line through the last two goes on.
+def repair_plan(energy: DataFrame, group: str, ratio: float = 0.05) -> DataFrame:
+    """Adds valid, here (its own carrier and energy), left, right (those of the valid carriers it is to be drawn from), weight and problem to (group, carrier, energy).
+
+    A carrier is valid that isn't silent and has at least ``ratio`` of the median energy of those that aren't; if fewer than two are, all that
+    aren't silent. ``right`` is the next valid carrier, ``left`` the valid one before that; beyond the last, the last two, so that
+    their line goes on; before the first, twice the first. A group without any sound, or with one such carrier, has a problem.
     """
-    lit = energy > 0
-    if not lit.any():
-        return amplitude, lit
-    valid = lit & (energy >= ratio * np.median(energy[lit]))
-    if valid.sum() < 2:
-        valid = lit
-    at = np.flatnonzero(valid)
-    place = np.arange(len(energy))
-    right = np.clip(np.searchsorted(at, place, side="left"), 0, len(at) - 1)
-    left = np.clip(right - 1, 0, len(at) - 1)
-    span = at[right] - at[left]
-    weight = np.where(span > 0, (place - at[left]) / np.maximum(span, 1), 0.0)
-    line = amplitude[..., at[left]] * (1 - weight) + amplitude[..., at[right]] * weight
-    return np.where(valid, amplitude, line), valid
+    sounds, whole = F.col("energy") > SILENT, Window.partitionBy(group)
+    typical = energy.where(sounds).groupBy(group).agg(F.median("energy").alias("_typical"))  # as many values as carriers
+    judged = energy.join(typical, group, "left").withColumn("_strong", F.coalesce(sounds & (F.col("energy") >= ratio * F.col("_typical")), F.lit(False)))
+    judged = judged.withColumn("valid", F.when(F.count_if("_strong").over(whole) >= 2, F.col("_strong")).otherwise(F.coalesce(sounds, F.lit(False))))
+    n = F.count_if("valid").over(whole)
+    judged = judged.withColumn("problem", F.when(n == 0, "no_energy").when(n == 1, "one_usable_carrier"))
+    by, here = whole.orderBy("carrier"), F.struct(F.col("carrier").alias("at"), F.col("energy"))
+    before = F.last(F.when(F.col("valid"), here), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    pair = judged.withColumn("here", here).withColumn("_pair", F.when(F.col("valid"), F.struct(F.col("here").alias("right"), before.alias("left"))))
+    following = F.first("_pair", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    met = pair.withColumn("_met", F.coalesce(following, F.last("_pair", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    right, left = F.col("_met.right"), F.coalesce("_met.left", "_met.right")
+    span = right["at"] - left["at"]
+    weight = F.when(span > 0, (F.col("carrier") - left["at"]) / span).otherwise(0.0)
+    return met.select(group, "carrier", "energy", "valid", "here", left.alias("left"), right.alias("right"), weight.alias("weight"), "problem")
+
+
+def _drawn(of: Callable[[Column], Column], x: Column) -> Column:
+    """The value of a carrier of a plan, where ``of`` gives those of its neighbours."""
+    return F.when(x["valid"], of(x["here"])).otherwise(of(x["left"]) * (1 - x["weight"]) + of(x["right"]) * x["weight"])
 
 
-def preprocess(packets: DataFrame, n_time: int, n_freq: int, ratio: float = 0.05) -> DataFrame:
-    """packets (sample_id, packet_idx, num_rx, num_tx, num_subcarriers, iq) to sample_id, rx, t, values (array<float>), problem.
+def repaired_energy(energy: DataFrame, group: str, ratio: float = 0.05) -> DataFrame:
+    """(group, carrier, energy, repaired, valid, problem) of a table (group, carrier, energy); with a problem, nothing is repaired."""
+    plan = repair_plan(energy, group, ratio).withColumn("x", F.struct("valid", "here", "left", "right", "weight"))
+    return plan.select(group, "carrier", "energy", F.when(F.col("problem").isNull(), _drawn(lambda c: c["energy"], F.col("x"))).alias("repaired"), "valid", "problem")
 
-    log(1 + amplitude), repair, even choice of packets and carriers, population z-score per receiver in double precision. One task holds
-    one sample. Samples with several transmitters or no data have one row with their problem.
-    """
 
-    def run(table: pa.Table) -> pa.Table:
-        t = table.sort_by("packet_idx").combine_chunks()
-        sample = t.column("sample_id")[0].as_py()
-        rx, tx, sc = (t.column(c)[0].as_py() for c in ("num_rx", "num_tx", "num_subcarriers"))
-        if tx != 1 or not rx or not sc:
-            return _rows(sample, [], [], [], "several_transmitters" if tx and tx != 1 else "empty_dimension")
-        iq = t.column("iq").combine_chunks().flatten().to_numpy().reshape(t.num_rows, rx, sc, 2).astype(np.float64)
-        a = np.log1p(np.hypot(iq[..., 0], iq[..., 1]))
-        a, _ = repair_carriers(a, np.median(a, axis=(0, 1)), ratio)
-        a = a[even_places(t.num_rows, n_time)][:, :, even_places(sc, n_freq)].transpose(1, 0, 2)
-        flat = a.reshape(rx, -1)
-        z = (flat - flat.mean(axis=1, keepdims=True)) / np.maximum(flat.std(axis=1, keepdims=True), 1e-6)
-        if not np.isfinite(z).all():
-            return _rows(sample, [], [], [], "not_finite")
-        z = z.reshape(rx * n_time, n_freq)
-        return _rows(sample, np.repeat(np.arange(rx), n_time), np.tile(np.arange(n_time), rx), list(z.astype(np.float32)), None)
-
-    cols = ["sample_id", "packet_idx", "num_rx", "num_tx", "num_subcarriers", "iq"]
-    return packets.select(*cols).groupBy("sample_id").applyInArrow(run, "sample_id string, rx int, t int, values array<float>, problem string")
-
-
-def _rows(sample: str, rx, t, values, problem: str | None) -> pa.Table:
-    if problem:
-        rx, t, values = [None], [None], [None]
-    n = len(values)
-    return pa.table({"sample_id": pa.array([sample] * n, pa.string()), "rx": pa.array(rx, pa.int32()), "t": pa.array(t, pa.int32()), "values": pa.array(values, pa.list_(pa.float32())), "problem": pa.array([problem] * n, pa.string())})
+def _plans(plan: DataFrame, group: str, slots: DataFrame) -> DataFrame:
+    """(group, take, problem): for the slots (group, slot, carrier), in order, where their values come from."""
+    return (
+        plan.join(slots, [group, "carrier"])
+        .groupBy(group)
+        .agg(F.array_sort(F.collect_list(F.struct("slot", "valid", "here", "left", "right", "weight"))).alias("take"), F.max("problem").alias("problem"))
+    )
 
 
-def carrier_energy(rows: DataFrame, group: str, values: str) -> DataFrame:
-    """(group, carrier, energy): the median over rows of each place of an array."""
-    return rows.select(group, F.posexplode(values).alias("carrier", "v")).groupBy(group, "carrier").agg(F.median("v").alias("energy"))
+def _taken(values: Column, take: Column) -> Column:
+    return F.transform(take, lambda x: _drawn(lambda c: F.get(values, c["at"]), x))
 
 
-def repaired_energy(energy: DataFrame, group: str, ratio: float = 0.05) -> DataFrame:
-    """(group, carrier, energy, repaired, valid) of a table (group, carrier, energy)."""
+def repair_carriers(rows: DataFrame, group: str, values: str, ratio: float = 0.05) -> DataFrame:
+    """``rows`` with weak places of their array column replaced, as the energies of their group decide (``repair_plan``), and ``problem``."""
+    plan = repair_plan(carrier_energy(rows, group, values), group, ratio)
+    plans = _plans(plan, group, plan.select(group, "carrier", F.col("carrier").alias("slot")))
+    return rows.join(plans, group).withColumn(values, F.when(F.col("problem").isNull(), _taken(F.col(values), F.col("take"))).otherwise(F.col(values))).drop("take")
+
 
-    def run(table: pa.Table) -> pa.Table:
-        t = table.sort_by("carrier").combine_chunks()
-        e = t.column("energy").to_numpy()
-        fixed, valid = repair_carriers(e, e, ratio)
-        return t.append_column("repaired", pa.array(fixed)).append_column("valid", pa.array(valid))
+def preprocess(packets: DataFrame, n_time: int, n_freq: int, ratio: float = 0.05) -> DataFrame:
+    """packets (sample_id, packet_idx, num_rx, num_tx, num_subcarriers, iq) to sample_id, rx, t, values (array<float>), problem.
 
-    kind = dict(energy.dtypes)[group]
-    return energy.select(group, "carrier", "energy").groupBy(group).applyInArrow(run, f"{group} {kind}, carrier int, energy double, repaired double, valid boolean")
+    log(1 + amplitude), repair of weak carriers, even choice of packets and carriers, population z-score per receiver in double
+    precision. Samples that can't be used have one row with their problem: several_transmitters, empty_dimension, no_energy, one_usable_carrier or not_finite.
+    """
+    dims = ("num_rx", "num_tx", "num_subcarriers")
+    shape = packets.groupBy("sample_id").agg(F.count("*").alias("n"), *[F.coalesce(F.max(c), F.lit(0)).cast("int").alias(c) for c in dims])
+    empty = F.least(*dims) <= 0
+    shape = shape.withColumn("problem", F.when(empty, "empty_dimension").when(F.col("num_tx") > 1, "several_transmitters"))
+    fit = shape.where("problem IS NULL").drop("problem")
+    placed = packets.select("sample_id", "iq", (F.row_number().over(Window.partitionBy("sample_id").orderBy("packet_idx")) - 1).cast("long").alias("place")).join(fit, "sample_id")
+    level = F.transform(amplitudes(F.col("iq")), lambda a: F.log1p(a))
+    heard = placed.withColumn("level", level).select("sample_id", "place", "n", "num_subcarriers", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("num_rx") - 1), lambda r: F.slice("level", r * F.col("num_subcarriers") + 1, F.col("num_subcarriers")))).alias("rx", "level"))
+    plan = repair_plan(carrier_energy(heard, "sample_id", "level"), "sample_id", ratio)
+    slots = fit.select("sample_id", F.posexplode(even_indices(F.col("num_subcarriers"), n_freq)).alias("slot", "carrier"))
+    plans = _plans(plan, "sample_id", slots)
+    times = fit.select("sample_id", F.posexplode(even_indices(F.col("n"), n_time)).alias("t", "place"))
+    chosen = heard.join(times, ["sample_id", "place"]).join(plans.where("problem IS NULL").drop("problem"), "sample_id")
+    chosen = chosen.select("sample_id", "rx", "t", _taken(F.col("level"), F.col("take")).alias("x"))
+    each, total = Window.partitionBy("sample_id", "rx"), lambda f: F.aggregate("x", F.lit(0.0), lambda a, x: a + f(x))
+    size = F.sum(F.size("x")).over(each)
+    centred = chosen.withColumn("mean", F.sum(total(lambda x: x)).over(each) / size).withColumn("x", F.transform("x", lambda x: x - F.col("mean")))
+    spread = centred.withColumn("std", F.greatest(F.sqrt(F.sum(total(lambda x: x * x)).over(each) / size), F.lit(LEAST_DEVIATION)))
+    scored = spread.select("sample_id", "rx", "t", F.transform("x", lambda x: (x / F.col("std")).cast("float")).alias("values"))
+    odd = F.exists("values", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    scored = scored.withColumn("bad", F.max(odd).over(Window.partitionBy("sample_id")))
+    wrong = shape.select("sample_id", "problem").unionByName(plans.select("sample_id", "problem")).unionByName(scored.where("bad").select("sample_id", F.lit("not_finite").alias("problem")).distinct())
+    none = wrong.where("problem IS NOT NULL").select("sample_id", F.lit(None).cast("int").alias("rx"), F.lit(None).cast("int").alias("t"), F.lit(None).cast("array<float>").alias("values"), "problem")
+    return scored.where("NOT bad").select("sample_id", "rx", "t", "values", F.lit(None).cast("string").alias("problem")).unionByName(none)
 
 
 def build_feature_cache(samples: DataFrame, packets: DataFrame, path: str, signature: str, expected: str | None = None, build: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -17,12 +17,47 @@ def describe_nearest_rank(df: DataFrame, group: str, value: str) -> DataFrame:
     return ranked.groupBy(group).agg(F.max("_n").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), at(0.5).alias("p50"), at(0.95).alias("p95"))
 
 
+#: Ranges of values in which ranks are counted apart.
+RANGES = 64
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float], *group: str) -> DataFrame:
+    """group, n and q: the exact quantiles of a number at these shares, by a line between neighbours.
+
+    Equal values are counted first. Counts per range of values (64 at most, cut at approximate quantiles) tell in which ranges the ranks
+    lie; only those are sorted, each on its own, so neither a large group nor the whole table passes through one task.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
+    cuts = sorted(set(rows.approxQuantile("_v", [k / RANGES for k in range(1, RANGES)], 1 / (2 * RANGES))))
+    counts = rows.groupBy(*group, "_v").agg(F.count("*").alias("_k"))
+    counts = counts.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("_v"))) if cuts else F.lit(0))
+    whole = Window.partitionBy(*group)
+    per = counts.groupBy(*group, "_range").agg(F.sum("_k").alias("_in"))  # at most as many rows for a group as ranges
+    per = per.withColumn("n", F.sum("_in").over(whole)).withColumn("_upto", F.sum("_in").over(whole.orderBy("_range")))
+    place = {p: (F.col("n") - 1) * F.lit(float(p)) for p in shares}
+    ranks = F.array(*[f(x).cast("long") for x in place.values() for f in (F.floor, F.ceil)])
+    wanted = per.where(F.exists(ranks, lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_in"))))
+    wanted = wanted.select(*[F.col(k).alias(f"_{k}") for k in group], F.col("_range").alias("_of"), "n", (F.col("_upto") - F.col("_in")).alias("_before"))
+    met = F.col("_range") == F.col("_of")
+    for k in group:
+        met = met & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    seen = F.col("_before") + F.sum("_k").over(Window.partitionBy(*group, "_range").orderBy("_v"))
+    ranked = counts.join(wanted, met).withColumn("_seen", seen)
+    at = lambda r: F.min(F.when(F.col("_seen") > r, F.col("_v")))
+    ends = ranked.groupBy(*group).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[at(f(x)).alias(f"_{i}_{f.__name__}") for i, x in enumerate(place.values()) for f in (F.floor, F.ceil)])
+    line = [F.col(f"_{i}_floor") + (F.col(f"_{i}_ceil") - F.col(f"_{i}_floor")) * (x - F.floor(x)) for i, x in enumerate(place.values())]
+    return ends.select(*group, "n", F.array(*line).alias("q"))
+
+
 def describe_linear(df: DataFrame, value: str, target: float, *group: str) -> DataFrame:
     """n, min, p50, p95, max, mean, std of the population, and the mean's distance from a target, absolute and in percent."""
     v = F.col(value)
-    q = F.percentile(v, F.array(F.lit(0.5), F.lit(0.95)))
-    out = df.groupBy(*group).agg(F.count(v).alias("n"), F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
-    out = out.withColumn("p50", F.col("q")[0]).withColumn("p95", F.col("q")[1]).drop("q")
+    out = df.groupBy(*group).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+    q = quantiles(df, value, [0.5, 0.95], *group).select(*[F.col(k).alias(f"_{k}") for k in group], F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"))
+    met = F.lit(True)
+    for k in group:
+        met = met & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = out.join(q, met, "left").drop(*[f"_{k}" for k in group])
     return out.withColumn("delta", F.col("mean") - target).withColumn("delta_percent", (F.col("mean") - target) / target * 100)
 
 
@@ -69,8 +104,8 @@ def dataset_profile(df: DataFrame, label: str, value: str, background: Column) -
     """One row: samples, background, classes, quantiles of a value and the ratio of the largest to the smallest class, from counts per class."""
     per = df.groupBy(label).agg(F.count("*").alias("n"), F.count_if(background).alias("b"))
     shape = per.agg(F.sum("n").alias("samples"), F.sum("b").alias("background"), F.count("*").alias("classes"), (F.max("n") / F.min("n")).alias("imbalance"))
-    q = df.where(~background).agg(F.percentile(value, F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))).alias("q"))
-    return shape.crossJoin(F.broadcast(q)).select("*", F.col("q")[0].alias("least"), F.col("q")[1].alias("median"), F.col("q")[2].alias("most")).drop("q")
+    q = quantiles(df.where(~background), value, [0.0, 0.5, 1.0]).select(F.col("q")[0].alias("least"), F.col("q")[1].alias("median"), F.col("q")[2].alias("most"))
+    return shape.join(q, F.lit(True), "left")  # one row each
 
 
 def summary_table(parts: dict[str, DataFrame], key: str = "key", value: str = "value") -> DataFrame:
