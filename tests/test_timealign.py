@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from windowforge.operators import timealign as T
 
 
@@ -45,3 +48,33 @@ def test_index_method(spark):
     assert got["a"] == ("log_subcarrier_timestamp", [])
     assert got["b"][1] == ["csi_log_packet_count_mismatch_dat", "csi_packet_count_mismatch_manifest"]
     assert got["c"] == ("manifest_sample_window_linear", ["missing_csi_packet_log_times"])
+
+
+@pytest.mark.parametrize("bucket", [7, 32, 1000])
+def test_match_recording_against_brute_force(spark, bucket):
+    rng = random.Random(bucket)
+    recs = [(f"r{rng.randrange(10)}{k}", a := rng.randrange(-300, 900), a + rng.choice([0, 3, 20, 60, 300, 1500])) for k in range(60)]
+    wins = [(k, a := rng.randrange(-400, 1100), a + rng.choice([-1, 0, 1, 6, 7, 8, 14, 15, 40, 200])) for k in range(150)]
+    got = T.match_recording(spark.createDataFrame(wins, "window_id long, a long, b long"), spark.createDataFrame(recs, "recording string, first_us long, last_us long"), bucket)
+    for r in got.collect():
+        holds = [(z - f, n) for n, f, z in recs if f <= r.a and r.b <= z]
+        meets = [(max(r.a, f) - min(r.b, z), n) for n, f, z in recs if r.a <= z and f <= r.b]
+        want = (None, None) if r.b < r.a or not meets else (min(holds)[1], True) if holds else (min(meets)[1], False)
+        assert (r.recording, r.contained) == want
+    assert got.count() == len(wins)
+
+
+def test_cells_change_nothing(spark):
+    rng = random.Random(1)
+    frames = spark.createDataFrame([(f"r{k % 3}", rng.randrange(500), k) for k in range(200)], "recording string, t long, frame_idx long")
+    points = spark.createDataFrame([(k, f"r{k % 4}", rng.randrange(-50, 560)) for k in range(150)], "point_id long, recording string, t long")
+    wins = points.selectExpr("point_id AS window_id", "recording", "t AS a", "t + point_id % 40 - 3 AS b")
+    rows = lambda df: sorted(map(str, df.collect()))
+    placed = T.positions(frames)
+    assert rows(placed) == rows(T.positions(frames, 13))
+    assert rows(T.nearest_frame(points, placed)) == rows(T.nearest_frame(points, placed, 13))
+    ranges = T.packet_range(wins, frames)
+    assert rows(ranges) == rows(T.packet_range(wins, frames, 13))
+    cut = T.in_ranges(wins.join(ranges, "window_id").drop("flags"), placed, "recording", "pos", 5)
+    by_hand = {(w.window_id, f.frame_idx) for w in wins.join(ranges, "window_id").collect() for f in placed.collect() if f.recording == w.recording and w.start_idx <= f.pos <= w.end_idx}
+    assert {(r.window_id, r.frame_idx) for r in cut.collect()} == by_hand

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from windowforge.functions.scalars import flag_list, flagged
 from windowforge.operators.checks import require_none
+from windowforge.operators.timealign import in_ranges
 
 # The layout of a record.
 HEADER = 272
@@ -121,9 +122,11 @@ def packet_problems(packets: DataFrame) -> DataFrame:
 
 
 def slice_packets(packets: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Packets of each window (window_id, sample_id, start_idx, end_idx), and counts written against expected with a status."""
-    good = windows.where("start_idx >= 0 AND end_idx >= start_idx")
-    inside = packets.where("problem IS NULL").join(good, "sample_id").where("packet_idx BETWEEN start_idx AND end_idx")
+    """Packets of each window (window_id, sample_id, start_idx, end_idx), and counts written against expected with a status.
+
+    A window meets the packets of its own buckets of indices only.
+    """
+    inside = in_ranges(windows, packets.where("problem IS NULL"), "sample_id", "packet_idx")
     written = inside.groupBy("window_id").agg(F.count("*").alias("written"))
     expected = F.when((F.col("start_idx") >= 0) & (F.col("end_idx") >= F.col("start_idx")), F.col("end_idx") - F.col("start_idx") + 1)
     report = windows.join(written, "window_id", "left").select("window_id", expected.alias("expected"), F.coalesce("written", F.lit(0)).alias("written"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from windowforge.functions.scalars import flag_list, flagged, series_rate
 
-#: Frames of a bucket where windows meet the gaps between frames.
-FRAME_BUCKET = 256
+#: Frames of a bucket where windows meet the gaps between frames; units of time of a cell in which frames, packets and points are sorted together.
+FRAME_BUCKET, CELL = 256, 86_400_000_000
 
 
 def recording_stats(frames: DataFrame) -> DataFrame:
@@ -18,51 +18,92 @@ def recording_stats(frames: DataFrame) -> DataFrame:
 
 
 def match_recording(windows: DataFrame, recordings: DataFrame, bucket: int) -> DataFrame:
-    """Adds recording (or null) to windows (window_id, a, b): the shortest that contains [a, b], else the one that overlaps it most; then the
-    smallest name. Intervals meet in time buckets of ``bucket`` units, each pair in the first that both touch."""
-    cells = lambda df, lo, hi: df.withColumn("cell", F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor(F.col(hi) / bucket))))
-    w = cells(windows.where("b >= a").select("window_id", "a", "b"), "a", "b")
-    r = cells(recordings.select("recording", "first_us", "last_us"), "first_us", "last_us")
-    met = w.join(r, "cell").where((F.col("a") <= F.col("last_us")) & (F.col("first_us") <= F.col("b")) & (F.col("cell") == F.floor(F.greatest("a", "first_us") / bucket)))
-    holds = (F.col("first_us") <= F.col("a")) & (F.col("b") <= F.col("last_us"))
+    """Adds recording (or null) and contained to windows (window_id, a, b): the shortest that contains [a, b], else the one that overlaps it most; then the
+    smallest name.
+
+    A window lies whole in one cell of two strides; a stride has ``bucket`` units, doubled until the window is no longer than it. Of the recordings that cover a
+    whole cell, the cell keeps the best one. Those that only begin or only end there are sorted together with the windows, so that the
+    best so far needs no pairs. Pairs are formed with recordings that lie within the cell, and, for windows that nothing contains, with those that begin or end there.
+    """
+    level = F.length(F.bin(F.floor((F.col("b") - F.col("a") - 1) / bucket)))
+    w = windows.where("b >= a").select("window_id", "a", "b", F.when(F.col("b") - F.col("a") > bucket, level).otherwise(0).alias("level"))
+    stride = F.lit(bucket).cast("long") * F.pow(F.lit(2), F.col("level")).cast("long")
+    w = w.withColumn("cell", F.floor(F.col("a") / stride))
+    levels = [r["level"] for r in w.select("level").distinct().collect()]  # at most 63 of them
+    if not levels:
+        return windows.withColumn("recording", F.lit(None).cast(recordings.schema["recording"].dataType)).withColumn("contained", F.lit(None).cast("boolean"))
+    r = recordings.select("recording", "first_us", "last_us", F.explode(F.array(*map(F.lit, levels))).alias("level"))
+    r = r.withColumn("cell", F.explode(F.sequence(F.floor(F.col("first_us") / stride) - 1, F.floor(F.col("last_us") / stride))))
+    begins, ends = F.col("first_us") > F.col("cell") * stride, F.col("last_us") < (F.col("cell") + 2) * stride
+    r = r.withColumn("begins", begins).withColumn("ends", ends).withColumn("rank", F.struct((F.col("last_us") - F.col("first_us")).alias("length"), "recording"))
+    key = ["level", "cell"]
+    covering = r.where("NOT begins AND NOT ends").groupBy(*key).agg(F.min("rank").alias("covering"))
+    # begun by a, and lasting to the end of the cell; ended at b or later, and there from its beginning
+    none = F.lit(None)
+    points = w.select(*key, "window_id", "a", "b", F.lit(1).alias("kind"), none.cast(r.schema["rank"].dataType).alias("rank"))
+    sides = r.where("begins <> ends").select(*key, none.cast(w.schema["window_id"].dataType).alias("window_id"), F.when(F.col("begins"), F.col("first_us")).alias("a"), F.when(F.col("ends"), F.col("last_us")).alias("b"), F.lit(0).alias("kind"), "rank")
+    upto = lambda *order: Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    both = points.unionByName(sides)
+    both = both.withColumn("begun", F.min(F.when(F.col("a").isNotNull(), F.col("rank"))).over(upto("a", "kind"))).withColumn("ending", F.min(F.when(F.col("b").isNotNull(), F.col("rank"))).over(upto(F.desc("b"), "kind")))
+    inner = r.where("begins AND ends").select(*key, "first_us", "last_us", "rank")
+    within = w.join(inner, key).where("first_us <= a AND b <= last_us").groupBy("window_id").agg(F.min("rank").alias("within"))
+    held = both.where("kind = 1").join(covering, key, "left").join(within, "window_id", "left").withColumn("best", F.least("begun", "ending", "covering", "within"))
+    open_ = held.where("best IS NULL").select("window_id", "a", "b", *key)
+    met = open_.join(r.where("begins OR ends").select(*key, "recording", "first_us", "last_us"), key).where((F.col("a") <= F.col("last_us")) & (F.col("first_us") <= F.col("b")))
     overlap = F.least("b", "last_us") - F.greatest("a", "first_us")
-    order = F.struct(F.when(holds, 0).otherwise(1).alias("k"), F.when(holds, F.col("last_us") - F.col("first_us")).otherwise(-overlap).alias("v"), "recording", holds.alias("holds"))
-    best = met.groupBy("window_id").agg(F.min(order).alias("m")).select("window_id", F.col("m.recording").alias("recording"), F.col("m.holds").alias("contained"))
-    return windows.join(best, "window_id", "left")
+    most = met.groupBy("window_id").agg(F.min(F.struct((-overlap).alias("less"), "recording")).alias("most"))
+    out = held.select("window_id", "best").join(most, "window_id", "left")
+    out = out.select("window_id", F.coalesce("best.recording", "most.recording").alias("recording"), F.when(F.col("best").isNotNull(), True).when(F.col("most").isNotNull(), False).alias("contained"))
+    return windows.join(out, "window_id", "left")
+
+
+def _before(rows: DataFrame, n: str) -> DataFrame:
+    """(recording, cell, before, total) of counts (recording, cell, ``n``): those of the cells before it, and of all."""
+    whole = Window.partitionBy("recording")
+    return rows.select("recording", "cell", (F.sum(n).over(whole.orderBy("cell")) - F.col(n)).alias("before"), F.sum(n).over(whole).alias("total"))
 
 
-def nearest_frame(points: DataFrame, frames: DataFrame) -> DataFrame:
+def nearest_frame(points: DataFrame, frames: DataFrame, cell: int = CELL) -> DataFrame:
     """points (point_id, recording, t) with the frame (frame_idx, pos, diff_us) nearest in time within the recording; of two as near, the later.
 
-    Of equal earlier stamps the last counts, of equal later ones the first. One shuffle by recording and two sorts.
+    Of equal earlier stamps the last counts, of equal later ones the first. Points and frames are sorted together in cells of time, so a
+    long recording is many tasks; what lies nearest beyond a cell comes from a table of its cells.
     """
-    none = F.lit(None)
-    p = points.select("recording", "t", F.lit(0).alias("kind"), none.cast("long").alias("frame_idx"), none.cast("long").alias("pos"), "point_id")
-    f = frames.select("recording", "t", F.lit(1).alias("kind"), "frame_idx", "pos", none.cast("long").alias("point_id"))
-    both = p.unionByName(f).withColumn("f", F.when(F.col("kind") == 1, F.struct("t", "frame_idx", "pos")))
-    up = Window.partitionBy("recording").orderBy("t", "kind", "pos").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy("recording").orderBy(F.desc("t"), F.desc("kind"), F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    near = both.withColumn("l", F.last("f", ignorenulls=True).over(up)).withColumn("r", F.last("f", ignorenulls=True).over(down)).where("kind = 0")
+    none, key = F.lit(None), ["recording", "cell"]
+    frame = F.struct("t", "pos", "frame_idx")
+    p = points.select("recording", "t", F.lit(0).alias("kind"), none.cast("long").alias("pos"), none.cast(frames.select(frame.alias("f")).schema["f"].dataType).alias("f"), "point_id")
+    f = frames.select("recording", "t", F.lit(1).alias("kind"), "pos", frame.alias("f"), none.cast("long").alias("point_id"))
+    both = p.unionByName(f).withColumn("cell", F.floor(F.col("t") / cell))
+    way = lambda *order: Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = both.withColumn("l", F.last("f", ignorenulls=True).over(way("t", "kind", "pos"))).withColumn("r", F.last("f", ignorenulls=True).over(way(F.desc("t"), F.desc("kind"), F.desc("pos")))).where("kind = 0")
+    by = Window.partitionBy("recording").orderBy("cell")
+    beyond = both.groupBy(*key).agg(F.max("f").alias("hi"), F.min("f").alias("lo"))
+    beyond = beyond.select(*key, F.last("hi", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("lo", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    near = inside.join(beyond, key).withColumn("l", F.coalesce("l", "before")).withColumn("r", F.coalesce("r", "after"))
     pick = F.when(F.col("l").isNull(), F.col("r")).when(F.col("r").isNull(), F.col("l")).when(F.col("r.t") - F.col("t") <= F.col("t") - F.col("l.t"), F.col("r")).otherwise(F.col("l"))
     return near.withColumn("n", pick).select("point_id", "recording", "t", F.col("n.frame_idx").alias("frame_idx"), F.col("n.pos").alias("pos"), (F.col("n.t") - F.col("t")).alias("diff_us"))
 
 
-def positions(frames: DataFrame) -> DataFrame:
-    """Adds pos, the place of a frame in its recording, by (t, frame_idx)."""
-    return frames.withColumn("pos", (F.row_number().over(Window.partitionBy("recording").orderBy("t", "frame_idx")) - 1).cast("long"))
+def positions(frames: DataFrame, cell: int = CELL) -> DataFrame:
+    """Adds pos, the place of a frame in its recording, by (t, frame_idx); counted in cells of time."""
+    f = frames.withColumn("cell", F.floor(F.col("t") / cell))
+    before = _before(f.groupBy("recording", "cell").agg(F.count("*").alias("n")), "n").drop("total")
+    place = F.row_number().over(Window.partitionBy("recording", "cell").orderBy("t", "frame_idx")) - 1
+    return f.withColumn("pos", place.cast("long")).join(before, ["recording", "cell"]).withColumn("pos", F.col("pos") + F.col("before")).select(*frames.columns, "pos")
 
 
-def packet_range(windows: DataFrame, packets: DataFrame) -> DataFrame:
+def packet_range(windows: DataFrame, packets: DataFrame, cell: int = CELL) -> DataFrame:
     """start_idx, end_idx and flags of windows (window_id, recording, a, b) among the packets (recording, t): counts of packets before a, and up to b.
 
-    Windows and packets are sorted together, so no pair of them is ever formed.
+    Windows and packets are sorted together in cells of time, so no pair of them is ever formed, and a long recording is many tasks.
     """
     ends = windows.select("recording", F.explode(F.array(F.struct(F.col("a").alias("t"), F.lit(0).alias("kind")), F.struct(F.col("b").alias("t"), F.lit(2).alias("kind")))).alias("e"), "window_id")
     rows = ends.select("recording", "e.t", "e.kind", "window_id").unionByName(packets.select("recording", "t", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("window_id")))
+    rows = rows.withColumn("cell", F.floor(F.col("t") / cell))
     is_packet = (F.col("kind") == 1).cast("long")
-    seen = F.sum(is_packet).over(Window.partitionBy("recording").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum(is_packet).over(Window.partitionBy("recording"))
-    marks = rows.withColumn("seen", seen).withColumn("n", total).where("kind <> 1")
+    before = _before(rows.groupBy("recording", "cell").agg(F.sum(is_packet).alias("k")), "k")
+    seen = F.sum(is_packet).over(Window.partitionBy("recording", "cell").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    marks = rows.withColumn("seen", seen).where("kind <> 1").join(before, ["recording", "cell"]).withColumn("seen", F.col("seen") + F.col("before")).withColumnRenamed("total", "n")
     at = lambda k: F.max(F.when(F.col("kind") == k, F.col("seen")))
     out = marks.groupBy("window_id").agg(F.max("n").alias("n"), at(0).alias("before"), at(2).alias("upto")).where("n > 0")
     clamp = lambda x: F.greatest(F.lit(0), F.least(F.col("n") - 1, x))
@@ -72,6 +113,16 @@ def packet_range(windows: DataFrame, packets: DataFrame) -> DataFrame:
     return out.select("window_id", "start_idx", "end_idx", flags.alias("flags"))
 
 
+def in_ranges(ranges: DataFrame, rows: DataFrame, owner: str, place: str, width: int = FRAME_BUCKET) -> DataFrame:
+    """``rows`` (``owner``, ``place``, ..) that lie in ranges (``owner``, start_idx, end_idx, ..) of places, once for each range.
+
+    A range meets the rows of its own buckets of ``width`` places only.
+    """
+    bucket = lambda c: F.floor(F.col(c) / width)
+    wide = ranges.where("start_idx >= 0 AND end_idx >= start_idx").withColumn("_bucket", F.explode(F.sequence(bucket("start_idx"), bucket("end_idx"))))
+    return rows.withColumn("_bucket", bucket(place)).join(wide, [owner, "_bucket"]).where(F.col(place).between(F.col("start_idx"), F.col("end_idx"))).drop("_bucket")
+
+
 def index_method(files: DataFrame, logs: DataFrame) -> DataFrame:
     """files (sample_id, n_packets, declared) and logs (sample_id, n_times) to method and flags."""
     both = files.join(logs, "sample_id", "left")
@@ -93,9 +144,11 @@ def day_offsets(rows: DataFrame, sample: str, order: str, clock: str) -> DataFra
 
 
 def frame_gaps(frames: DataFrame) -> DataFrame:
-    """(recording, pos, gap): time since the frame before."""
-    w = Window.partitionBy("recording").orderBy("pos")
-    return frames.withColumn("gap", F.col("t") - F.lag("t").over(w)).where("gap IS NOT NULL").select("recording", "pos", "gap")
+    """(recording, pos, gap): time since the frame before; pos runs without gaps. Sorted in buckets, whose edges meet by their numbers."""
+    f = frames.select("recording", "pos", "t", F.floor(F.col("pos") / (FRAME_BUCKET << 4)).alias("cell"))
+    last = f.groupBy("recording", (F.col("cell") + 1).alias("cell")).agg(F.max("t").alias("before"))
+    own = F.lag("t").over(Window.partitionBy("recording", "cell").orderBy("pos"))
+    return f.withColumn("own", own).join(last, ["recording", "cell"], "left").select("recording", "pos", (F.col("t") - F.coalesce("own", "before")).alias("gap")).where("gap IS NOT NULL")
 
 
 def max_gap(ranges: DataFrame, frames: DataFrame) -> DataFrame:

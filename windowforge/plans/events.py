@@ -75,7 +75,7 @@ def max_gap(spark, d):
 
 def sync_index(spark, d):
     e = _events(spark, d)
-    out = T.sync_index(_windows(e, 24).drop("recording"), _frames(e), 5 * DAY, HOUR, 12 * HOUR)
+    out = T.sync_index(_windows(e, 24).drop("recording"), _frames(e), DAY, HOUR, 12 * HOUR)
     return out.withColumn("flags", F.concat_ws(";", "flags"))
 
 
@@ -86,14 +86,20 @@ def padded_range(spark, d):
     return ranges.join(stats, "recording").select("window_id", lo.alias("frame_start"), hi.alias("frame_end"))
 
 
+def _written(e: DataFrame, w: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Packets cut out for each window by its range, those of its time."""
+    packets = T.positions(e.select("recording", "t", F.col("event_id").alias("frame_idx"))).select("recording", "pos", "t")
+    inside = T.in_ranges(w.join(ranges.select("window_id", "start_idx", "end_idx"), "window_id"), packets, "recording", "pos")
+    return inside.where("t BETWEEN a AND b").groupBy("window_id").agg(F.count("*").alias("written"))
+
+
 def slice_counts(spark, d):
     """Packets written for each window against those its range promises."""
     e = _events(spark, d)
     w = _windows(e, 24)
-    packets = e.select("recording", "t")
-    written = w.join(packets, "recording").where("t BETWEEN a AND b").groupBy("window_id").agg(F.count("*").alias("written"))
-    expected = T.packet_range(w, packets).select("window_id", F.greatest(F.lit(0), F.col("end_idx") - F.col("start_idx") + 1).alias("expected"))
-    out = expected.join(written, "window_id", "left").withColumn("written", F.coalesce("written", F.lit(0)))
+    ranges = T.packet_range(w, e.select("recording", "t"))
+    expected = ranges.select("window_id", F.greatest(F.lit(0), F.col("end_idx") - F.col("start_idx") + 1).alias("expected"))
+    out = expected.join(_written(e, w, ranges), "window_id", "left").withColumn("written", F.coalesce("written", F.lit(0)))
     return out.withColumn("status", F.when(F.col("written") == F.col("expected"), "ok").otherwise("count_mismatch"))
 
 
@@ -197,7 +203,7 @@ def slice_windows(spark, d):
     ranges, frames = _day_ranges(e)
     w = _windows(e, 24)
     index = T.packet_range(w, e).drop("flags").join(ranges, "window_id")
-    written = w.join(e.select("recording", F.col("t").alias("at")), "recording").where("at BETWEEN a AND b").groupBy("window_id").agg(F.count("*").alias("written"))
+    written = _written(e, w, index.select("window_id", "start_idx", "end_idx"))
     totals = T.recording_stats(frames).select("recording", "n_frames", (F.col("fps") * 3600).alias("fps"))
     return I.slice_windows(index, written, totals, 1.5, 2.5)
 
