@@ -48,14 +48,66 @@ def test_leaks(spark, monkeypatch):
     items = [(i, t) for i, t in enumerate(["Which of these alpha beta gamma delta epsilon zeta is it? The answer is eta theta iota kappa.", "quick brown fox jumps over the lazy dog again. It runs home slowly and sleeps", "", None, "!!!"])]
     table = spark.createDataFrame([(*x, "q") for x in items], "item_id long, text string, doc_id string")
     rows = texts() + [(70, "a b c " * 50 + items[0][1].upper() + " d e f" * 90), (71, items[1][1] + " " + items[0][1]), (72, "Which of these alpha beta gamma"), (None, items[1][1])]
-    for size in (128 << 10, 10):
+    for size, sent, group in ((128 << 10, 1 << 30, 1 << 30), (10, 1 << 30, 50), (10, 1, 1 << 30)):
         monkeypatch.setattr(D, "INDEX_BYTES", size)
+        monkeypatch.setattr(D, "MOST_SENT", sent)
+        monkeypatch.setattr(D, "GROUP_BYTES", group)
         got = D.find_leaks(documents(spark, rows), D.build_indexes(table)).where("n_items > 0").collect()
         assert sorted((str(r.doc_id), r.item_ids) for r in got) == [("70", [0]), ("71", [0, 1]), ("None", [1])]
     assert D.find_leaks(documents(spark, rows), D.build_indexes(table.limit(0))).where("n_items > 0").isEmpty()
     assert D.find_leaks(documents(spark, []), D.build_indexes(table)).count() == 0
 
 
+def brute_leaks(docs, items, threshold=0.5):
+    """BM25 of every item for every passage, in plain Python, and shares of n-grams."""
+    import math
+    import re
+    from collections import Counter
+
+    words = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {(x,) for x in w}
+    split = {i: D.split_item(t or "") for i, t in items}
+    own = {i: words(" ".join(split[i])) for i, _ in items}
+    own = {i: w for i, w in own.items() if w}
+    df, mean = Counter(x for w in own.values() for x in set(w)), sum(map(len, own.values())) / max(1, len(own))
+    weight = {i: {x: math.log1p((len(own) - df[x] + 0.5) / (df[x] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x, f in Counter(w).items()} for i, w in own.items()}
+    half, out = max(64, 2 * max(map(len, own.values()))) // 2, []
+    for d, t in docs:
+        w, hit = words(t), set()
+        for k in range(0, max(1, len(w)), half):
+            part = w[k : k + 2 * half]
+            seen, five = set(part), grams(part) if len(part) >= 5 else set()
+            for i, x in weight.items():
+                if sum(v for y, v in x.items() if y in seen) / sum(x.values()) >= threshold - 1e-6:
+                    q, a = (words(y) for y in split[i])
+                    a = own[i] if len(a) < 5 else a
+                    share = lambda g: max(sum(y in five for y in g) / len(g), sum(y[0] in seen for y in g) / len(g) if len(next(iter(g))) == 1 else 0) if g else 1
+                    if share(grams(q)) >= 0.5 and share(grams(a)) >= 0.5:
+                        hit.add(i)
+        out.append((d, sorted(hit)))
+    return out
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    """The registered query on the small table, whole, and on odd documents."""
+    sf = "/root/testdata/sf0.001"
+    docs, items = ([tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(*c).collect()] for t, c in (("documents", ("doc_id", "text")), ("benchmark", ("item_id", "text"))))
+    got = sorted((r.doc_id, r.item_ids) for r in D.op7_decontamination(spark, sf).collect())
+    assert got == sorted(brute_leaks(docs, items)) and any(x for _, x in got)
+    odd = [*texts(), *((900 + i, " ".join((t or "").split()[:-1])) for i, t in items[:40])]
+    have = D.find_leaks(documents(spark, odd), D.build_indexes(spark.read.parquet(f"{sf}/benchmark.parquet"))).collect()
+    assert sorted((str(r.doc_id), r.item_ids) for r in have) == sorted((str(d), x) for d, x in brute_leaks(odd, items))
+
+
+def test_sent_indexes_are_small(spark):
+    import pickle
+
+    table = spark.read.parquet(f"{SF}/benchmark.parquet")
+    size = sum(len(r.text) for r in table.collect())
+    (indexes,) = D.build_indexes(table).passes()
+    assert len(pickle.dumps(indexes)) < 25 * size
+
+
 def test_whole_items_are_found(spark):
     import duckdb
 
