@@ -27,7 +27,11 @@ def test_even_indices(spark, n, k, places):
 def test_rules(spark):
     kind = lambda e: tuple(one(spark, S.clip_rule(F.lit(e))))
     assert kind("X_R001") == ("exact", None, None, None, "X_R001")
-    assert kind("X_R003 – 007")[:4] == ("range", "X", 3, 7)
+    assert kind("X_R003–007")[:4] == ("range", "X", 3, 7)
+    assert kind("X_R003 – 007") == ("exact", None, None, None, "X_R003 - 007")
+    assert kind("X_*_a")[:2] == ("prefix", "X_") and kind(" * ")[:2] == ("prefix", "")
+    assert [kind(e)[0] for e in ("X_R3-7", "X_R003-R007", "X_R10之后", "_R003-007")] == ["exact"] * 4
+    assert kind("P  1_R003-007")[:4] == ("range", "P 1", 3, 7)
     assert kind("X_R010 之后")[:3] == ("from", "X", 10)
     assert kind("X_*")[:2] == ("prefix", "X_")
 
@@ -83,3 +87,8 @@ def test_last_and_first_rows(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, None)], "k string, at int, v string")
     assert {(r.k, r.v) for r in Q.last_rows(df, "k", "at").collect()} == {("a", "y"), ("b", None)}
     assert {(r.k, r.v) for r in Q.first_rows(df, "k", "at").collect()} == {("a", "x"), ("b", None)}
+
+
+def test_fixed_digits(spark):
+    shown = lambda v: one(spark, S.fixed(F.lit(v).cast("double"), 2))
+    assert [shown(v) for v in (1.006, -2.0, None, "nan", "inf", "-inf")] == ["1.01", "-2.00", "", "", "", ""]

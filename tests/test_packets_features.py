@@ -184,7 +184,7 @@ def test_logs_frames_rules_and_lists(spark, tmp_path):
     (tmp_path / "Video" / "x" / "c_video_timestamps.csv").write_text("frame_idx,unix_time_ns\n0,1719999999999999999\nbad,5\n1,1720000000000000003\n")
     frames = R.scan_frame_times(spark, str(tmp_path / "Video")).orderBy("frame_idx").collect()
     assert [r.unix_time_ns for r in frames] == [1719999999999999999, 1720000000000000003] and frames[0].video.endswith("x/c.mp4")
-    (tmp_path / "rules.md").write_text("## Intro\n| a | `skip` | x | y | z |\n## Detail\n| S | expr | c | d | r | n |\n|--|--|--|--|--|--|\n| S1 | **`X_R003–007`** | shake | long | done | 1 |\n## End\n| S2 | `no` | c | d | r | n |\n", encoding="utf-8")
+    (tmp_path / "rules.md").write_text("## Intro\n| a | `skip` | x | y | z |\n  ## Detail of it\n| # | S | `expr` | c | d | r |\n|--|--|--|--|--|--|\n  | 1 | **S1** | **`X_R003–007`** | shake | long | **done** |\n| 2 | | `x` | a | b | c |\n## End\n| 3 | S2 | `no` | c | d | r |\n## Detail\n| 4 | S3 | `no` | c | d | r |\n", encoding="utf-8")
     rules = R.read_review_rules(spark, str(tmp_path / "rules.md"), "Detail").collect()
     assert [(r.session_id, r.clip_expr, r.category, r.resample_status) for r in rules] == [("S1", "X_R003–007", "shake", "done")]
     (tmp_path / "ids.txt").write_text("# c\n a \n\nb\n")
@@ -221,3 +221,34 @@ def test_sinks(spark, tmp_path):
     preds = spark.createDataFrame([(1, "a", 0, 1), (1, "b", 1, 1)], "run int, sample_id string, true int, pred int")
     S.write_evaluation(preds, spark.createDataFrame([(0,), (1,)], "label int"), str(tmp_path / "e"))
     assert spark.read.parquet(str(tmp_path / "e" / "metrics")).first().accuracy == 0.5
+
+
+def test_first_packets_only(spark, files):
+    trail = files.where("sample_id = 'trail'")
+    with pytest.raises(ViolationError):
+        P.read_packets(trail)
+    assert [r.packet_idx for r in P.read_packets(trail, max_packets=2).orderBy("packet_idx").collect()] == [0, 1]
+    with pytest.raises(ValueError):
+        P.read_packets(trail, max_packets=0)
+
+
+def test_decoders_are_checked(spark, tmp_path):
+    samples = spark.createDataFrame([("a", "S1"), ("b", "S1"), ("c", "S1")], "sample_id string, session_id string")
+    packets = samples.select("sample_id")
+    rows = spark.createDataFrame([("a", 0, 0, [1.0, 2.0], None), ("b", 0, 0, [1.0], None), ("c", 0, 0, [1.0, float("nan")], None)], "sample_id string, rx int, t int, values array<float>, problem string")
+    got = X.build_feature_cache(samples, packets, str(tmp_path / "c"), "v", build=lambda p: rows, shape=(1, 2))
+    assert {r.sample_id: r.status for r in got.collect()} == {"a": "built", "b": "failed", "c": "failed"}
+    with pytest.raises(ValueError, match="features need"):
+        X.build_feature_cache(samples, packets, str(tmp_path / "d"), "v", build=lambda p: rows.drop("t"))
+
+
+def test_row_hook(spark):
+    from windowforge.operators.process import process_rows
+
+    def one(row):
+        if row["a"] == 2:
+            raise KeyError("no")
+        return {"x": row["a"] * 2 if row["a"] != 3 else "text", "more": 1}
+
+    got = process_rows(spark.createDataFrame([(1,), (2,), (3,), (None,)], "a long"), one, "x long, y string").collect()
+    assert got[0][:] == (2, None, None) and got[1].error.startswith("KeyError") and got[2].error and got[3].error.startswith("TypeError")

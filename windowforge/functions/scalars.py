@@ -21,8 +21,9 @@ def to_float(c: Column) -> Column:
 
 
 def fixed(c: Column, digits: int) -> Column:
-    """Fixed digits for export; empty for null."""
-    return F.coalesce(F.format_string(f"%.{digits}f", c.cast("double")), F.lit(""))
+    """Fixed digits for export, half up by the shortest decimal form of the number; empty for null and what isn't finite."""
+    number = c.cast("double")
+    return F.when(F.abs(number) < float("inf"), F.format_string(f"%.{digits}f", number)).otherwise("")
 
 
 def sorted_json(names: list[str]) -> Column:
@@ -132,12 +133,16 @@ def trial_number(sample: Column) -> Column:
 
 
 def clip_rule(expr: Column) -> Column:
-    """A reviewer's clip expression as struct(kind, prefix, low, high, exact)."""
-    text = F.trim(F.regexp_replace(F.regexp_replace(expr, "[–—]", "-"), r"\s+", ""))
-    after, span = r"^(.*)_R(\d+)(?:之后)$", r"^(.*)_R(\d+)-R?(\d+)$"
-    kind = F.when(text.endswith("*"), "prefix").when(text.rlike(after), "from").when(text.rlike(span), "range").otherwise("exact")
+    """A reviewer's clip expression as struct(kind, prefix, low, high, exact).
+
+    Dashes count as hyphens, white space as one blank. With a ``*``, whatever begins as what stands before the first one; trials (three digits each)
+    from one on or between two; anything else names one sample.
+    """
+    text = F.trim(F.regexp_replace(F.regexp_replace(expr, "[–—]", "-"), r"(?U)\s+", " "))
+    after, span = r"^(.+)_R(\d{3}) ?之后$", r"^(.+)_R(\d{3})-(\d{3})$"
+    kind = F.when(text.contains("*"), "prefix").when(text.rlike(after), "from").when(text.rlike(span), "range").otherwise("exact")
     pick = lambda p, g: F.regexp_extract(text, p, g)
-    prefix = F.when(kind == "prefix", F.regexp_replace(text, r"\*$", "")).when(kind == "from", pick(after, 1)).when(kind == "range", pick(span, 1))
+    prefix = F.when(kind == "prefix", F.substring_index(text, "*", 1)).when(kind == "from", pick(after, 1)).when(kind == "range", pick(span, 1))
     low = F.when(kind == "from", pick(after, 2).try_cast("int")).when(kind == "range", pick(span, 2).try_cast("int"))
     high = F.when(kind == "range", pick(span, 3).try_cast("int"))
     return F.struct(kind.alias("kind"), prefix.alias("prefix"), low.alias("low"), high.alias("high"), F.when(kind == "exact", text).alias("exact"))

@@ -87,6 +87,14 @@ def file_lists(index: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return index.select(key, F.posexplode(F.filter(F.array(*columns), lambda x: x.isNotNull())).alias("pos", "path"))
 
 
+def write_file_lists(index: DataFrame, key: str, columns: list[str], path: str) -> None:
+    """Text lists below ``path``, one folder (list=..) each: the ids, each column's files, and all files, without nulls, in the order of the ids."""
+    lists = [F.struct(F.lit("sample_ids").alias("list"), F.lit(0).alias("pos"), F.col(key).cast("string").alias("value"))]
+    lists += [F.struct(F.lit(name).alias("list"), F.lit(k).alias("pos"), F.col(c).alias("value")) for k, c in enumerate(columns) for name in (c, "all")]
+    rows = index.select(key, F.explode(F.array(*lists)).alias("x")).select(key, "x.*").where("value IS NOT NULL")
+    rows.orderBy("list", key, "pos").select("list", "value").write.mode("overwrite").partitionBy("list").text(path)
+
+
 def archive_path(kind: str, session: Column, action: Column, source: Column) -> Column:
     return F.concat_ws("/", F.lit("data"), session, F.lit(kind), action, base_name(source))
 

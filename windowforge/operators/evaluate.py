@@ -20,15 +20,15 @@ def class_weights(labels: DataFrame, classes: DataFrame, label: str = "label") -
 def confusion_matrix(predictions: DataFrame, classes: DataFrame, runs: tuple[str, ...] = ()) -> DataFrame:
     """Dense counts (runs…, true, pred, n) of predictions (runs…, true, pred) over all pairs of ``classes`` (label)."""
     counts = predictions.groupBy(*runs, "true", "pred").agg(F.count("*").alias("n"))
-    grid = classes.select(F.col("label").alias("true")).crossJoin(F.broadcast(classes.select(F.col("label").alias("pred"))))
+    grid = classes.select(F.col("label").alias("true")).join(classes.select(F.col("label").alias("pred")), F.lit(True))  # all pairs of classes are the result
     if runs:
-        grid = predictions.select(*runs).distinct().crossJoin(F.broadcast(grid))
+        grid = predictions.select(*runs).distinct().join(grid, F.lit(True))
     return grid.join(counts, [*runs, "true", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def out_of_range(predictions: DataFrame, classes: DataFrame) -> DataFrame:
     known = classes.select("label")
-    bad = lambda c: predictions.join(F.broadcast(known.withColumnRenamed("label", c)), c, "left_anti")
+    bad = lambda c: predictions.join(known.withColumnRenamed("label", c), c, "left_anti")
     return bad("true").unionByName(bad("pred"))
 
 

@@ -12,6 +12,8 @@ from windowforge.operators.profile import quantiles
 
 #: Energy up to which a carrier counts as silent, and the least deviation that z-scores are divided by.
 SILENT, LEAST_DEVIATION = 1e-6, 1e-6
+#: Columns of features and their types.
+FEATURES = {"sample_id": "string", "rx": "int", "t": "int", "values": "array<float>", "problem": "string"}
 
 
 def carrier_energy(rows: DataFrame, group: str, values: str) -> DataFrame:
@@ -107,11 +109,12 @@ def preprocess(packets: DataFrame, n_time: int, n_freq: int, ratio: float = 0.05
     return scored.where("NOT bad").select("sample_id", "rx", "t", "values", F.lit(None).cast("string").alias("problem")).unionByName(none)
 
 
-def build_feature_cache(samples: DataFrame, packets: DataFrame, path: str, signature: str, expected: str | None = None, build: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def build_feature_cache(samples: DataFrame, packets: DataFrame, path: str, signature: str, expected: str | None = None, build: Callable[[DataFrame], DataFrame] | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
     """Features of the samples that the cache at ``path`` lacks under a signature are built and appended; returns a report.
 
     samples (sample_id, session_id[, ``expected`` packets]). Report: sample_id, session_id, status (cached, built or the problem). A sample whose packets differ in
-    number from what is expected isn't built; the others go on. ``build`` takes packets and returns the columns of ``preprocess``.
+    number from what is expected isn't built; the others go on. ``build`` takes packets and returns the columns of ``preprocess``; other columns
+    or types are an error. With ``shape`` (rows of a sample, values of a row), a sample of another shape or with values that are null or not finite isn't cached.
     """
     spark = samples.sparkSession
     try:
@@ -128,7 +131,14 @@ def build_feature_cache(samples: DataFrame, packets: DataFrame, path: str, signa
         wrong = wrong.when(F.col("_n") != F.col(expected), "packet_count_mismatch")
     todo = todo.withColumn("_problem", wrong)
     fit = todo.where("_problem IS NULL").select("sample_id", "session_id")
-    built = (build or (lambda p: preprocess(p, 8, 8)))(packets.join(fit.select("sample_id"), "sample_id", "left_semi")).join(fit, "sample_id")
+    decoded = (build or (lambda p: preprocess(p, 8, 8)))(packets.join(fit.select("sample_id"), "sample_id", "left_semi"))
+    if sorted(decoded.dtypes) != sorted(FEATURES.items()):
+        raise ValueError(f"features need {FEATURES}, not {dict(decoded.dtypes)}")
+    if shape:
+        odd = F.coalesce((F.size("values") != shape[1]) | F.exists("values", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
+        whole = Window.partitionBy("sample_id")
+        decoded = decoded.withColumn("problem", F.coalesce("problem", F.when((F.count("*").over(whole) != shape[0]) | F.max(odd).over(whole), "wrong_shape")))
+    built = decoded.join(fit, "sample_id")
     cached_ids = samples.join(have, "sample_id", "left_semi").select("sample_id", "session_id", F.lit("cached").alias("status"))
     cached_path = f"{path}/_reports/{signature}"
     refused = todo.where("_problem IS NOT NULL").select("sample_id", "session_id", F.col("_problem").alias("status"))

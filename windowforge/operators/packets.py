@@ -5,7 +5,6 @@ A record is a 272-byte little-endian header and a payload of int16 pairs, ordere
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ from windowforge.operators.timealign import in_ranges
 
 # The layout of a record.
 HEADER = 272
-FIELDS = {"csi_size": ("<I", 0), "ftm_clock": ("<I", 8), "timestamp": ("<Q", 12), "num_rx": ("<B", 46), "num_tx": ("<B", 47), "num_subcarriers": ("<I", 52), "rssi1": ("<I", 60), "rssi2": ("<I", 64), "rate_flags": ("<I", 92)}
+FIELDS = {"csi_size": ("<u4", 0), "ftm_clock": ("<u4", 8), "timestamp": ("<u8", 12), "num_rx": ("u1", 46), "num_tx": ("u1", 47), "num_subcarriers": ("<u4", 52), "rssi1": ("<u4", 60), "rssi2": ("<u4", 64), "rate_flags": ("<u4", 92)}
 MAC = slice(68, 74)
 
 PACKETS = (
@@ -38,7 +37,8 @@ def packet_files(spark: SparkSession, path: str, glob: str = "*.dat") -> DataFra
 
 def packet_census(files: DataFrame) -> DataFrame:
     """sample_id, packet_size, packets, trailing and flags, from each file's length and the size in its first header."""
-    word = F.conv(F.hex(F.reverse(F.expr("substring(content, 1, 4)"))), 16, 10).cast("long")
+    first = F.hex(F.expr("substring(content, 1, 4)"))
+    word = F.conv(F.concat(*[F.substring(first, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("long")  # least byte first
     f = files.select("sample_id", "length", F.when(F.col("length") >= HEADER, word + HEADER).alias("packet_size"))
     good = F.col("packet_size") > HEADER
     f = f.withColumn("packets", F.when(good, F.floor(F.col("length") / F.col("packet_size"))).otherwise(0)).withColumn("trailing", F.when(good, F.col("length") % F.col("packet_size")).otherwise(0))
@@ -50,66 +50,89 @@ def packet_census(files: DataFrame) -> DataFrame:
     return f.withColumn("flags", flags)
 
 
-def _records(data: bytes, keep: int | None) -> Iterator[tuple]:
-    """Fields, I/Q and problem of every record; a problem that ends the walk has no fields. ``keep``: of how many valid records the I/Q is read."""
-    at, idx, valid, shape = 0, 0, 0, None
-    while at + HEADER <= len(data):
-        f = {k: struct.unpack_from(form, data, at + o)[0] for k, (form, o) in FIELDS.items()}
-        size, dims = f["csi_size"], (f["num_rx"], f["num_tx"], f["num_subcarriers"])
+def _runs(data: np.ndarray, most: int | None) -> Iterator[tuple[int, np.ndarray | None, str | None]]:
+    """(first index, records of one size as rows of bytes, None) as long as the sizes in the headers lead on; last, if the walk ended so, (index, None, problem)."""
+    at, idx = 0, 0
+    while at + HEADER <= len(data) and (most is None or idx < most):
+        size = int(data[at : at + 4].view("<u4")[0])
+        record = HEADER + size
+        n = (len(data) - at) // record
         if size == 0:
-            yield idx, None, None, "bad_size"
+            yield idx, None, "bad_size"
             break
-        if at + HEADER + size > len(data):
+        if n == 0:
             break
-        problem = "zero_dimension" if 0 in dims else "size_mismatch" if size != 4 * dims[0] * dims[1] * dims[2] else "shape_change" if shape and dims != shape else None
-        iq = None
-        if problem is None:
-            shape = dims
-            if keep is None or valid < keep:
-                iq = np.frombuffer(data, "<i2", size // 2, at + HEADER)
-            valid += 1
-        f["mac"] = data[at + MAC.start : at + MAC.stop].hex(":")
-        yield idx, f, iq, problem
-        at += HEADER + size
-        idx += 1
+        n = n if most is None else min(n, most - idx)
+        rows = data[at : at + n * record].reshape(n, record)
+        other = np.flatnonzero(rows[:, :4].copy().view("<u4")[:, 0] != size)
+        rows = rows[: other[0]] if len(other) else rows
+        yield idx, rows, None
+        at, idx = at + len(rows) * record, idx + len(rows)
+    if most is not None and idx >= most:
+        return
     if at < len(data):
-        yield idx, None, None, "trailing_partial"
+        yield idx, None, "trailing_partial"
     elif idx == 0:
-        yield idx, None, None, "no_packets"
+        yield idx, None, "no_packets"
 
 
-def scan_packets(files: DataFrame, keep: int | None = None, block: int = 512) -> DataFrame:
+def scan_packets(files: DataFrame, keep: int | None = None, block: int = 512, max_packets: int | None = None, only_problems: bool = False) -> DataFrame:
     """One row per packet of all files, and one per problem that ended a walk (bad_size, trailing_partial, no_packets).
 
-    Records whose size, dimensions or shape are wrong are kept with their problem and without I/Q. Rows leave in blocks,
-    so that a task holds one file and one block.
+    Records whose size, dimensions or shape are wrong are kept with their problem and without I/Q; ``keep``: of how many valid records the I/Q is read;
+    ``max_packets``: how many records of a file are looked at, what follows is not judged. Headers are read for a whole run of records of one size at a
+    time. Rows leave in blocks, so that a task holds one file and one block.
     """
 
+    def rows_of(sample: str, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+        valid, shape = 0, None
+        for first, records, problem in _runs(data, max_packets):
+            if records is None:
+                yield _batch({"sample_id": pa.array([sample]), "packet_idx": pa.array([first], pa.int32()), "problem": pa.array([problem])}, 1)
+                continue
+            for at in range(0, len(records), block):
+                part = records[at : at + block]
+                n = len(part)
+                f = {k: part[:, o : o + np.dtype(kind).itemsize].copy().view(kind)[:, 0] for k, (kind, o) in FIELDS.items()}
+                dims = np.stack([f[k].astype(np.int64) for k in ("num_rx", "num_tx", "num_subcarriers")], axis=1)
+                zero, fits = (dims == 0).any(axis=1), f["csi_size"] == 4 * dims.prod(axis=1)
+                well = ~zero & fits
+                if shape is None and well.any():
+                    shape = dims[np.argmax(well)]
+                good = well & (dims == (shape if shape is not None else -1)).all(axis=1)
+                wrong = np.where(good, None, np.where(zero, "zero_dimension", np.where(fits, "shape_change", "size_mismatch")))
+                with_iq = good if keep is None else good & (valid + np.cumsum(good) <= keep)
+                valid += int(good.sum())
+                size = (part.shape[1] - HEADER) // 2
+                offsets = np.concatenate([[0], np.cumsum(with_iq * size)]).astype(np.int32)
+                values = part[with_iq, HEADER : HEADER + 2 * size].copy().view("<i2").reshape(-1)
+                columns = {k: pa.array(v) for k, v in f.items()} | {"timestamp": pa.array(f["timestamp"]).cast(pa.decimal128(20, 0))}
+                columns |= {"sample_id": pa.array([sample] * n, pa.string()), "packet_idx": pa.array(np.arange(first + at, first + at + n, dtype=np.int32)), "source_mac": pa.array([m.tobytes().hex(":") for m in part[:, MAC]], pa.string())}
+                columns |= {"iq": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(~with_iq)), "problem": pa.array(wrong, pa.string())}
+                if only_problems:
+                    pick = np.flatnonzero(~good)
+                    columns, n = {k: v.take(pa.array(pick)) for k, v in columns.items()}, len(pick)
+                if n:
+                    yield _batch(columns, n)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for sample, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows: list[tuple] = []
-                for idx, f, iq, problem in _records(content.as_buffer().to_pybytes() if content.is_valid else b"", keep):
-                    get = (lambda k, f=f: f[k] if f else None)
-                    rows.append((sample, idx, get("csi_size"), get("ftm_clock"), get("timestamp"), get("num_rx"), get("num_tx"), get("num_subcarriers"), get("rssi1"), get("rssi2"), get("mac"), get("rate_flags"), iq, problem))
-                    if len(rows) == block:
-                        yield _batch(rows)
-                        rows = []
-                if rows:
-                    yield _batch(rows)
+                yield from rows_of(sample, np.frombuffer(content.as_buffer(), np.uint8) if content.is_valid and len(content.as_buffer()) else np.zeros(0, np.uint8))
 
     return files.select("sample_id", "content").mapInArrow(run, PACKETS)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
+def _batch(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[k].cast(t) if k in columns else pa.nulls(n, t) for k, t in zip(_NAMES, _TYPES, strict=True)], names=_NAMES)
 
 
-def read_packets(files: DataFrame, keep: int | None = None) -> DataFrame:
-    """Strict: any problem in any file is an error that names the first few."""
-    out = scan_packets(files, keep)
-    require_none(scan_packets(files, 0).where("problem IS NOT NULL").select("sample_id", "packet_idx", "problem"), "packet files have problems")
-    return out
+def read_packets(files: DataFrame, keep: int | None = None, max_packets: int | None = None) -> DataFrame:
+    """Strict: any problem in any file is an error that names the first few. With ``max_packets``, of each file's first packets only."""
+    if max_packets is not None and max_packets <= 0:
+        raise ValueError("max_packets must be positive")
+    require_none(scan_packets(files, 0, max_packets=max_packets, only_problems=True).select("sample_id", "packet_idx", "problem"), "packet files have problems")
+    return scan_packets(files, keep, max_packets=max_packets)
 
 
 def packet_problems(packets: DataFrame) -> DataFrame:

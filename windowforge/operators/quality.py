@@ -22,16 +22,18 @@ def first_rows(df: DataFrame, key: str, order: str) -> DataFrame:
 def match_review_rules(samples: DataFrame, rules: DataFrame) -> DataFrame:
     """(sample_id, rule_id) for every rule (rule_id, clip_expr) that a sample meets.
 
-    Exact names and trial ranges meet by equality of the name or its prefix; only wildcard prefixes are compared with
-    ``startswith``, against a table of rules that reviewers write by hand.
+    Exact names and trial ranges meet by equality of the name or its prefix; wildcard prefixes by equality with the start of the name, once
+    for each length that they have.
     """
     r = rules.select("rule_id", clip_rule(F.col("clip_expr")).alias("r")).select("rule_id", "r.*")
     s = samples.select("sample_id", trial_prefix(F.col("sample_id")).alias("prefix"), trial_number(F.col("sample_id")).alias("trial"))
     exact = s.join(r.where("kind = 'exact'").select("rule_id", F.col("exact").alias("sample_id")), "sample_id").select("sample_id", "rule_id")
     ranged = r.where("kind IN ('from', 'range')").select("rule_id", "prefix", "low", F.coalesce("high", F.lit(1 << 30)).alias("high"))
     ranged = s.join(ranged, "prefix").where("trial BETWEEN low AND high").select("sample_id", "rule_id")
-    wild = F.broadcast(r.where("kind = 'prefix'").select("rule_id", F.col("prefix").alias("start")))
-    wild = s.join(wild, F.col("sample_id").startswith(F.col("start"))).select("sample_id", "rule_id")
+    wild = r.where("kind = 'prefix'").select("rule_id", F.col("prefix").alias("start"), F.length("prefix").alias("size"))
+    sizes = wild.agg(F.collect_set("size").alias("sizes"))  # one row; no more entries than a name has characters are of use
+    starts = s.select("sample_id").join(sizes, F.lit(True)).withColumn("size", F.explode("sizes")).where(F.length("sample_id") >= F.col("size"))
+    wild = starts.withColumn("start", F.expr("left(sample_id, size)")).join(wild, ["size", "start"]).select("sample_id", "rule_id")
     return exact.unionByName(ranged).unionByName(wild)
 
 

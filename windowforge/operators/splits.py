@@ -1,4 +1,4 @@
-"""Dataset splits that leak nothing: stratified by a seeded hash order, or by subject."""
+"""Choice of samples, and dataset splits that leak nothing: stratified by a seeded hash order, or by subject."""
 
 from __future__ import annotations
 
@@ -15,6 +15,35 @@ def human_samples(samples: DataFrame, actions: list[str] | None = None) -> DataF
     return kept.where(F.col("action_id").isin(actions)) if actions else kept
 
 
+def first_per_action(rows: DataFrame, action: str, order: str, preferred: list[str], least: int = 3, avoid: str = "background_idle") -> DataFrame:
+    """The first row of each preferred action, in the order of preference; if those are fewer than ``least``, filled up with the first other rows
+    whose action isn't ``avoid``. Adds place, from 1."""
+    rank = F.array_position(F.array(*map(F.lit, preferred)), F.col(action))
+    firsts = rows.where(F.col(action).isin(preferred)).groupBy(action).agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+    firsts = firsts.withColumn("_rank", rank)  # no more rows than preferred actions
+    others = rows.join(firsts.select(order), order, "left_anti").where(F.coalesce(F.col(action) != avoid, F.lit(True)))
+    fill = others.orderBy(order).limit(least).withColumn("_rank", F.lit(len(preferred) + 1).cast("long"))
+    place = F.row_number().over(Window.orderBy("_rank", order))
+    return firsts.unionByName(fill).withColumn("place", place).where((F.col("_rank") <= len(preferred)) | (F.col("place") <= least)).drop("_rank")
+
+
+def select_samples(
+    rows: DataFrame, order: str, ids: list[str] | None = None, sessions: list[str] | None = None, actions: list[str] | None = None,
+    include_warn: bool = False, full: bool = False, limit: int | None = None, preferred: list[str] | None = None,
+) -> DataFrame:
+    """Rows (sample_id, session_id, action_id, quality_flags, ..) that fit what is asked for, in the order of ``order``; unless all (``full``) or
+    named ones are wanted, a preview (``first_per_action``). ``limit`` is 3 unless ``full`` or given."""
+    for column, wanted in (("sample_id", ids), ("session_id", sessions), ("action_id", actions)):
+        if wanted:
+            rows = rows.where(F.col(column).isin(wanted))
+    if not include_warn:
+        rows = rows.where(F.col("quality_flags") == "ok")
+    limit = 3 if limit is None and not full else limit
+    if not full and not ids:
+        return first_per_action(rows, "action_id", order, preferred or []).where(F.col("place") <= limit).drop("place")
+    return rows.orderBy(order).limit(limit) if limit is not None else rows
+
+
 def complement(all_rows: DataFrame, some: DataFrame, key: str) -> DataFrame:
     return all_rows.join(some.select(key).distinct(), key, "left_anti")
 
@@ -40,14 +69,16 @@ def split_summary(assigned: DataFrame) -> DataFrame:
 def split_violations(assigned: DataFrame, samples: DataFrame, strata: list[str], key: str) -> DataFrame:
     """(seed, problem, detail): duplicates, unknown and missing samples, empty parts, strata that a part lacks."""
     seeds = assigned.select("seed").distinct()
-    parts = seeds.crossJoin(F.broadcast(assigned.sparkSession.createDataFrame([(p,) for p in PARTS], "split string")))
+    parts = seeds.withColumn("split", F.explode(F.array(*map(F.lit, PARTS))))
     detail = F.concat_ws("/", *strata)
     twice = duplicates(assigned, "seed", key).select("seed", F.lit("duplicate").alias("problem"), F.col(key).cast("string").alias("detail"))
     unknown = assigned.join(samples.select(key).distinct(), key, "left_anti").select("seed", F.lit("unknown").alias("problem"), F.col(key).cast("string").alias("detail"))
-    per_seed = seeds.crossJoin(samples.select(key).distinct())  # a few seeds
-    missing = per_seed.join(assigned.select("seed", key).distinct(), ["seed", key], "left_anti").select("seed", F.lit("missing").alias("problem"), F.col(key).cast("string").alias("detail"))
+    has = assigned.groupBy(key).agg(F.collect_set("seed").alias("has"))
+    every = seeds.agg(F.collect_set("seed").alias("every"))  # one row: a seed is a run's parameter
+    lack = samples.select(key).distinct().join(has, key, "left").join(every, F.lit(True)).select(key, F.explode(F.array_except("every", F.coalesce("has", F.array().cast(every.schema["every"].dataType)))).alias("seed"))
+    missing = lack.select("seed", F.lit("missing").alias("problem"), F.col(key).cast("string").alias("detail"))
     empty = parts.join(assigned.select("seed", "split").distinct(), ["seed", "split"], "left_anti").select("seed", F.lit("empty_part").alias("problem"), F.col("split").alias("detail"))
-    wanted = parts.crossJoin(F.broadcast(samples.select(*strata).distinct()))
+    wanted = parts.join(samples.select(*strata).distinct(), F.lit(True))  # parts of seeds and strata, all of them wanted
     lacking = wanted.join(assigned.select("seed", "split", *strata).distinct(), ["seed", "split", *strata], "left_anti")
     lacking = lacking.select("seed", F.lit("stratum_missing").alias("problem"), F.concat_ws(":", "split", detail).alias("detail"))
     return twice.unionByName(unknown).unionByName(missing).unionByName(empty).unionByName(lacking)
@@ -64,7 +95,7 @@ def loso_pairs(samples: DataFrame, person: str) -> DataFrame:
 def subject_folds(samples: DataFrame, pairs: DataFrame, person: str) -> DataFrame:
     """Every fold with every sample's split; ``pairs`` has a row per person."""
     split = F.when(F.col(person) == F.col("test_person"), "test").when(F.col(person) == F.col("val_person"), "val").otherwise("train")
-    return samples.crossJoin(F.broadcast(pairs)).withColumn("split", split)
+    return samples.join(pairs, F.lit(True)).withColumn("split", split)  # the folds hold every sample
 
 
 def compare_assignments(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -78,4 +109,4 @@ def compare_assignments(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def run_matrix(architectures: DataFrame, protocols: DataFrame, done: DataFrame) -> DataFrame:
     """All (arch, protocol, unit) still to run; the inputs are lists of configurations."""
-    return architectures.crossJoin(F.broadcast(protocols)).join(done, ["arch", "protocol", "unit"], "left_anti")
+    return architectures.join(protocols, F.lit(True)).join(done, ["arch", "protocol", "unit"], "left_anti")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from windowforge.plans import arrays, collections, datasets, events
+from windowforge.plans import arrays, collections, datasets, events, files, rows
 
-QUERIES: dict = {**events.QUERIES, **datasets.QUERIES, **collections.QUERIES, **arrays.QUERIES}
-ORACLE: dict[str, str] = {**events.ORACLE, **datasets.ORACLE, **collections.ORACLE, **arrays.ORACLE}
+_MODULES = (events, datasets, collections, arrays, files, rows)
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()} | {"evaluation": datasets.ORACLE["metrics"]}

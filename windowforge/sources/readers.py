@@ -61,26 +61,25 @@ def load_manifest(spark: SparkSession, path: str, modality: str, require_ok: boo
     return rows
 
 
-def scan_frame_times(spark: SparkSession, root: str) -> DataFrame:
-    """(recording, video, frame_idx, unix_time_ns) of every ``*video_timestamps.csv`` below a root; unreadable rows go."""
-    raw = spark.read.option("header", True).option("recursiveFileLookup", "true").option("pathGlobFilter", "*video_timestamps.csv").csv(root)
+def scan_frame_times(spark: SparkSession, root: str, glob: str = "*video_timestamps.csv") -> DataFrame:
+    """(recording, video, frame_idx, unix_time_ns) of every file of frame times below a root; unreadable rows go."""
+    raw = spark.read.option("header", True).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).csv(root)
     rows = raw.select(F.col("_metadata.file_path").alias("recording"), to_int(F.col("frame_idx")).alias("frame_idx"), to_int(F.col("unix_time_ns")).alias("unix_time_ns"))
     video = F.regexp_replace("recording", r"_?video_timestamps\.csv$", ".mp4")
     return rows.where("frame_idx IS NOT NULL AND unix_time_ns IS NOT NULL").select("recording", video.alias("video"), "frame_idx", "unix_time_ns")
 
 
-def scan_log_packet_times(spark: SparkSession, root: str, dates: DataFrame, zone_hours: int = 8) -> DataFrame:
+def scan_log_packet_times(spark: SparkSession, root: str, dates: DataFrame, zone_hours: int = 8, glob: str = "*.log", sample: str = r"([^/]*)\.log$") -> DataFrame:
     """(sample_id, packet_idx, unix_ns) of the ``[HH:MM:SS.f] Subcarrier count:`` lines of each sample's log, in file order, days added at midnight.
 
-    dates (sample_id, date); the log of a sample is ``<sample_id>.log``.
+    dates (sample_id, date); ``sample`` takes the id of a log from its path.
     """
     from pyspark.sql import Window
 
     from windowforge.operators.timealign import day_offsets
 
-    logs = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log").text(root, wholetext=True)
-    sample = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)\.log$", 1)
-    times = logs.select(sample.alias("sample_id"), F.posexplode(F.regexp_extract_all("value", F.lit(r"\[(\d{2}:\d{2}:\d{2}\.\d+)\]\s*Subcarrier count:"), F.lit(1))).alias("line", "clock"))
+    logs = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True)
+    times = logs.select(F.regexp_extract(F.col("_metadata.file_path"), sample, 1).alias("sample_id"), F.posexplode(F.regexp_extract_all("value", F.lit(r"\[(\d{2}:\d{2}:\d{2}\.\d+)\]\s*Subcarrier count:"), F.lit(1))).alias("line", "clock"))
     timed = times.join(dates, "sample_id").withColumn("ns", log_time_ns(F.col("date"), F.col("clock"), zone_hours)).where("ns IS NOT NULL")
     moved = day_offsets(timed, "sample_id", "line", "ns")
     place = F.row_number().over(Window.partitionBy("sample_id").orderBy("line")) - 1
@@ -88,23 +87,24 @@ def scan_log_packet_times(spark: SparkSession, root: str, dates: DataFrame, zone
 
 
 def read_review_rules(spark: SparkSession, path: str, heading: str) -> DataFrame:
-    """(rule_id, session_id, clip_expr, category, description, resample_status) from the table under a ``##`` heading of a Markdown file.
+    """(rule_id, session_id, clip_expr, category, description, resample_status) from a Markdown file's table of rules: a number, then these columns.
 
-    Without that heading, any table line with a back-ticked expression counts.
+    The lines from the first ``##`` heading that begins so to the next ``##`` heading count; without it all lines. A rule is a table line of six cells
+    or more with a back-tick; its expression is what stands in back-ticks, or the whole cell.
     """
     text = spark.read.text(path, wholetext=True)
-    lines = text.select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
-    mark = F.when(F.col("line").startswith("## "), F.struct(F.col("n"), F.trim(F.substring("line", 4, 1000)).alias("title")))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.lit(0)).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)  # the lines of one hand-written file
-    placed = lines.withColumn("title", F.last(mark, ignorenulls=True).over(w)["title"])
-    has = F.max((F.col("title") == heading).cast("int")).over(Window.partitionBy(F.lit(0)))
-    table = placed.withColumn("has", F.coalesce(has, F.lit(0))).where((F.col("has") == 0) | (F.col("title") == heading)).where(F.trim("line").startswith("|") & F.col("line").contains("`"))
-    cells = F.transform(F.filter(F.split(F.trim("line"), r"\|"), lambda x, i: i > 0), lambda x: F.trim(F.regexp_replace(x, r"\*\*", "")))
-    rows = table.select("n", cells.alias("c")).where(F.size("c") >= 6)
-    expr = F.regexp_extract(F.col("c")[1], "`([^`]*)`", 1)
-    return rows.select(F.col("n").alias("rule_id"), F.col("c")[0].alias("session_id"), expr.alias("clip_expr"), F.col("c")[2].alias("category"), F.col("c")[3].alias("description"), F.col("c")[4].alias("resample_status")).where("clip_expr <> ''")
+    marked = text.select(F.regexp_replace("value", r"(?m)^\s*##[ ]", "## ").alias("value"))
+    begin = F.locate(f"\n## {heading}", F.concat(F.lit("\n"), "value"))
+    rest = F.substring("value", begin, F.length("value"))
+    part = F.when(begin > 0, F.regexp_replace(rest, r"(?s)\n## .*$", "")).otherwise(F.col("value"))
+    lines = marked.select(F.posexplode(F.split(part, r"\r?\n")).alias("n", "line")).withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " ")))
+    table = lines.where(F.col("line").startswith("|") & F.col("line").contains("`"))
+    cells = F.transform(F.split(F.regexp_replace("line", r"^\|+|\|+$", ""), r"\|"), lambda x: F.trim(x))
+    plain = lambda k: F.trim(F.regexp_replace(F.get("c", F.lit(k)), r"\*\*", ""))
+    rows = table.select("n", cells.alias("c")).where((F.size("c") >= 6) & ~F.get("c", F.lit(0)).isin("#", ":-:"))
+    expr = F.trim(F.regexp_extract(F.get("c", F.lit(2)), "`([^`]+)`", 1))
+    out = rows.select(F.col("n").alias("rule_id"), plain(1).alias("session_id"), F.when(F.get("c", F.lit(2)).rlike("`[^`]+`"), expr).otherwise(plain(2)).alias("clip_expr"), plain(3).alias("category"), plain(4).alias("description"), plain(5).alias("resample_status"))
+    return out.where("session_id <> '' AND clip_expr <> ''")
 
 
 def resolve_sample_files(wanted: DataFrame, listing: DataFrame, base: str) -> DataFrame:

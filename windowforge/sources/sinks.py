@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from windowforge.operators import evaluate as E
 
 
-def write_index(df: DataFrame, path: str, fields: list[str], form: str = "parquet") -> None:
-    """Columns in a fixed order; absent ones are null. In CSV, lists of flags are joined by ``;``, an empty list being ``ok``."""
+def write_index(df: DataFrame, path: str, fields: list[str], form: str = "parquet", order: list | None = None) -> None:
+    """Columns in a fixed order; absent ones are null. In CSV, lists of flags are joined by ``;``, an empty list being ``ok``. With ``order`` (of
+    columns of ``df``) rows ascend by it within each file and from file to file."""
+    df = df.orderBy(*order) if order else df
     kinds = dict(df.dtypes)
     out = [F.col(f) if f in kinds else F.lit(None).cast("string").alias(f) for f in fields]
     if form == "csv":
@@ -34,7 +36,7 @@ def append_run_log(df: DataFrame, path: str, run_id: str) -> None:
 
 
 def latest_run(df: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(df.agg(F.max("run_id").alias("run_id"))), "run_id", "left_semi")
+    return df.join(df.agg(F.max("run_id").alias("run_id")), "run_id", "left_semi")  # one row
 
 
 def write_evaluation(predictions: DataFrame, classes: DataFrame, path: str) -> None:
