@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from windowforge.llm.chat import ORACLE_OP1, op1_chat_format
 from windowforge.llm.decontamination import op7_decontamination
 from windowforge.llm.neighbours import op8_nearest_neighbours
@@ -25,7 +24,6 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {
     "op1_chat_format": ORACLE_OP1,
