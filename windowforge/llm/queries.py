@@ -9,7 +9,7 @@ from windowforge.llm.ngram_join import ORACLE_OP5, op5_ngram_jaccard
 from windowforge.llm.packing import op10_best_fit_packing
 from windowforge.llm.sharding import ORACLE_OP2, op2_sharding
 from windowforge.llm.substring_dedup import ORACLE_OP9, op9_substring_dedup
-from windowforge.llm.suffix_dedup import op3_suffix_dedup
+from windowforge.llm.suffix_dedup import ORACLE_OP3, op3_suffix_dedup
 from windowforge.llm.token_files import op6_token_files
 from windowforge.llm.toxicity import op4_toxicity
 
@@ -28,6 +28,7 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op1_chat_format": ORACLE_OP1,
     "op2_sharding": ORACLE_OP2,
+    "op3_suffix_dedup": ORACLE_OP3,
     "op5_ngram_jaccard": ORACLE_OP5,
     "op9_substring_dedup": ORACLE_OP9,
 }

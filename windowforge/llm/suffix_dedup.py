@@ -386,3 +386,18 @@ def dedup_bytes(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_bytes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_OP3 = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+g AS (SELECT doc_id, i, md5_number(h[2 * i - 1:2 * i + 198]) AS k FROM d, unnest(range(1, n - 98)) AS t(i)),
+r AS MATERIALIZED (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS m FROM g) WHERE m > 1),
+s AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS new FROM r),
+b AS (SELECT doc_id, min(i) AS a, max(i) + 99 AS z, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS k FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s) GROUP BY doc_id, run),
+e AS (SELECT d.doc_id, coalesce(b.z, 0) AS z, coalesce(lead(b.a) OVER (PARTITION BY d.doc_id ORDER BY b.k), n + 1) AS a, b.k FROM d JOIN b ON b.doc_id = d.doc_id),
+p AS (SELECT doc_id, 0 AS k, 1 AS f, min(a) - 1 AS l FROM b GROUP BY doc_id UNION ALL SELECT doc_id, k, z + 1, a - 1 FROM e),
+q AS (SELECT p.doc_id, string_agg(CASE WHEN l >= f THEN h[2 * f - 1:2 * l] ELSE '' END, '' ORDER BY k) AS kept FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(z - a + 1)::BIGINT AS n_removed FROM b GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN q ON q.doc_id = d.doc_id
+"""
