@@ -1,6 +1,8 @@
 """Rows of the pipeline's stages where ids are null or repeated, against plain Python."""
 
 import hashlib
+import re
+import zlib
 from collections import Counter
 
 import corpus_pipeline as P
@@ -51,14 +53,11 @@ def test_one_row_of_each_group_stays(spark):
     assert rows_of(P.ngram_jaccard(spark, documents(spark, rows), SF)) == first_of_groups(rows, 5, 80)
 
 
-def test_cut_rows_keep_the_first_place(spark):
-    line = texts()[6][1]
-    docs = documents(spark, [*texts(), (7, line), (7, "before " + line), (None, line), (80, None), (80, line), (80, line + " end")])
+def brute_cut(spark, docs):
     want, seen = Counter(), set()
     null = Counter(r.doc_id for r in docs.where("text IS NULL").collect())
     for i, t in one_order(spark, docs):
-        w = t.split(" ") if "\n" not in t else t.replace("\n", " ").split(" ")
-        w = [x for x in w if x.strip(P.SPACES)]
+        w = [x for x in re.split("[ \\t\\n\\x0b\\x0c\\r]+", t) if x]
         gone = [False] * len(w)
         for p in range(len(w) - 19):
             k = tuple(w[p : p + 20])
@@ -68,6 +67,40 @@ def test_cut_rows_keep_the_first_place(spark):
         if t == "" and null[i]:
             null[i], t = null[i] - 1, None
         want[i, " ".join(x for x, g in zip(w, gone, strict=True) if not g) if any(gone) else t] += 1
+    return want
+
+
+def test_cut_rows_keep_the_first_place(spark):
+    line = texts()[6][1]
+    docs = documents(spark, [*texts(), (7, line), (7, "before " + line), (None, line), (80, None), (80, line), (80, line + " end")])
+    want = brute_cut(spark, docs)
     out = P.substring_dedup(spark, docs, SF)
     assert rows_of(out) == want
     assert out.where("text IS NOT NULL AND n_chars <> 0 AND n_chars <> length(text)").isEmpty() and out.columns == docs.columns
+
+
+def test_run_against_brute_force(spark):
+    """The whole pipeline on the small tables: what the toxicity network keeps, then all further stages in plain Python."""
+    from test_search_models import brute_leaks
+    from tokenizers import Tokenizer
+
+    from windowforge.llm import tokens
+
+    docs = P.table(spark, SF, "documents")
+    kept = P.stage(P.toxicity(spark, docs, SF))
+    scores = P.score_documents(docs, P.train(docs, P.table(spark, SF, "labels")))
+    assert rows_of(kept) == rows_of(docs.join(scores.where("score < 0.5").select("doc_id"), "doc_id"))
+    rows = list(first_of_groups([(r.doc_id, r.text) for r in kept.collect()], 5, 80).elements())
+    rows = list(brute_cut(spark, documents(spark, rows)).elements())
+    leaks = dict(brute_leaks(rows, [tuple(r) for r in P.table(spark, SF, "benchmark").select("item_id", "text").collect()]))
+    plain, want = Tokenizer.from_file(tokens.default_path("byte_bpe_50k.json")), Counter()
+    for i, t in rows:
+        if not leaks[i]:
+            ids = plain.encode(t or "", add_special_tokens=False).ids + [2]
+            first, at = (len(ids) - 1) % 1024 + 1, 0
+            for k, n in enumerate([first, *[1024] * ((len(ids) - first) // 1024)]):
+                want[i, k, at, n, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[at : at + n]))] += 1
+                at += n
+    got = P.run(spark, SF).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    assert any(leaks.values()) and len(rows) < docs.count()

@@ -241,3 +241,61 @@ def test_held_out_accuracy(spark):
     pos, neg = rows[rows.toxic == 1].score.to_numpy(), rows[rows.toxic == 0].score.to_numpy()
     auc = ((pos[:, None] > neg).mean() + 0.5 * (pos[:, None] == neg).mean())
     assert auc > 0.9 and (rows.predicted == rows.toxic).mean() > 0.95
+
+
+def brute_score(net, text):
+    """The highest window's calibrated probability, step by step and number by number."""
+    import math
+
+    import pyarrow as pa
+
+    w = X.Words(pa.array([text]))
+    sig, dot = (lambda v: 1 / (1 + math.exp(-v))), (lambda v, m: [sum(float(a) * float(m[i][j]) for i, a in enumerate(v)) for j in range(len(m[0]))])
+    p, best = net.p, None
+    place = {int(k): i + 1 for i, k in enumerate(net.words)}, {int(k): i + 1 for i, k in enumerate(net.parts)}
+    for _, start, length in zip(*w.windows(), strict=True):
+        x = []
+        for n in w.number[start : start + length]:
+            parts = [p["ec"][place[1].get(int(k), 0)] for k in w.parts[n]]
+            x.append([float(v) for v in p["ew"][place[0].get(int(w.words[n]), 0)]] + [float(sum(v)) / len(parts) for v in zip(*parts, strict=True)])
+        states = []
+        for d, steps in (("f", range(length)), ("b", range(length - 1, -1, -1))):
+            h, own = [0.0] * X.STATE, {}
+            if d == "b":  # what stands behind the end of a window is padding, which the backward direction reads first
+                for _ in range(X.WINDOW - length):
+                    h = brute_step(p, d, [0.0] * 2 * X.EMBED, h, dot, sig)
+            for t in steps:
+                h = own[t] = brute_step(p, d, x[t], h, dot, sig)
+            states.append(own)
+        both = [states[0][t] + states[1][t] for t in range(length)]
+        e = [sum(a * float(b) for a, b in zip(h, p["att"], strict=True)) for h in both]
+        a = [math.exp(v - max(e)) for v in e]
+        pooled = [sum(k * h[j] for k, h in zip(a, both, strict=True)) / sum(a) for j in range(2 * X.STATE)]
+        logit = sum(v * float(o) for v, o in zip(pooled, p["out"], strict=True)) + float(p["bias"][0])
+        best = logit if best is None else max(best, logit)
+    return net.base if best is None else sig(net.calibration[0] * best + net.calibration[1])
+
+
+def brute_step(p, d, x, h, dot, sig):
+    import math
+
+    s = X.STATE
+    pre, g = [a + float(c) for a, c in zip(dot(x, p[f"w{d}"]), p[f"c{d}"], strict=True)], dot(h, p[f"u{d}"])
+    z, r = [sig(pre[i] + g[i]) for i in range(s)], [sig(pre[s + i] + g[s + i]) for i in range(s)]
+    c = [math.tanh(pre[2 * s + i] + r[i] * g[2 * s + i]) for i in range(s)]
+    return [c[i] + z[i] * (h[i] - c[i]) for i in range(s)]
+
+
+def test_toxicity_query_against_brute_force(spark):
+    """All rows of the registered query: who is held out, and the score of every short text by plain arithmetic."""
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    net, got = X.train(docs, labels), {r.doc_id: r for r in X.op4_toxicity(spark, sf).collect()}
+    rows = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5)
+    for r in sorted(rows, key=lambda r: len(r.text))[:60]:
+        assert abs(got[r.doc_id].score - brute_score(net, r.text)) < 1e-4

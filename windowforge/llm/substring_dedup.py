@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowforge.llm.common import BASE_A, BASE_B, batch_of, null_id, ranges, rolling_hash, stage, table, text_buffer, with_row, word_hashes, words_of
+from windowforge.llm.common import BASE_A, BASE_B, batch_of, hand_over, null_id, ranges, release, rolling_hash, stage, table, text_buffer, with_row, word_hashes, words_of
 from windowforge.llm.exchange import PACKED, bucket_bits, bucket_bounds, by_bucket, gathered, ordered_chunks, packed_rows, rows_of
 
 
@@ -139,7 +139,9 @@ def repeated_windows(chunks: DataFrame, width: int) -> DataFrame:
             yield batch_of(chunk=[c for c, _ in out], positions=pa.array([x for _, x in out], pa.binary()))
 
     packed = chunks.join(answers, "chunk").mapInArrow(extend, PACKED)
-    return stage(gathered(by_bucket(packed, later, "chunk long, positions binary"), "positions"))
+    repeats = stage(gathered(by_bucket(packed, later, "chunk long, positions binary"), "positions"))
+    release(answers)
+    return repeats
 
 
 def dedup_words(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", rows: bool = False) -> DataFrame:
@@ -189,7 +191,7 @@ def dedup_words(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_c
     schema = with_row("id long, n_words long, n_removed long, kept_text string, spans array<struct<start: long, end: long>>" + ", text string" * rows, chunks.schema["rows"].dataType.elementType if rows else None)
     out = chunks.join(repeats, "chunk", "left").mapInArrow(cut, schema)
     also = [F.when(~F.col("row.no_text__"), F.col("text")).alias("text"), "row"] if rows else []
-    return out.select(null_id().alias("doc_id"), "n_words", "n_removed", "kept_text", "spans", *also)
+    return hand_over(out.select(null_id().alias("doc_id"), "n_words", "n_removed", "kept_text", "spans", *also), chunks, repeats)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

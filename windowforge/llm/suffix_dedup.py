@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windowforge.llm.common import BASE_A, BASE_B, BYTE_VALUES, BYTE_VALUES_B, batch_of, mix, null_id, ranges, rolling_hash, span_hash, stage, table, text_buffer
+from windowforge.llm.common import BASE_A, BASE_B, BYTE_VALUES, BYTE_VALUES_B, batch_of, hand_over, mix, null_id, ranges, release, rolling_hash, span_hash, stage, table, text_buffer
 from windowforge.llm.exchange import PACKED, bucket_bits, bucket_bounds, by_bucket, gathered, ordered_chunks, packed_rows, rows_of
 
 #: Bytes of an anchor; bytes of a chunk; least bytes of a shard; bytes of the segments whose transforms are merged at a time.
@@ -342,7 +342,9 @@ def repeated_runs(chunks: DataFrame, width: int, hot: int = HOT) -> DataFrame:
             yield batch_of(chunk=list(runs), runs=pa.array([np.concatenate(r).tobytes() for r in runs.values()], pa.binary()))
 
     packed = chunks.join(answers, "chunk").mapInArrow(send, PACKED)
-    return stage(gathered(by_bucket(packed, resolve, "chunk long, runs binary"), "runs"))
+    runs = stage(gathered(by_bucket(packed, resolve, "chunk long, runs binary"), "runs"))
+    release(answers)
+    return runs
 
 
 def dedup_bytes(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -380,7 +382,7 @@ def dedup_bytes(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_
             yield batch_of(id=ids, n_bytes=np.diff(off), n_removed=removed, spans=spans, kept=pa.array(kept, pa.binary()))
 
     rows = chunks.join(runs, "chunk", "left").mapInArrow(cut, "id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
-    return rows.select(null_id().alias("doc_id"), "n_bytes", "n_removed", "spans", "kept")
+    return hand_over(rows.select(null_id().alias("doc_id"), "n_bytes", "n_removed", "spans", "kept"), chunks, runs)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ A text's words are read in overlapping windows. A word enters as its embedding b
 beginnings and endings (characters), so that unseen words are judged by their parts. A window's score comes from the
 attention-weighted states of both directions; a document's score is its highest window's, calibrated.
 
-The network is fitted on the driver on at most ``FIT_DOCS`` labelled documents of each class; scoring covers every window of every text.
+The network is fitted on the driver on at most ``FIT_DOCS`` labelled documents of each class, as many of them as have ``FIT_BYTES`` together; scoring covers every window of every text.
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windowforge.llm.common import BASE_A, BYTE_VALUES, NULL_ID, batch_of, column, inverse, mix, null_id, powers, ranges, row_struct, small_batches, table, text_buffer, with_row, words_of
 
-#: Bounds of the fit: documents of each class (smallest hashes of their ids), vocabulary entries, epochs.
-FIT_DOCS, VOCABULARY, EPOCHS = 1_500, 20_000, 5
+#: Bounds of the fit: documents of each class (smallest hashes of their ids) and bytes of their texts, vocabulary entries, epochs.
+FIT_DOCS, FIT_BYTES, VOCABULARY, EPOCHS = 1_500, 6 << 20, 20_000, 5
 #: Words of a window and between the starts of windows; state of a direction; dimensions of an embedding.
 WINDOW, STEP, STATE, EMBED = 32, 16, 8, 8
 #: Bytes of the beginnings and endings of a word that enter as characters.
@@ -265,7 +265,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Network | None:
     picked = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(FIT_DOCS) for k in (0, 1)]  # bounded, whatever the input
     wanted = F.broadcast(picked[0].unionByName(picked[1]).dropDuplicates(["id"]))
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
-    rows = text.join(wanted, "id").dropDuplicates(["id"]).toPandas().sort_values("id")
+    rows = text.join(wanted, "id").dropDuplicates(["id"])
+    upto = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")  # no more rows than FIT_DOCS of each class
+    rows = rows.withColumn("_bytes", F.sum(F.octet_length("text")).over(upto)).where(F.col("_bytes") <= FIT_BYTES).drop("_bytes")
+    rows = rows.toPandas().sort_values("id")
     label = rows["toxic"].to_numpy()
     if not len(rows) or label.min() == label.max():
         return None
@@ -276,7 +279,7 @@ def score_documents(docs: DataFrame, net: Network | None, id_col: str = "doc_id"
     """doc_id, score, window_start and window_end (words of the highest window) for every row; with ``rows`` also the row itself (struct ``row``).
 
     Null, empty and wordless texts have the labelled rows' share of toxic ones as their score, and no window; without a
-    network every score is 0.
+    network every score is 0. Repeated rows are rows of their own and have the same score; null ids stay null. An empty table gives no rows.
     """
     text = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"), *([row_struct(docs)] if rows else []))
     if net is None:
