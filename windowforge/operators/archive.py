@@ -31,7 +31,7 @@ def upsert_index(existing: DataFrame, new: DataFrame, key: str, order: str, new_
     late = pack(new, "_new").groupBy(key).agg(F.max_by("_new", "_new_at").alias("_new"), F.min("_new_at").alias("_new_at"))
     both = pack(existing, "_old").join(late, key, "full_outer")
     top = existing.agg(F.coalesce(F.max(order), F.lit(-1)).alias("_top"))  # one row
-    joined = both.crossJoin(F.broadcast(top))
+    joined = both.join(top, F.lit(True))
     at = F.coalesce(F.col("_old_at"), F.col("_top") + 1 + F.col("_new_at"))
     row = F.coalesce("_new", "_old")
     return joined.select(key, at.alias(order), *[row[c].alias(c) for c in cols])

@@ -93,15 +93,16 @@ def verify_counts(spark, d):
 
 
 def reconcile(spark, d):
-    o, c = _t(spark, d, "orders").where("o_orderkey % 3 <> 0"), _t(spark, d, "customer").where("c_custkey % 4 <> 0")
-    return A.reconcile(o.select(F.col("o_custkey").alias("key")), c.select(F.col("c_custkey").alias("key")), "key")
+    """Orders against the orders that line items name."""
+    o, li = _t(spark, d, "orders"), _t(spark, d, "lineitem")
+    return A.reconcile(o.select(F.col("o_orderkey").alias("key")), li.select(F.col("l_orderkey").alias("key")), "key")
 
 
 def upsert_index(spark, d):
+    """Suppliers as the index; customers, in two versions each, take the place of those of their number or follow."""
+    row = lambda df, p, more: df.select(F.col(f"{p}key").alias("id"), (F.col(f"{p}key") + more).alias("at"), F.col(f"{p[:2]}name").alias("name"), (F.col(f"{p[:2]}acctbal") + more).alias("balance"))
     c = _t(spark, d, "customer")
-    old = c.where("c_custkey % 2 = 0").select("c_custkey", F.col("c_custkey").alias("at"), "c_name", "c_acctbal")
-    new = c.where("c_custkey % 3 = 0").select("c_custkey", F.col("c_custkey").alias("at"), F.upper("c_name").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
-    return A.upsert_index(old, new.unionByName(new.withColumn("c_acctbal", F.col("c_acctbal") + 1).withColumn("at", F.col("at") + 1)), "c_custkey", "at", "at").withColumn("c_acctbal", F.round("c_acctbal", 4))
+    return A.upsert_index(row(_t(spark, d, "supplier"), "s_supp", 0), row(c, "c_cust", 0).unionByName(row(c, "c_cust", 1)), "id", "at", "at").withColumn("balance", F.round("balance", 4))
 
 
 def union_collections(spark, d):
@@ -170,7 +171,7 @@ def digest(spark, d):
 
 
 def signature(spark, d):
-    return _t(spark, d, "nation").select("n_nationkey", S.config_signature({"name": F.col("n_name"), "key": F.col("n_nationkey")}).alias("signature"))
+    return _t(spark, d, "documents").select("doc_id", S.config_signature({"lang": F.col("lang"), "source": F.col("source"), "n": F.col("n_chars")}).alias("signature"))
 
 
 def log_progress(spark, d):
@@ -242,11 +243,11 @@ SELECT *, blocked + missing + existing = 0 AS ok FROM n""",
     "apply_log": f"WITH {_MOVES} SELECT kind, CASE WHEN status = 'would_move' THEN 'preflight_aborted' ELSE status END AS result, count(*) AS n FROM mv GROUP BY ALL",
     "verify_counts": f"""WITH {_BASE}, n AS (SELECT count(*) AS a, count(*) FILTER (WHERE sample_id NOT IN (SELECT sample_id FROM ops)) AS k FROM base)
 SELECT 'all' AS name, a AS expected, a AS actual, 'OK' AS verdict FROM n UNION ALL SELECT 'kept', a, k, CASE WHEN a = k THEN 'OK' ELSE 'MISMATCH' END FROM n UNION ALL SELECT 'leaked', 0, 0, 'OK'""",
-    "reconcile": """WITH a AS (SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT c_custkey AS key FROM customer WHERE c_custkey % 4 <> 0)
+    "reconcile": """WITH a AS (SELECT o_orderkey AS key FROM orders), b AS (SELECT DISTINCT l_orderkey AS key FROM lineitem)
 SELECT key, 'only_first' AS side FROM a WHERE key NOT IN (SELECT key FROM b) UNION ALL SELECT key, 'only_second' FROM b WHERE key NOT IN (SELECT key FROM a)""",
-    "upsert_index": """WITH m AS (SELECT max(c_custkey) AS top FROM customer WHERE c_custkey % 2 = 0)
-SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE top + 1 + c_custkey END AS at, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS c_name, round(CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 2 ELSE c_acctbal END, 4) AS c_acctbal
-FROM customer, m WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""",
+    "upsert_index": """WITH m AS (SELECT max(s_suppkey) AS top FROM supplier)
+SELECT c_custkey AS id, CASE WHEN s_suppkey IS NOT NULL THEN s_suppkey ELSE top + 1 + c_custkey END AS at, c_name AS name, round(c_acctbal + 1, 4) AS balance FROM customer CROSS JOIN m LEFT JOIN supplier ON s_suppkey = c_custkey
+UNION ALL SELECT s_suppkey, s_suppkey, s_name, round(s_acctbal, 4) FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)""",
     "union_collections": "SELECT CASE WHEN c_custkey % 5 = 0 THEN 'supplemental' ELSE 'clean' END AS collection, count(*) AS n FROM customer GROUP BY 1",
     "unique_session_map": f"WITH {_SESS} SELECT * FROM um",
     "canonical_session": f"WITH {_SESS} SELECT id, CASE WHEN session_id = 'S00' THEN main_session ELSE session_id END AS archive_session FROM ss LEFT JOIN um ON um.person = ss.person",
@@ -265,7 +266,7 @@ SELECT page_id, regexp_replace(replace('data/csi/' || q || '.dat', '/csi/', '/me
   'anon/' || regexp_replace(q || '.dat', '\.[^./]*$', '') || '_add.mp4' AS anonymised FROM p""",
     "path_safety": "SELECT page_id, page_id % 4 = 3 AS safe FROM pages",
     "digest": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
-    "signature": """SELECT n_nationkey, substr(sha256('{"key":' || n_nationkey || ',"name":"' || n_name || '"}'), 1, 16) AS signature FROM nation""",
+    "signature": """SELECT doc_id, substr(sha256('{"lang":"' || lang || '","n":' || n_chars || ',"source":"' || source || '"}'), 1, 16) AS signature FROM documents""",
     "log_progress": "SELECT doc_id, (doc_id % 7) || '/9' AS step FROM documents",
     "preview": """WITH k AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events),
 r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type IN ('purchase', 'view') AND k = 1 THEN 0 ELSE 1 END, event_id) AS place FROM k)

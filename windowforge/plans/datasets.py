@@ -34,8 +34,10 @@ def split_summary(spark, d):
 
 
 def validate_split(spark, d):
-    s = _split(spark, d)
-    broken = s.where("vec_id % 17 <> 0").unionByName(s.where("vec_id % 101 = 0"))
+    """A split without the samples whose vectors begin high, and with those twice that begin low."""
+    x = _t(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"))
+    s = _split(spark, d).join(x, "vec_id")
+    broken = s.where("x <= 0.2").unionByName(s.where("x < -0.25")).drop("x")
     return X.split_violations(broken, _samples(spark, d), ["person", "action"], "vec_id").groupBy("seed", "problem").agg(F.count("*").alias("n"))
 
 
@@ -49,8 +51,11 @@ def loso_folds(spark, d):
 
 
 def compare_assignments(spark, d):
-    a, b = (_split(spark, d).where(F.col("seed") == s).select("vec_id", F.lit(1).alias("seed"), "split") for s in SEEDS)
-    return X.compare_assignments(a.where("vec_id % 29 <> 0"), b.where("vec_id % 31 <> 0"), "vec_id")
+    """The split of vectors against one of documents by their length, under the same numbers."""
+    a = _split(spark, d).where(F.col("seed") == SEEDS[0]).select("vec_id", F.lit(1).alias("seed"), "split")
+    size = F.when(F.col("n_chars") > 900, "train").when(F.col("n_chars") > 500, "val").otherwise("test")
+    b = _t(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.lit(1).alias("seed"), size.alias("split"))
+    return X.compare_assignments(a, b, "vec_id")
 
 
 def _predictions(spark, d):
@@ -103,7 +108,7 @@ def run_summary(spark, d):
 def run_matrix(spark, d):
     arch = _t(spark, d, "part").select(F.col("p_brand").alias("arch")).distinct()
     units = _t(spark, d, "embeddings").select(F.lit("loso").alias("protocol"), F.col("label").cast("string").alias("unit")).distinct()
-    done = arch.crossJoin(F.broadcast(units)).where("unit IN ('1', '2') AND arch LIKE '%1%'")
+    done = arch.join(units, F.lit(True)).where("unit IN ('1', '2') AND arch LIKE '%1%'")
     return X.run_matrix(arch, units, done).select("arch", "protocol", "unit")
 
 
@@ -188,7 +193,7 @@ QUERIES = {
 ORACLE = {
     "split": f"WITH {_SPLIT} SELECT seed, vec_id, split FROM x",
     "split_summary": f"WITH {_SPLIT} SELECT seed, split, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY seed), 6) AS ratio FROM x GROUP BY seed, split",
-    "validate_split": f"""WITH {_SPLIT}, b AS (SELECT * FROM x WHERE vec_id % 17 <> 0 UNION ALL SELECT * FROM x WHERE vec_id % 101 = 0),
+    "validate_split": f"""WITH {_SPLIT}, y AS (SELECT vec_id, embedding[1]::DOUBLE AS z FROM embeddings), b AS (SELECT x.* FROM x JOIN y USING (vec_id) WHERE z <= 0.2 UNION ALL SELECT x.* FROM x JOIN y USING (vec_id) WHERE z < -0.25),
 parts AS (SELECT DISTINCT seed, split FROM x), st AS (SELECT DISTINCT person, action FROM s),
 v AS (SELECT seed, 'duplicate' AS problem FROM b GROUP BY seed, vec_id HAVING count(*) > 1
   UNION ALL SELECT seed, 'missing' FROM (SELECT DISTINCT seed FROM b) z CROSS JOIN s WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.seed = z.seed AND b.vec_id = s.vec_id)
@@ -197,7 +202,7 @@ SELECT seed, problem, count(*) AS n FROM v GROUP BY ALL""",
     "loso_pairs": "WITH p AS (SELECT DISTINCT label AS t FROM embeddings) SELECT t AS test_person, coalesce(lead(t) OVER (ORDER BY t), (SELECT min(t) FROM p)) AS val_person FROM p",
     "loso_folds": f"""WITH {_SAMPLES}, p AS (SELECT DISTINCT person AS t FROM s), q AS (SELECT t, coalesce(lead(t) OVER (ORDER BY t), (SELECT min(t) FROM p)) AS v FROM p)
 SELECT t AS test_person, CASE WHEN person = t THEN 'test' WHEN person = v THEN 'val' ELSE 'train' END AS split, count(*) AS n, sum(vec_id)::BIGINT AS ids FROM s CROSS JOIN q GROUP BY 1, 2""",
-    "compare_assignments": f"""WITH {_SPLIT}, a AS (SELECT * FROM x WHERE seed = {SEEDS[0]} AND vec_id % 29 <> 0), b AS (SELECT * FROM x WHERE seed = {SEEDS[1]} AND vec_id % 31 <> 0)
+    "compare_assignments": f"""WITH {_SPLIT}, a AS (SELECT * FROM x WHERE seed = {SEEDS[0]}), b AS (SELECT doc_id AS vec_id, CASE WHEN n_chars > 900 THEN 'train' WHEN n_chars > 500 THEN 'val' ELSE 'test' END AS split FROM documents)
 SELECT * FROM (SELECT coalesce(a.vec_id, b.vec_id) AS vec_id, CASE WHEN b.split IS NULL THEN 'missing' WHEN a.split IS NULL THEN 'extra' WHEN a.split <> b.split THEN 'split' END AS problem
 FROM a FULL JOIN b ON a.vec_id = b.vec_id) WHERE problem IS NOT NULL""",
     "class_weights": f"""WITH {_PRED}, k AS (SELECT label, nullif(count(o_orderkey), 0) AS n FROM cl LEFT JOIN orders ON o_orderstatus = label GROUP BY label)
