@@ -48,6 +48,7 @@ def match_recording(windows: DataFrame, recordings: DataFrame, bucket: int) -> D
     inner = r.where("begins AND ends").select(*key, "first_us", "last_us", "rank")
     within = w.join(inner, key).where("first_us <= a AND b <= last_us").groupBy("window_id").agg(F.min("rank").alias("within"))
     held = both.where("kind = 1").join(covering, key, "left").join(within, "window_id", "left").withColumn("best", F.least("begun", "ending", "covering", "within"))
+    held = held.select("window_id", "a", "b", *key, "best").persist()  # a row for each window, read twice
     open_ = held.where("best IS NULL").select("window_id", "a", "b", *key)
     met = open_.join(r.where("begins OR ends").select(*key, "recording", "first_us", "last_us"), key).where((F.col("a") <= F.col("last_us")) & (F.col("first_us") <= F.col("b")))
     overlap = F.least("b", "last_us") - F.greatest("a", "first_us")
@@ -167,7 +168,7 @@ def sync_index(windows: DataFrame, frames: DataFrame, bucket: int, max_diff_us:
     """The video half of the synchronisation index: for windows (window_id, a, b), the recording, its nearest frames at both ends, the largest
     frame gap between, sorted flags and the status (ok iff there is no flag)."""
     placed = positions(frames)
-    matched = match_recording(windows, recording_stats(frames), bucket).drop("contained")
+    matched = match_recording(windows, recording_stats(frames), bucket).drop("contained").persist()  # a row for each window, read twice
     ends = matched.where("recording IS NOT NULL").select("recording", F.explode(F.array(F.struct((F.col("window_id") * 2).alias("point_id"), F.col("a").alias("t")), F.struct((F.col("window_id") * 2 + 1).alias("point_id"), F.col("b").alias("t")))).alias("p"))
     near = nearest_frame(ends.select("recording", "p.point_id", "p.t"), placed).withColumn("window_id", F.floor(F.col("point_id") / 2))
     of = lambda k, c: F.max(F.when(F.col("point_id") % 2 == k, F.col(c)))
