@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from windowforge.llm.common import stage, table
+from windowforge.llm.common import hand_over, stage, table
 
 #: Bits of the hash: 15 hexadecimal digits.
 BITS = 60
@@ -43,20 +43,23 @@ def shard_documents(docs: DataFrame, limit: int, id_col: str = "doc_id", text_co
     Only a document longer than ``limit`` exceeds it, alone with its equal rows dealt one to a part. A bucket of equal rows
     over the limit is cut into parts that fit. A null text has 0 bytes; a null id is an id of its own; an empty table gives no rows.
     """
-    rows = stage(hashed(docs, id_col, text_col))
+    # equal rows over the limit are dealt by the piece of the input they come from, which is written down: a retried task finds it again
+    rows = stage(hashed(docs, id_col, text_col).withColumn("salt", F.shiftright(F.monotonically_increasing_id(), 33).cast("int")))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     depth = min(BITS, max(4, math.ceil(math.log2(max(1, total / limit))) + 4))
-    top, open_rows, done = 0, rows, None
+    top, open_rows, done, kept = 0, rows, None, [rows]
     while True:
         at = open_rows.withColumn("prefix", F.shiftright("h", BITS - depth))
         sums = at.groupBy("prefix").agg(F.sum("n_bytes").alias("n_bytes"), F.min("h").alias("lo"), F.max("h").alias("hi"))
         leaves = stage(_leaves(sums, top, depth, limit))
-        placed = at.join(leaves, "prefix").select("doc_id", "h", "n_bytes", "depth")
+        kept.append(leaves)
+        placed = at.join(leaves, "prefix").select("doc_id", "h", "n_bytes", "salt", "depth")
         closed = placed.where(F.col("depth").isNotNull())
         done = closed if done is None else done.unionByName(closed)
         if depth == BITS or leaves.where("depth IS NULL").isEmpty():
             break
         open_rows = stage(placed.where(F.col("depth").isNull()).drop("depth"))
+        kept.append(open_rows)
         top, depth = depth + 1, min(BITS, depth + bits_a_round)
     named = done.withColumn("shard", F.when(F.col("depth") == 0, "").otherwise(F.expr(f"substr(lpad(bin(h), {BITS}, '0'), 1, depth)")))
     sizes = named.groupBy("shard").agg(F.sum("n_bytes").alias("total"), F.count("*").alias("n"))
@@ -64,13 +67,12 @@ def shard_documents(docs: DataFrame, limit: int, id_col: str = "doc_id", text_co
     salt = Window.partitionBy("h", "salt").orderBy("doc_id")
     dealt = (
         named.join(over, "shard", "left_semi")
-        .withColumn("salt", F.spark_partition_id())
         .withColumn("nth", F.row_number().over(salt) - 1)
         .withColumn("part", F.concat_ws("-", "salt", F.floor(F.col("nth") / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("n_bytes"), F.lit(1)))))))
     )
     plain = named.join(over, "shard", "left_anti").withColumn("part", F.lit("0"))
     cols = ["doc_id", "n_bytes", F.col("depth").cast("int").alias("depth"), "shard", "part"]
-    return plain.select(*cols).unionByName(dealt.select(*cols))
+    return hand_over(plain.select(*cols).unionByName(dealt.select(*cols)), *kept, over)
 
 
 #: Byte limit of the registered query.
