@@ -53,10 +53,13 @@ def test_problems(files):
     assert P.scan_packets(files.where("sample_id = 'good'"), keep=2).where("iq IS NOT NULL").count() == 2
 
 
-def test_census(files):
+def test_census(spark, files):
     got = {r.sample_id: (r.packets, r.flags) for r in P.packet_census(files).collect()}
     assert got["good"] == (4, []) and got["trail"] == (4, ["csi_trailing_bytes"])
     assert got["empty"] == (0, ["empty_or_invalid_csi_file"])
+    heads = P.packet_heads(spark, files.where("sample_id = 'good'").first().path.rsplit("/", 1)[0])
+    assert heads.where("length(content) > 272").isEmpty()
+    assert {r.sample_id: (r.packets, r.flags) for r in P.packet_census(heads).collect()} == {k: v for k, v in got.items() if k != "empty"}
 
 
 def test_slices(spark, files):

@@ -35,8 +35,29 @@ def packet_files(spark: SparkSession, path: str, glob: str = "*.dat") -> DataFra
     return files.select(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("sample_id"), "path", "length", "content")
 
 
+def packet_heads(spark: SparkSession, path: str, glob: str = "*.dat") -> DataFrame:
+    """(sample_id, path, length, content) for a census: of each file, the content is its first header, and no more is read.
+
+    Spark lists the files; the tasks open them by Arrow's file systems (local folders, HDFS, S3 and the like).
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "length")  # without the content, no file is opened
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            content = []
+            for uri in b.column(0).to_pylist():
+                store, name = fs.FileSystem.from_uri(uri)
+                with store.open_input_file(name) as f:
+                    content.append(f.read(HEADER))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(content, pa.binary())], names=["path", "length", "content"])
+
+    return listed.mapInArrow(heads, "path string, length long, content binary").select(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("sample_id"), "path", "length", "content")
+
+
 def packet_census(files: DataFrame) -> DataFrame:
-    """sample_id, packet_size, packets, trailing and flags, from each file's length and the size in its first header."""
+    """sample_id, packet_size, packets, trailing and flags, from each file's length and the size in its first header: ``packet_heads`` has all that is needed."""
     first = F.hex(F.expr("substring(content, 1, 4)"))
     word = F.conv(F.concat(*[F.substring(first, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("long")  # least byte first
     f = files.select("sample_id", "length", F.when(F.col("length") >= HEADER, word + HEADER).alias("packet_size"))

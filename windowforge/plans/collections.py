@@ -128,6 +128,18 @@ def file_lists(spark, d):
     return A.file_lists(p, "p_partkey", ["v", "c", "m"])
 
 
+def archive_index(spark, d):
+    """Suppliers as samples of two collections; those of the fourth session are supplemental and go to their person's only session. Sizes are part prices."""
+    s, k = _t(spark, d, "supplier"), F.col("s_suppkey")
+    main = F.concat(F.lit("S"), F.col("s_nationkey") + 1)
+    text = lambda head, tail: F.concat(F.lit(head), k, F.lit(tail))
+    row = lambda df, session: df.select(text("X", "").alias("sample_id"), session.alias("session_id"), F.concat(F.lit("P"), "s_nationkey").alias("person_id"), F.lit("E1").alias("environment_id"), F.lit("walk").alias("action_id"), text("raw/", ".dat").alias("csi_path"), text("raw/", ".mp4").alias("video_path"), F.lit("ok").alias("status"))
+    extra = _t(spark, d, "customer").join(s.select(F.col("s_nationkey").alias("c_nationkey")).distinct(), "c_nationkey", "left_semi").select((F.col("c_custkey") + 1_000_000_000).alias("s_suppkey"), F.col("c_nationkey").alias("s_nationkey"))
+    sizes = _t(spark, d, "part").select(F.concat(F.lit("raw/"), "p_partkey", F.lit(".dat")).alias("path"), F.rint(F.col("p_retailprice") * 100).cast("long").alias("bytes"))
+    out = A.build_archive(row(s, main), row(extra, F.lit("S00")), sizes)
+    return out.select("sample_id", "collection", "archive_session", "archive_csi_path", "archive_video_path", "csi_bytes", "video_bytes")
+
+
 def release_index(spark, d):
     p = _t(spark, d, "part").select("p_partkey", F.concat(F.lit("archive/data/"), "p_brand", F.lit("/"), "p_partkey").alias("path"), F.col("p_name").alias("source_path"))
     return A.build_release(p, ["source_path"], ["path"], "archive")
@@ -219,7 +231,7 @@ QUERIES = {
     n: globals()[n]
     for n in (
         "review_match unmatched_rules review_labels quality_table cleanup_plan clean_index apply_preview apply_log verify_counts reconcile upsert_index union_collections unique_session_map "
-        "canonical_session file_lists release_index missing_paths find_outputs anonymisation_status path_derive path_safety digest signature log_progress preview select_samples"
+        "canonical_session file_lists archive_index release_index missing_paths find_outputs anonymisation_status path_derive path_safety digest signature log_progress preview select_samples"
     ).split()
 }
 
@@ -253,6 +265,10 @@ UNION ALL SELECT s_suppkey, s_suppkey, s_name, round(s_acctbal, 4) FROM supplier
     "canonical_session": f"WITH {_SESS} SELECT id, CASE WHEN session_id = 'S00' THEN main_session ELSE session_id END AS archive_session FROM ss LEFT JOIN um ON um.person = ss.person",
     "file_lists": """WITH l AS (SELECT p_partkey, list_filter(['v/' || p_brand, CASE WHEN p_partkey % 3 <> 0 THEN 'c/' || p_type END, p_name], lambda x: x IS NOT NULL) AS fs FROM part)
 SELECT p_partkey, (i - 1)::INT AS pos, fs[i] AS path FROM l, unnest(range(1, len(fs) + 1)) AS t(i)""",
+    "archive_index": """WITH r AS (SELECT s_suppkey AS k, s_nationkey AS n, 'clean' AS c FROM supplier UNION ALL SELECT c_custkey + 1000000000, c_nationkey, 'supplemental' FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)),
+z AS (SELECT p_partkey AS k, round_even(p_retailprice * 100, 0)::BIGINT AS bytes FROM part)
+SELECT 'X' || r.k AS sample_id, c AS collection, 'S' || (n + 1) AS archive_session, 'data/S' || (n + 1) || '/csi/walk/' || r.k || '.dat' AS archive_csi_path, 'data/S' || (n + 1) || '/video/walk/' || r.k || '.mp4' AS archive_video_path,
+  bytes AS csi_bytes, NULL::BIGINT AS video_bytes FROM r LEFT JOIN z ON z.k = r.k""",
     "release_index": "SELECT p_partkey, 'data/' || p_brand || '/' || p_partkey AS path FROM part",
     "missing_paths": "SELECT 'packets' AS column, o_orderkey::VARCHAR AS path FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
     "find_outputs": """WITH l AS (SELECT DISTINCT l_orderkey AS k, 'f' || l_linenumber AS name FROM lineitem), c AS (SELECT k, count(*) AS n, min(name) AS one, bool_or(name = 'f1') AS f1 FROM l GROUP BY k)
