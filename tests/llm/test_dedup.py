@@ -60,17 +60,40 @@ def test_bytes(spark):
 
 
 @pytest.mark.parametrize("shard", [40, 1 << 20])
-def test_merged_transforms(shard):
+@pytest.mark.parametrize("width", [1, 2, 7, 8])
+@pytest.mark.parametrize("letters", [b"ab", b"abcdefgh"])
+def test_merged_transforms(shard, width, letters):
     rng = np.random.default_rng(3)
-    segments = [bytes(rng.choice(np.frombuffer(b"ab", np.uint8), rng.integers(5, 40))) for _ in range(50)]
-    groups = {}
-    for i, owner, offset in zip(*suffix_dedup.repeated(segments, 7, shard), strict=True):
-        groups.setdefault(i, set()).add((int(owner), int(offset)))
-    want = {}
-    for i, s in enumerate(segments):
-        for p in range(len(s) - 6):
-            want.setdefault(s[p : p + 7], set()).add((i, p))
-    assert sorted(map(sorted, groups.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+    segments = [bytes(rng.choice(np.frombuffer(letters, np.uint8), rng.integers(1, 40))) for _ in range(50)]
+    for times in (None, rng.integers(1, 3, 50)):
+        groups = {}
+        for i, owner, offset in zip(*suffix_dedup.repeated(segments, width, shard, times), strict=True):
+            groups.setdefault(i, set()).add((int(owner), int(offset)))
+        want = {}
+        for i, s in enumerate(segments):
+            for p in range(len(s) - width + 1):
+                want.setdefault(s[p : p + width], set()).add((i, p))
+        many = lambda v: len(v) > 1 or times is not None and times[next(iter(v))[0]] > 1
+        assert sorted(map(sorted, groups.values())) == sorted(sorted(v) for v in want.values() if many(v))
+
+
+def test_common_prefixes():
+    rng = np.random.default_rng(5)
+    strings = [bytes(rng.choice(np.frombuffer(b"ab", np.uint8), rng.integers(1, 30))) for _ in range(20)]
+    transforms, suffixes = [], []
+    for part in (strings[:7], strings[7:12], strings[12:]):
+        lengths = np.array([len(s) + 1 for s in part])
+        text = np.frombuffer(b"\xff".join(part) + b"\xff", np.uint8) + np.uint8(1)
+        order, transform = suffix_dedup.shard_transform(text, np.cumsum(lengths) - lengths)
+        own = b"\xff".join(part) + b"\xff"
+        transforms.append(transform)
+        suffixes += [own[k:].split(b"\xff")[0] for k in order]
+    at, begins, prefix = suffix_dedup.merge_transforms(transforms, 12)
+    same = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905, E731
+    for i, s in enumerate(suffixes):
+        nearest = max(same(s, t) for j, t in enumerate(suffixes) if j != i)
+        assert prefix[i] == (12 if min(nearest, len(s)) >= 12 else nearest // 2 * 2)
+    assert {suffixes[k][:12] for k in at[begins]} == {s[:12] for s in suffixes if sum(len(t) >= 12 and t[:12] == s[:12] for t in suffixes) > 1}
 
 
 def test_words(spark):

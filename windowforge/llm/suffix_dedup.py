@@ -2,10 +2,11 @@
 
 Every window of ``width`` bytes names an anchor, the least hash of its inner 50-byte strings; equal windows name equal anchors at
 equal places. Anchors that stand once in the corpus end there. The text around each other one, its segment, goes to the
-bucket of its hash, equal segments as one. In a bucket, the distinct segments that share an anchor are cut into shards,
-each with its own Burrows-Wheeler transform; the transforms are merged by refining their interleaving, one character deeper a
-round, without sorting suffixes anew. Where neighbours first part gives their common prefixes; suffixes still together
-after ``width`` rounds are the intervals of repeated windows, of which the earliest stays.
+bucket of its hash; equal ones of a chunk go once. In a bucket, the segments that share an anchor, and those that stand in several chunks, are
+strings that count as often as they stand; they are cut into shards,
+each with its own Burrows-Wheeler transform; the transforms are merged by refining their interleaving, two characters deeper a
+round, without sorting suffixes anew. What is left alone is settled and gives the common prefixes; suffixes still together
+after ``width`` characters are the intervals of repeated windows, of which the earliest place stays.
 
 An anchor with very many segments (the edge of a passage that many documents share) would be one long task: its windows go to
 the buckets of their own 128-bit hashes instead, each window once a chunk, and equal hashes are equal windows.
@@ -60,51 +61,47 @@ def shard_transform(text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np
     return order, before[order]
 
 
-def merge_transforms(transforms: list[np.ndarray], strings: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The merged order, as places in the transforms laid one after another, right for ``width`` characters; and the common prefix of
-    each suffix with the one before it, ``width`` where it is that long or longer.
+def merge_transforms(transforms: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merge transforms until suffixes are interleaved by ``width`` characters: the places (in the transforms laid one after another) that share
+    as many with another, interval by interval; which of them begin an interval; and for every place the common prefix with its
+    nearest neighbour, in steps of two characters.
 
-    Round by round, what is interleaved is dealt by the character before it; within a character the order stays. The place of the longer
-    suffix in its own transform is known from counts, so nothing is sorted but characters. The ends keep the order of the strings.
-    A place is a boundary from the round on that parts it from its predecessor.
+    Round by round, what is interleaved is dealt by the two characters before it (in an odd width's first round, by one); within a pair the order stays. The
+    place of the longer suffix in its own transform is known from counts, so nothing is sorted but characters. A suffix that is alone in its
+    interval is settled: whatever is longer by it is alone too. So is one that reaches its string's end. Rounds deal with the others only.
     """
-    chars = np.concatenate(transforms)
-    n, ends = len(chars), int(sum(strings))
-    back, first = np.empty(n, np.int32), np.empty(ends, np.int32)  # where the longer suffix stands, and the ends
-    at = done = 0
-    for t, k in zip(transforms, strings, strict=True):
-        back[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t), dtype=np.int32)
-        first[done : done + k] = np.arange(at, at + k)
-        at, done = at + len(t), done + k
-    place = np.arange(n, dtype=np.int32)  # before the first round nothing is known: all suffixes are together
-    boundary = np.zeros(n, bool)
-    boundary[0] = True
-    prefix = np.full(n, width, np.int32)
-    prefix[0] = 0
-    for depth in range(1, width + 1):
-        here = chars[place]  # the merged transform as it is known so far
+    chars, back, at = np.concatenate(transforms), [], 0
+    for t in transforms:
+        own = np.empty(len(t), np.int32)
+        own[np.argsort(t, kind="stable")] = np.arange(at, at + len(t), dtype=np.int32)
+        back.append(own)
+        at += len(t)
+    back = np.concatenate(back)
+    pairs, twice = chars[back].astype(np.uint16) << 8 | chars, back[back]
+    single, double = chars != 0, (chars != 0) & (chars[back] != 0)
+    active, begins = np.arange(len(chars), dtype=np.int32), np.zeros(len(chars), bool)  # before the first round all are together
+    begins[:1] = True
+    prefix, depth = np.zeros(len(chars), np.int32), 0
+    while depth < width and len(active):
+        step = 2 - (width - depth) % 2
+        key, longer, goes_on = (chars, back, single) if step == 1 else (pairs, twice, double)
+        interval, on = np.cumsum(begins, dtype=np.int32), goes_on[active]
+        active, interval = active[on], interval[on]
+        here = key[active]  # the merged transform, as far as it is known and open
         order = np.argsort(here, kind="stable")
-        group = np.cumsum(boundary, dtype=np.int32)[order]
-        new = np.empty(n, bool)
-        new[0] = True
-        np.not_equal(group[1:], group[:-1], out=new[1:])
-        starts = np.cumsum(np.bincount(here, minlength=256))
-        new[starts[starts < n]] = True
-        new[:ends] = True  # the end of a string is like no other
-        moved = back[place[order]]
-        moved[:ends] = first
-        parted = np.flatnonzero(new & ~boundary)
-        prefix[parted] = depth - 1
-        same = not len(parted) and np.array_equal(moved, place)
-        place = moved
-        boundary |= new
-        if same or boundary.all():
-            break
-    return place, prefix
-
-
-def repeated(segments: list[bytes], width: int, shard_bytes: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(interval, segment, offset) of every string of ``width`` bytes that stands more than once in ``segments``."""
+        here, interval, active = here[order], interval[order], longer[active[order]]
+        begins = np.ones(len(active), bool)
+        begins[1:] = (interval[1:] != interval[:-1]) | (here[1:] != here[:-1])
+        alone = begins.copy()
+        alone[:-1] &= begins[1:]
+        active, begins = active[~alone], begins[~alone]
+        depth += step
+        prefix[active] = depth
+    return active, begins, prefix
+
+
+def repeated(segments: list[bytes], width: int, shard_bytes: int = SHARD, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(interval, segment, offset) of every string of ``width`` bytes that stands more than once in ``segments``, which count ``times`` times each (else once)."""
     shards, held, size = [], [], 0
     for i, s in enumerate(segments):
         if held and size + len(s) + 1 > shard_bytes:
@@ -113,23 +110,25 @@ def repeated(segments: list[bytes], width: int, shard_bytes: int = SHARD) -> tup
         held.append(i)
         size += len(s) + 1
     shards.append(held)
-    suffixes, transforms, owner, offset = [], [], [], []
+    transforms, owner, offset = [], [], []
     for part in shards:
         lengths = np.array([len(segments[i]) + 1 for i in part])
         first = np.cumsum(lengths) - lengths
         text = np.frombuffer(b"\xff".join(segments[i] for i in part) + b"\xff", np.uint8) + np.uint8(1)  # UTF-8 has no 0xFF: 0 is free
         order, transform = shard_transform(text, first)
-        suffixes.append(order)
         transforms.append(transform)
         own = np.repeat(np.array(part), lengths)
         owner.append(own[order])
         offset.append(order - np.repeat(first, lengths)[order])
-    at, prefix = merge_transforms(transforms, list(map(len, shards)), width)
-    owner, offset = np.concatenate(owner)[at], np.concatenate(offset)[at]
-    long = prefix >= width  # as long a prefix in common with the suffix before
-    inside = long | np.concatenate([long[1:], [False]])
-    interval = np.cumsum(~long)
-    return interval[inside], owner[inside], offset[inside]
+    at, begins, _ = merge_transforms(transforms, width)
+    owner, offset = np.concatenate(owner), np.concatenate(offset)
+    interval = np.cumsum(begins)
+    if times is not None:  # an interval of one suffix that stands for several
+        sizes, rest = np.array(list(map(len, segments))), np.ones(len(owner), bool)
+        rest[at] = False
+        more = np.flatnonzero(rest & (times[owner] > 1) & (offset + width <= sizes[owner]))
+        at, interval = np.concatenate([at, more]), np.concatenate([interval, np.arange(len(more)) + len(interval) + 1])
+    return interval, owner[at], offset[at]
 
 
 # ---------------------------------------------------------------- the jobs
@@ -171,12 +170,12 @@ class _Segments:
         self.hash = mix(hashes[anchor[head]])  # least hashes alone would crowd the first buckets
 
 
-def _lots(by_hash: dict[int, dict[bytes, tuple[int, int]]]) -> Iterator[list[tuple[bytes, int, int]]]:
-    """The segments of the anchors that have several, some anchors at a time."""
+def _lots(by_hash: dict[int, dict[bytes, list[tuple[int, int]]]]) -> Iterator[list[tuple[bytes, list[tuple[int, int]]]]]:
+    """The segments of the anchors that have several, or that have one in several chunks, some anchors at a time."""
     held, size = [], 0
     for known in by_hash.values():
-        if len(known) > 1:
-            held += [(t, *at) for t, at in known.items()]
+        if len(known) > 1 or any(len(at) > 1 for at in known.values()):
+            held += known.items()
             size += sum(map(len, known))
             if size > LOT:
                 yield held
@@ -307,31 +306,32 @@ def repeated_runs(chunks: DataFrame, width: int, hot: int = HOT) -> DataFrame:
             yield from compare(chunks_, payloads, extras)
             return
         runs = {}
-        by_hash: dict[int, dict[bytes, tuple[int, int]]] = {}
+        by_hash: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
         for c, p, x in zip(chunks_, payloads, extras, strict=True):  # chunks ascend
             if p is None:
                 runs.setdefault(c, []).append(np.frombuffer(x, np.uint32).reshape(-1, 2))
                 continue
             items = np.frombuffer(p, _ITEM)
             ends = np.cumsum(items["size"].astype(np.int64))
-            later = []
             for h, a, n, e in zip(items["hash"].tolist(), items["start"].tolist(), items["size"].tolist(), ends.tolist(), strict=True):
-                known = by_hash.setdefault(h, {})
-                text = x[e - n : e]
-                if text in known:
-                    later.append((a, n - width + 1))
-                else:
-                    known[text] = (c, a)
-            if later:
-                runs.setdefault(c, []).append(np.array(later, np.uint32))
+                by_hash.setdefault(h, {}).setdefault(x[e - n : e], []).append((c, a))
         for segments in _lots(by_hash):
-            interval, owner, offset = repeated([t for t, _, _ in segments], width)
-            chunk = np.array([c for _, c, _ in segments])[owner]
-            place = np.array([a for _, _, a in segments])[owner] + offset
+            times = np.fromiter((len(at) for _, at in segments), np.int64, len(segments))
+            interval, owner, offset = repeated([t for t, _ in segments], width, times=times)
+            # of an interval, the earliest place stays: it is the first of some segment's; all places after a segment's first are repeats
+            chunk = np.array([at[0][0] for _, at in segments])[owner]
+            place = np.array([at[0][1] for _, at in segments])[owner] + offset
             order = np.lexsort((place, chunk, interval))
             repeat = np.zeros(len(order), bool)
             repeat[1:] = interval[order][1:] == interval[order][:-1]
             chunk, place = chunk[order][repeat], place[order][repeat]
+            more = np.flatnonzero(times[owner] > 1)
+            more = more[np.lexsort((offset[more], owner[more]))]
+            own, off = owner[more], offset[more]
+            head = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (off[1:] != off[:-1] + 1)])) if len(more) else np.zeros(0, np.int64)
+            for i, o, n in zip(own[head].tolist(), off[head].tolist(), np.diff(np.concatenate([head, [len(more)]])).tolist(), strict=True):
+                for c, a in segments[i][1][1:]:
+                    runs.setdefault(c, []).append(np.array([[a + o, n]], np.uint32))
             order = np.lexsort((place, chunk))
             chunk, place = chunk[order], place[order]
             head = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (place[1:] != place[:-1] + 1)])) if len(chunk) else np.zeros(0, np.int64)
