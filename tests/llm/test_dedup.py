@@ -60,7 +60,7 @@ def test_bytes(spark):
 
 
 @pytest.mark.parametrize("shard", [40, 1 << 20])
-@pytest.mark.parametrize("width", [1, 2, 7, 8])
+@pytest.mark.parametrize("width", [1, 2, 7, 8, 11, 13])
 @pytest.mark.parametrize("letters", [b"ab", b"abcdefgh"])
 def test_merged_transforms(shard, width, letters):
     rng = np.random.default_rng(3)
@@ -80,20 +80,21 @@ def test_merged_transforms(shard, width, letters):
 def test_common_prefixes():
     rng = np.random.default_rng(5)
     strings = [bytes(rng.choice(np.frombuffer(b"ab", np.uint8), rng.integers(1, 30))) for _ in range(20)]
-    transforms, suffixes = [], []
+    transforms, heads, suffixes = [], [], []
     for part in (strings[:7], strings[7:12], strings[12:]):
         lengths = np.array([len(s) + 1 for s in part])
         text = np.frombuffer(b"\xff".join(part) + b"\xff", np.uint8) + np.uint8(1)
-        order, transform = suffix_dedup.shard_transform(text, np.cumsum(lengths) - lengths)
+        order, transform, head = suffix_dedup.shard_transform(text, np.cumsum(lengths) - lengths)
+        heads.append(head)
         own = b"\xff".join(part) + b"\xff"
         transforms.append(transform)
         suffixes += [own[k:].split(b"\xff")[0] for k in order]
-    at, begins, prefix = suffix_dedup.merge_transforms(transforms, 12)
+    at, begins, prefix = suffix_dedup.merge_transforms(transforms, heads, 14)
     same = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905, E731
     for i, s in enumerate(suffixes):
         nearest = max(same(s, t) for j, t in enumerate(suffixes) if j != i)
-        assert prefix[i] == (12 if min(nearest, len(s)) >= 12 else nearest // 2 * 2)
-    assert {suffixes[k][:12] for k in at[begins]} == {s[:12] for s in suffixes if sum(len(t) >= 12 and t[:12] == s[:12] for t in suffixes) > 1}
+        assert prefix[i] == next(k for k in (14, 10, 8, 0) if nearest >= k)
+    assert {suffixes[k][:14] for k in at[begins]} == {s[:14] for s in suffixes if sum(len(t) >= 14 and t[:14] == s[:14] for t in suffixes) > 1}
 
 
 def test_words(spark):

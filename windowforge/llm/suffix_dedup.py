@@ -2,9 +2,9 @@
 
 Every window of ``width`` bytes names an anchor, the least hash of its inner 50-byte strings; equal windows name equal anchors at
 equal places. Anchors that stand once in the corpus end there. The text around each other one, its segment, goes to the
-bucket of its hash; equal ones of a chunk go once. In a bucket, the segments that share an anchor, and those that stand in several chunks, are
+bucket of its hash; equal ones of a chunk go once. Where all segments of an anchor are equal, all but the first are repeats. Where they differ, they are
 strings that count as often as they stand; they are cut into shards,
-each with its own Burrows-Wheeler transform; the transforms are merged by refining their interleaving, two characters deeper a
+each with its own Burrows-Wheeler transform; the transforms are merged by refining their interleaving, four characters deeper a
 round, without sorting suffixes anew. What is left alone is settled and gives the common prefixes; suffixes still together
 after ``width`` characters are the intervals of repeated windows, of which the earliest place stays.
 
@@ -27,6 +27,8 @@ from windowforge.llm.exchange import PACKED, bucket_bits, bucket_bounds, by_buck
 
 #: Bytes of an anchor; bytes of a chunk; least bytes of a shard; bytes of the segments whose transforms are merged at a time.
 ANCHOR, CHUNK, SHARD, LOT = 50, 2 << 20, 16 << 10, 64 << 10
+#: Characters by which suffixes are first told apart.
+HEAD = 8
 #: Segments of an anchor, counted once a chunk, above which its windows are compared one by one.
 HOT = 1024
 
@@ -34,40 +36,50 @@ HOT = 1024
 # ---------------------------------------------------------------- transforms
 
 
-def shard_transform(text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and transform of strings laid one after another, each ended by a 0; ``first``: where they start.
+def _heads(text: np.ndarray) -> np.ndarray:
+    """The next ``HEAD`` characters from each place as one number; 0 behind an end."""
+    n = len(text)
+    out, on = text.astype(np.uint64) << np.uint64(56), text != 0
+    for k in range(1, min(HEAD, n)):
+        on[: n - k] &= text[k - 1 : n - 1] != 0
+        out[: n - k] |= np.where(on[: n - k], text[k:], 0).astype(np.uint64) << np.uint64(56 - 8 * k)
+    return out
+
 
-    Ends are ordered as their strings are. Ranks double in depth until no two suffixes are equal.
+def shard_transform(text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix array, transform and first characters (``_heads``) of strings laid one after another, each ended by a 0; ``first``: where they start.
+
+    Ends are ordered as their strings are. Ranks start with ``HEAD`` characters and double in depth until no two suffixes are equal.
     """
     n = len(text)
-    end = text == 0
-    rank = np.where(end, np.cumsum(end) - 1, text.astype(np.int64) + int(end.sum()))
-    depth = 1
-    while True:
-        ahead = np.full(n, -1, np.int64)
+    heads = _heads(text)
+    order = np.argsort(heads, kind="stable")
+    head = heads[order]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(np.concatenate([[False], (head[1:] != head[:-1]) | (head[1:] & np.uint64(255) == 0)]))  # what reaches an end is like no other
+    depth = HEAD
+    while rank.max(initial=0) < n - 1:
+        ahead = np.zeros(n, np.int64)
         ahead[: n - depth] = rank[depth:]
-        ahead[end] = -1
-        key = rank * (int(rank.max()) + 2) + ahead + 1
+        key = rank * (n + 1) + ahead
         order = np.argsort(key)
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            break
+        key = key[order]
+        rank[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
         depth *= 2
     before = np.empty(n, np.uint8)
     before[1:] = text[:-1]
     before[first] = 0
-    return order, before[order]
+    return order, before[order], heads[order]
 
 
-def merge_transforms(transforms: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge_transforms(transforms: list[np.ndarray], heads: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merge transforms until suffixes are interleaved by ``width`` characters: the places (in the transforms laid one after another) that share
     as many with another, interval by interval; which of them begin an interval; and for every place the common prefix with its
-    nearest neighbour, in steps of two characters.
+    nearest neighbour, as far as the last round that had it together with another.
 
-    Round by round, what is interleaved is dealt by the two characters before it (in an odd width's first round, by one); within a pair the order stays. The
-    place of the longer suffix in its own transform is known from counts, so nothing is sorted but characters. A suffix that is alone in its
+    The suffixes of all shards are first put together by their first characters. Round by round, what is interleaved is dealt by the four characters before it
+    (by two or one in the first rounds of other widths); within equal ones the order stays. The place of the longer suffix in its own transform is
+    known from counts, so nothing is sorted but characters. A suffix that is alone in its
     interval is settled: whatever is longer by it is alone too. So is one that reaches its string's end. Rounds deal with the others only.
     """
     chars, back, at = np.concatenate(transforms), [], 0
@@ -77,29 +89,45 @@ def merge_transforms(transforms: list[np.ndarray], width: int) -> tuple[np.ndarr
         back.append(own)
         at += len(t)
     back = np.concatenate(back)
-    pairs, twice = chars[back].astype(np.uint16) << 8 | chars, back[back]
-    single, double = chars != 0, (chars != 0) & (chars[back] != 0)
-    active, begins = np.arange(len(chars), dtype=np.int32), np.zeros(len(chars), bool)  # before the first round all are together
-    begins[:1] = True
+    one = chars != 0
+    pairs, twice, two = chars[back].astype(np.uint16) << 8 | chars, back[back], one & one[back]
+    far, fourth, four = pairs[twice], twice[twice], two & two[twice]
+    steps = {1: ((chars,), back, one), 2: ((pairs,), twice, two), 4: ((pairs, far), fourth, four)}
     prefix, depth = np.zeros(len(chars), np.int32), 0
+    active, begins = np.arange(len(chars), dtype=np.int32), np.zeros(len(chars), bool)  # nothing is known: all are together
+    begins[:1] = True
+    if width >= HEAD:
+        head = np.concatenate(heads)
+        active = active[head & np.uint64(255) != 0]
+        active = active[np.argsort(head[active])]
+        active, begins = _open(active, np.concatenate([[True], head[active][1:] != head[active][:-1]])[: len(active)])
+        depth = HEAD
+        prefix[active] = depth
     while depth < width and len(active):
-        step = 2 - (width - depth) % 2
-        key, longer, goes_on = (chars, back, single) if step == 1 else (pairs, twice, double)
+        step = 1 if (width - depth) % 2 else 2 if (width - depth) % 4 else 4
+        keys, longer, goes_on = steps[step]
         interval, on = np.cumsum(begins, dtype=np.int32), goes_on[active]
         active, interval = active[on], interval[on]
-        here = key[active]  # the merged transform, as far as it is known and open
-        order = np.argsort(here, kind="stable")
-        here, interval, active = here[order], interval[order], longer[active[order]]
-        begins = np.ones(len(active), bool)
-        begins[1:] = (interval[1:] != interval[:-1]) | (here[1:] != here[:-1])
-        alone = begins.copy()
-        alone[:-1] &= begins[1:]
-        active, begins = active[~alone], begins[~alone]
+        order, parted = np.arange(len(active)), np.zeros(max(0, len(active) - 1), bool)
+        for key in keys:  # from the nearest characters to the furthest
+            order = order[np.argsort(key[active[order]], kind="stable")]
+        for key in keys:
+            here = key[active[order]]
+            parted |= here[1:] != here[:-1]
+        interval, active = interval[order], longer[active[order]]
+        active, begins = _open(active, np.concatenate([[True], parted | (interval[1:] != interval[:-1])])[: len(active)])
         depth += step
         prefix[active] = depth
     return active, begins, prefix
 
 
+def _open(places: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without the intervals of one place."""
+    alone = begins.copy()
+    alone[:-1] &= begins[1:]
+    return places[~alone], begins[~alone]
+
+
 def repeated(segments: list[bytes], width: int, shard_bytes: int = SHARD, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(interval, segment, offset) of every string of ``width`` bytes that stands more than once in ``segments``, which count ``times`` times each (else once)."""
     shards, held, size = [], [], 0
@@ -110,17 +138,18 @@ def repeated(segments: list[bytes], width: int, shard_bytes: int = SHARD, times:
         held.append(i)
         size += len(s) + 1
     shards.append(held)
-    transforms, owner, offset = [], [], []
+    transforms, heads, owner, offset = [], [], [], []
     for part in shards:
         lengths = np.array([len(segments[i]) + 1 for i in part])
         first = np.cumsum(lengths) - lengths
         text = np.frombuffer(b"\xff".join(segments[i] for i in part) + b"\xff", np.uint8) + np.uint8(1)  # UTF-8 has no 0xFF: 0 is free
-        order, transform = shard_transform(text, first)
+        order, transform, head = shard_transform(text, first)
         transforms.append(transform)
+        heads.append(head)
         own = np.repeat(np.array(part), lengths)
         owner.append(own[order])
         offset.append(order - np.repeat(first, lengths)[order])
-    at, begins, _ = merge_transforms(transforms, width)
+    at, begins, _ = merge_transforms(transforms, heads, width)
     owner, offset = np.concatenate(owner), np.concatenate(offset)
     interval = np.cumsum(begins)
     if times is not None:  # an interval of one suffix that stands for several
@@ -171,10 +200,10 @@ class _Segments:
 
 
 def _lots(by_hash: dict[int, dict[bytes, list[tuple[int, int]]]]) -> Iterator[list[tuple[bytes, list[tuple[int, int]]]]]:
-    """The segments of the anchors that have several, or that have one in several chunks, some anchors at a time."""
+    """The segments of the anchors that have several, with where each stands, some anchors at a time."""
     held, size = [], 0
     for known in by_hash.values():
-        if len(known) > 1 or any(len(at) > 1 for at in known.values()):
+        if len(known) > 1:
             held += known.items()
             size += sum(map(len, known))
             if size > LOT:
@@ -305,7 +334,7 @@ def repeated_runs(chunks: DataFrame, width: int, hot: int = HOT) -> DataFrame:
         if bucket >> bits:
             yield from compare(chunks_, payloads, extras)
             return
-        runs = {}
+        runs, single = {}, {}
         by_hash: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
         for c, p, x in zip(chunks_, payloads, extras, strict=True):  # chunks ascend
             if p is None:
@@ -315,6 +344,11 @@ def repeated_runs(chunks: DataFrame, width: int, hot: int = HOT) -> DataFrame:
             ends = np.cumsum(items["size"].astype(np.int64))
             for h, a, n, e in zip(items["hash"].tolist(), items["start"].tolist(), items["size"].tolist(), ends.tolist(), strict=True):
                 by_hash.setdefault(h, {}).setdefault(x[e - n : e], []).append((c, a))
+        for known in by_hash.values():
+            if len(known) == 1:  # all that shares this anchor is equal
+                ((text, at),) = known.items()
+                for c, a in at[1:]:
+                    single.setdefault(c, []).extend((a, len(text) - width + 1))
         for segments in _lots(by_hash):
             times = np.fromiter((len(at) for _, at in segments), np.int64, len(segments))
             interval, owner, offset = repeated([t for t, _ in segments], width, times=times)
@@ -331,13 +365,15 @@ def repeated_runs(chunks: DataFrame, width: int, hot: int = HOT) -> DataFrame:
             head = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (off[1:] != off[:-1] + 1)])) if len(more) else np.zeros(0, np.int64)
             for i, o, n in zip(own[head].tolist(), off[head].tolist(), np.diff(np.concatenate([head, [len(more)]])).tolist(), strict=True):
                 for c, a in segments[i][1][1:]:
-                    runs.setdefault(c, []).append(np.array([[a + o, n]], np.uint32))
+                    single.setdefault(c, []).extend((a + o, n))
             order = np.lexsort((place, chunk))
             chunk, place = chunk[order], place[order]
             head = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (place[1:] != place[:-1] + 1)])) if len(chunk) else np.zeros(0, np.int64)
             pairs = np.stack([place[head], np.diff(np.concatenate([head, [len(chunk)]]))], axis=1).astype(np.uint32)
             for c in np.unique(chunk[head]).tolist():
                 runs.setdefault(c, []).append(pairs[chunk[head] == c])
+        for c, r in single.items():
+            runs.setdefault(c, []).append(np.array(r, np.uint32).reshape(-1, 2))
         if runs:
             yield batch_of(chunk=list(runs), runs=pa.array([np.concatenate(r).tobytes() for r in runs.values()], pa.binary()))
 
