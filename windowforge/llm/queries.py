@@ -7,6 +7,7 @@ from windowforge.llm.decontamination import op7_decontamination
 from windowforge.llm.neighbours import op8_nearest_neighbours
 from windowforge.llm.ngram_join import ORACLE_OP5, op5_ngram_jaccard
 from windowforge.llm.packing import op10_best_fit_packing
+from windowforge.llm.sentence_pieces import op12_sentence_pieces
 from windowforge.llm.sharding import ORACLE_OP2, op2_sharding
 from windowforge.llm.substring_dedup import ORACLE_OP9, op9_substring_dedup
 from windowforge.llm.suffix_dedup import ORACLE_OP3, op3_suffix_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_sentence_pieces": op12_sentence_pieces,
 }
 ORACLE: dict[str, str] = {
     "op1_chat_format": ORACLE_OP1,
