@@ -5,6 +5,7 @@ from __future__ import annotations
 from windowforge.llm.chat import ORACLE_OP1, op1_chat_format
 from windowforge.llm.decontamination import op7_decontamination
 from windowforge.llm.dialogue_repair import ORACLE_OP13, op13_dialogue_repair
+from windowforge.llm.hard_negatives import ORACLE_OP11, op11_hard_negatives
 from windowforge.llm.neighbours import op8_nearest_neighbours
 from windowforge.llm.ngram_join import ORACLE_OP5, op5_ngram_jaccard
 from windowforge.llm.packing import op10_best_fit_packing
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_sentence_pieces": op12_sentence_pieces,
     "op13_dialogue_repair": op13_dialogue_repair,
 }
@@ -35,5 +37,6 @@ ORACLE: dict[str, str] = {
     "op3_suffix_dedup": ORACLE_OP3,
     "op5_ngram_jaccard": ORACLE_OP5,
     "op9_substring_dedup": ORACLE_OP9,
+    "op11_hard_negatives": ORACLE_OP11,
     "op13_dialogue_repair": ORACLE_OP13,
 }
