@@ -15,7 +15,7 @@ def test_nearest_frame_ties_and_edges(spark):
 def test_match_recording_prefers_containing(spark):
     recs = spark.createDataFrame([("long", 0, 100), ("short", 10, 50), ("part", 45, 60), ("touch", 200, 300)], "recording string, first_us long, last_us long")
     wins = spark.createDataFrame([(1, 20, 50), (2, 40, 120), (3, 150, 200), (4, 400, 500), (5, 9, 9)], "window_id long, a long, b long")
-    got = {r.window_id: r.recording for r in T.match_recording(wins, recs, 32).collect()}
+    got = {r.window_id: r.recording for r in T.match_recording(wins, recs).collect()}
     assert got == {1: "short", 2: "long", 3: "touch", 4: None, 5: "long"}
 
 
@@ -50,12 +50,12 @@ def test_index_method(spark):
     assert got["c"] == ("manifest_sample_window_linear", ["missing_csi_packet_log_times"])
 
 
-@pytest.mark.parametrize("bucket", [7, 32, 1000])
-def test_match_recording_against_brute_force(spark, bucket):
-    rng = random.Random(bucket)
+@pytest.mark.parametrize("seed", [7, 32, 1000])
+def test_match_recording_against_brute_force(spark, seed):
+    rng = random.Random(seed)
     recs = [(f"r{rng.randrange(10)}{k}", a := rng.randrange(-300, 900), a + rng.choice([0, 3, 20, 60, 300, 1500])) for k in range(60)]
     wins = [(k, a := rng.randrange(-400, 1100), a + rng.choice([-1, 0, 1, 6, 7, 8, 14, 15, 40, 200])) for k in range(150)]
-    got = T.match_recording(spark.createDataFrame(wins, "window_id long, a long, b long"), spark.createDataFrame(recs, "recording string, first_us long, last_us long"), bucket)
+    got = T.match_recording(spark.createDataFrame(wins, "window_id long, a long, b long"), spark.createDataFrame(recs, "recording string, first_us long, last_us long"))
     for r in got.collect():
         holds = [(z - f, n) for n, f, z in recs if f <= r.a and r.b <= z]
         meets = [(max(r.a, f) - min(r.b, z), n) for n, f, z in recs if r.a <= z and f <= r.b]
@@ -78,3 +78,62 @@ def test_cells_change_nothing(spark):
     cut = T.in_ranges(wins.join(ranges, "window_id").drop("flags"), placed, "recording", "pos", 5)
     by_hand = {(w.window_id, f.frame_idx) for w in wins.join(ranges, "window_id").collect() for f in placed.collect() if f.recording == w.recording and w.start_idx <= f.pos <= w.end_idx}
     assert {(r.window_id, r.frame_idx) for r in cut.collect()} == by_hand
+
+
+def rows_out(df, node):
+    """Rows that come out of the plan's nodes of this kind, after a run."""
+    df.collect()
+    found, plans = 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        p = plans.pop()
+        name = p.nodeName()
+        if node in name and p.metrics().contains("numOutputRows"):
+            found += p.metrics().apply("numOutputRows").value()
+        more = [p.executedPlan()] if name == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in name else []
+        children = p.children()
+        plans += more + [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_match_forms_no_pairs(spark):
+    """Rows that windows ask for grow with the logarithm of the recordings, though each window lies in a third of them."""
+    rng = random.Random(3)
+    asked = []
+    for n in (400, 800):
+        recs = [(f"r{k}", a := rng.randrange(1000), a + rng.randrange(1000)) for k in range(n)]
+        wins = [(k, a := rng.randrange(1000), a + rng.randrange(300)) for k in range(n)]
+        got = T.match_recording(spark.createDataFrame(wins, "window_id long, a long, b long"), spark.createDataFrame(recs, "recording string, first_us long, last_us long"))
+        asked.append(rows_out(got, "Join"))
+        assert asked[-1] <= n * (2 * n.bit_length() + 6)
+    assert asked[1] < 2.4 * asked[0]
+
+
+def test_hot_places_are_split(spark, monkeypatch):
+    """Small cells of keys, few recordings asked by many windows: copies of nodes and tables of cells change nothing."""
+    from windowforge.operators import ranks
+
+    monkeypatch.setattr(ranks, "CELL_BITS", 2)
+    rng = random.Random(4)
+    recs = [(f"r{k % 7}{k}", a := rng.randrange(50), a + rng.choice([0, 5, 30, 60])) for k in range(40)]
+    wins = [(k, a := rng.choice([20, 20, rng.randrange(-5, 90)]), a + rng.randrange(25)) for k in range(400)]
+    got = T.match_recording(spark.createDataFrame(wins, "window_id long, a long, b long"), spark.createDataFrame(recs, "recording string, first_us long, last_us long"))
+    for r in got.collect():
+        holds = [(z - f, n) for n, f, z in recs if f <= r.a and r.b <= z]
+        meets = [(max(r.a, f) - min(r.b, z), n) for n, f, z in recs if r.a <= z and f <= r.b]
+        assert (r.recording, r.contained) == ((None, None) if not meets else (min(holds)[1], True) if holds else (min(meets)[1], False))
+
+
+def test_gaps_of_long_ranges(spark):
+    """Ranges of every length, as long as a recording included, meet at most two rows besides their edge blocks."""
+    rng = random.Random(5)
+    times = {r: sorted(rng.randrange(10**6) for _ in range(n)) for r, n in (("a", 1500), ("b", 130), ("c", 1))}
+    frames = spark.createDataFrame([(r, t, k) for r, ts in times.items() for k, t in enumerate(ts)], "recording string, t long, frame_idx long")
+    ranges = [(k, r := rng.choice("aab"), x := rng.randrange(len(times[r])), rng.randrange(x, len(times[r]))) for k in range(300)]
+    ranges += [(900, "a", 0, 1499), (901, "b", 0, 129), (902, "c", 0, 0), (903, "a", 63, 64), (904, "a", 40, 20)]
+    want = {k: max((b - a for a, b in zip(times[r][x:y], times[r][x + 1 : y + 1])), default=0) for k, r, x, y in ranges}
+    df = spark.createDataFrame(ranges, "window_id long, recording string, start_pos long, end_pos long")
+    for placed in (T.positions(frames), T.timeline(frames)):
+        got = T.max_gap(df, placed)
+        assert {r.window_id: r.gap_us for r in got.collect()} == want
+    table = T.block_maxima(T.frame_gaps(T.timeline(frames)))
+    assert table.count() <= 24 * 6 + 3 * 3 + 1 and table.groupBy("recording", "level", "block").count().where("count > 1").isEmpty()

@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windowforge.functions.scalars import flag_list, flagged, series_rate
+from windowforge.operators.ranks import counted, nodes_before, nodes_of, running_minima
+from windowforge.sources.scratch import staged
 
 #: Frames of a bucket where windows meet the gaps between frames; units of time of a cell in which frames, packets and points are sorted together.
 FRAME_BUCKET, CELL = 256, 86_400_000_000
+#: Frames of a block whose largest gap is a row of its own, as a power of two.
+BLOCK_BITS = 6
 
 
 def recording_stats(frames: DataFrame) -> DataFrame:
@@ -17,45 +21,59 @@ def recording_stats(frames: DataFrame) -> DataFrame:
     return out.withColumn("fps", series_rate(F.col("n_frames"), (F.col("last_us") - F.col("first_us")) / 1e6))
 
 
-def match_recording(windows: DataFrame, recordings: DataFrame, bucket: int) -> DataFrame:
-    """Adds recording (or null) and contained to windows (window_id, a, b): the shortest that contains [a, b], else the one that overlaps it most; then the
-    smallest name.
+#: Orders in which recordings have places: by start, by end, and by what a window prefers (length, length downwards, end downwards, start), then by name.
+STARTS, ENDS, SHORTEST, LONGEST, LAST, FIRST = range(6)
 
-    A window lies whole in one cell of two strides; a stride has ``bucket`` units, doubled until the window is no longer than it. Of the recordings that cover a
-    whole cell, the cell keeps the best one. Those that only begin or only end there are sorted together with the windows, so that the
-    best so far needs no pairs. Pairs are formed with recordings that lie within the cell, and, for windows that nothing contains, with those that begin or end there.
+
+def _places(windows: DataFrame, recordings: DataFrame) -> DataFrame:
+    """A row for each recording (window_id null) and each window (recording null): lo, hi, how many recordings there are (n), and its places.
+
+    A recording has its place p in each order; a window how many recordings begin before and by a (p0, p1) and end before and by b (p2, p3).
     """
-    level = F.length(F.bin(F.floor((F.col("b") - F.col("a") - 1) / bucket)))
-    w = windows.where("b >= a").select("window_id", "a", "b", F.when(F.col("b") - F.col("a") > bucket, level).otherwise(0).alias("level"))
-    stride = F.lit(bucket).cast("long") * F.pow(F.lit(2), F.col("level")).cast("long")
-    w = w.withColumn("cell", F.floor(F.col("a") / stride))
-    levels = [r["level"] for r in w.select("level").distinct().collect()]  # at most 63 of them
-    if not levels:
-        return windows.withColumn("recording", F.lit(None).cast(recordings.schema["recording"].dataType)).withColumn("contained", F.lit(None).cast("boolean"))
-    r = recordings.select("recording", "first_us", "last_us", F.explode(F.array(*map(F.lit, levels))).alias("level"))
-    r = r.withColumn("cell", F.explode(F.sequence(F.floor(F.col("first_us") / stride) - 1, F.floor(F.col("last_us") / stride))))
-    begins, ends = F.col("first_us") > F.col("cell") * stride, F.col("last_us") < (F.col("cell") + 2) * stride
-    r = r.withColumn("begins", begins).withColumn("ends", ends).withColumn("rank", F.struct((F.col("last_us") - F.col("first_us")).alias("length"), "recording"))
-    key = ["level", "cell"]
-    covering = r.where("NOT begins AND NOT ends").groupBy(*key).agg(F.min("rank").alias("covering"))
-    # begun by a, and lasting to the end of the cell; ended at b or later, and there from its beginning
     none = F.lit(None)
-    points = w.select(*key, "window_id", "a", "b", F.lit(1).alias("kind"), none.cast(r.schema["rank"].dataType).alias("rank"))
-    sides = r.where("begins <> ends").select(*key, none.cast(w.schema["window_id"].dataType).alias("window_id"), F.when(F.col("begins"), F.col("first_us")).alias("a"), F.when(F.col("ends"), F.col("last_us")).alias("b"), F.lit(0).alias("kind"), "rank")
-    upto = lambda *order: Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    both = points.unionByName(sides)
-    both = both.withColumn("begun", F.min(F.when(F.col("a").isNotNull(), F.col("rank"))).over(upto("a", "kind"))).withColumn("ending", F.min(F.when(F.col("b").isNotNull(), F.col("rank"))).over(upto(F.desc("b"), "kind")))
-    inner = r.where("begins AND ends").select(*key, "first_us", "last_us", "rank")
-    within = w.join(inner, key).where("first_us <= a AND b <= last_us").groupBy("window_id").agg(F.min("rank").alias("within"))
-    held = both.where("kind = 1").join(covering, key, "left").join(within, "window_id", "left").withColumn("best", F.least("begun", "ending", "covering", "within"))
-    held = held.select("window_id", "a", "b", *key, "best").persist()  # a row for each window, read twice
-    open_ = held.where("best IS NULL").select("window_id", "a", "b", *key)
-    met = open_.join(r.where("begins OR ends").select(*key, "recording", "first_us", "last_us"), key).where((F.col("a") <= F.col("last_us")) & (F.col("first_us") <= F.col("b")))
-    overlap = F.least("b", "last_us") - F.greatest("a", "first_us")
-    most = met.groupBy("window_id").agg(F.min(F.struct((-overlap).alias("less"), "recording")).alias("most"))
-    out = held.select("window_id", "best").join(most, "window_id", "left")
-    out = out.select("window_id", F.coalesce("best.recording", "most.recording").alias("recording"), F.when(F.col("best").isNotNull(), True).when(F.col("most").isNotNull(), False).alias("contained"))
-    return windows.join(out, "window_id", "left")
+    point = lambda dim, t, kind, p: F.struct(F.lit(dim).alias("dim"), t.alias("t"), F.lit(kind).alias("kind"), F.lit(p).alias("p"))
+    lo, hi = F.col("lo"), F.col("hi")
+    orders = {STARTS: lo, ENDS: hi, SHORTEST: hi - lo, LONGEST: lo - hi, LAST: -hi, FIRST: lo}
+    r = recordings.where("first_us IS NOT NULL AND last_us IS NOT NULL").select("recording", none.cast(windows.schema["window_id"].dataType).alias("window_id"), F.col("first_us").alias("lo"), F.col("last_us").alias("hi"))
+    w = windows.where("b >= a").select(none.cast(r.schema["recording"].dataType).alias("recording"), "window_id", F.col("a").alias("lo"), F.col("b").alias("hi"))
+    r = r.select("*", F.explode(F.array(*[point(k, t, 1, k) for k, t in orders.items()])).alias("q"))
+    w = w.select("*", F.explode(F.array(*[point(e, t, k, 2 * e + k // 2) for e, t in ((STARTS, lo), (ENDS, hi)) for k in (0, 2)])).alias("q"))
+    both = r.unionByName(w).select("recording", "window_id", "lo", "hi", "q.*").withColumn("is_rec", (F.col("kind") == 1).cast("int")).withColumn("tie", F.xxhash64("window_id", "lo", "hi"))
+    placed = counted(both, ["dim", "t", "kind", "recording", "tie"], "is_rec").withColumn("n", F.floor(F.col("total") / len(orders)))
+    placed = placed.withColumn("before", F.col("before") - F.col("dim") * F.col("n"))
+    out = placed.groupBy("recording", "window_id", "lo", "hi", "n", "others").agg(*[F.max(F.when(F.col("p") == k, F.col("before"))).alias(f"p{k}") for k in range(len(orders))])
+    return out.withColumn("bits", F.length(F.bin("n")).cast("int")).withColumn("salts", F.greatest(F.lit(1), F.floor(F.col("others") / 4 / F.greatest("n", F.lit(1)))))
+
+
+def match_recording(windows: DataFrame, recordings: DataFrame) -> DataFrame:
+    """Adds recording (or null) and contained to windows (window_id, a, b): the shortest of ``recordings`` (recording, first_us, last_us) that contains [a, b],
+    else the one that overlaps it most; then the smallest name. A window with b before a has none.
+
+    No window is paired with recordings. By start, each recording enters the dyadic nodes of its place; a window
+    asks the nodes of the recordings that begin by a, and of those that begin at a or later. Within a node, both are sorted by end: a running minimum answers
+    which is the shortest that lasts to b, the longest that ends by b, the first to begin of those that last beyond b, and the last to end. Windows that
+    stand alike to all recordings ask once.
+    """
+    placed = staged(_places(windows, recordings))  # as many rows as windows and recordings
+    recs, wins = placed.where("window_id IS NULL"), placed.where("recording IS NULL")
+    of = lambda k: F.col(f"p{k}")
+    nodes = F.concat(nodes_of(f"p{STARTS}"), nodes_of(f"(n - 1 - p{STARTS})", "1"))
+    by_start = F.col("x.side") == 0
+    entries = recs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).select("*", F.explode(nodes).alias("x"))
+    entries = entries.select("x.*", "salt", of(ENDS).alias("key"), F.when(by_start, of(SHORTEST)).otherwise(of(FIRST)).alias("d"), F.when(~by_start, of(LONGEST)).alias("a"), F.when(by_start, of(LAST)).alias("t"))
+    alike = ["p0", "p1", "p2", "p3"]
+    asks = wins.select(*alike, "n", "bits", "salts").distinct().select("*", F.pmod(F.xxhash64(*alike), F.col("salts")).alias("salt"), F.explode(F.concat(nodes_before("p1"), nodes_before("(n - p0)", "1"))).alias("x"))
+    asks = asks.select(*alike, "salt", "x.*", F.when(by_start, F.col("p2")).otherwise(F.col("p3")).alias("key"))
+    best = lambda side, c: F.min(F.when(F.col("side") == side, F.col(c)))
+    found = running_minima(entries, asks).groupBy(*alike).agg(best(0, "from_key").alias("holds"), best(1, "to_key").alias("inside"), best(0, "whole").alias("ended"), best(1, "from_key").alias("begun"))
+    choice = lambda dim, c: F.struct(F.lit(dim).alias("dim"), F.col(c).alias("place"))
+    some = F.when(F.col("holds").isNotNull(), F.array(choice(SHORTEST, "holds"))).otherwise(F.array(choice(LONGEST, "inside"), choice(LAST, "ended"), choice(FIRST, "begun")))
+    chosen = wins.join(found, alike).select("window_id", "lo", "hi", F.explode(some).alias("c")).where("c.place IS NOT NULL").select("window_id", "lo", "hi", "c.*")
+    names = recs.select("recording", F.col("lo").alias("first_us"), F.col("hi").alias("last_us"), F.explode(F.array(*[F.struct(F.lit(k).alias("dim"), of(k).alias("place")) for k in (SHORTEST, LONGEST, LAST, FIRST)])).alias("x")).select("*", "x.*")
+    overlap = F.least("hi", "last_us") - F.greatest("lo", "first_us")
+    named = chosen.join(names, ["dim", "place"]).where(overlap >= 0)
+    most = named.groupBy("window_id").agg(F.min(F.struct((-overlap).alias("v"), "recording", (F.col("dim") == SHORTEST).alias("contained"))).alias("m"))
+    return windows.join(most, "window_id", "left").select(*windows.columns, F.col("m.recording").alias("recording"), F.col("m.contained").alias("contained"))
 
 
 def _before(rows: DataFrame, n: str) -> DataFrame:
@@ -73,7 +91,7 @@ def nearest_frame(points: DataFrame, frames: DataFrame, cell: int = CELL) -> Dat
     none, key = F.lit(None), ["recording", "cell"]
     frame = F.struct("t", "pos", "frame_idx")
     p = points.select("recording", "t", F.lit(0).alias("kind"), none.cast("long").alias("pos"), none.cast(frames.select(frame.alias("f")).schema["f"].dataType).alias("f"), "point_id")
-    f = frames.select("recording", "t", F.lit(1).alias("kind"), "pos", frame.alias("f"), none.cast("long").alias("point_id"))
+    f = frames.select("recording", "t", F.lit(1).alias("kind"), "pos", frame.alias("f"), none.cast(points.schema["point_id"].dataType).alias("point_id"))
     both = p.unionByName(f).withColumn("cell", F.floor(F.col("t") / cell))
     way = lambda *order: Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inside = both.withColumn("l", F.last("f", ignorenulls=True).over(way("t", "kind", "pos"))).withColumn("r", F.last("f", ignorenulls=True).over(way(F.desc("t"), F.desc("kind"), F.desc("pos")))).where("kind = 0")
@@ -87,10 +105,21 @@ def nearest_frame(points: DataFrame, frames: DataFrame, cell: int = CELL) -> Dat
 
 def positions(frames: DataFrame, cell: int = CELL) -> DataFrame:
     """Adds pos, the place of a frame in its recording, by (t, frame_idx); counted in cells of time."""
+    return timeline(frames, cell).select(*frames.columns, "pos")
+
+
+def timeline(frames: DataFrame, cell: int = CELL) -> DataFrame:
+    """Adds pos, the place of a frame in its recording, by (t, frame_idx), and gap, the time since the frame before (null for the first).
+
+    Both are taken in cells of time; what comes before a cell is in a table of the cells.
+    """
     f = frames.withColumn("cell", F.floor(F.col("t") / cell))
-    before = _before(f.groupBy("recording", "cell").agg(F.count("*").alias("n")), "n").drop("total")
-    place = F.row_number().over(Window.partitionBy("recording", "cell").orderBy("t", "frame_idx")) - 1
-    return f.withColumn("pos", place.cast("long")).join(before, ["recording", "cell"]).withColumn("pos", F.col("pos") + F.col("before")).select(*frames.columns, "pos")
+    whole = Window.partitionBy("recording").orderBy("cell")
+    cells = f.groupBy("recording", "cell").agg(F.count("*").alias("n"), F.max("t").alias("last"))
+    cells = cells.select("recording", "cell", (F.sum("n").over(whole) - F.col("n")).alias("before"), F.lag("last").over(whole).alias("last"))
+    own = Window.partitionBy("recording", "cell").orderBy("t", "frame_idx")
+    f = f.withColumn("pos", F.row_number().over(own) - 1).withColumn("gap", F.lag("t").over(own)).join(cells, ["recording", "cell"])
+    return f.select(*frames.columns, (F.col("pos") + F.col("before")).alias("pos"), (F.col("t") - F.coalesce("gap", "last")).alias("gap"))
 
 
 def packet_range(windows: DataFrame, packets: DataFrame, cell: int = CELL) -> DataFrame:
@@ -146,33 +175,59 @@ def day_offsets(rows: DataFrame, sample: str, order: str, clock: str) -> DataFra
 
 def frame_gaps(frames: DataFrame) -> DataFrame:
     """(recording, pos, gap): time since the frame before; pos runs without gaps. Sorted in buckets, whose edges meet by their numbers."""
+    if "gap" in frames.columns:
+        return frames.where("gap IS NOT NULL").select("recording", "pos", "gap")
     f = frames.select("recording", "pos", "t", F.floor(F.col("pos") / (FRAME_BUCKET << 4)).alias("cell"))
     last = f.groupBy("recording", (F.col("cell") + 1).alias("cell")).agg(F.max("t").alias("before"))
     own = F.lag("t").over(Window.partitionBy("recording", "cell").orderBy("pos"))
     return f.withColumn("own", own).join(last, ["recording", "cell"], "left").select("recording", "pos", (F.col("t") - F.coalesce("own", "before")).alias("gap")).where("gap IS NOT NULL")
 
 
-def max_gap(ranges: DataFrame, frames: DataFrame) -> DataFrame:
-    """Adds gap_us to ranges (window_id, recording, start_pos, end_pos): the largest gap between consecutive frames within, 0 if there is none.
+def block_maxima(gaps: DataFrame) -> DataFrame:
+    """(recording, level, block, gap): a table in which two rows hold the maximum of any run of blocks.
 
-    Each range meets the gaps of its buckets of frames only.
+    At level k, blocks lie in groups of 2^(k+1); those of a group's first half have the maximum from themselves to the middle, the others from the middle
+    to themselves. The blocks l < r are parted by the middle of level k, the highest bit in which they differ. Level -1 has each block itself.
     """
-    cell = lambda c: F.floor(c / FRAME_BUCKET)
-    wide = ranges.select("window_id", "recording", "start_pos", "end_pos", F.explode(F.sequence(cell(F.col("start_pos")), cell(F.greatest("start_pos", "end_pos")))).alias("cell"))
-    gaps = frame_gaps(frames).withColumn("cell", cell(F.col("pos")))
-    inside = wide.join(gaps, ["recording", "cell"]).where((F.col("pos") > F.col("start_pos")) & (F.col("pos") <= F.col("end_pos")))
-    return ranges.join(inside.groupBy("window_id").agg(F.max("gap").alias("gap_us")), "window_id", "left").withColumn("gap_us", F.coalesce("gap_us", F.lit(0)))
+    own = gaps.groupBy("recording", F.shiftright("pos", BLOCK_BITS).alias("block")).agg(F.max("gap").alias("gap"))
+    own = own.withColumn("bits", F.length(F.bin(F.max("block").over(Window.partitionBy("recording")))).cast("int"))
+    rows = own.select("recording", "block", "gap", F.explode(F.sequence(F.lit(-1), F.col("bits") - 1)).alias("level"))
+    right = F.when(F.col("level") < 0, 1).otherwise(F.expr("shiftright(block, greatest(level, 0)) & 1"))
+    rows = rows.withColumn("half", F.expr("shiftright(block, greatest(level, 0))")).withColumn("from", F.when(right == 1, F.col("block")).otherwise(-F.col("block")))
+    run = Window.partitionBy("recording", "level", "half").orderBy("from").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("recording", "level", "block", F.max("gap").over(run).alias("gap"))
+
 
+def max_gap(ranges: DataFrame, frames: DataFrame) -> DataFrame:
+    """Adds gap_us to ranges (window_id, recording, start_pos, end_pos): the largest gap between consecutive frames within, 0 if there is none.
 
-def sync_index(windows: DataFrame, frames: DataFrame, bucket: int, max_diff_us: int, max_gap_us: int) -> DataFrame:
+    A range meets the gaps of its first and last block of ``2 ** BLOCK_BITS`` frames, and at most two rows for all blocks between, however long it is.
+    """
+    gaps = frame_gaps(frames)
+    r = ranges.select("window_id", "recording", "start_pos", "end_pos", F.shiftright(F.col("start_pos") + 1, BLOCK_BITS).alias("l"), F.shiftright("end_pos", BLOCK_BITS).alias("r")).where("end_pos > start_pos")
+    edges = r.select("window_id", "recording", "start_pos", "end_pos", F.explode(F.array_distinct(F.array("l", "r"))).alias("block"))
+    near = edges.join(gaps.withColumn("block", F.shiftright("pos", BLOCK_BITS)), ["recording", "block"]).where((F.col("pos") > F.col("start_pos")) & (F.col("pos") <= F.col("end_pos")))
+    inner = r.select("window_id", "recording", (F.col("l") + 1).alias("l"), (F.col("r") - 1).alias("r")).where("l <= r")
+    level = F.when(F.col("l") == F.col("r"), -1).otherwise(F.length(F.bin(F.col("l").bitwiseXOR(F.col("r")))).cast("int") - 1)
+    inner = inner.select("window_id", "recording", level.alias("level"), F.explode(F.array_distinct(F.array("l", "r"))).alias("block"))
+    far = inner.join(block_maxima(gaps), ["recording", "level", "block"])
+    most = near.select("window_id", "gap").unionByName(far.select("window_id", "gap")).groupBy("window_id").agg(F.max("gap").alias("gap_us"))
+    return ranges.join(most, "window_id", "left").withColumn("gap_us", F.coalesce("gap_us", F.lit(0)))
+
+
+def sync_index(windows: DataFrame, frames: DataFrame, max_diff_us: int, max_gap_us: int) -> DataFrame:
     """The video half of the synchronisation index: for windows (window_id, a, b), the recording, its nearest frames at both ends, the largest
-    frame gap between, sorted flags and the status (ok iff there is no flag)."""
-    placed = positions(frames)
-    matched = match_recording(windows, recording_stats(frames), bucket).drop("contained").persist()  # a row for each window, read twice
-    ends = matched.where("recording IS NOT NULL").select("recording", F.explode(F.array(F.struct((F.col("window_id") * 2).alias("point_id"), F.col("a").alias("t")), F.struct((F.col("window_id") * 2 + 1).alias("point_id"), F.col("b").alias("t")))).alias("p"))
-    near = nearest_frame(ends.select("recording", "p.point_id", "p.t"), placed).withColumn("window_id", F.floor(F.col("point_id") / 2))
-    of = lambda k, c: F.max(F.when(F.col("point_id") % 2 == k, F.col(c)))
-    pairs = near.groupBy("window_id", "recording").agg(*[of(k, c).alias(f"{n}_{c}") for k, n in ((0, "start"), (1, "end")) for c in ("frame_idx", "pos", "diff_us")])
+    frame gap between, sorted flags and the status (ok iff there is no flag).
+
+    The frames with their places and gaps, the matched windows and the windows' nearest frames are written once and read by all that follows.
+    """
+    placed = staged(timeline(frames.select("recording", "frame_idx", "t")))
+    matched = staged(match_recording(windows, recording_stats(placed)).drop("contained"))
+    point = lambda k, t: F.struct(F.lit(k).alias("end"), F.col(t).alias("t"))
+    ends = matched.where("recording IS NOT NULL").select("recording", "window_id", F.explode(F.array(point(0, "a"), point(1, "b"))).alias("p"))
+    near = nearest_frame(ends.select("recording", F.struct("window_id", "p.end").alias("point_id"), "p.t"), placed).select("recording", "point_id.*", "frame_idx", "pos", "diff_us")
+    of = lambda k, c: F.max(F.when(F.col("end") == k, F.col(c)))
+    pairs = staged(near.groupBy("window_id", "recording").agg(*[of(k, c).alias(f"{n}_{c}") for k, n in ((0, "start"), (1, "end")) for c in ("frame_idx", "pos", "diff_us")]))
     full = matched.join(max_gap(pairs, placed).drop("recording"), "window_id", "left")
     frames_n: Column = F.col("end_pos") - F.col("start_pos") + 1
     flags = flag_list(

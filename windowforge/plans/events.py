@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from windowforge.functions import scalars as S
 from windowforge.operators import indexes as I
 from windowforge.operators import timealign as T
+from windowforge.sources.scratch import staged
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -33,7 +34,7 @@ def recording_stats(spark, d):
 def match_recording(spark, d):
     e = _events(spark, d)
     daily = _frames(e).withColumn("recording", F.concat_ws("/", F.col("recording"), F.floor(F.col("t") / DAY)))
-    found = T.match_recording(_windows(e, 1).drop("recording"), T.recording_stats(daily), DAY)
+    found = T.match_recording(_windows(e, 1).drop("recording"), T.recording_stats(daily))
     return found.select("window_id", "recording", "contained")
 
 
@@ -63,7 +64,7 @@ def rollover(spark, d):
 
 
 def _day_ranges(e: DataFrame) -> tuple[DataFrame, DataFrame]:
-    frames = T.positions(_frames(e))
+    frames = staged(T.timeline(_frames(e)))  # read several times
     near = T.nearest_frame(_windows(e, 0).select(F.col("window_id").alias("point_id"), "recording", F.col("a").alias("t")), frames)
     return near.where("pos IS NOT NULL").select(F.col("point_id").alias("window_id"), "recording", F.col("pos").alias("start_pos"), (F.col("pos") + 10).alias("end_pos")), frames
 
@@ -75,7 +76,7 @@ def max_gap(spark, d):
 
 def sync_index(spark, d):
     e = _events(spark, d)
-    out = T.sync_index(_windows(e, 24).drop("recording"), _frames(e), DAY, HOUR, 12 * HOUR)
+    out = T.sync_index(_windows(e, 24).drop("recording"), _frames(e), HOUR, 12 * HOUR)
     return out.withColumn("flags", F.concat_ws(";", "flags"))
 
 

@@ -1,4 +1,4 @@
-"""A folder for tables that are written to be read again."""
+"""Tables that are written to be read again, in the folder that a session names for that."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @cache
@@ -22,3 +22,13 @@ def scratch_path(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _own_folder()
     return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written and read again: what follows reads the files, not the sources, and restarts from them when an executor is lost.
+
+    The files stay below spark.checkpoint.dir, as checkpoints do.
+    """
+    path = scratch_path(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
