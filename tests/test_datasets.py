@@ -71,3 +71,21 @@ def test_early_stop(spark):
     h = spark.createDataFrame([(1, i + 1, s) for i, s in enumerate(scores)], "run int, epoch int, score double")
     r = E.early_stop(h, 3).first()
     assert (r.best_epoch, r.best_score, r.stop_epoch) == (2, 0.5, 5)
+
+
+@pytest.mark.parametrize("true, pred", [("a", "z"), ("z", "a"), (None, "a"), ("a", None)])
+@pytest.mark.parametrize("runs", [(), ("run",)])
+def test_labels_outside_the_classes_are_an_error(spark, true, pred, runs):
+    classes = spark.createDataFrame([("a",), ("b",)], "label string")
+    preds = spark.createDataFrame([(1, "a", "a"), (2, true, pred)], "run int, true string, pred string")
+    with pytest.raises(Exception, match="labels outside the classes"):
+        E.confusion_matrix(preds, classes, runs).collect()
+    with pytest.raises(Exception, match="labels outside the classes"):
+        E.metrics(E.class_report(E.confusion_matrix(preds, classes, runs), runs), runs).collect()
+    assert [(r.true, r.pred) for r in E.out_of_range(preds, classes).collect()] == [(true, pred)]
+
+
+def test_nothing_to_evaluate_is_an_error(spark):
+    classes = spark.createDataFrame([("a",)], "label string")
+    with pytest.raises(ValueError, match="no predictions"):
+        E.confusion_matrix(spark.createDataFrame([], "run int, true string, pred string"), classes)

@@ -92,3 +92,21 @@ def test_last_and_first_rows(spark):
 def test_fixed_digits(spark):
     shown = lambda v: one(spark, S.fixed(F.lit(v).cast("double"), 2))
     assert [shown(v) for v in (1.006, -2.0, None, "nan", "inf", "-inf")] == ["1.01", "-2.00", "", "", "", ""]
+
+
+def test_log_progress(spark):
+    """The first step, in any case; the last pair that isn't a step's."""
+    logs = {
+        "Step 2/5\nStep 3/5": (2, 5, None, None),
+        "STEP : 4 / 9 then 10/20, 30/20, 0/0": (4, 9, 10, 20),
+        "7/8 and step 1/3": (1, 3, 7, 8),
+        "step of 3/4": (None, None, None, None),
+        "a step that is long over 3/4": (None, None, 3, 4),
+        "steps 1/2 3/4": (None, None, None, None),
+        "misstep 1/2": (None, None, None, None),
+        "9/8 5/5": (None, None, 5, 5),
+        "": (None, None, None, None),
+        None: (None, None, None, None),
+    }
+    df = spark.createDataFrame([(t,) for t in logs], "t string").select("t", S.log_progress(F.col("t")).alias("p")).select("t", "p.*")
+    assert {r[0]: tuple(r[1:]) for r in df.collect()} == logs

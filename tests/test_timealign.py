@@ -137,3 +137,12 @@ def test_gaps_of_long_ranges(spark):
         assert {r.window_id: r.gap_us for r in got.collect()} == want
     table = T.block_maxima(T.frame_gaps(T.timeline(frames)))
     assert table.count() <= 24 * 6 + 3 * 3 + 1 and table.groupBy("recording", "level", "block").count().where("count > 1").isEmpty()
+
+
+def test_too_few_frames_are_an_error(spark):
+    frames = spark.createDataFrame([("a", k, k, k) for k in range(151)] + [("b", k, k, k) for k in range(15)], "recording string, t long, frame_idx long, pos long")
+    with pytest.raises(Exception, match="recording b has 15 frames but 16 are required"):
+        T.sampled_frames(frames, 16).collect()
+    assert [tuple(r) for r in T.short_recordings(frames, 16).collect()] == [("b", 15)]
+    got = [r.pos for r in T.sampled_frames(frames.where("recording = 'a'"), 16).orderBy("slot").collect()]
+    assert got == [round(k * 10) for k in range(16)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from windowforge.operators.checks import ViolationError
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
@@ -18,18 +20,25 @@ def class_weights(labels: DataFrame, classes: DataFrame, label: str = "label") -
 
 
 def confusion_matrix(predictions: DataFrame, classes: DataFrame, runs: tuple[str, ...] = ()) -> DataFrame:
-    """Dense counts (runs…, true, pred, n) of predictions (runs…, true, pred) over all pairs of ``classes`` (label)."""
+    """Dense counts (runs…, true, pred, n) of predictions (runs…, true, pred) over all pairs of ``classes`` (label).
+
+    No predictions, or a label that is null or none of the classes, are an error; ``out_of_range`` lists the latter."""
+    if predictions.isEmpty():
+        raise ViolationError("no predictions to evaluate")
     counts = predictions.groupBy(*runs, "true", "pred").agg(F.count("*").alias("n"))
     grid = classes.select(F.col("label").alias("true")).join(classes.select(F.col("label").alias("pred")), F.lit(True))  # all pairs of classes are the result
     if runs:
         grid = predictions.select(*runs).distinct().join(grid, F.lit(True))
-    return grid.join(counts, [*runs, "true", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    both = grid.withColumn("_known", F.lit(True)).join(counts, [*runs, "true", "pred"], "full_outer")
+    bad = F.raise_error(F.concat(F.lit("labels outside the classes: true "), F.coalesce(F.col("true").cast("string"), F.lit("null")), F.lit(", predicted "), F.coalesce(F.col("pred").cast("string"), F.lit("null"))))
+    return both.withColumn("n", F.when(F.col("_known").isNull(), bad.cast("long")).otherwise(F.coalesce("n", F.lit(0)))).drop("_known")
 
 
 def out_of_range(predictions: DataFrame, classes: DataFrame) -> DataFrame:
+    """Predictions whose true or predicted label is null or none of the classes."""
     known = classes.select("label")
-    bad = lambda c: predictions.join(known.withColumnRenamed("label", c), c, "left_anti")
-    return bad("true").unionByName(bad("pred"))
+    bad = lambda c: predictions.join(known.withColumnRenamed("label", c), c, "left_anti").select(*predictions.columns)
+    return bad("true").unionByName(bad("pred")).distinct()
 
 
 def class_report(confusion: DataFrame, runs: tuple[str, ...] = ()) -> DataFrame:

@@ -242,10 +242,18 @@ def sync_index(windows: DataFrame, frames: DataFrame, max_diff_us: int, max_gap_
     return full.select(*cols, flags.alias("flags")).withColumn("status", F.when(F.size("flags") == 0, "ok").otherwise("warn"))
 
 
+def short_recordings(frames: DataFrame, k: int) -> DataFrame:
+    """(recording, n) of recordings with fewer than k frames."""
+    return frames.groupBy("recording").agg(F.count("*").alias("n")).where(F.col("n") < k)
+
+
 def sampled_frames(frames: DataFrame, k: int) -> DataFrame:
-    """The k evenly spaced frames of each recording that has k or more; frames have pos."""
+    """The k evenly spaced frames of each recording; frames have pos. A recording with fewer than k frames is an error; ``short_recordings`` lists them."""
     from windowforge.functions.scalars import even_indices
 
-    wanted = frames.groupBy("recording").agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    wanted = wanted.select("recording", F.posexplode(even_indices(F.col("n"), k)).alias("slot", "pos"))
+    if k <= 0:
+        raise ValueError("a sample has one frame at least")
+    short = F.raise_error(F.concat(F.lit("recording "), F.col("recording").cast("string"), F.lit(" has "), F.col("n"), F.lit(f" frames but {k} are required")))
+    wanted = frames.groupBy("recording").agg(F.count("*").alias("n"))
+    wanted = wanted.withColumn("n", F.when(F.col("n") < k, short.cast("long")).otherwise(F.col("n"))).select("recording", F.posexplode(even_indices(F.col("n"), k)).alias("slot", "pos"))
     return wanted.join(frames, ["recording", "pos"]).select("recording", "slot", "pos", "frame_idx", "t")

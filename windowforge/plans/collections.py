@@ -187,8 +187,11 @@ def signature(spark, d):
 
 
 def log_progress(spark, d):
-    text = F.concat(F.lit("Step 1/9 "), "text", F.lit(" Step "), F.col("doc_id") % 7, F.lit("/9 done"))
-    return _t(spark, d, "documents").select("doc_id", S.last_step(text).alias("step"))
+    """A log for each line item: some name no step, some several; frames before and after, too large ones and others right behind a step."""
+    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    step = F.when(n % 3 == 0, F.concat(F.lit("STEP: "), n, F.lit("/9 started, "))).when(n % 3 == 1, F.concat(F.lit("step"), n, F.lit(" / 7\nStep 1/2 ")))
+    text = F.concat(F.lit("frame 1/60 done; 70/60 skipped; "), F.coalesce(step, F.lit("")), F.lit("then a frame, "), q, F.lit("/40 now, step 3/3"))
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", S.log_progress(text).alias("p")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p.*")
 
 
 def preview(spark, d):
@@ -283,7 +286,8 @@ SELECT page_id, regexp_replace(replace('data/csi/' || q || '.dat', '/csi/', '/me
     "path_safety": "SELECT page_id, page_id % 4 = 3 AS safe FROM pages",
     "digest": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "signature": """SELECT doc_id, substr(sha256('{"lang":"' || lang || '","n":' || n_chars || ',"source":"' || source || '"}'), 1, 16) AS signature FROM documents""",
-    "log_progress": "SELECT doc_id, (doc_id % 7) || '/9' AS step FROM documents",
+    "log_progress": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 3 < 2 THEN l_linenumber ELSE 3 END::BIGINT AS step_current,
+  CASE l_linenumber % 3 WHEN 0 THEN 9 WHEN 1 THEN 7 ELSE 3 END::BIGINT AS step_total, CASE WHEN l_quantity <= 40 THEN l_quantity ELSE 1 END::BIGINT AS frame_current, CASE WHEN l_quantity <= 40 THEN 40 ELSE 60 END::BIGINT AS frame_total FROM lineitem""",
     "preview": """WITH k AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events),
 r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type IN ('purchase', 'view') AND k = 1 THEN 0 ELSE 1 END, event_id) AS place FROM k)
 SELECT user_id, place::INT AS place, event_id FROM r WHERE place <= 3""",

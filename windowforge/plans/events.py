@@ -105,7 +105,9 @@ def slice_counts(spark, d):
 
 
 def frame_sample(spark, d):
-    return T.sampled_frames(T.positions(_frames(_events(spark, d))), 16).select("recording", "slot", "frame_idx")
+    frames = staged(T.positions(_frames(_events(spark, d))))
+    enough = frames.join(T.short_recordings(frames, 16), "recording", "left_anti")
+    return T.sampled_frames(enough, 16).select("recording", "slot", "frame_idx")
 
 
 def packet_rate(spark, d):
