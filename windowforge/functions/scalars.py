@@ -196,8 +196,8 @@ def log_progress(text: Column) -> Column:
     """What a log says about its progress, as step_current, step_total (the first ``Step a/b``, in any case, with or without a colon) and frame_current,
     frame_total (the last other ``a/b`` with a <= b and b > 0 that has no "step" within the 12 characters before it); null where it says nothing."""
     step = lambda k: F.nullif(F.regexp_extract(text, r"(?i)\bStep\s*:?\s*(\d+)\s*/\s*(\d+)\b", k), F.lit(""))
-    # group 1 looks back: not empty if a step is named there
-    pairs = r"(?is)(?:(?<!step.{0,8})|(?<=(step.{0,8})))\b(\d+)\s*/\s*(\d+)\b"
+    # group 1 looks back from a pair: not empty if a step is named there
+    pairs = r"(?is)\b(?=\d+\s*/\s*\d+\b)(?:(?<!step.{0,8})|(?<=(step.{0,8})))(\d+)\s*/\s*(\d+)\b"
     parts = [F.regexp_extract_all(text, F.lit(pairs), F.lit(k)) for k in (1, 2, 3)]
     found = F.transform(F.arrays_zip(*parts), lambda x: F.struct(x["0"].alias("step"), x["1"].try_cast("long").alias("a"), x["2"].try_cast("long").alias("b")))
     frames = F.filter(found, lambda x: (x["step"] == "") & (x["b"] > 0) & (x["a"] <= x["b"]))
