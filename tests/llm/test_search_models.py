@@ -299,3 +299,25 @@ def test_toxicity_query_against_brute_force(spark):
         assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5)
     for r in sorted(rows, key=lambda r: len(r.text))[:60]:
         assert abs(got[r.doc_id].score - brute_score(net, r.text)) < 1e-4
+
+
+def test_a_long_labelled_text_keeps_its_class(spark):
+    """Texts over every bound, repeated ids, and labels of both kinds: the sample is cut, never to nothing."""
+    words = ["lovely", "garden", "quiet", "river"], ["awful", "scum", "vermin", "filth"]
+    docs, labels = [], []
+    for i in range(1, 121):
+        toxic = i % 2
+        long = i in (7, 8)
+        docs.append((i, " ".join(words[toxic][(i + k) % 4] for k in range(400_000 if long else 40))))
+        labels.append((i, toxic))
+    docs += [(11, docs[10][1] + " zz"), (12, None)]
+    labels += [(12, 1), (12, 0)]
+    docs, labels = documents(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")
+    for more in ({}, {"most_bytes": 1}, {"most_docs": 3, "most_chars": 100}, {"most_chars": 20}):
+        net = X.train(docs, labels, **more)
+        assert net is not None
+    net = X.train(docs, labels)
+    score = {r.doc_id: r.score for r in X.score_documents(docs.where("doc_id > 20"), net).collect()}
+    assert min(s for i, s in score.items() if i % 2) > 0.5 > max(s for i, s in score.items() if not i % 2)
+    again = X.train(docs.repartition(3), labels.repartition(2))
+    assert {r.doc_id: r.score for r in X.score_documents(docs.where("doc_id > 20"), again).collect()} == score

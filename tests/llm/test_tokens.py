@@ -107,3 +107,15 @@ def test_questions_read_few_blocks(spark, monkeypatch):
     assert {r[0]: r[1] for r in got} == {v: every.count(v) for v in (1, 320)}
     assert token_files.read_documents(shards).count() == len(texts())
     assert sorted(r.n_tokens for r in token_files.read_documents(shards).where("id = 51").collect())[0] == 1
+
+
+def test_wide_vocabularies_are_an_error(tmp_path):
+    import json
+
+    with open(tokens.default_path("word_bpe_49k.json")) as f:
+        model = json.load(f)
+    model["model"]["vocab"] |= {f"wide{i}</w>": i for i in range(len(model["model"]["vocab"]), 66_000)}
+    path = tmp_path / "wide.json"
+    path.write_text(json.dumps(model))
+    with pytest.raises(ValueError, match="beyond 16 bits"):
+        tokens.PieceEncoder(str(path), False)

@@ -52,6 +52,8 @@ class PieceEncoder:
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer, self.glued, self.entries = Tokenizer.from_file(path), glued, entries
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError(f"{path} has ids beyond 16 bits")
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = WhitespaceSplit()
         self.mark = "<|endoftext|>"

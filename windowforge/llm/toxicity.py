@@ -4,7 +4,7 @@ A text's words are read in overlapping windows. A word enters as its embedding b
 beginnings and endings (characters), so that unseen words are judged by their parts. A window's score comes from the
 attention-weighted states of both directions; a document's score is its highest window's, calibrated.
 
-The network is fitted on the driver on at most ``FIT_DOCS`` labelled documents of each class, as many of them as have ``FIT_BYTES`` together; scoring covers every window of every text.
+The network is fitted on the driver on a bounded sample of labelled documents (``train``); scoring covers every window of every text.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from windowforge.llm.common import BASE_A, BYTE_VALUES, NULL_ID, batch_of, column, inverse, mix, null_id, powers, ranges, row_struct, small_batches, table, text_buffer, with_row, words_of
 
-#: Bounds of the fit: documents of each class (smallest hashes of their ids) and bytes of their texts, vocabulary entries, epochs.
-FIT_DOCS, FIT_BYTES, VOCABULARY, EPOCHS = 1_500, 6 << 20, 20_000, 5
+#: Bounds of the fit: documents of each class, characters of one of them and bytes of all; vocabulary entries, epochs.
+FIT_DOCS, FIT_CHARS, FIT_BYTES, VOCABULARY, EPOCHS = 1_500, 1 << 17, 6 << 20, 20_000, 5
+#: Excerpts in which a longer text enters the fit.
+EXCERPTS = 16
 #: Words of a window and between the starts of windows; state of a direction; dimensions of an embedding.
 WINDOW, STEP, STATE, EMBED = 32, 16, 8, 8
 #: Bytes of the beginnings and endings of a word that enter as characters.
@@ -256,18 +258,32 @@ def held_out(col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Network | None:
-    """Fit on labelled rows that are not held out; None without labels of both classes. Null labels and ids don't count."""
+def _excerpts(text, most_chars: int):
+    """The text, or, if it is longer than ``most_chars``, evenly spaced parts of it that have as many together."""
+    part = max(1, most_chars // EXCERPTS)
+    starts = F.transform(F.sequence(F.lit(0), F.lit(EXCERPTS - 1)), lambda k: (F.floor((F.length(text) - part) * k / (EXCERPTS - 1)) + 1).cast("int"))
+    return F.when(F.length(text) <= most_chars, text).otherwise(F.array_join(F.transform(starts, lambda at: F.substr(text, at, F.lit(part))), " "))
+
+
+def train(docs: DataFrame, labels: DataFrame, most_docs: int = FIT_DOCS, most_chars: int = FIT_CHARS, most_bytes: int = FIT_BYTES) -> Network | None:
+    """Fit on labelled rows that are not held out; None without labels of both classes that have texts. Null labels and ids don't count.
+
+    The sample is bounded: of each class, the ``most_docs`` ids of the smallest hashes, of each text at most ``most_chars`` characters (evenly spaced excerpts of a
+    longer one), and texts until they have ``most_bytes`` together, the one that crosses that bound included: a class with texts is never without one. An id with labels of
+    both kinds counts as toxic, one with several texts has the least of them.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)").where(~held_out("id"))
+    known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return None
-    picked = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(FIT_DOCS) for k in (0, 1)]  # bounded, whatever the input
-    wanted = F.broadcast(picked[0].unionByName(picked[1]).dropDuplicates(["id"]))
+    picked = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(most_docs) for k in (0, 1)]  # bounded, whatever the input
+    wanted = F.broadcast(picked[0].unionByName(picked[1]))
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
-    rows = text.join(wanted, "id").dropDuplicates(["id"])
-    upto = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")  # no more rows than FIT_DOCS of each class
-    rows = rows.withColumn("_bytes", F.sum(F.octet_length("text")).over(upto)).where(F.col("_bytes") <= FIT_BYTES).drop("_bytes")
+    rows = text.join(wanted, "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).withColumn("text", _excerpts(F.col("text"), most_chars))
+    upto = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")  # no more rows than most_docs of each class
+    size = F.octet_length("text")
+    rows = rows.withColumn("_before", F.sum(size).over(upto) - size).where(F.col("_before") < most_bytes).drop("_before")
     rows = rows.toPandas().sort_values("id")
     label = rows["toxic"].to_numpy()
     if not len(rows) or label.min() == label.max():
