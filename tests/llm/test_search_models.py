@@ -321,3 +321,34 @@ def test_a_long_labelled_text_keeps_its_class(spark):
     assert min(s for i, s in score.items() if i % 2) > 0.5 > max(s for i, s in score.items() if not i % 2)
     again = X.train(docs.repartition(3), labels.repartition(2))
     assert {r.doc_id: r.score for r in X.score_documents(docs.where("doc_id > 20"), again).collect()} == score
+
+
+def test_neighbours_over_several_shares_and_blocks(spark, monkeypatch):
+    """No row of the index is copied: what is dealt to the shares is each vector once and each query once a share; recall holds."""
+    from windowforge.llm import shares
+
+    monkeypatch.setattr(shares, "LEAST_ROWS", 512)
+    rng = np.random.default_rng(8)
+    n, every = 4000, 5
+    vecs = rng.normal(size=(n, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<float>")
+    parts = shares.n_shares(n, 4)
+    assert parts == 8 and n // every > 5 * N.BLOCK
+    dealt = []
+    plain = shares.past_shares
+
+    def counting(members, asking, *more):
+        dealt.append((members.count(), asking.count() * parts))
+        return plain(members, asking, *more)
+
+    monkeypatch.setattr(N, "past_shares", counting)
+    got = N.search(df, every).toPandas()
+    assert dealt == [(n, n // every * parts)]
+    unit = vecs.astype(np.float64) / np.linalg.norm(vecs.astype(np.float64), axis=1)[:, None]
+    found = {(q, v) for q, v in zip(got.query_id, got.vec_id, strict=True)}
+    best = 0
+    for i in range(0, n, every):
+        s = unit @ unit[i]
+        s[i] = -2
+        best += sum((i, int(j)) in found for j in np.argsort(-s, kind="stable")[:5])
+    assert len(found) == n // every * 5 and best / len(found) >= 0.9

@@ -2,8 +2,9 @@
 
 Centroids and codebooks are fitted on a sample of at most ``FIT_ROWS`` vectors (those with the smallest hash of their id);
 every vector is indexed. A query visits the lists nearest to it; asymmetric distance tables over their members' codes choose one pool of
-``POOL`` candidates from all of them, and only these are scored on the original vectors. The index is cut by a hash of the row, so that
-each task has a share of every list and a list that holds a third of all vectors is spread like any other.
+``POOL`` candidates from all of them, and only these are scored on the original vectors. The index is dealt to shares by a hash of the row, so that
+each share has a part of every list and a list that holds a third of all vectors is spread like any other; queries stream past the shares, and no
+row of the index is copied. Within a share the rows lie by list, so a query reads the lists that it visits and no others.
 """
 
 from __future__ import annotations
@@ -15,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from windowforge.llm.common import batch_of, hand_over, stage, table
+from windowforge.llm.common import batch_of, hand_over, ranges, stage, table
+from windowforge.llm.shares import past_shares
 
 #: Bounds of the fit: rows of the sample, rows for the codebooks, coarse lists, codewords of a part, Lloyd rounds.
 FIT_ROWS, BOOK_ROWS, MAX_LISTS, CODEWORDS, ROUNDS = 20_000, 8192, 4096, 256, 8
 #: Share of the lists that a query visits, dimensions of a part, candidates reranked for each neighbour wanted.
 PROBE_SHARE, PART_DIMS, POOL = 0.4, 2, 10
-#: Least and most vectors of a share of the index, queries of a block.
-SHARE_ROWS, CELL_QUERIES = (1 << 12, 1 << 18), 128
+#: Queries whose tables are held at once.
+BLOCK = 128
 
 
 def _matrix(col: pa.Array, dims: int) -> np.ndarray:
@@ -141,35 +143,37 @@ def search(vectors: DataFrame, every: int, k: int = 5, id_col: str = "vec_id", v
         sizes[r["list"]] = r["n"]
     visits, want = max(1, int(np.ceil(probe_share * len(q.coarse)))), pool * k
     asked = indexed.where(F.pmod("id", F.lit(every)) == 0)
-    shares, blocks = -(-total // int(np.clip(total // 4, *SHARE_ROWS))), -(-asked.count() // CELL_QUERIES)
-    spread = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(max(1, m) - 1))))
-    members = spread(indexed.select("row", "list", "id", "code", "rest"), "share", shares, "block", blocks)
-    asking = spread(asked.select("row", "vec"), "block", max(1, blocks), "share", shares)
-
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, ...]] = []
-        if left.num_rows and right.num_rows:
-            left, right = left.combine_chunks(), right.combine_chunks()
-            row, own, ids, rest = (left.column(c).to_numpy() for c in ("row", "list", "id", "rest"))
-            codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int32)
-            codes += CODEWORDS * np.arange(codes.shape[1], dtype=np.int32)
-            asker, unit = right.column("row").to_numpy(), _unit(_matrix(right.column("vec").combine_chunks(), dims))
-            tables, to_lists = q.tables(unit), q.to_lists(unit)
+
+    def by_list(t: pa.Table) -> tuple[np.ndarray, ...]:
+        """A share's rows in the order of their lists, and where each list begins."""
+        own = t.column("list").to_numpy()
+        order = np.argsort(own, kind="stable")
+        codes = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(own), -1)[order].astype(np.int32)
+        codes += CODEWORDS * np.arange(codes.shape[1], dtype=np.int32)
+        return (*(t.column(c).to_numpy()[order] for c in ("row", "id", "rest")), own[order], codes, np.searchsorted(own[order], np.arange(len(sizes) + 1)))
+
+    def answer(share: tuple[np.ndarray, ...], asks: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        row, ids, rest, own, codes, first = share
+        asker, unit = asks.column("row").to_numpy(), _unit(_matrix(asks.column("vec"), dims))
+        for a in range(0, len(asker), BLOCK):
+            block = unit[a : a + BLOCK]
+            tables, to_lists = q.tables(block), q.to_lists(block)
             near = np.argsort(to_lists, axis=1, kind="stable")
             # further lists only where those visited could hold too few rows
             need = np.cumsum(sizes[near], axis=1) - sizes[near] < k + 1
-            visited = np.zeros(to_lists.shape, bool)
-            np.put_along_axis(visited, near, (np.arange(len(sizes)) < visits) | need, axis=1)
-            for i in range(len(asker)):
-                some = np.flatnonzero(visited[i][own] & (row != asker[i]))
+            visited = (np.arange(len(sizes)) < visits) | need
+            found: list[tuple[np.ndarray, ...]] = []
+            for i in range(len(block)):
+                lists = near[i][visited[i]]
+                some = ranges(first[lists], first[lists + 1] - first[lists])
+                some = some[row[some] != asker[a + i]]
                 far = to_lists[i][own[some]].astype(np.float32) + rest[some] + tables[i][codes[some]].sum(axis=1)
                 best = _pooled((far, ids[some], row[some]), want)
-                found.append((np.full(len(best), asker[i]), row[some][best], ids[some][best], far[best]))
-        columns = map(np.concatenate, zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.float32)]
-        return pa.table(dict(zip(("query_row", "row", "vec_id", "far"), columns, strict=True)))
+                found.append((np.full(len(best), asker[a + i]), row[some][best], ids[some][best], far[best]))
+            yield batch_of(**dict(zip(("query_row", "near_row", "vec_id", "far"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
-    keys = ["share", "block"]
-    near = members.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(cell, "query_row long, row long, vec_id long, far float")
+    members, asking = indexed.select("row", "list", "id", "code", "rest"), asked.select("row", "vec")
+    near = past_shares(members, asking, total, by_list, answer, "query_row long, near_row long, vec_id long, far float").withColumnRenamed("near_row", "row")
     by = lambda *order: Window.partitionBy("query_row").orderBy(*order)
     pooled = near.withColumn("n", F.row_number().over(by("far", "vec_id", "row"))).where(F.col("n") <= want).drop("n", "far")
     vecs = indexed.select("row", "vec")
