@@ -9,15 +9,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windowforge.functions.scalars import flag_list, flagged
 from windowforge.operators.checks import require_none
 from windowforge.operators.timealign import in_ranges
+from windowforge.sources.packet_source import BLOCK_BYTES, HEADER, RANGE_BYTES, ByteReader, number, packet_heads, packet_ranges
 
 # The layout of a record.
-HEADER = 272
 FIELDS = {"csi_size": ("<u4", 0), "ftm_clock": ("<u4", 8), "timestamp": ("<u8", 12), "num_rx": ("u1", 46), "num_tx": ("u1", 47), "num_subcarriers": ("<u4", 52), "rssi1": ("<u4", 60), "rssi2": ("<u4", 64), "rate_flags": ("<u4", 92)}
 MAC = slice(68, 74)
 
@@ -30,30 +30,17 @@ _NAMES = [x.split()[0] for x in PACKETS.replace("decimal(20,0)", "decimal").spli
 
 
 def packet_files(spark: SparkSession, path: str, glob: str = "*.dat") -> DataFrame:
-    """(sample_id, path, length, content) of all packet files below a path. Spark's file sources pass over files of 0 bytes: their samples have no row."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return files.select(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("sample_id"), "path", "length", "content")
-
-
-def packet_heads(spark: SparkSession, path: str, glob: str = "*.dat") -> DataFrame:
-    """(sample_id, path, length, content) for a census: of each file, the content is its first header, and no more is read.
-
-    Spark lists the files; the tasks open them by Arrow's file systems (local folders, HDFS, S3 and the like).
-    """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "length")  # without the content, no file is opened
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+    """(sample_id, path, length, content) of all packet files below a path, for files that fit a value; ``scan_packet_files`` reads files of any length."""
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            content = []
-            for uri in b.column(0).to_pylist():
-                store, name = fs.FileSystem.from_uri(uri)
-                with store.open_input_file(name) as f:
-                    content.append(f.read(HEADER))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(content, pa.binary())], names=["path", "length", "content"])
+            for i in range(b.num_rows):
+                length = b.column(2)[i].as_py()
+                content = ByteReader(b.column(1)[i].as_py()).read(0, length) if length else b""
+                yield pa.RecordBatch.from_arrays([*[c.slice(i, 1) for c in b.columns], pa.array([content], pa.binary())], names=["sample_id", "path", "length", "content"])
 
-    return listed.mapInArrow(heads, "path string, length long, content binary").select(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("sample_id"), "path", "length", "content")
+    listed = packet_heads(spark, path, glob).select("sample_id", "path", "length")
+    return listed.mapInArrow(whole, "sample_id string, path string, length long, content binary")
 
 
 def packet_census(files: DataFrame) -> DataFrame:
@@ -105,45 +92,113 @@ def scan_packets(files: DataFrame, keep: int | None = None, block: int = 512, ma
     time. Rows leave in blocks, so that a task holds one file and one block.
     """
 
-    def rows_of(sample: str, data: np.ndarray) -> Iterator[pa.RecordBatch]:
-        valid, shape = 0, None
-        for first, records, problem in _runs(data, max_packets):
-            if records is None:
-                yield _batch({"sample_id": pa.array([sample]), "packet_idx": pa.array([first], pa.int32()), "problem": pa.array([problem])}, 1)
-                continue
-            for at in range(0, len(records), block):
-                part = records[at : at + block]
-                n = len(part)
-                f = {k: part[:, o : o + np.dtype(kind).itemsize].copy().view(kind)[:, 0] for k, (kind, o) in FIELDS.items()}
-                dims = np.stack([f[k].astype(np.int64) for k in ("num_rx", "num_tx", "num_subcarriers")], axis=1)
-                zero, fits = (dims == 0).any(axis=1), f["csi_size"] == 4 * dims.prod(axis=1)
-                well = ~zero & fits
-                if shape is None and well.any():
-                    shape = dims[np.argmax(well)]
-                good = well & (dims == (shape if shape is not None else -1)).all(axis=1)
-                wrong = np.where(good, None, np.where(zero, "zero_dimension", np.where(fits, "shape_change", "size_mismatch")))
-                with_iq = good if keep is None else good & (valid + np.cumsum(good) <= keep)
-                valid += int(good.sum())
-                size = (part.shape[1] - HEADER) // 2
-                offsets = np.concatenate([[0], np.cumsum(with_iq * size)]).astype(np.int32)
-                values = part[with_iq, HEADER : HEADER + 2 * size].copy().view("<i2").reshape(-1)
-                columns = {k: pa.array(v) for k, v in f.items()} | {"timestamp": pa.array(f["timestamp"]).cast(pa.decimal128(20, 0))}
-                columns |= {"sample_id": pa.array([sample] * n, pa.string()), "packet_idx": pa.array(np.arange(first + at, first + at + n, dtype=np.int32)), "source_mac": pa.array([m.tobytes().hex(":") for m in part[:, MAC]], pa.string())}
-                columns |= {"iq": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(~with_iq)), "problem": pa.array(wrong, pa.string())}
-                if only_problems:
-                    pick = np.flatnonzero(~good)
-                    columns, n = {k: v.take(pa.array(pick)) for k, v in columns.items()}, len(pick)
-                if n:
-                    yield _batch(columns, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for sample, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                yield from rows_of(sample, np.frombuffer(content.as_buffer(), np.uint8) if content.is_valid and len(content.as_buffer()) else np.zeros(0, np.uint8))
+                data = np.frombuffer(content.as_buffer(), np.uint8) if content.is_valid and len(content.as_buffer()) else np.zeros(0, np.uint8)
+                yield from _packets(sample, _runs(data, max_packets), keep, block, only_problems)
 
     return files.select("sample_id", "content").mapInArrow(run, PACKETS)
 
 
+def _packets(sample: str, runs: Iterator[tuple[int, np.ndarray | None, str | None]], keep: int | None, block: int, only_problems: bool = False, shape: np.ndarray | None = None, valid: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows of runs of records; ``shape`` are the dimensions of the file's first sound record, if it lies before, ``valid`` the number of valid ones so far."""
+    for first, records, problem in runs:
+        if records is None:
+            yield _batch({"sample_id": pa.array([sample]), "packet_idx": pa.array([first], pa.int32()), "problem": pa.array([problem])}, 1)
+            continue
+        for at in range(0, len(records), block):
+            part = records[at : at + block]
+            n = len(part)
+            f = {k: part[:, o : o + np.dtype(kind).itemsize].copy().view(kind)[:, 0] for k, (kind, o) in FIELDS.items()}
+            dims = np.stack([f[k].astype(np.int64) for k in ("num_rx", "num_tx", "num_subcarriers")], axis=1)
+            zero, fits = (dims == 0).any(axis=1), f["csi_size"] == 4 * dims.prod(axis=1)
+            well = ~zero & fits
+            if shape is None and well.any():
+                shape = dims[np.argmax(well)]
+            good = well & (dims == (shape if shape is not None else -1)).all(axis=1)
+            wrong = np.where(good, None, np.where(zero, "zero_dimension", np.where(fits, "shape_change", "size_mismatch")))
+            with_iq = good if keep is None else good & (valid + np.cumsum(good) <= keep)
+            valid += int(good.sum())
+            size = (part.shape[1] - HEADER) // 2
+            offsets = np.concatenate([[0], np.cumsum(with_iq * size)]).astype(np.int32)
+            values = part[with_iq, HEADER : HEADER + 2 * size].copy().view("<i2").reshape(-1)
+            columns = {k: pa.array(v) for k, v in f.items()} | {"timestamp": pa.array(f["timestamp"]).cast(pa.decimal128(20, 0))}
+            columns |= {"sample_id": pa.array([sample] * n, pa.string()), "packet_idx": pa.array(np.arange(first + at, first + at + n, dtype=np.int32)), "source_mac": pa.array([m.tobytes().hex(":") for m in part[:, MAC]], pa.string())}
+            columns |= {"iq": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(~with_iq)), "problem": pa.array(wrong, pa.string())}
+            if only_problems:
+                pick = np.flatnonzero(~good)
+                columns, n = {k: v.take(pa.array(pick)) for k, v in columns.items()}, len(pick)
+            if n:
+                yield _batch(columns, n)
+
+
+def _range_runs(read: ByteReader, r: dict, most: int | None, with_iq: bool) -> Iterator[tuple[int, np.ndarray | None, str | None]]:
+    """As ``_runs``, of one byte range; without I/Q only the headers are read."""
+    at, idx, step = r["entry"], r["first"], 0
+    last = idx + r["records"] if most is None else min(idx + r["records"], most)
+    while idx < last:
+        head = read.read(at, HEADER, 0 if with_iq or step > BLOCK_BYTES >> 2 else BLOCK_BYTES)
+        step = HEADER + number(head, 0, 4)
+        if with_iq:
+            n = max(1, min(last - idx, BLOCK_BYTES // step, (r["exit"] - at) // step))
+            for _, rows, _ in _runs(np.frombuffer(read.read(at, n * step), np.uint8), n):
+                if rows is not None:
+                    yield idx, rows, None
+                    at, idx = at + rows.size, idx + len(rows)
+        else:  # headers of one run of sizes
+            heads = [head]
+            while idx + len(heads) < last and number(next_ := read.read(at + len(heads) * step, HEADER, 0 if step > BLOCK_BYTES >> 2 else BLOCK_BYTES), 0, 4) == step - HEADER and len(heads) < 4096:
+                heads.append(next_)
+            yield idx, np.frombuffer(b"".join(heads), np.uint8).reshape(len(heads), HEADER), None
+            at, idx = at + len(heads) * step, idx + len(heads)
+    if most is not None and idx >= most:
+        return
+    if r["stop"] == "bad_size":
+        yield idx, None, "bad_size"
+    if r["stop"]:
+        yield idx, None, "trailing_partial"
+    elif r["length"] == 0:
+        yield idx, None, "no_packets"
+
+
+def _shaped(ranges: DataFrame) -> DataFrame:
+    """Adds shape, the dimensions of each file's first sound record, and valid, how many records before a range have them, own, how many in it."""
+    by = Window.partitionBy("path").orderBy("k")
+    r = ranges.withColumn("shape", F.first(F.when(F.size("shapes") > 0, F.col("shapes")[0]), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    same = F.filter("shapes", lambda x: (x["rx"] == F.col("shape.rx")) & (x["tx"] == F.col("shape.tx")) & (x["sc"] == F.col("shape.sc")))
+    r = r.withColumn("own", F.aggregate(same, F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+    return r.withColumn("valid", F.coalesce(F.sum("own").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def scan_packet_files(spark: SparkSession, path: str, glob: str = "*.dat", keep: int | None = None, max_packets: int | None = None, range_bytes: int = RANGE_BYTES, block: int = 512) -> DataFrame:
+    """``scan_packets`` of all files below a path, which may have any length: a task reads one byte range at a time, and of that one block."""
+    return _parsed(packet_ranges(spark, path, glob, range_bytes), keep, max_packets, block)
+
+
+def _parsed(ranges: DataFrame, keep: int | None, max_packets: int | None, block: int = 512) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                shape = np.array([r["shape"][k] for k in ("rx", "tx", "sc")]) if r["shape"] else None
+                wants = r["own"] > 0 and (keep is None or r["valid"] < keep)
+                yield from _packets(r["sample_id"], _range_runs(ByteReader(r["path"]), r, max_packets, wants), keep, block, shape=shape, valid=r["valid"])
+
+    cols = ["sample_id", "path", "length", "entry", "exit", "records", "first", "stop", "shape", "valid", "own"]
+    wanted = _shaped(ranges).where("entry IS NOT NULL" + (f" AND first < {max_packets}" if max_packets is not None else ""))
+    return wanted.repartition("path", "k").select(*cols).mapInArrow(run, PACKETS)
+
+
+def read_packet_files(spark: SparkSession, path: str, glob: str = "*.dat", keep: int | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Strict: any problem in any file is an error that names the first few. The ranges' own counts tell, so no packet is read for that."""
+    ranges = packet_ranges(spark, path, glob, range_bytes)
+    off = F.aggregate("shapes", F.lit(0).cast("long"), lambda a, x: a + x["n"]) - F.col("own")
+    found = _shaped(ranges).where((F.col("length") == 0) | F.col("stop").isNotNull() | (F.col("wrong") > 0) | (off > 0))
+    require_none(found.select("sample_id", F.coalesce("stop", F.when(F.col("length") == 0, "no_packets").otherwise("size_or_shape")).alias("problem"), "first"), "packet files have problems")
+    return _parsed(ranges, keep, None)
+
+
 def _batch(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[k].cast(t) if k in columns else pa.nulls(n, t) for k, t in zip(_NAMES, _TYPES, strict=True)], names=_NAMES)
 
