@@ -9,6 +9,7 @@ row of the index is copied. Within a share the rows lie by list, so a query read
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,15 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from windowforge.llm.common import batch_of, hand_over, ranges, stage, table
-from windowforge.llm.shares import past_shares
+from windowforge.llm.common import batch_of, column, hand_over, n_partitions, ranges, stage, table
+from windowforge.llm.shares import n_shares, past_shares
 
 #: Bounds of the fit: rows of the sample, rows for the codebooks, coarse lists, codewords of a part, Lloyd rounds.
 FIT_ROWS, BOOK_ROWS, MAX_LISTS, CODEWORDS, ROUNDS = 20_000, 8192, 4096, 256, 8
 #: Share of the lists that a query visits, dimensions of a part, candidates reranked for each neighbour wanted.
 PROBE_SHARE, PART_DIMS, POOL = 0.4, 2, 10
-#: Queries whose tables are held at once.
-BLOCK = 128
+#: Queries whose tables are held at once; how much larger a part of the rows is than the one whose pools bound its own; room for rounding in bounds.
+BLOCK, PART, ROUNDING = 128, 8, 1e-4
 
 
 def _matrix(col: pa.Array, dims: int) -> np.ndarray:
@@ -155,8 +156,9 @@ def search(vectors: DataFrame, every: int, k: int = 5, id_col: str = "vec_id", v
     def answer(share: tuple[np.ndarray, ...], asks: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         row, ids, rest, own, codes, first = share
         asker, unit = asks.column("row").to_numpy(), _unit(_matrix(asks.column("vec"), dims))
+        bounds = np.nan_to_num(column(asks, "bound").astype(np.float64), nan=np.inf) + ROUNDING
         for a in range(0, len(asker), BLOCK):
-            block = unit[a : a + BLOCK]
+            block, most = unit[a : a + BLOCK], bounds[a : a + BLOCK]
             tables, to_lists = q.tables(block), q.to_lists(block)
             near = np.argsort(to_lists, axis=1, kind="stable")
             # further lists only where those visited could hold too few rows
@@ -168,14 +170,23 @@ def search(vectors: DataFrame, every: int, k: int = 5, id_col: str = "vec_id", v
                 some = ranges(first[lists], first[lists + 1] - first[lists])
                 some = some[row[some] != asker[a + i]]
                 far = to_lists[i][own[some]].astype(np.float32) + rest[some] + tables[i][codes[some]].sum(axis=1)
+                some, far = some[far <= most[i]], far[far <= most[i]]
                 best = _pooled((far, ids[some], row[some]), want)
                 found.append((np.full(len(best), asker[a + i]), row[some][best], ids[some][best], far[best]))
             yield batch_of(**dict(zip(("query_row", "near_row", "vec_id", "far"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
-    members, asking = indexed.select("row", "list", "id", "code", "rest"), asked.select("row", "vec")
-    near = past_shares(members, asking, total, by_list, answer, "query_row long, near_row long, vec_id long, far float").withColumnRenamed("near_row", "row")
+    members, asking = indexed.select("row", "list", "id", "code", "rest"), asked.select("row", "vec").withColumn("bound", F.lit(None).cast("float"))
     by = lambda *order: Window.partitionBy("query_row").orderBy(*order)
-    pooled = near.withColumn("n", F.row_number().over(by("far", "vec_id", "row"))).where(F.col("n") <= want).drop("n", "far")
+    # a part of the rows bounds a query's pool for a part eight times as large: what leaves the shares grows with the queries, not with queries times shares
+    kept = [indexed]
+    for round_ in range(math.ceil(math.log(n_shares(total, n_partitions(spark)), PART)), -1, -1):
+        some = members.where(F.pmod(F.xxhash64("row", F.lit(round_ > 0)), F.lit(PART**round_)) == 0)
+        near = past_shares(some, asking, total // PART**round_, by_list, answer, "query_row long, near_row long, vec_id long, far float").withColumnRenamed("near_row", "row")
+        pooled = near.withColumn("n", F.row_number().over(by("far", "vec_id", "row"))).where(F.col("n") <= want)
+        if round_:
+            kept.append(stage(pooled.where(F.col("n") == want).select(F.col("query_row").alias("row"), F.col("far").alias("bound"))))
+            asking = asked.select("row", "vec").join(kept[-1], "row", "left")
+    pooled = pooled.drop("n", "far")
     vecs = indexed.select("row", "vec")
     both = pooled.join(vecs, "row").join(asked.select(F.col("row").alias("query_row"), F.col("id").alias("query_id"), F.col("vec").alias("query_vec")), "query_row")
 
@@ -190,7 +201,7 @@ def search(vectors: DataFrame, every: int, k: int = 5, id_col: str = "vec_id", v
 
     scored = both.select("query_row", "query_id", "row", "vec_id", "vec", "query_vec").mapInArrow(score, "query_row long, query_id long, row long, vec_id long, score double")
     ranked = scored.withColumn("rank", F.row_number().over(by(F.desc("score"), "vec_id", "row"))).where(F.col("rank") <= k)
-    return hand_over(ranked.select("query_id", "query_row", "rank", "vec_id", "score"), indexed)
+    return hand_over(ranked.select("query_id", "query_row", "rank", "vec_id", "score"), *kept)
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
