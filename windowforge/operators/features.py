@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from windowforge.functions.scalars import amplitudes, even_indices
 from windowforge.operators.profile import quantiles
+from windowforge.sources.scratch import staged
 
 #: Energy up to which a carrier counts as silent, and the least deviation that z-scores are divided by.
 SILENT, LEAST_DEVIATION = 1e-6, 1e-6
@@ -90,12 +91,14 @@ def preprocess(packets: DataFrame, n_time: int, n_freq: int, ratio: float = 0.05
     fit = shape.where("problem IS NULL").drop("problem")
     placed = packets.select("sample_id", "iq", (F.row_number().over(Window.partitionBy("sample_id").orderBy("packet_idx")) - 1).cast("long").alias("place")).join(fit, "sample_id")
     level = F.transform(amplitudes(F.col("iq")), lambda a: F.log1p(a))
-    heard = placed.withColumn("level", level).select("sample_id", "place", "n", "num_subcarriers", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("num_rx") - 1), lambda r: F.slice("level", r * F.col("num_subcarriers") + 1, F.col("num_subcarriers")))).alias("rx", "level"))
-    plan = repair_plan(carrier_energy(heard, "sample_id", "level"), "sample_id", ratio)
+    level = placed.select("sample_id", "place", "num_rx", "num_subcarriers", level.alias("level"))
+    level = staged(level)  # read for the energies of all packets and for the values of those chosen
+    by_rx = F.posexplode(F.transform(F.sequence(F.lit(0), F.col("num_rx") - 1), lambda r: F.slice("level", r * F.col("num_subcarriers") + 1, F.col("num_subcarriers")))).alias("rx", "level")
+    plan = staged(repair_plan(carrier_energy(level.select("sample_id", by_rx), "sample_id", "level"), "sample_id", ratio))
     slots = fit.select("sample_id", F.posexplode(even_indices(F.col("num_subcarriers"), n_freq)).alias("slot", "carrier"))
     plans = _plans(plan, "sample_id", slots)
     times = fit.select("sample_id", F.posexplode(even_indices(F.col("n"), n_time)).alias("t", "place"))
-    chosen = heard.join(times, ["sample_id", "place"]).join(plans.where("problem IS NULL").drop("problem"), "sample_id")
+    chosen = level.join(times, ["sample_id", "place"]).select("sample_id", "t", by_rx).join(plans.where("problem IS NULL").drop("problem"), "sample_id")
     chosen = chosen.select("sample_id", "rx", "t", _taken(F.col("level"), F.col("take")).alias("x"))
     each, total = Window.partitionBy("sample_id", "rx"), lambda f: F.aggregate("x", F.lit(0.0), lambda a, x: a + f(x))
     size = F.sum(F.size("x")).over(each)

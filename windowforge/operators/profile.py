@@ -17,32 +17,41 @@ def describe_nearest_rank(df: DataFrame, group: str, value: str) -> DataFrame:
     return ranked.groupBy(group).agg(F.max("_n").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), at(0.5).alias("p50"), at(0.95).alias("p95"))
 
 
-#: Ranges of values in which ranks are counted apart.
-RANGES = 64
+#: Size of the sketch that a group's quantiles are looked up in, how far from a rank it is cut on both sides, and cuts on each side.
+SKETCH, NEAR, CUTS = 4096, 0.004, 4
+
+
+def _met(left: DataFrame, right: DataFrame, keys: dict[str, str], how: str = "inner") -> DataFrame:
+    """A join by equal or both null keys (left name to right name); without keys, with a table of one row."""
+    on = F.lit(True)
+    for mine, other in keys.items():
+        on = on & left[mine].eqNullSafe(right[other])
+    return left.join(right, on, how).drop(*keys.values())
 
 
 def quantiles(df: DataFrame, value: str, shares: list[float], *group: str) -> DataFrame:
     """group, n and q: the exact quantiles of a number at these shares, by a line between neighbours.
 
-    Equal values are counted first. Counts per range of values (64 at most, cut at approximate quantiles) tell in which ranges the ranks
-    lie; only those are sorted, each on its own, so neither a large group nor the whole table passes through one task.
+    A sketch of each group, merged from those of the tasks, gives values just below and above each rank; they cut the group into cells. Equal values are
+    counted, the counts of the cells tell in which of them the ranks lie, and only those are sorted, each on its own. Where the sketch cuts decides how
+    large the cells are, not what comes out.
     """
     rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
-    cuts = sorted(set(rows.approxQuantile("_v", [k / RANGES for k in range(1, RANGES)], 1 / (2 * RANGES))))
-    counts = rows.groupBy(*group, "_v").agg(F.count("*").alias("_k"))
-    counts = counts.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("_v"))) if cuts else F.lit(0))
+    wanted_at = sorted({min(1.0, max(0.0, p + NEAR * k / CUTS)) for p in shares for k in range(-CUTS, CUTS + 1)})
+    sketches = rows.groupBy(*group).agg(F.kll_sketch_agg_double("_v", F.lit(SKETCH)).alias("_s"))
+    known = F.kll_sketch_get_quantile_double("_s", F.array(*map(F.lit, wanted_at)))
+    cuts = sketches.select(*[F.col(k).alias(f"_{k}") for k in group], F.array_sort(F.array_distinct(F.when(F.kll_sketch_get_n_double("_s") > 0, known))).alias("_cuts"))
+    counts = _met(rows.groupBy(*group, "_v").agg(F.count("*").alias("_k")), cuts, {k: f"_{k}" for k in group}, "left")
+    counts = counts.withColumn("_range", F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < F.col("_v")))).drop("_cuts")
     whole = Window.partitionBy(*group)
-    per = counts.groupBy(*group, "_range").agg(F.sum("_k").alias("_in"))  # at most as many rows for a group as ranges
+    per = counts.groupBy(*group, "_range").agg(F.sum("_k").alias("_in"))  # a few rows for a group
     per = per.withColumn("n", F.sum("_in").over(whole)).withColumn("_upto", F.sum("_in").over(whole.orderBy("_range")))
     place = {p: (F.col("n") - 1) * F.lit(float(p)) for p in shares}
     ranks = F.array(*[f(x).cast("long") for x in place.values() for f in (F.floor, F.ceil)])
     wanted = per.where(F.exists(ranks, lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_in"))))
     wanted = wanted.select(*[F.col(k).alias(f"_{k}") for k in group], F.col("_range").alias("_of"), "n", (F.col("_upto") - F.col("_in")).alias("_before"))
-    met = F.col("_range") == F.col("_of")
-    for k in group:
-        met = met & F.col(k).eqNullSafe(F.col(f"_{k}"))
     seen = F.col("_before") + F.sum("_k").over(Window.partitionBy(*group, "_range").orderBy("_v"))
-    ranked = counts.join(wanted, met).withColumn("_seen", seen)
+    ranked = _met(counts, wanted, {**{k: f"_{k}" for k in group}, "_range": "_of"}).withColumn("_seen", seen)
     at = lambda r: F.min(F.when(F.col("_seen") > r, F.col("_v")))
     ends = ranked.groupBy(*group).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[at(f(x)).alias(f"_{i}_{f.__name__}") for i, x in enumerate(place.values()) for f in (F.floor, F.ceil)])
     line = [F.col(f"_{i}_floor") + (F.col(f"_{i}_ceil") - F.col(f"_{i}_floor")) * (x - F.floor(x)) for i, x in enumerate(place.values())]
@@ -54,10 +63,7 @@ def describe_linear(df: DataFrame, value: str, target: float, *group: str) -> Da
     v = F.col(value)
     out = df.groupBy(*group).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
     q = quantiles(df, value, [0.5, 0.95], *group).select(*[F.col(k).alias(f"_{k}") for k in group], F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"))
-    met = F.lit(True)
-    for k in group:
-        met = met & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    out = out.join(q, met, "left").drop(*[f"_{k}" for k in group])
+    out = _met(out, q, {k: f"_{k}" for k in group}, "left")
     return out.withColumn("delta", F.col("mean") - target).withColumn("delta_percent", (F.col("mean") - target) / target * 100)
 
 
