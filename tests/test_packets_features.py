@@ -310,3 +310,38 @@ def test_a_sparse_file_over_two_gib(spark, tmp_path):
     assert got.where("problem IS NULL").agg(F.count("*"), F.sum("ftm_clock"), F.max("packet_idx")).first()[:] == (40, sum(range(1000, 1040)), 39)
     assert [(r.packet_idx, r.problem) for r in got.where("problem IS NOT NULL").collect()] == [(40, "trailing_partial")]
     assert P.packet_census(P.packet_heads(spark, str(tmp_path))).first().packets == 40
+
+
+def test_a_log_in_many_splits_is_read_as_one(spark, tmp_path):
+    """Midnights within splits, at their edges and over splits without a packet; the splits end within lines."""
+    rng = np.random.default_rng(9)
+    (tmp_path / "logs").mkdir()
+    want = {}
+    for name, n in (("a", 400), ("b", 3), ("c", 1)):
+        clock, day, lines, times = 85_000.0, 0, [], []
+        for _ in range(n):
+            clock += float(rng.choice([0.25, 0.5, 300, 5000]))
+            if clock >= 86_400:
+                clock, day = clock - 86_400, day + 1
+            h, m, s = int(clock // 3600), int(clock // 60 % 60), clock % 60
+            lines += ["noise [12:00:00.0] Subcarrier count: 1"] * int(rng.integers(0, 3)) + [f"[{h:02d}:{m:02d}:{s:04.1f}] Subcarrier count: 996\r"]
+            times.append((day, f"{h:02d}:{m:02d}:{s:04.1f}"))
+        (tmp_path / "logs" / f"{name}.log").write_bytes("\n".join(lines).encode())
+        want[name] = times
+    dates = spark.createDataFrame([(k, "2025-03-01") for k in want], "sample_id string, date string")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    got = []
+    for size in ("700", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1" if size == "700" else "4m")
+        df = R.scan_log_packet_times(spark, str(tmp_path / "logs"), dates)
+        if size == "700":
+            assert spark.read.text(str(tmp_path / "logs")).rdd.getNumPartitions() >= 10
+        got.append(sorted(map(tuple, df.collect())))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got[0] == got[1] and len(got[0]) == 404
+    days = lambda rows: [(t - rows[0]) // 10**8 for t in rows]
+    for name, times in want.items():
+        at = [d * 864_000 + round((int(c[:2]) * 3600 + int(c[3:5]) * 60 + float(c[6:])) * 10) for d, c in times]
+        assert days([t for s, _, t in got[0] if s == name]) == [a - at[0] for a in at] and [k for s, k, _ in got[0] if s == name] == list(range(len(times)))

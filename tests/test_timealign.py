@@ -146,3 +146,18 @@ def test_too_few_frames_are_an_error(spark):
     assert [tuple(r) for r in T.short_recordings(frames, 16).collect()] == [("b", 15)]
     got = [r.pos for r in T.sampled_frames(frames.where("recording = 'a'"), 16).orderBy("slot").collect()]
     assert got == [round(k * 10) for k in range(16)]
+
+
+def test_pieces_of_a_clock_change_nothing(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [("s", i, rng.randrange(100)) for i in range(200)] + [("t", i * 7, i % 5) for i in range(40)] + [("u", 3, 1)]
+    want = {}
+    for s in "stu":
+        day, last = 0, None
+        for k, (_, i, c) in enumerate(r for r in rows if r[0] == s):
+            day += last is not None and c < last
+            want[s, i], last = (day, k), c
+    df = spark.createDataFrame(rows, "sample string, line int, clock int")
+    for width in (1, 10, 1 << 16):
+        monkeypatch.setattr(T, "PIECE", width)
+        assert {(r["sample"], r.line): (r.day_offset, r.place) for r in T.day_offsets(df, "sample", "line", "clock").collect()} == want

@@ -166,11 +166,27 @@ def index_method(files: DataFrame, logs: DataFrame) -> DataFrame:
     return both.select("sample_id", method.alias("method"), flags.alias("flags"))
 
 
-def day_offsets(rows: DataFrame, sample: str, order: str, clock: str) -> DataFrame:
-    """Adds day_offset: how often the time of day has gone back so far."""
-    w = Window.partitionBy(sample).orderBy(order)
-    back = rows.withColumn("_back", F.coalesce((F.col(clock) < F.lag(clock).over(w)).cast("long"), F.lit(0)))
-    return back.withColumn("day_offset", F.sum("_back").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_back")
+#: Places of a sample's order in which its clock is followed in one go.
+PIECE = 1 << 16
+
+
+def day_offsets(rows: DataFrame, sample: str, order: str, clock: str, piece: Column | None = None) -> DataFrame:
+    """Adds day_offset: how often the time of day has gone back so far; and place, the number of rows of the sample before.
+
+    Rows are in the order of ``piece`` and, within a piece, of ``order``; without one, ``order`` is a number and its pieces are ``PIECE`` long. Each piece is counted
+    by itself; a table of the pieces has what is carried on from one to the next, so no task goes through a whole sample.
+    """
+    r = rows.withColumn("_piece", F.floor(F.col(order) / PIECE) if piece is None else piece)
+    key, whole = [sample, "_piece"], Window.partitionBy(sample).orderBy("_piece")
+    own = Window.partitionBy(*key).orderBy(order)
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    back = F.coalesce((F.col(clock) < F.lag(clock).over(own)).cast("long"), F.lit(0))
+    r = r.withColumn("_back", back).withColumn("_own", F.sum("_back").over(upto)).withColumn("_nth", F.row_number().over(own) - 1)
+    pieces = r.groupBy(*key).agg(F.sum("_back").alias("backs"), F.count("*").alias("n"), F.min_by(clock, order).alias("first"), F.max_by(clock, order).alias("last"))
+    crossed = F.coalesce((F.col("first") < F.lag("last").over(whole)).cast("long"), F.lit(0))
+    pieces = pieces.withColumn("crossed", crossed).withColumn("before", F.sum(F.col("backs") + F.col("crossed")).over(whole) - F.col("backs")).withColumn("earlier", F.sum("n").over(whole) - F.col("n"))
+    out = r.join(pieces.select(*key, "before", "earlier"), key)
+    return out.select(*rows.columns, (F.col("_own") + F.col("before")).alias("day_offset"), (F.col("_nth") + F.col("earlier")).cast("long").alias("place"))
 
 
 def frame_gaps(frames: DataFrame) -> DataFrame:

@@ -70,20 +70,19 @@ def scan_frame_times(spark: SparkSession, root: str, glob: str = "*video_timesta
 
 
 def scan_log_packet_times(spark: SparkSession, root: str, dates: DataFrame, zone_hours: int = 8, glob: str = "*.log", sample: str = r"([^/]*)\.log$") -> DataFrame:
-    """(sample_id, packet_idx, unix_ns) of the ``[HH:MM:SS.f] Subcarrier count:`` lines of each sample's log, in file order, days added at midnight.
+    """(sample_id, packet_idx, unix_ns) of the lines ``[HH:MM:SS.f] Subcarrier count:`` of each sample's log, in file order, days added at midnight.
 
-    dates (sample_id, date); ``sample`` takes the id of a log from its path.
+    dates (sample_id, date); ``sample`` takes the id of a log from its path. A log is read in the splits of a text source; each is a piece whose days are counted by themselves.
     """
-    from pyspark.sql import Window
-
     from windowforge.operators.timealign import day_offsets
 
-    logs = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True)
-    times = logs.select(F.regexp_extract(F.col("_metadata.file_path"), sample, 1).alias("sample_id"), F.posexplode(F.regexp_extract_all("value", F.lit(r"\[(\d{2}:\d{2}:\d{2}\.\d+)\]\s*Subcarrier count:"), F.lit(1))).alias("line", "clock"))
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n").text(root)
+    clock = F.regexp_extract("value", r"^\[(\d{2}:\d{2}:\d{2}\.\d{1,6})\] Subcarrier count:", 1)  # fixed values: the form of the lines
+    # the lines of a split come in order
+    times = lines.select(F.regexp_extract(F.col("_metadata.file_path"), sample, 1).alias("sample_id"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"), clock.alias("clock")).where("clock <> ''")
     timed = times.join(dates, "sample_id").withColumn("ns", log_time_ns(F.col("date"), F.col("clock"), zone_hours)).where("ns IS NOT NULL")
-    moved = day_offsets(timed, "sample_id", "line", "ns")
-    place = F.row_number().over(Window.partitionBy("sample_id").orderBy("line")) - 1
-    return moved.select("sample_id", place.cast("long").alias("packet_idx"), (F.col("ns") + F.col("day_offset") * 86_400_000_000_000).alias("unix_ns"))
+    moved = day_offsets(timed, "sample_id", "line", "ns", F.struct("path", "split"))
+    return moved.select("sample_id", F.col("place").alias("packet_idx"), (F.col("ns") + F.col("day_offset") * 86_400_000_000_000).alias("unix_ns"))
 
 
 def read_review_rules(spark: SparkSession, path: str, heading: str) -> DataFrame:
