@@ -89,3 +89,23 @@ def test_nothing_to_evaluate_is_an_error(spark):
     classes = spark.createDataFrame([("a",)], "label string")
     with pytest.raises(ValueError, match="no predictions"):
         E.confusion_matrix(spark.createDataFrame([], "run int, true string, pred string"), classes)
+
+
+def test_split_is_that_of_a_whole_sort(spark, monkeypatch):
+    """Strata of every size, null strata, a single stratum: the rows of each part as by sorting a whole stratum, for short and long prefixes."""
+    import hashlib
+
+    rows = [(f"k{i}", "one" if i < 300 else None if i < 307 else f"s{i % 40}") for i in range(700)]
+    want = {}
+    for seed in (1, 2):
+        for stratum in {s for _, s in rows}:
+            own = sorted((hashlib.md5(f"{seed}|{k}".encode()).hexdigest(), k) for k, s in rows if s == stratum)
+            a = round(len(own) * 0.65)
+            b = a + (len(own) - a) // 2
+            want |= {(seed, k): "train" if i < a else "val" if i < b else "test" for i, (_, k) in enumerate(own)}
+    df = spark.createDataFrame(rows, "k string, s string")
+    for digits in (0, 1, 4):
+        monkeypatch.setattr(X, "PREFIX", digits)
+        got = X.stratified_split(df, ["s"], "k", [1, 2])
+        assert got.columns == ["k", "s", "seed", "split"]
+        assert {(r.seed, r.k): r.split for r in got.collect()} == want

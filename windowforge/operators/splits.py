@@ -48,16 +48,34 @@ def complement(all_rows: DataFrame, some: DataFrame, key: str) -> DataFrame:
     return all_rows.join(some.select(key).distinct(), key, "left_anti")
 
 
+#: Hexadecimal digits of a row's hash by which a stratum is counted before anything of it is sorted.
+PREFIX = 4
+
+
 def stratified_split(samples: DataFrame, strata: list[str], key: str, seeds: list[int], train: float = 0.65) -> DataFrame:
     """Adds seed and split: within a stratum, in the order of md5(seed|key), round(train * n) rows (half to even) go to train, half of
-    the rest (rounded down) to val, the others to test. All seeds are rows of one job."""
-    rows = samples.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
-    w = Window.partitionBy("seed", *strata)
-    rank = F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", "seed", key)), key))
-    n = F.count("*").over(w)
-    first = F.rint(n * train).cast("long")
-    second = first + F.floor((n - first) / 2)
-    return rows.withColumn("_rank", rank).withColumn("_a", first).withColumn("_b", second).withColumn("split", F.when(F.col("_rank") <= F.col("_a"), "train").when(F.col("_rank") <= F.col("_b"), "val").otherwise("test")).drop("_rank", "_a", "_b")
+    the rest (rounded down) to val, the others to test. All seeds are rows of one job.
+
+    Counts by prefixes of the hash tell on which side of both cuts a prefix lies; only the rows of prefixes that a cut falls into are ranked, each prefix by
+    itself, so a stratum of all rows is many tasks.
+    """
+    rows = samples.withColumn("seed", F.explode(F.array(*map(F.lit, seeds)))).withColumn("_hash", F.md5(F.concat_ws("|", "seed", key).cast("binary"))).withColumn("_prefix", F.left("_hash", F.lit(PREFIX)))
+    group = ["seed", *strata]
+    whole = Window.partitionBy(*group)
+    sums = rows.groupBy(*group, "_prefix").agg(F.count("*").alias("_in")).withColumn("_n", F.sum("_in").over(whole)).withColumn("_upto", F.sum("_in").over(whole.orderBy("_prefix")))
+    first = F.rint(F.col("_n") * train).cast("long")
+    sums = sums.withColumn("_a", first).withColumn("_b", first + F.floor((F.col("_n") - first) / 2)).withColumn("_before", F.col("_upto") - F.col("_in"))
+    side = lambda lo, hi: F.when(hi <= F.col("_a"), "train").when((lo >= F.col("_a")) & (hi <= F.col("_b")), "val").when(lo >= F.col("_b"), "test")
+    sums = sums.select(*[F.col(c).alias(f"_{c}_") for c in group], F.col("_prefix").alias("_of"), "_a", "_b", "_before", side(F.col("_before"), F.col("_upto")).alias("split"))
+    met = F.col("_prefix") == F.col("_of")
+    for c in group:
+        met = met & F.col(c).eqNullSafe(F.col(f"_{c}_"))
+    placed = rows.join(sums, met)
+    cut = placed.where("split IS NULL")
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy(*group, "_prefix").orderBy("_hash", key))
+    cut = cut.withColumn("split", side(rank - 1, rank))
+    cols = [*samples.columns, "seed", "split"]
+    return placed.where("split IS NOT NULL").select(*cols).unionByName(cut.select(*cols))
 
 
 def split_summary(assigned: DataFrame) -> DataFrame:
