@@ -65,7 +65,7 @@ def test_apply_is_all_or_nothing(spark):
     files = spark.createDataFrame([("data/csi/a.dat",), ("data/video/a.mp4",), ("data/metadata/a.json",)], "path string")
     moves = C.classify_moves(ops, files, "data", "data/raw")
     kept, log = C.apply_plan(index, ops, moves)
-    assert [r.sample_id for r in kept.collect()] == ["b"] and {r.result for r in log.collect()} == {"removed"}
+    assert [r.sample_id for r in kept.collect()] == ["b"] and {r.result for r in log.collect()} == {"moved"}
     bad = C.classify_moves(ops, files.where("path LIKE '%csi%'"), "data", "data/raw")
     kept, log = C.apply_plan(index, ops, bad)
     assert kept.count() == 2 and {(r.kind, r.result) for r in log.collect()} == {("csi", "preflight_aborted"), ("video", "missing_source"), ("metadata", "missing_source")}

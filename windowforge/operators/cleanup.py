@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windowforge.functions.scalars import metadata_path, person_check, safe_path
 from windowforge.operators.checks import duplicates, require_none
+from windowforge.sources.publish import Conflict, commit, current, folders, publish, read_published, write_part
 
 KINDS = ("csi", "video", "metadata")
 
@@ -74,13 +75,37 @@ def cleanup_plan(quality: DataFrame, slices: DataFrame, persons: DataFrame, held
 
 
 def apply_plan(index: DataFrame, operations: DataFrame, moves: DataFrame, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
-    """New index and log. Unless every move may run, the index stays as it is and every row of the log says preflight_aborted."""
+    """New index and log. Unless every move may run, the index stays as it is and moves that could have run say preflight_aborted; a dry run logs what it would do."""
     require_none(duplicates(operations, "sample_id"), "operations name a sample twice")
-    ok = preflight(moves).first()["ok"]  # one row
-    if not ok or dry_run:
-        word = "dry_run" if ok else "preflight_aborted"
-        return index, moves.withColumn("result", F.when(F.col("status") == "would_move", word).otherwise(F.col("status")))
-    return clean_index(index, operations), moves.withColumn("result", F.lit("removed"))
+    if dry_run:
+        return index, moves.withColumn("result", F.col("status"))
+    if not preflight(moves).first()["ok"]:  # one row
+        return index, moves.withColumn("result", F.when(F.col("status") == "would_move", "preflight_aborted").otherwise(F.col("status")))
+    return clean_index(index, operations), moves.withColumn("result", F.lit("moved"))
+
+
+def apply_published(spark: SparkSession, path: str, operations: DataFrame, moves: DataFrame, stamp: str, dry_run: bool = False) -> DataFrame:
+    """A plan applied to the index published at ``path``/index; returns its rows of the log.
+
+    If the plan may run, the rows of all sessions that it touches are published at ``path``/snapshots/``stamp``, then the index without the removed samples;
+    the log at ``path``/log gets its moves in any case. The index changes in one step or not at all: a failure before leaves the old version,
+    another change of it in the meantime is a ``Conflict``. Applied again, a plan removes nothing more.
+    """
+    base = current(spark, f"{path}/index")
+    index = read_published(spark, f"{path}/index", base)
+    kept, log = apply_plan(index, operations, moves, dry_run)
+    if kept is not index:
+        publish(snapshot(index, operations, stamp), f"{path}/snapshots/{stamp}")
+        publish(kept, f"{path}/index", base)
+    log, at = log.withColumn("stamp", F.lit(stamp)), f"{path}/log"
+    part = write_part(log, at)
+    while True:
+        before = current(spark, at)
+        try:
+            commit(spark, at, before, [*folders(spark, at, before), part], log.schema)
+            return log
+        except Conflict:  # another plan's rows came first; these follow
+            continue
 
 
 def snapshot(index: DataFrame, operations: DataFrame, stamp: str) -> DataFrame:

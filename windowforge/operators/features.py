@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from windowforge.functions.scalars import amplitudes, even_indices
 from windowforge.operators.profile import quantiles
+from windowforge.sources.publish import Conflict, commit, current, folders, read_parts, read_published, write_part
 from windowforge.sources.scratch import staged
 
 #: Energy up to which a carrier counts as silent, and the least deviation that z-scores are divided by.
@@ -112,20 +113,21 @@ def preprocess(packets: DataFrame, n_time: int, n_freq: int, ratio: float = 0.05
     return scored.where("NOT bad").select("sample_id", "rx", "t", "values", F.lit(None).cast("string").alias("problem")).unionByName(none)
 
 
-def build_feature_cache(samples: DataFrame, packets: DataFrame, path: str, signature: str, expected: str | None = None, build: Callable[[DataFrame], DataFrame] | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
-    """Features of the samples that the cache at ``path`` lacks under a signature are built and appended; returns a report.
+def build_feature_cache(
+    samples: DataFrame, packets: DataFrame, path: str, signature: str, expected: str | None = None, build: Callable[[DataFrame], DataFrame] | None = None,
+    shape: tuple[int, int] | None = None, overwrite: bool = False,
+) -> DataFrame:
+    """Features of the samples that the cache at ``path`` lacks under a signature are built and published; returns a report.
 
     samples (sample_id, session_id[, ``expected`` packets]). Report: sample_id, session_id, status (cached, built or the problem). A sample whose packets differ in
     number from what is expected isn't built; the others go on. ``build`` takes packets and returns the columns of ``preprocess``; other columns
     or types are an error. With ``shape`` (rows of a sample, values of a row), a sample of another shape or with values that are null or not finite isn't cached.
+    ``overwrite``: all samples are built, and what was there goes when they are. A build that fails changes nothing; of builds at the same time, each adds what
+    the cache still lacks when it is done.
     """
-    spark = samples.sparkSession
-    try:
-        have = spark.read.parquet(f"{path}/signature={signature}").select("sample_id").distinct()
-    except Exception as e:  # nothing was built under this signature yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        have = spark.createDataFrame([], "sample_id string")
+    spark, root = samples.sparkSession, f"{path}/signature={signature}"
+    base = current(spark, root)
+    have = read_published(spark, root, base).select("sample_id").distinct() if base and not overwrite else spark.createDataFrame([], "sample_id string")
     todo = samples.join(have, "sample_id", "left_anti")
     counts = packets.groupBy("sample_id").agg(F.count("*").alias("_n"))
     todo = todo.join(counts, "sample_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
@@ -141,20 +143,32 @@ def build_feature_cache(samples: DataFrame, packets: DataFrame, path: str, signa
         odd = F.coalesce((F.size("values") != shape[1]) | F.exists("values", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
         whole = Window.partitionBy("sample_id")
         decoded = decoded.withColumn("problem", F.coalesce("problem", F.when((F.count("*").over(whole) != shape[0]) | F.max(odd).over(whole), "wrong_shape")))
-    built = decoded.join(fit, "sample_id")
-    cached_ids = samples.join(have, "sample_id", "left_semi").select("sample_id", "session_id", F.lit("cached").alias("status"))
-    cached_path = f"{path}/_reports/{signature}"
-    refused = todo.where("_problem IS NOT NULL").select("sample_id", "session_id", F.col("_problem").alias("status"))
-    cached_ids.unionByName(refused).write.mode("overwrite").parquet(cached_path)
-    built.where("problem IS NULL").write.mode("append").partitionBy("session_id").parquet(f"{path}/signature={signature}")
-    # what is in the cache now decides, so the report never reads what it describes before it is written
-    now = spark.read.parquet(f"{path}/signature={signature}").select("sample_id").distinct().withColumn("_built", F.lit(True))
-    old = spark.read.parquet(cached_path)
-    rest = samples.select("sample_id", "session_id").join(old.select("sample_id"), "sample_id", "left_anti").join(now, "sample_id", "left")
-    return old.unionByName(rest.select("sample_id", "session_id", F.when(F.col("_built"), "built").otherwise("failed").alias("status")))
-
-
-def cache_report(report: DataFrame) -> DataFrame:
-    """One row: requested, completed, failed, whether complete."""
+    built = decoded.join(fit, "sample_id").where("problem IS NULL")
+    own = write_part(built, root, "session_id")
+    while True:
+        try:
+            version = commit(spark, root, base, [*([] if overwrite else folders(spark, root, base)), own], built.schema)
+            break
+        except Conflict:
+            base = current(spark, root)
+            if not overwrite:  # what another build has added in the meantime stays as it is
+                rows = read_parts(spark, root, [own], built.schema)
+                own = write_part(rows.join(read_published(spark, root, base).select("sample_id").distinct(), "sample_id", "left_anti"), root, "session_id")
+    now = read_published(spark, root, version).select("sample_id").distinct().withColumn("_built", F.lit(True))
+    listed = samples.select("sample_id", "session_id").join(have.withColumn("_had", F.lit(True)), "sample_id", "left").join(todo.select("sample_id", "_problem"), "sample_id", "left").join(now, "sample_id", "left")
+    return listed.select("sample_id", "session_id", F.when(F.col("_had"), "cached").otherwise(F.coalesce("_problem", F.when(F.col("_built"), "built").otherwise("failed"))).alias("status"))
+
+
+def cached_features(spark, path: str, signature: str) -> DataFrame:
+    """What the cache holds under a signature."""
+    return read_published(spark, f"{path}/signature={signature}")
+
+
+def cache_report(report: DataFrame, cached: DataFrame | None = None) -> DataFrame:
+    """One row: requested, completed, failed, whether complete, failed_ids (joined by ``;``, in order); with the cache's rows also its bytes."""
     ok = F.col("status").isin("cached", "built")
-    return report.agg(F.count("*").alias("requested"), F.count_if(ok).alias("completed"), F.count_if(~ok).alias("failed"), (F.count_if(~ok) == 0).alias("complete"))
+    out = report.agg(F.count("*").alias("requested"), F.count_if(ok).alias("completed"), F.count_if(~ok).alias("failed"), (F.count_if(~ok) == 0).alias("complete"), F.concat_ws(";", F.array_sort(F.collect_list(F.when(~ok, F.col("sample_id"))))).alias("failed_ids"))
+    if cached is None:
+        return out
+    files = cached.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).distinct()
+    return out.join(files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")), F.lit(True))  # one row each

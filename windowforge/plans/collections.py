@@ -9,6 +9,8 @@ from windowforge.operators import archive as A
 from windowforge.operators import cleanup as C
 from windowforge.operators import quality as Q
 from windowforge.operators.profile import status_summary as statuses
+from windowforge.sources.publish import publish, read_published
+from windowforge.sources.scratch import scratch_path
 
 # Hand-written review rules of the queries.
 RULES = [(1, "P1_R003-007", "shake"), (2, "P2_R010之后", "dark"), (3, "P3_R001", "cut"), (4, "P4_*", "blur"), (5, "P9_R001–004", "cut"), (6, "P2_R950", "shake")]
@@ -83,6 +85,18 @@ def apply_log(spark, d):
     return C.apply_plan(base, ops, moves)[1].groupBy("kind", "result").agg(F.count("*").alias("n"))
 
 
+def apply_published(spark, d):
+    """The operations whose moves can all run, applied to a published index: its log, what is left, and the snapshot taken before."""
+    base, ops, moves = _moves(spark, d)
+    path, runs = scratch_path(spark), moves.groupBy("sample_id").agg(F.bool_and(F.col("status") == "would_move").alias("ok")).where("ok").select("sample_id")
+    publish(base, f"{path}/index")
+    log = C.apply_published(spark, path, ops.join(runs, "sample_id", "left_semi"), moves.join(runs, "sample_id", "left_semi"), "first")
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    kept, before = read_published(spark, f"{path}/index"), read_published(spark, f"{path}/snapshots/first")
+    logged = read_published(spark, f"{path}/log").groupBy(F.concat_ws(":", "stamp", "kind", "result").alias("name")).agg(F.count("*").alias("n"))
+    return logged.unionByName(count(kept, "index")).unionByName(count(before, "snapshot")).unionByName(count(log, "log"))
+
+
 def verify_counts(spark, d):
     base, ops = _operations(spark, d)
     kept = C.clean_index(base, ops)
@@ -233,7 +247,7 @@ _SESS = "ss AS (SELECT s_suppkey AS id, s_suppkey % 60 AS person, CASE WHEN s_su
 QUERIES = {
     n: globals()[n]
     for n in (
-        "review_match unmatched_rules review_labels quality_table cleanup_plan clean_index apply_preview apply_log verify_counts reconcile upsert_index union_collections unique_session_map "
+        "review_match unmatched_rules review_labels quality_table cleanup_plan clean_index apply_preview apply_log apply_published verify_counts reconcile upsert_index union_collections unique_session_map "
         "canonical_session file_lists archive_index release_index missing_paths find_outputs anonymisation_status path_derive path_safety digest signature log_progress preview select_samples"
     ).split()
 }
@@ -255,6 +269,9 @@ SELECT k AS sample_id, flags, CASE WHEN list_has_any(string_split(flags, ';'), [
     "clean_index": f"WITH {_BASE} SELECT session_id, count(*) FILTER (WHERE sample_id NOT IN (SELECT sample_id FROM ops)) AS kept, count(*) FILTER (WHERE sample_id IN (SELECT sample_id FROM ops)) AS removed FROM base GROUP BY session_id",
     "apply_preview": f"""WITH {_MOVES}, n AS (SELECT count(*) FILTER (WHERE status = 'would_move') AS would_move, count(*) FILTER (WHERE status = 'safety_blocked') AS blocked, count(*) FILTER (WHERE status = 'missing_source') AS missing, count(*) FILTER (WHERE status = 'destination_exists') AS existing FROM mv)
 SELECT *, blocked + missing + existing = 0 AS ok FROM n""",
+    "apply_published": f"""WITH {_MOVES}, runs AS (SELECT sample_id FROM mv GROUP BY 1 HAVING bool_and(status = 'would_move'))
+SELECT 'first:' || kind || ':moved' AS name, count(*) AS n FROM mv JOIN runs USING (sample_id) GROUP BY kind UNION ALL SELECT 'index', count(*) FROM base WHERE sample_id NOT IN (SELECT sample_id FROM runs)
+UNION ALL SELECT 'snapshot', count(*) FROM base WHERE session_id IN (SELECT session_id FROM ops JOIN runs USING (sample_id)) UNION ALL SELECT 'log', count(*) FROM mv JOIN runs USING (sample_id)""",
     "apply_log": f"WITH {_MOVES} SELECT kind, CASE WHEN status = 'would_move' THEN 'preflight_aborted' ELSE status END AS result, count(*) AS n FROM mv GROUP BY ALL",
     "verify_counts": f"""WITH {_BASE}, n AS (SELECT count(*) AS a, count(*) FILTER (WHERE sample_id NOT IN (SELECT sample_id FROM ops)) AS k FROM base)
 SELECT 'all' AS name, a AS expected, a AS actual, 'OK' AS verdict FROM n UNION ALL SELECT 'kept', a, k, CASE WHEN a = k THEN 'OK' ELSE 'MISMATCH' END FROM n UNION ALL SELECT 'leaked', 0, 0, 'OK'""",

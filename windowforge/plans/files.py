@@ -268,7 +268,7 @@ UNION ALL SELECT 'F' || file, n::INT, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
     "slice_packets": f"""WITH {_FILES}, w AS (SELECT vec_id AS window_id, vec_id // 20 AS file, vec_id % 20 AS a, vec_id % 20 + vec_id % 6 - 1 AS b FROM embeddings)
 SELECT window_id, CASE WHEN b >= a THEN b - a + 1 END::BIGINT AS expected, count(idx) AS written, CASE WHEN b < a THEN 'invalid_range' WHEN count(idx) = b - a + 1 THEN 'csi_ok' ELSE 'csi_count_mismatch' END AS status
 FROM w LEFT JOIN pk ON pk.file = w.file AND NOT lies AND idx BETWEEN a AND b GROUP BY window_id, a, b""",
-    "feature_cache": f"WITH {_FILES} SELECT count(*) AS requested, count(*) FILTER (WHERE n - wrong = 20) AS completed, count(*) FILTER (WHERE n - wrong <> 20) AS failed, count(*) FILTER (WHERE n - wrong <> 20) = 0 AS complete FROM fi",
+    "feature_cache": f"WITH {_FILES} SELECT count(*) AS requested, count(*) FILTER (WHERE n - wrong = 20) AS completed, count(*) FILTER (WHERE n - wrong <> 20) AS failed, count(*) FILTER (WHERE n - wrong <> 20) = 0 AS complete, coalesce(string_agg('F' || file, ';' ORDER BY 'F' || file) FILTER (WHERE n - wrong <> 20), '') AS failed_ids FROM fi",
     "by_session": "SELECT o_custkey % 20 AS session_id, count(*) AS n, sum(o_orderkey)::BIGINT AS ids FROM orders GROUP BY 1",
     "metadata": "SELECT o_orderkey AS sample_id, o_orderstatus AS status, o_custkey AS custkey FROM orders",
     "run_log": "SELECT '20240102' AS run_id, o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 2",
