@@ -61,7 +61,14 @@ def test_run_summary_and_mean_confusion(spark):
     asked, none = spark.createDataFrame([(1,), (2,)], "run int"), spark.createDataFrame([], "run int")
     s = {r.metric: r for r in E.summarise_runs(runs, asked, none).collect()}["accuracy"]
     assert round(s["mean"], 6) == 0.7 and round(s["std"], 6) == 0.1 and s.complete
-    assert not E.summarise_runs(runs, asked, spark.createDataFrame([(2,)], "run int")).first().complete
+    assert not E.summarise_runs(runs.where("run = 1"), asked, spark.createDataFrame([(2,)], "run int")).first().complete
+    assert E.summarise_runs(runs, asked, none, m).count() == 4
+    for bad in (m.where("run = 1"), m.where("run = 1 OR `true` = 0"), m.withColumn("n", F.when(F.col("true") == 1, 0).otherwise(F.col("n"))), m.withColumn("n", F.col("n") - 3)):
+        with pytest.raises(ViolationError, match="can't be summarised"):
+            E.summarise_runs(runs, asked, none, bad)
+    for args in ((runs, asked.where("run = 1"), none), (runs.unionByName(runs), asked, none), (runs, asked, asked.where("run = 2"))):
+        with pytest.raises(ViolationError):
+            E.summarise_runs(*args)
     bad = runs.withColumn("macro_f1", F.lit(float("nan")))
     assert {r.problem for r in E.run_violations(bad, asked, none).collect()} == {"not_finite"}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windowforge.operators.checks import ViolationError
+from windowforge.operators.checks import ViolationError, require_none
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -35,10 +35,10 @@ def confusion_matrix(predictions: DataFrame, classes: DataFrame, runs: tuple[str
 
 
 def out_of_range(predictions: DataFrame, classes: DataFrame) -> DataFrame:
-    """Predictions whose true or predicted label is null or none of the classes."""
+    """Predictions whose true label is null or none of the classes, and those whose predicted one is."""
     known = classes.select("label")
     bad = lambda c: predictions.join(known.withColumnRenamed("label", c), c, "left_anti").select(*predictions.columns)
-    return bad("true").unionByName(bad("pred")).distinct()
+    return bad("true").unionByName(bad("pred"))
 
 
 def class_report(confusion: DataFrame, runs: tuple[str, ...] = ()) -> DataFrame:
@@ -86,12 +86,29 @@ def run_violations(runs: DataFrame, requested: DataFrame, failed: DataFrame) ->
     return out.unionByName(say(stray, "not_requested")).unionByName(say(runs.join(failed.select("run"), "run", "left_semi"), "completed_and_failed")).unionByName(say(runs.where(~finite), "not_finite"))
 
 
-def summarise_runs(runs: DataFrame, requested: DataFrame, failed: DataFrame) -> DataFrame:
-    """(metric, mean, std of the population, min, max, n_runs, complete): complete iff every requested run is there and none failed."""
+def matrix_violations(confusion: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run, problem) of counts (run, true, pred, n): a run without a matrix, one that isn't square over the same classes as all, a negative count, a true class without rows."""
+    per = confusion.groupBy("run", "true").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.count_distinct("pred").alias("d"), F.min("n").alias("least"), F.count_if(F.col("n").isNull()).alias("none"))
+    classes = confusion.agg(F.count_distinct("true").alias("c"))  # one row
+    shape = per.groupBy("run").agg(F.count("*").alias("rows"), F.min("d").alias("lo"), F.max("k").alias("hi"), F.min("least").alias("least"), F.min("n").alias("support"), F.max("none").alias("none"))
+    shape = runs.select("run").distinct().join(shape, "run", "left").join(classes, F.lit(True))
+    square = (F.col("rows") == F.col("c")) & (F.col("lo") == F.col("c")) & (F.col("hi") == F.col("c"))
+    problem = F.when(F.col("rows").isNull(), "no_matrix").when(~square, "matrix_shape").when((F.col("none") > 0) | (F.col("least") < 0), "invalid_matrix").when(F.col("support") <= 0, "empty_true_class")
+    return shape.select("run", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def summarise_runs(runs: DataFrame, requested: DataFrame, failed: DataFrame, confusion: DataFrame | None = None) -> DataFrame:
+    """(metric, mean, std of the population, min, max, n_runs, complete): complete iff every requested run is there and none failed.
+
+    ``run_violations`` are an error, as are those of the runs' matrices (``confusion``), if given, and a request of no runs."""
+    if requested.isEmpty():
+        raise ViolationError("no runs were requested")
+    found = run_violations(runs, requested, failed)
+    require_none(found if confusion is None else found.unionByName(matrix_violations(confusion, runs)), "runs can't be summarised")
     long = runs.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, METRICS)), F.array(*METRICS))).alias("metric", "v"))
     stats = long.groupBy("metric").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("*").alias("n_runs"))
     open_ = requested.select("run").join(runs.select("run"), "run", "left_anti").unionByName(failed.select("run"))
-    return stats.crossJoin(F.broadcast(open_.agg((F.count("*") == 0).alias("complete"))))
+    return stats.join(open_.agg((F.count("*") == 0).alias("complete")), F.lit(True))  # one row
 
 
 def early_stop(history: DataFrame, patience: int) -> DataFrame:

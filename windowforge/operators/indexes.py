@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windowforge.functions.scalars import composite_status, flag_list, flagged, linear_range, padded_range, series_rate
+from windowforge.operators.profile import describe_linear
 from windowforge.operators.timealign import index_method, packet_range
 
 
@@ -67,3 +68,15 @@ def rate_outliers(rates: DataFrame, rate: str, low: float = 80, high: float = 13
     """Rows within the accepted rates, and those outside."""
     inside = F.col(rate).between(low, high)
     return rates.where(inside), rates.where(~F.coalesce(inside, F.lit(False)))
+
+
+def packet_rate_summary(rates: DataFrame, sample: str, rate: str, flags: str, target: float = 100.0) -> tuple[DataFrame, DataFrame]:
+    """The distribution of known rates over two populations (all, and normal: those without a flag low_packet_rate or high_packet_rate), and the outliers (sample, rate).
+
+    ``flags`` is an array of flags; null or not a number is no rate. A population without rates has a row with n = 0."""
+    known = rates.where(F.col(rate).isNotNull() & ~F.isnan(F.col(rate).cast("double")))
+    odd = F.coalesce(F.arrays_overlap(F.col(flags), F.array(F.lit("low_packet_rate"), F.lit("high_packet_rate"))), F.lit(False))
+    rows = known.select(F.explode(F.when(odd, F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("normal")))).alias("population"), F.col(rate).cast("double").alias("rate"))
+    every = rates.sparkSession.createDataFrame([("all",), ("normal",)], "population string")
+    summary = every.join(describe_linear(rows, "rate", target, "population"), "population", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return summary, known.where(odd).select(sample, rate)

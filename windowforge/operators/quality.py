@@ -54,6 +54,18 @@ def first_valid_packets(packets: DataFrame, n: int) -> DataFrame:
     return packets.where("problem IS NULL").withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
 
 
+def packet_summary(packets: DataFrame) -> DataFrame:
+    """sample_id, packets, bad, rx_values, tx_values, subcarrier_values (of all whole records, ascending, joined by ``;``) and parse_status of rows of packets:
+    empty, error if no packet is valid, warn if some are not, else ok."""
+    p, listed = F.col("problem"), lambda c: F.array_join(F.array_sort(F.collect_set(c)).cast("array<string>"), ";")
+    bad = F.count_if(p.isNotNull() & (p != "no_packets"))
+    out = packets.groupBy("sample_id").agg(
+        F.count_if(p.isNull()).alias("packets"), bad.alias("bad"), listed("num_rx").alias("rx_values"), listed("num_tx").alias("tx_values"),
+        listed("num_subcarriers").alias("subcarrier_values"), F.max(F.coalesce(p == "no_packets", F.lit(False))).alias("_empty"),
+    )
+    return out.withColumn("parse_status", F.when(F.col("_empty"), "empty").when(F.col("packets") == 0, "error").when(F.col("bad") > 0, "warn").otherwise("ok")).drop("_empty")
+
+
 def payload_stats(links: DataFrame) -> DataFrame:
     """Statistics per sample of packets' amplitudes: ``links`` (sample_id, link, amplitude array<double>), a row per packet and link.
 

@@ -122,8 +122,8 @@ def timeline(frames: DataFrame, cell: int = CELL) -> DataFrame:
     return f.select(*frames.columns, (F.col("pos") + F.col("before")).alias("pos"), (F.col("t") - F.coalesce("gap", "last")).alias("gap"))
 
 
-def packet_range(windows: DataFrame, packets: DataFrame, cell: int = CELL) -> DataFrame:
-    """start_idx, end_idx and flags of windows (window_id, recording, a, b) among the packets (recording, t): counts of packets before a, and up to b.
+def packet_counts(windows: DataFrame, packets: DataFrame, cell: int = CELL) -> DataFrame:
+    """(window_id, n, before, upto) of windows (window_id, recording, a, b) among the packets (recording, t): how many there are, how many before a, how many up to b.
 
     Windows and packets are sorted together in cells of time, so no pair of them is ever formed, and a long recording is many tasks.
     """
@@ -135,7 +135,12 @@ def packet_range(windows: DataFrame, packets: DataFrame, cell: int = CELL) -> Da
     seen = F.sum(is_packet).over(Window.partitionBy("recording", "cell").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0))
     marks = rows.withColumn("seen", seen).where("kind <> 1").join(before, ["recording", "cell"]).withColumn("seen", F.col("seen") + F.col("before")).withColumnRenamed("total", "n")
     at = lambda k: F.max(F.when(F.col("kind") == k, F.col("seen")))
-    out = marks.groupBy("window_id").agg(F.max("n").alias("n"), at(0).alias("before"), at(2).alias("upto")).where("n > 0")
+    return marks.groupBy("window_id").agg(F.max("n").alias("n"), at(0).alias("before"), at(2).alias("upto")).where("n > 0")
+
+
+def packet_range(windows: DataFrame, packets: DataFrame, cell: int = CELL) -> DataFrame:
+    """start_idx, end_idx and flags of windows (window_id, recording, a, b) among the packets (recording, t): the first at a or later, the last by b."""
+    out = packet_counts(windows, packets, cell)
     clamp = lambda x: F.greatest(F.lit(0), F.least(F.col("n") - 1, x))
     out = out.withColumn("start_idx", clamp(F.col("before"))).withColumn("end_idx", clamp(F.col("upto") - 1))
     outside = (F.col("before") >= F.col("n")) | (F.col("upto") == 0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from windowforge.functions import scalars as S
 from windowforge.operators import evaluate as E
+from windowforge.operators import indexes as I
 from windowforge.operators import profile as P
 from windowforge.operators import splits as X
 
@@ -98,10 +99,12 @@ def metrics(spark, d):
 
 
 def run_summary(spark, d):
-    runs = E.metrics(E.class_report(_confusion(spark, d), ("run",)), ("run",))
+    """Runs of all priorities but one, which failed; their matrices are checked over the statuses that there are."""
+    pred = _predictions(spark, d)
+    counts = E.confusion_matrix(pred.where("run NOT LIKE '5%'"), _t(spark, d, "orders").select(F.col("o_orderstatus").alias("label")).distinct(), ("run",))
+    runs = E.metrics(E.class_report(_confusion(spark, d), ("run",)), ("run",)).where("run NOT LIKE '5%'")
     requested = _t(spark, d, "orders").select(F.col("o_orderpriority").alias("run")).distinct()
-    failed = requested.where("run LIKE '5%'")
-    out = E.summarise_runs(runs, requested, failed)
+    out = E.summarise_runs(runs, requested, requested.where("run LIKE '5%'"), counts)
     return out.select("metric", "n_runs", "complete", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")])
 
 
@@ -123,9 +126,13 @@ def describe_nearest_rank(spark, d):
 
 
 def packet_rate_summary(spark, d):
-    o = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("double").alias("rate"))
-    out = P.describe_linear(o, "rate", 4.0)
-    return out.select("n", *[F.round(c, 6).alias(c) for c in ("min", "p50", "p95", "max", "mean", "std", "delta", "delta_percent")])
+    """Lines of an order are its rate; one or two are too few, seven too many. The last row has how many outliers there are."""
+    n = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("double").alias("rate"))
+    flags = S.flag_list(S.flagged(F.col("rate") < 3, "low_packet_rate"), S.flagged(F.col("rate") > 6, "high_packet_rate"), S.flagged(F.col("rate") == 4, "count_mismatch"))
+    summary, outliers = I.packet_rate_summary(n.withColumn("flags", flags), "l_orderkey", "rate", "flags", 4.0)
+    columns = ("min", "p50", "p95", "max", "mean", "std", "delta", "delta_percent")
+    out = summary.select("population", "n", *[F.round(c, 6).alias(c) for c in columns])
+    return out.unionByName(outliers.agg(F.count("*").alias("n"), F.sum("rate").alias("mean")).select(F.lit("outliers").alias("population"), "n", "mean"), allowMissingColumns=True)
 
 
 def _flagged(spark, d):
@@ -211,7 +218,7 @@ SELECT label, coalesce(n, 0) AS n, round(sum(n) OVER () / (count(*) OVER () * n)
     "confusion_norm": f"""WITH {_PRED}, s AS (SELECT *, sum(n) OVER (PARTITION BY run, "true") AS t FROM m) SELECT "true", pred, round(avg(CASE WHEN t > 0 THEN n / t ELSE 0 END), 6) AS share FROM s GROUP BY 1, 2""",
     "class_report": f"WITH {_REPORT} SELECT run, label, support::BIGINT AS support, predicted::BIGINT AS predicted, hit::BIGINT AS hit, round(pr, 6) AS precision, round(re, 6) AS recall, round(f, 6) AS f1 FROM rp",
     "metrics": f"WITH {_REPORT} SELECT run, support, round(accuracy, 6) AS accuracy, round(balanced_accuracy, 6) AS balanced_accuracy, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1 FROM me",
-    "run_summary": f"""WITH {_REPORT}, l AS (UNPIVOT (SELECT run, accuracy, balanced_accuracy, macro_f1, weighted_f1 FROM me) ON accuracy, balanced_accuracy, macro_f1, weighted_f1 INTO NAME metric VALUE v)
+    "run_summary": f"""WITH {_REPORT}, l AS (UNPIVOT (SELECT run, accuracy, balanced_accuracy, macro_f1, weighted_f1 FROM me WHERE run NOT LIKE '5%') ON accuracy, balanced_accuracy, macro_f1, weighted_f1 INTO NAME metric VALUE v)
 SELECT metric, count(*) AS n_runs, false AS complete, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max FROM l GROUP BY metric""",
     "run_matrix": """WITH a AS (SELECT DISTINCT p_brand AS arch FROM part), u AS (SELECT DISTINCT 'loso' AS protocol, label::VARCHAR AS unit FROM embeddings)
 SELECT * FROM a CROSS JOIN u WHERE NOT (unit IN ('1', '2') AND arch LIKE '%1%')""",
@@ -223,8 +230,9 @@ s AS (SELECT run, coalesce(min(epoch) FILTER (WHERE epoch - last >= 5), max(epoc
 SELECT e.run, max(best)::INT AS best_epoch, round(arg_max(score, epoch) FILTER (WHERE best IS NOT NULL), 6) AS best_score, any_value(stop_epoch) AS stop_epoch FROM e JOIN s ON s.run = e.run WHERE epoch <= stop_epoch GROUP BY e.run""",
     "describe_nearest_rank": """WITH r AS (SELECT o_orderpriority, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
 SELECT o_orderpriority, max(n) AS n, min(v) AS min, max(v) AS max, max(v) FILTER (WHERE k = round_even((n - 1) * 0.5::DOUBLE, 0)) AS p50, max(v) FILTER (WHERE k = round_even((n - 1) * 0.95::DOUBLE, 0)) AS p95 FROM r GROUP BY 1""",
-    "packet_rate_summary": """WITH r AS (SELECT count(*)::DOUBLE AS v FROM lineitem GROUP BY l_orderkey)
-SELECT count(*) AS n, min(v) AS min, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95, max(v) AS max, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(avg(v) - 4, 6) AS delta, round((avg(v) - 4) / 4 * 100, 6) AS delta_percent FROM r""",
+    "packet_rate_summary": """WITH r AS (SELECT count(*)::DOUBLE AS v FROM lineitem GROUP BY l_orderkey), p AS (SELECT 'all' AS population, v FROM r UNION ALL SELECT 'normal', v FROM r WHERE v BETWEEN 3 AND 6)
+SELECT population, count(*) AS n, min(v) AS min, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95, max(v) AS max, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(avg(v) - 4, 6) AS delta, round((avg(v) - 4) / 4 * 100, 6) AS delta_percent
+FROM p GROUP BY population UNION ALL SELECT 'outliers', count(*), NULL, NULL, NULL, NULL, sum(v), NULL, NULL, NULL FROM r WHERE v NOT BETWEEN 3 AND 6""",
     "flag_counts": f"WITH {_FLAGS} SELECT flag, count(*) AS n FROM (SELECT unnest(string_split(CASE WHEN flags = '' THEN 'ok' ELSE flags END, ';')) AS flag FROM f) GROUP BY flag",
     "final_status": f"WITH {_FLAGS} SELECT o_orderkey, flags, CASE WHEN flags LIKE '%bad_csi_size%' THEN 'exclude' WHEN flags <> '' THEN 'warn' ELSE 'ok' END AS status FROM f",
     "count_by": "SELECT 'o_orderstatus' AS key, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY ALL",

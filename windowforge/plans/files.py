@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from windowforge.functions import scalars as S
 from windowforge.operators import features as X
 from windowforge.operators import packets as P
+from windowforge.operators import quality as Q
 from windowforge.sources import readers as R
 from windowforge.sources import sinks as W
 from windowforge.sources.scratch import scratch_path
@@ -172,6 +173,45 @@ def packet_problems(spark, d):
     return P.packet_problems(P.scan_packets(packet_table(spark, d), 0))
 
 
+def _written_files(spark, d) -> str:
+    """The packet files of ``packet_table`` as files, and for each an empty one, in a folder that driver and executors share."""
+    path = scratch_path(spark)
+    uri = path if "://" in path or path.startswith("file:") else f"file://{path}"
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(uri)
+        store.create_dir(root)
+        for b in batches:
+            for sample, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for name, data in ((sample, content), ("E" + sample, b"")):
+                    with store.open_output_stream(f"{root}/{name}.dat") as f:
+                        f.write(data)
+            yield pa.RecordBatch.from_pydict({"sample_id": b.column(0)})
+
+    packet_table(spark, d).select("sample_id", "content").mapInArrow(write, "sample_id string").write.format("noop").mode("overwrite").save()
+    return path
+
+
+def packet_ranges(spark, d):
+    """Packet files on disk, read in byte ranges of a few packets each; the empty ones have a row with their problem."""
+    rows = P.scan_packet_files(spark, _written_files(spark, d), range_bytes=2048)
+    total = F.aggregate(F.coalesce("iq", F.array().cast("array<smallint>")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("sample_id", "packet_idx", "csi_size", "ftm_clock", F.col("timestamp").cast("long").alias("timestamp"), "num_rx", "num_subcarriers", "rssi2", "source_mac", "rate_flags", total.alias("iq_sum"), "problem")
+
+
+def census_of_files(spark, d):
+    """A census of files on disk by their headers, empty files included."""
+    heads = P.packet_heads(spark, _written_files(spark, d))
+    return P.packet_census(heads).select("sample_id", "length", "packet_size", "packets", "trailing", F.concat_ws(";", "flags").alias("flags"))
+
+
+def packet_summary(spark, d):
+    return Q.packet_summary(P.scan_packets(packet_table(spark, d), 0))
+
+
 def slice_packets(spark, d):
     """Windows over the packets of each file: some reach beyond it, some are empty."""
     packets = P.scan_packets(packet_table(spark, d), 0)
@@ -237,7 +277,7 @@ def file_list_files(spark, d):
 QUERIES = {
     n: globals()[n]
     for n in (
-        "read_index ordered_export manifest assignments id_list slice_index reference_maps review_rules resolve_files frame_times log_times packet_census packet_scan packet_strict packet_problems slice_packets "
+        "read_index ordered_export manifest assignments id_list slice_index reference_maps review_rules resolve_files frame_times log_times packet_census census_of_files packet_scan packet_ranges packet_summary packet_strict packet_problems slice_packets "
         "feature_cache by_session metadata run_log evaluation file_list_files"
     ).split()
 }
@@ -274,4 +314,8 @@ FROM w LEFT JOIN pk ON pk.file = w.file AND NOT lies AND idx BETWEEN a AND b GRO
     "run_log": "SELECT '20240102' AS run_id, o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 2",
     "file_list_files": "SELECT 'sample_ids' AS list, o_orderkey::VARCHAR AS value FROM orders UNION ALL SELECT unnest(['csi_path', 'all']), 'c/' || o_orderkey FROM orders UNION ALL SELECT unnest(['video_path', 'all']), 'v/' || o_orderkey FROM orders WHERE o_orderkey % 3 > 0",
 }
+ORACLE["packet_ranges"] = ORACLE["packet_scan"] + " UNION ALL SELECT 'EF' || file, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0, 'no_packets' FROM fi"
+ORACLE["census_of_files"] = ORACLE["packet_census"] + " UNION ALL SELECT 'EF' || file, 0, NULL, 0, 0, 'empty_or_invalid_csi_file' FROM fi"
+ORACLE["packet_summary"] = f"""WITH {_FILES} SELECT 'F' || file AS sample_id, n - wrong AS packets, wrong + (tail > 0)::INT AS bad, CASE WHEN wrong = 0 THEN '2' WHEN n > wrong THEN '2;3' ELSE '3' END AS rx_values, '1' AS tx_values, '16' AS subcarrier_values,
+  CASE WHEN n = wrong THEN 'error' WHEN wrong > 0 OR tail > 0 THEN 'warn' ELSE 'ok' END AS parse_status FROM fi"""
 ORACLE["read_index"] = ORACLE["read_index"].replace(" AS f0", " AS flags")
