@@ -222,7 +222,7 @@ def preview(spark, d):
 
 def select_samples(spark, d):
     o = _t(spark, d, "orders")
-    chosen = o.join(F.broadcast(o.sparkSession.createDataFrame([("1-URGENT",), ("2-HIGH",)], "o_orderpriority string")), "o_orderpriority", "left_semi")
+    chosen = o.join(o.sparkSession.createDataFrame([("1-URGENT",), ("2-HIGH",)], "o_orderpriority string"), "o_orderpriority", "left_semi")
     return chosen.where(F.col("o_orderstatus") == "O").orderBy("o_orderkey").limit(500).select("o_orderkey", "o_orderpriority")
 
 
