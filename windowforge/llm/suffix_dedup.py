@@ -27,6 +27,8 @@ from windowforge.llm.exchange import PACKED, bucket_bits, bucket_bounds, by_buck
 
 #: Bytes of an anchor; bytes of a chunk; least bytes of a shard; bytes of the segments whose transforms are merged at a time.
 ANCHOR, CHUNK, SHARD, LOT = 50, 2 << 20, 16 << 10, 64 << 10
+#: Bits of a place in a chunk; the others of 64 are those of the hash by which anchors are chosen.
+PLACE_BITS = 32
 #: Characters by which suffixes are first told apart.
 HEAD = 8
 #: Segments of an anchor, counted once a chunk, above which its windows are compared one by one.
@@ -183,7 +185,8 @@ class _Segments:
         if n < width:
             return
         hashes = rolling_hash(BYTE_VALUES[self.data], ANCHOR, BASE_A)
-        bits = max(1, (n - 1).bit_length())
+        # places take the same bits in every chunk, so that equal windows choose alike wherever they stand; of equal hashes the first counts
+        bits = PLACE_BITS
         low = (hashes >> np.uint64(bits)) << np.uint64(bits) | np.arange(len(hashes), dtype=np.uint64)
         span = 1
         while span * 2 <= inner:
