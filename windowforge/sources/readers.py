@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windowforge.functions.scalars import log_time_ns, safe_path, to_float, to_int
 from windowforge.operators.checks import duplicates, require_none
 from windowforge.operators.quality import last_rows
+from windowforge.sources.csv_records import read_csv
+from windowforge.sources.scratch import staged
 
 
 def read_index(spark: SparkSession, path: str, schema: T.StructType | str | None = None, blank_rows: bool = True) -> DataFrame:
-    """A CSV file with header; with a schema, columns are cast leniently and absent ones are null. Blank rows go if ``blank_rows`` is false."""
-    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    """A CSV file with header, read in splits; with a schema, columns are cast leniently and absent ones are null. Blank rows go if ``blank_rows`` is false."""
+    raw = read_csv(spark, path)
     if not blank_rows:
         some = F.coalesce(*[F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in raw.columns])
         raw = raw.where(some.isNotNull())
@@ -33,6 +35,7 @@ def _typed(c, kind):
     return F.nullif(c.try_cast(kind), F.lit("").cast(kind)) if isinstance(kind, T.StringType) else c.try_cast(kind)
 
 
+# Columns of the manifests
 COMMON = "sample_id string, session_id string, archive_session_id string, person_id string, environment_id string, action_id string, trial_id string, status string, sync_quality_flags string"
 MANIFESTS = {
     "packets": COMMON + ", archive_csi_path string, csi_packets_written bigint",
@@ -41,7 +44,10 @@ MANIFESTS = {
 
 
 def load_manifest(spark: SparkSession, path: str, modality: str, require_ok: bool = True, listing: DataFrame | None = None) -> DataFrame:
-    """A typed release manifest. Missing columns, unsafe or missing paths, bad numbers, repeated ids and an empty result are errors."""
+    """A typed release manifest. Missing columns, unsafe or missing paths, bad numbers, repeated ids and an empty result are errors.
+
+    The file is read once: rows and bad rows are counted as they are written to a table, which the other checks and the caller read.
+    """
     kinds = T._parse_datatype_string(MANIFESTS[modality])
     head = spark.read.option("header", True).csv(path).columns
     if lost := [f.name for f in kinds if f.name not in head]:
@@ -52,12 +58,16 @@ def load_manifest(spark: SparkSession, path: str, modality: str, require_ok: boo
     where = F.col("archive_csi_path" if modality == "packets" else "archive_video_path")
     number = F.col("csi_packets_written").isNull() if modality == "packets" else ~F.coalesce((F.col("video_frames_written") > 0) & (F.col("video_fps") > 0), F.lit(False))
     problem = F.when(F.col("sample_id").isNull(), "no sample_id").when(~safe_path(where), "unsafe path").when(number, "bad number")
-    require_none(rows.withColumn("problem", problem).where("problem IS NOT NULL").select("sample_id", "problem"), "the manifest has bad rows")
+    seen = Observation()
+    marked = staged(rows.withColumn("problem", problem).observe(seen, F.count(F.lit(1)).alias("rows"), F.count("problem").alias("bad")))
+    if seen.get["bad"]:
+        require_none(marked.where("problem IS NOT NULL").select("sample_id", "problem"), "the manifest has bad rows")
+    if not seen.get["rows"]:
+        raise ValueError("the manifest has no usable row")
+    rows = marked.drop("problem")
     require_none(duplicates(rows, "sample_id"), "the manifest repeats ids")
     if listing is not None:
         require_none(rows.select(where.alias("path")).join(listing.select("path"), "path", "left_anti"), "files are missing")
-    if rows.isEmpty():
-        raise ValueError("the manifest has no usable row")
     return rows
 
 
@@ -80,6 +90,7 @@ def scan_log_packet_times(spark: SparkSession, root: str, dates: DataFrame, zone
     clock = F.regexp_extract("value", r"^\[(\d{2}:\d{2}:\d{2}\.\d{1,6})\] Subcarrier count:", 1)  # fixed values: the form of the lines
     # the lines of a split come in order
     times = lines.select(F.regexp_extract(F.col("_metadata.file_path"), sample, 1).alias("sample_id"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"), clock.alias("clock")).where("clock <> ''")
+    times = staged(times)  # splits, which pieces are named by, are cut by the cores that are there: they must not change between two reads
     timed = times.join(dates, "sample_id").withColumn("ns", log_time_ns(F.col("date"), F.col("clock"), zone_hours)).where("ns IS NOT NULL")
     moved = day_offsets(timed, "sample_id", "line", "ns", F.struct("path", "split"))
     return moved.select("sample_id", F.col("place").alias("packet_idx"), (F.col("ns") + F.col("day_offset") * 86_400_000_000_000).alias("unix_ns"))
@@ -116,14 +127,14 @@ def resolve_sample_files(wanted: DataFrame, listing: DataFrame, base: str) -> Da
 
 def load_reference_maps(spark: SparkSession, session_csv: str, person_csv: str) -> tuple[DataFrame, DataFrame]:
     """(session_id, expected_person), the last row of a session counting, and (person_id, name)."""
-    s = read_index(spark, session_csv).select(F.trim("Session").alias("session_id"), F.trim("Person_ID").alias("p"), F.monotonically_increasing_id().alias("at"))
+    s = read_csv(spark, session_csv, "at").select(F.trim("Session").alias("session_id"), F.trim("Person_ID").alias("p"), "at")
     s = last_rows(s, "session_id", "at").select("session_id", F.when(F.lower("p") != "none", F.col("p")).alias("expected_person"))
     return s, read_index(spark, person_csv).select(F.trim("Person_id").alias("person_id"), F.trim("Name").alias("name")).distinct()
 
 
 def load_assignments(spark: SparkSession, path: str) -> DataFrame:
     """(sample_id, split, seed); repeated ids, bad seeds or splits and an empty file are errors."""
-    rows = read_index(spark, path, "sample_id string, split string, seed bigint")
+    rows = staged(read_index(spark, path, "sample_id string, split string, seed bigint"))
     require_none(rows.where("sample_id IS NULL OR seed IS NULL OR split NOT IN ('train', 'val', 'test') OR split IS NULL"), "bad assignments")
     require_none(duplicates(rows, "sample_id"), "assignments repeat ids")
     if rows.isEmpty():
@@ -137,7 +148,8 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_slice_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with an id and a video, and how many others there were."""
-    rows = read_index(spark, path)
+    """Rows with an id and a video, and how many others there were (one row: dropped), which are counted as the former are written to a table."""
     good = (F.coalesce("sample_id", F.lit("")) != "") & (F.coalesce("video_out_path", F.lit("")) != "")
-    return rows.where(good), rows.where(~good).agg(F.count("*").alias("dropped"))
+    seen = Observation()
+    rows = staged(read_index(spark, path).observe(seen, F.count_if(~good).alias("dropped")).where(good))
+    return rows, spark.range(1).select(F.lit(seen.get["dropped"]).cast("long").alias("dropped"))
