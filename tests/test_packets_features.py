@@ -345,3 +345,29 @@ def test_a_log_in_many_splits_is_read_as_one(spark, tmp_path):
     for name, times in want.items():
         at = [d * 864_000 + round((int(c[:2]) * 3600 + int(c[3:5]) * 60 + float(c[6:])) * 10) for d, c in times]
         assert days([t for s, _, t in got[0] if s == name]) == [a - at[0] for a in at] and [k for s, k, _ in got[0] if s == name] == list(range(len(times)))
+
+
+def test_files_of_many_names_are_written_in_their_places(spark, tmp_path):
+    """One task, files that go on over batches of rows; lines in order, headers once, nothing left but the files."""
+    df = spark.range(0, 25000, 1, 1).select(F.format_string("%d/n%d.txt", F.floor(F.col("id") / 100) % 4, F.floor(F.col("id") / 100)).alias("name"), F.col("id").cast("string").alias("value"))
+    S.write_lines(df, str(tmp_path / "w"), "v")
+    found = {str(p.relative_to(tmp_path / "w")): p.read_text().split("\n") for p in (tmp_path / "w").rglob("*") if p.is_file()}
+    assert found == {f"{k % 4}/n{k}.txt": ["v", *map(str, range(100 * k, 100 * k + 100)), ""] for k in range(250)}
+    S.write_lines(df.limit(0), str(tmp_path / "none"))
+
+
+def test_frame_times_of_many_recordings(spark, tmp_path, monkeypatch):
+    """No folder a user, which the driver would move one by one; the header of one file names the columns."""
+    from pyspark.sql import DataFrameWriter
+
+    from windowforge.plans import files as Q
+
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", None)
+    monkeypatch.setattr(Q, "scratch_path", lambda spark: str(tmp_path / "q"))
+    assert Q.frame_times(spark, "/root/testdata/sf0.001").count() > 0
+    found = list((tmp_path / "q").rglob("*.csv"))
+    assert len({p.parent for p in found}) <= 256 and len(found) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id").distinct().count()
+    (tmp_path / "v").mkdir()
+    for name, text in (("a", "note,FRAME_IDX,unix_time_ns,note\n\nx,1,10,y\n"), ("b", "note,frame_idx,unix_time_ns,note\nx,2,20,y\nx,,30,y\n"), ("c", "")):
+        (tmp_path / "v" / f"{name}_video_timestamps.csv").write_text(text)
+    assert sorted((r.frame_idx, r.unix_time_ns) for r in R.scan_frame_times(spark, str(tmp_path / "v")).collect()) == [(1, 10), (2, 20)]

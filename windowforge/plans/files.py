@@ -114,12 +114,17 @@ def _stamped(spark, d):
     return _t(spark, d, "events").select("event_id", F.col("user_id").alias("user"), S.unix_micros(F.col("ts")).alias("t"))
 
 
+def _file_of(ending: str):
+    """The file of a user, in one of 256 folders, which are listed side by side."""
+    return F.concat((F.col("user") % 256).cast("string"), F.lit("/user="), F.col("user").cast("string"), F.lit(ending)).alias("name")
+
+
 def frame_times(spark, d):
     """Events as one file of frame times a user; some lines can't be read."""
     path, k = scratch_path(spark), F.col("event_id")
-    rows = _stamped(spark, d).select("user", F.when(k % 17 == 0, "bad").otherwise(k.cast("string")).alias("frame_idx"), (F.col("t") * 1000).cast("string").alias("unix_time_ns"))
-    rows.repartition("user").write.partitionBy("user").option("header", True).csv(path)
-    return R.scan_frame_times(spark, path, "*.csv").select(F.regexp_extract("recording", r"user=(\d+)/", 1).cast("long").alias("user"), "frame_idx", "unix_time_ns")
+    value = F.concat(F.when(k % 17 == 0, "bad").otherwise(k.cast("string")), F.lit(","), (F.col("t") * 1000).cast("string")).alias("value")
+    W.write_lines(_stamped(spark, d).select("user", value).repartition("user").sortWithinPartitions("user").select(_file_of("_video_timestamps.csv"), "value"), path, "frame_idx,unix_time_ns")
+    return R.scan_frame_times(spark, path).select(F.regexp_extract("recording", r"user=(\d+)_", 1).cast("long").alias("user"), "frame_idx", "unix_time_ns")
 
 
 def log_times(spark, d):

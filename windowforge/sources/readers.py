@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 from windowforge.functions.scalars import log_time_ns, safe_path, to_float, to_int
 from windowforge.operators.checks import duplicates, require_none
 from windowforge.operators.quality import last_rows
-from windowforge.sources.csv_records import read_csv
+from windowforge.sources.csv_records import _ddl, read_csv
 from windowforge.sources.scratch import staged
 
 
@@ -73,7 +75,13 @@ def load_manifest(spark: SparkSession, path: str, modality: str, require_ok: boo
 
 def scan_frame_times(spark: SparkSession, root: str, glob: str = "*video_timestamps.csv") -> DataFrame:
     """(recording, video, frame_idx, unix_time_ns) of every file of frame times below a root; unreadable rows go."""
-    raw = spark.read.option("header", True).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).csv(root)
+    source = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    # the header of one file names the columns of all; left to itself, Spark would list every file once more by itself to find it
+    header = source.text(root).where("trim(value) <> ''").first()
+    names = next(csv.reader([header.value])) if header else ["frame_idx", "unix_time_ns"]
+    lower = [n.lower() for n in names]
+    names = [f"{n}{k}" if lower.count(n.lower()) > 1 else n or f"_c{k}" for k, n in enumerate(names)]  # as Spark names them
+    raw = source.option("header", True).schema(_ddl(names)).csv(root)
     rows = raw.select(F.col("_metadata.file_path").alias("recording"), to_int(F.col("frame_idx")).alias("frame_idx"), to_int(F.col("unix_time_ns")).alias("unix_time_ns"))
     video = F.regexp_replace("recording", r"_?video_timestamps\.csv$", ".mp4")
     return rows.where("frame_idx IS NOT NULL AND unix_time_ns IS NOT NULL").select("recording", video.alias("video"), "frame_idx", "unix_time_ns")
