@@ -371,3 +371,15 @@ def test_frame_times_of_many_recordings(spark, tmp_path, monkeypatch):
     for name, text in (("a", "note,FRAME_IDX,unix_time_ns,note\n\nx,1,10,y\n"), ("b", "note,frame_idx,unix_time_ns,note\nx,2,20,y\nx,,30,y\n"), ("c", "")):
         (tmp_path / "v" / f"{name}_video_timestamps.csv").write_text(text)
     assert sorted((r.frame_idx, r.unix_time_ns) for r in R.scan_frame_times(spark, str(tmp_path / "v")).collect()) == [(1, 10), (2, 20)]
+
+
+def test_log_times_of_many_logs(spark, tmp_path, monkeypatch):
+    """A log a user in its place, none moved by the driver."""
+    from pyspark.sql import DataFrameWriter
+
+    from windowforge.plans import files as Q
+
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", None)
+    monkeypatch.setattr(Q, "scratch_path", lambda spark: str(tmp_path / "q"))
+    assert Q.log_times(spark, "/root/testdata/sf0.001").count() == 1000
+    assert len(list((tmp_path / "q").rglob("*.log"))) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id").distinct().count()

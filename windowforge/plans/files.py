@@ -135,9 +135,9 @@ def log_times(spark, d):
     clock = F.format_string("%02d:%02d:%02d.%06d", F.floor(micros / 3_600_000_000) % 24, F.floor(micros / 60_000_000) % 60, F.floor(micros / 1_000_000) % 60, micros % 1_000_000)
     line = F.concat(F.lit("["), clock, F.lit("] Subcarrier count: 996"))
     rows = e.select("user", "t", "event_id", F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("noise\n"), line)).otherwise(line).alias("value"))
-    rows.repartition("user").sortWithinPartitions("user", "t", "event_id").select("user", "value").write.partitionBy("user").text(path)
+    W.write_lines(rows.repartition("user").sortWithinPartitions("user", "t", "event_id").select(_file_of(".log"), "value"), path)
     dates = e.groupBy("user").agg(F.date_add(F.lit("1970-01-01").cast("date"), F.floor((F.min("t") + 8 * 3_600_000_000) / 86_400_000_000).cast("int")).cast("string").alias("date")).select(F.col("user").cast("string").alias("sample_id"), "date")
-    return R.scan_log_packet_times(spark, path, dates, 8, "*.txt", r"user=(\d+)/").select(F.col("sample_id").cast("long").alias("user"), "packet_idx", "unix_ns")
+    return R.scan_log_packet_times(spark, path, dates, 8, sample=r"user=(\d+)\.log$").select(F.col("sample_id").cast("long").alias("user"), "packet_idx", "unix_ns")
 
 
 def _le(value, size: int):
