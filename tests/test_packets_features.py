@@ -383,3 +383,18 @@ def test_log_times_of_many_logs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(Q, "scratch_path", lambda spark: str(tmp_path / "q"))
     assert Q.log_times(spark, "/root/testdata/sf0.001").count() == 1000
     assert len(list((tmp_path / "q").rglob("*.log"))) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id").distinct().count()
+
+
+def test_short_ranges_share_tasks(tmp_path):
+    """Tasks are cut by their bytes and number of ranges, however short a range is; every byte lies in one range."""
+    from windowforge.sources.packet_source import TASK_RANGES, PacketReader
+
+    for k in range(150):
+        (tmp_path / f"f{k}.dat").write_bytes(b"".join(map(record, range(60 if k % 2 else 0))))
+    parts = PacketReader({"path": f"file://{tmp_path}", "rangebytes": "1000"}).partitions()
+    ranges = [p for t in parts for p in t.pieces]
+    assert len(ranges) == 75 + 75 * -(-60 * 336 // 1000) and len(parts) == -(-len(ranges) // TASK_RANGES) == 2
+    assert sum(end - start for *_, start, end in ranges) == sum(p.stat().st_size for p in tmp_path.iterdir()) == 75 * 60 * (272 + 64)
+    with open(tmp_path / "long.dat", "wb") as f:
+        f.truncate(1 << 28)
+    assert len(PacketReader({"path": f"file://{tmp_path}", "glob": "long.dat"}).partitions()) == 4

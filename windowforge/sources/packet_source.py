@@ -24,6 +24,9 @@ HEADER, DIMS = 272, (("num_rx", 46, 1), ("num_tx", 47, 1), ("num_subcarriers", 5
 #: Bytes of a range; bytes read at once.
 RANGE_BYTES, BLOCK_BYTES = 64 << 20, 1 << 20
 
+#: Bytes and ranges of a task, which has several short ranges or one long one.
+TASK_BYTES, TASK_RANGES = 64 << 20, 1000
+
 SHAPES = "array<struct<rx:long,tx:long,sc:long,n:long>>"
 RANGES = f"sample_id string, path string, length long, k long, start long, end long, entry long, exit long, records long, step long, stop string, wrong long, shapes {SHAPES}, head binary"
 _NAMES = "sample_id path length k start end entry exit records step stop wrong shapes head".split()
@@ -102,14 +105,19 @@ class PacketReader(DataSourceReader):
                 end = f.size if self.heads else min(f.size, (k + 1) * self.range_bytes)
                 held.append((prefix + f.path, f.size, k, k * self.range_bytes, end))
                 size += HEADER if self.heads else end - k * self.range_bytes
-                if size >= self.range_bytes or len(held) == 1000:
-                    out, held, size = [*out, Pieces(held)], [], 0
-        return [*out, Pieces(held)] if held or not out else out
+                if size >= TASK_BYTES or len(held) == TASK_RANGES:
+                    out.append(Pieces(held))
+                    held, size = [], 0
+        if held or not out:
+            out.append(Pieces(held))
+        return out
 
     def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         rows = []
+        last, read = None, None
         for path, length, k, start, end in partition.pieces:
-            read = ByteReader(path)
+            if path != last:  # the ranges of a file follow one another
+                last, read = path, ByteReader(path)
             head = read.read(0, min(HEADER, length))
             step = HEADER + number(head, 0, 4) if len(head) == HEADER else 1
             entry = -(-start // step) * step
