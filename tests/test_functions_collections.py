@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,29 @@ def test_log_progress(spark):
     }
     df = spark.createDataFrame([(t,) for t in logs], "t string").select("t", S.log_progress(F.col("t")).alias("p")).select("t", "p.*")
     assert {r[0]: tuple(r[1:]) for r in df.collect()} == logs
+
+
+def test_log_progress_searches_pairs_once(spark):
+    """A plan with one search for pairs and one for steps; rare forms of pairs as Python's expressions of the reference find them."""
+    import re
+
+    rng = random.Random(4)
+    words = ["step", "STEP", "Step:", "1/2", "3 / 4", "12\t/\n40", "9/8", "0/0", "/", "7", "a5/6", "5/6b", "1/2/3", "99999999999999999999/5", "5/99999999999999999999", " ", "  ", ", ", "\n", "then a frame", "_", "é"]
+    texts = ["".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(3000)] + ["step   123456789/5/6"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.log_progress(F.col("t")).alias("p"))
+    # one search, named by both parts of the result
+    assert str(df._jdf.queryExecution().analyzed()).count("regexp_extract_all") <= 2
+
+    def want(t):
+        number = lambda x: int(x) if int(x) < 1 << 63 else None
+        s = re.search(r"\bStep\s*:?\s*(\d+)\s*/\s*(\d+)\b", t, re.I)
+        out = [number(s[1]), number(s[2])] if s else [None, None]
+        last = [None, None]
+        for m in re.finditer(r"\b(\d+)\s*/\s*(\d+)\b", t):
+            a, b = number(m[1]), number(m[2])
+            if "step" not in t[max(0, m.start() - 12) : m.start()].lower() and a is not None and b is not None and 0 < b and a <= b:
+                last = [a, b]
+        return (*out, *last)
+
+    got = {r.t: tuple(r.p) for r in df.collect()}
+    assert {t: got[t] for t in texts if got[t] != want(t)} == {}

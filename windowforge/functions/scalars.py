@@ -195,14 +195,15 @@ def content_digest(content: Column) -> Column:
 def log_progress(text: Column) -> Column:
     """What a log says about its progress, as step_current, step_total (the first ``Step a/b``, in any case, with or without a colon) and frame_current,
     frame_total (the last other ``a/b`` with a <= b and b > 0 that has no "step" within the 12 characters before it); null where it says nothing."""
-    step = lambda k: F.nullif(F.regexp_extract(text, r"(?i)\bStep\s*:?\s*(\d+)\s*/\s*(\d+)\b", k), F.lit(""))
-    # group 1 looks back from a pair: not empty if a step is named there
-    pairs = r"(?is)\b(?=\d+\s*/\s*\d+\b)(?:(?<!step.{0,8})|(?<=(step.{0,8})))(\d+)\s*/\s*(\d+)\b"
-    parts = [F.regexp_extract_all(text, F.lit(pairs), F.lit(k)) for k in (1, 2, 3)]
-    found = F.transform(F.arrays_zip(*parts), lambda x: F.struct(x["0"].alias("step"), x["1"].try_cast("long").alias("a"), x["2"].try_cast("long").alias("b")))
-    frames = F.filter(found, lambda x: (x["step"] == "") & (x["b"] > 0) & (x["a"] <= x["b"]))
-    last = F.when(F.size(frames) > 0, F.element_at(frames, -1))
-    return F.struct(step(1).try_cast("long").alias("step_current"), step(2).try_cast("long").alias("step_total"), last["a"].alias("frame_current"), last["b"].alias("frame_total"))
+    step = F.nullif(F.regexp_extract(text, r"[sS](?<=\b[sS])[tT][eE][pP]\s*+:?+\s*+(\d++\s*+/\s*+\d++)\b", 1), F.lit(""))
+    # one search for all pairs: those of a step, which are named within the 12 characters before, are empty texts
+    pair = r"\d*+\s*+/\s*+\d++\b"
+    pairs = F.regexp_extract_all(text, F.lit(rf"(?is)(\d(?<=\b\d)(?<!step.{{0,8}}\d){pair})|\d(?<=\b\d){pair}"), F.lit(1))
+    numbers = lambda x: F.transform(F.split(x, "/"), lambda n: n.try_cast("long"))
+    # empty texts go before: a cast that fails is slow
+    frames = F.filter(F.transform(F.filter(pairs, lambda x: x != ""), numbers), lambda n: (n[1] > 0) & (n[0] <= n[1]))
+    first, last = numbers(step), F.try_element_at(frames, F.lit(-1))
+    return F.struct(first[0].alias("step_current"), first[1].alias("step_total"), last[0].alias("frame_current"), last[1].alias("frame_total"))
 
 
 # ---------------------------------------------------------------- arrays
